@@ -114,7 +114,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     """64-bit hash of ``data[s:e]`` for all spans: differences of one prefix
     polynomial over mixed symbols, brought to a common power, then mixed with
     the length."""
-    base = _BASE + np.uint64(2 * seed * 0x51ED2701 + (0 if seed == 0 else 0x6A09E667F3BCC908))
+    base = _base(seed)
     n = len(data)
     power = np.full(n + 1, base, np.uint64)
     power[0] = 1
@@ -133,6 +133,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return mix(value)
 
 
+def _base(seed: int) -> np.uint64:
+    """An odd multiplier for each seed."""
+    return np.uint64((int(_BASE) + 2 * seed * 0x51ED2701 + (seed > 0) * 0x6A09E667F3BCC908) % (1 << 64))
+
+
 def _unpower(base: np.uint64, n: int) -> np.uint64:
     """Inverse of ``base ** n`` modulo 2 ** 64, so that hashes don't depend on
     the batch a span lies in."""
