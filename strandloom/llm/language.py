@@ -144,27 +144,33 @@ def fit(
     return Model(languages, np.array(owner, np.int64), np.array(centroids, np.float32).reshape(-1, DIMS), np.array([max(r, farthest) for r in reach]), idf)
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, lang_pred, score, rejected`` and the columns ``keep``, one row
-    per input row.
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_input: bool = False) -> DataFrame:
+    """``doc_id, lang_pred, score, rejected``, one row per input row; with
+    ``keep_input`` the input's columns in place of ``doc_id`` (but for any named
+    like the three results).
 
     A null text and one without a letter give ``und``, score 0 and rejection.
     Ties go to the language that sorts first. Null ids are carried; repeated rows
     give repeated results; an empty table gives an empty result; a model without
     a language calls everything ``und``.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), *keep)
-    fields = [rows.schema["doc_id"], *(rows.schema.fields[2:])]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    if keep_input:
+        rows = docs.drop(*(f.name for f in results))
+        at, first = rows.columns.index(text_col), 0
+    else:
+        rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
+        at, first = 0, 1
+    schema = T.StructType([*rows.schema.fields[first:], *results])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(0))
+            texts = texts_of(batch.column(at))
             for a, b in chunks([len(t) for t in texts], 600_000):
                 for lo in range(a, b, 256):
                     some = texts[lo : min(b, lo + 256)]
                     lang, score, rejected = model.predict(some)
-                    kept = [c.slice(lo, len(some)) for c in batch.columns[1:]]
+                    kept = [c.slice(lo, len(some)) for c in batch.columns[first:]]
                     yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
     return rows.mapInArrow(run, schema)

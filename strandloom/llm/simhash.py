@@ -178,6 +178,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, max_bits: int = 3, id_col: s
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, the one of the smallest id. Rows that
+    repeat an id give one row; rows with a null id can't be named and all stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
