@@ -22,7 +22,9 @@ SQL = {
     "genes": """SELECT concat('ACC', l_suppkey) AS acc, CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS strand, l_partkey * 50 + 7 * l_linenumber AS lo, l_partkey * 50 + 7 * l_linenumber + 90 + CAST(l_quantity AS BIGINT) * 3 AS hi, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS gene_id, concat(p_name, ' ', lower(p_type)) AS product FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'N'""",
     "codes": """SELECT vec_id AS id, label, list_transform(embedding, lambda x: CASE WHEN abs(x::DOUBLE) < 0.01 THEN -1 WHEN x::DOUBLE < -0.08 THEN 0 WHEN x::DOUBLE < 0 THEN 1 WHEN x::DOUBLE < 0.08 THEN 2 ELSE 3 END) AS codes FROM embeddings""",
 }
-NEEDS = {"known": ["loci"], "candidates": ["loci"]}
+H = lambda tag, x: f"('0x' || substr(md5(concat('{tag}:', {x})), 1, 8))::BIGINT"
+SQL["splits"] = f"""SELECT *, fold = 'train' AND NOT heldout AS nested_train, fold = 'train' AND {H('c', 'cluster_id')} % 10 = 0 AS calib FROM (SELECT record, record // 5 AS cluster_id, genus, phylum, family, genus_key % 5 = 0 AS heldout, CASE WHEN {H('s', 'record // 5')} % 10 < 7 THEN 'train' WHEN {H('s', 'record // 5')} % 10 < 8 THEN 'val' ELSE 'test' END AS fold FROM clades)"""
+NEEDS = {"splits": ["clades"], "known": ["loci"], "candidates": ["loci"]}
 
 
 def with_views(names: str, body: str) -> str:
@@ -97,3 +99,15 @@ def codes(spark: SparkSession, d: str) -> DataFrame:
         "vec_id AS id", "label",
         "transform(embedding, x -> CASE WHEN abs(cast(x AS double)) < 0.01 THEN -1 WHEN cast(x AS double) < -0.08 THEN 0 WHEN cast(x AS double) < 0 THEN 1 WHEN cast(x AS double) < 0.08 THEN 2 ELSE 3 END) AS codes",
     )
+
+
+def draw(tag: str, x: str) -> str:
+    return f"cast(conv(substr(md5(concat('{tag}:', {x})), 1, 8), 16, 10) AS bigint)"
+
+
+def splits(spark: SparkSession, d: str) -> DataFrame:
+    base = clades(spark, d).selectExpr(
+        "record", "record div 5 AS cluster_id", "genus", "phylum", "family", "genus_key % 5 = 0 AS heldout",
+        f"CASE WHEN {draw('s', 'record div 5')} % 10 < 7 THEN 'train' WHEN {draw('s', 'record div 5')} % 10 < 8 THEN 'val' ELSE 'test' END AS fold",
+    )
+    return base.selectExpr("*", "fold = 'train' AND NOT heldout AS nested_train", f"fold = 'train' AND {draw('c', 'cluster_id')} % 10 = 0 AS calib")
