@@ -28,21 +28,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def ngram_buckets(words: Column, n_buckets: int) -> Column:
-    """Bucket numbers of all lower-cased 1-grams and 2-grams, repeats included."""
-    ids = F.transform(words, lambda w: F.xxhash64(F.lower(w)))
-    n = F.size(words)
-    two = F.zip_with(F.slice(ids, 1, F.greatest(n - 1, F.lit(0))), F.slice(ids, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    bucket = lambda h: F.pmod(h, F.lit(n_buckets)).cast("int")
-    return F.transform(F.concat(ids, two), bucket)
+def chained(shorter: Column, ids: Column, n: int) -> Column:
+    """Hashes of n-grams from those of (n-1)-grams and of the words."""
+    m = F.greatest(F.size(ids) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(shorter, 1, m), F.slice(ids, n, m), lambda a, b: F.xxhash64(a, b))
 
 
 def bucket_counts(rows: DataFrame, n_buckets: int) -> tuple[list[int], list[int]]:
-    """``(target, raw)`` counts per bucket from rows of ``buckets, trusted``; the
+    """``(target, raw)`` counts per bucket from rows of ``words, trusted``; the
     result has at most ``n_buckets`` rows and is summed on the map side first."""
+    hashed = rows.select("trusted", F.transform("words", lambda w: F.xxhash64(w)).alias("ids"))
+    grams = hashed.select("trusted", F.explode(F.concat("ids", chained(F.col("ids"), F.col("ids"), 2))).alias("h"))
     got = (
-        rows.select("trusted", F.explode("buckets").alias("b")).groupBy("b")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count_if("trusted").alias("target")).collect()
+        grams.groupBy(F.pmod("h", F.lit(n_buckets)).alias("b"))
+        .agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")).collect()
     )
     target, raw = [0] * n_buckets, [0] * n_buckets
     for r in got:
@@ -57,32 +56,32 @@ def log_ratios(target: list[int], raw: list[int]) -> list[float]:
     return [(math.log(a + 1) - t) - (math.log(b + 1) - r) for a, b in zip(target, raw, strict=True)]
 
 
-def rule_counts(text: Column, words: Column) -> dict[str, Column]:
-    """The counts of the fixed rules, as columns."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(NOT_SPACE))
-    n = F.greatest(F.size(words) - 2, F.lit(0))
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.coalesce(F.regexp_count(text, F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long"),
-        "lines": lines,
-        "windows": F.zip_with(
-            F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.struct(a, b)), F.slice(words, 3, n),
-            lambda p, c: F.xxhash64(p, c),
-        ),
-    }
+#: Windows up to which their positions are packed beside 49 bits of their hashes.
+PACKED = 1 << 15
 
 
 def repeated_words(windows: Column) -> Column:
     """Words in windows whose hash occurs twice or more in the array: the windows
     are sorted with their positions, equal neighbours give the positions, and
-    each position covers three words."""
+    each position covers three words. Arrays of up to ``PACKED`` windows are
+    sorted as plain integers, hash above position."""
     n = F.size(windows)
-    at = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    pairs = F.zip_with(F.slice(at, 1, n - 1), F.slice(at, 2, n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-    starts = F.flatten(pairs)
-    covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
-    return F.when(F.size(F.array_distinct(windows)) < n, F.size(covered)).otherwise(0).cast("long")
+    none = F.array().cast("array<int>")
+
+    def covered(first: Column, second: Column) -> Column:
+        at = F.array_union(F.array_compact(first), F.array_compact(second))
+        step = lambda k: F.transform(at, lambda i: i + k)
+        return F.size(F.array_union(F.array_union(at, step(1)), step(2)))
+
+    packed = F.sort_array(F.transform(windows, lambda h, i: F.shiftleft(h, 15).bitwiseOR(i)))
+    same = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), 15) == 0
+    place = lambda a: a.bitwiseAND(F.lit(PACKED - 1)).cast("int")
+    head, tail = F.slice(packed, 1, n - 1), F.slice(packed, 2, n - 1)
+    few = covered(F.zip_with(head, tail, lambda a, b: F.when(same(a, b), place(a))), F.zip_with(head, tail, lambda a, b: F.when(same(a, b), place(b))))
+    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    first, second = F.slice(pairs, 1, n - 1), F.slice(pairs, 2, n - 1)
+    many = covered(F.zip_with(first, second, lambda a, b: F.when(a["h"] == b["h"], a["i"])), F.zip_with(first, second, lambda a, b: F.when(a["h"] == b["h"], b["i"])))
+    return F.when(F.size(F.array_distinct(windows)) == n, 0).when(n <= PACKED, few).otherwise(many).cast("long")
 
 
 def quality_rules(
@@ -101,20 +100,21 @@ def quality_rules(
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marks = docs.select("doc_id").dropna().distinct().join(ids, "doc_id", "left_semi").select("doc_id", F.lit(True).alias("trusted"))
-    words = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    buckets = words.select("doc_id", ngram_buckets(F.col("words"), n_buckets).alias("buckets"))
-    # The raw counts need no ids; the target's come from the trusted rows alone.
-    raw = bucket_counts(buckets.select("buckets", F.lit(False).alias("trusted")), n_buckets)[1]
-    chosen = docs.join(marks, "doc_id", "left_semi").select("doc_id", words_of(F.col("text")).alias("words"))
-    target = bucket_counts(chosen.select(ngram_buckets(F.col("words"), n_buckets).alias("buckets"), F.lit(True).alias("trusted")), n_buckets)[0]
-    table_text = ",".join(repr(x) for x in log_ratios(target, raw))
+    marked = docs.join(ids, "doc_id", "left").select("trusted", words_of(F.col("text")).alias("words"))
+    table_text = ",".join(repr(x) for x in log_ratios(*bucket_counts(marked, n_buckets)))
     ratios = F.split(F.lit(table_text), ",").cast("array<double>")
 
     named = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"))
-    counts = rule_counts(F.col("text"), F.col("words"))
-    parts = named.select("doc_id", *[c.alias(k) for k, c in counts.items()], ngram_buckets(F.col("words"), n_buckets).alias("buckets"))
-    llr = F.aggregate("buckets", F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.greatest(F.size("buckets"), F.lit(1))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(NOT_SPACE))
+    parts = named.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.coalesce(F.regexp_count("text", F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long").alias("n_symbols"), lines.alias("lines"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("ids"),
+    )
+    parts = parts.withColumn("two", chained(F.col("ids"), F.col("ids"), 2))
+    parts = parts.withColumn("windows", chained(F.col("two"), F.col("ids"), 3))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, h: a + F.get(ratios, F.pmod(h, F.lit(n_buckets)).cast("int")))
+    llr = (total("ids") + total("two")) / F.greatest(F.size("ids") + F.size("two"), F.lit(1))
     scored = parts.select(
         "doc_id", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
