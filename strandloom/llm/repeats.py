@@ -9,16 +9,15 @@ windows of phrases with the same trigger: the phrases' suffixes up to the end of
 the trigger are prefix-free, which is what lets order be decided phrase by phrase.
 
 Dictionary and parse. A document's parse is its sequence of (trigger, phrase)
-hashes. Where a trigger has one phrase only, all its occurrences but the first
-are repeats as wholes. Where phrases differ around a trigger, the first
-occurrence of each phrase enters the dictionary with its bytes; the suffixes of
-the dictionary's phrases are sorted trigger by trigger to their first ``length``
-bytes, and runs of equal suffixes are repeats of their earliest member. Corpus
-order is thus decided by trigger, phrase and phrase suffix, never by sorting the
-corpus's own suffixes.
-
-Identity of triggers, phrases and windows is that of two independent 64-bit
-hashes taken together.
+hashes. Every occurrence of a phrase but the first repeats as a whole. Where
+phrases differ around a trigger, the first occurrence of each phrase enters the
+dictionary with its bytes; the suffixes of the dictionary's phrases are sorted
+trigger by trigger to their first ``length`` bytes, and runs of equal suffixes
+are repeats of their earliest member. Corpus order is thus decided by trigger,
+phrase and phrase suffix, never by sorting the corpus's own suffixes.
+
+Phrases are equal if two independent 64-bit hashes are, of the trigger and of the
+phrase; suffixes are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -30,16 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandloom.llm.textbatch import mix, ragged_index, span_hashes
-from strandloom.session import table
+from strandloom.session import scratch_path, table
 
 #: Bytes of a trigger.
 W = 16
 #: Bytes parsed at a time; longer documents are cut into overlapping pieces.
 CHUNK_BYTES = 2_000_000
-#: Phrases of one trigger that a task sorts in memory; beyond it windows are grouped by Spark.
+#: Occurrences of a trigger beyond which its phrases' windows are dealt out one by one.
 CROWDED = 20_000
 
 
@@ -105,6 +103,10 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 
 
 def _parse(length: int):
+    """``trigger, phrase, doc, packed`` of every phrase. A phrase whose equal was
+    met earlier in the same batch is known to repeat: it needs no meeting, so it
+    goes under a key of its own and frequent phrases don't crowd one task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -116,37 +118,117 @@ def _parse(length: int):
             if not found:
                 continue
             doc, trigger, phrase, place, span = (np.concatenate(x) for x in zip(*found, strict=True))
-            first = _firsts(doc, trigger, phrase)
-            packed = (place << 10) | (span << 1) | first
+            order = np.lexsort((place, doc))
+            doc, trigger, phrase, place, span = (x[order] for x in (doc, trigger, phrase, place, span))
+            known = ~_firsts(trigger, phrase)
+            trigger = np.where(known, mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), trigger)
+            phrase = np.where(known, np.uint64(0), phrase)
+            packed = (place << 10) | (span << 1) | known
             yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(doc), pa.array(packed)], names=["trigger", "phrase", "doc", "packed"])
 
     return run
 
 
+def _resolve(crowded: int):
+    """Marks of phrases from a partition sorted by trigger, phrase, document and
+    place: every occurrence of a phrase but the first repeats; the firsts of a
+    trigger with several phrases enter the dictionary. Of an unfinished trigger
+    only its phrases' firsts are held, and not more than ``crowded`` of them."""
+
+    def batch_of(trigger, doc, packed, first, many):
+        key = np.where(first, trigger, 0)
+        marks = ((packed >> 1) << 2) | (many.astype(np.int64) << 1) | first
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(marks)], names=["doc", "key", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held = (none, none, none)  # firsts of the unfinished trigger
+        last, full, prev = None, False, None  # its last (trigger, phrase); whether it is crowded
+        for batch in _with_end(batches):
+            if batch is None:
+                trigger = phrase = doc = packed = none
+            else:
+                trigger, phrase, doc, packed = (batch.column(k).to_numpy() for k in range(4))
+            known = packed & 1 == 1
+            no = np.zeros(len(trigger), bool)
+            if known.any():
+                yield batch_of(trigger[known], doc[known], packed[known], no[known], no[known])
+                trigger, phrase, doc, packed = trigger[~known], phrase[~known], doc[~known], packed[~known]
+            if not len(trigger) and batch is not None:
+                continue
+            first = np.ones(len(trigger), bool)
+            first[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
+            if len(trigger) and last is not None:
+                first[0] = (trigger[0], phrase[0]) != last
+            no = np.zeros(len(trigger), bool)
+            yield batch_of(trigger[~first], doc[~first], packed[~first], no[~first], no[~first])
+            t, d, p = (np.concatenate([h, x[first]]) for h, x in zip(held, (trigger, doc, packed), strict=True))
+            was_full, n_open = full, 0
+            if batch is not None:
+                if last is None or trigger[-1] != last[0]:
+                    full = False
+                last = (trigger[-1], phrase[-1])
+                n_open = int((t == trigger[-1]).sum())
+                # A crowded trigger's firsts needn't wait for each other.
+                full = full or n_open > crowded
+                if full:
+                    n_open = 0
+            held = tuple(x[len(t) - n_open :] for x in (t, d, p))
+            t, d, p = (x[: len(t) - n_open] for x in (t, d, p))
+            _, of, n = np.unique(t, return_inverse=True, return_counts=True)
+            many = n[of] > crowded if len(t) else np.zeros(0, bool)
+            if len(t) and was_full and prev is not None:
+                many |= t == prev
+            if len(t) and full:
+                many |= t == last[0]
+            out = (n[of] > 1) | many if len(t) else many
+            yield batch_of(t[out], d[out], p[out], np.ones(int(out.sum()), bool), many[out])
+            prev = last[0] if last is not None else None
+
+    return run
+
+
+def _marks(marks: pa.Scalar) -> tuple[np.ndarray, ...]:
+    """``key, place, span, first, crowded`` of a document's phrases."""
+    key, packed = (marks.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    return key, packed >> 11, (packed >> 2) & 511, packed & 1 == 1, (packed >> 1) & 1 == 1
+
+
 def _dictionary(length: int):
-    """Bytes of the phrases a document gives to the dictionary."""
+    """Bytes of the phrases a document gives to the dictionary; of phrases whose
+    trigger is crowded every window goes as an entry under its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            keys, docs, places, blobs = [], [], [], []
+            ids = batch.column(0).to_numpy()
             for i, text in enumerate(_texts(batch.column(1))):
-                own = batch.column(2)[i].values
-                trigger, place, span = (own.field(k) for k in range(3))
-                p, s = place.to_numpy(), span.to_numpy()
-                blobs = [text[a : a + b + length] for a, b in zip(p.tolist(), s.tolist(), strict=True)]
-                crowded = own.field(3)
-                yield pa.RecordBatch.from_arrays([trigger, pa.array(np.full(len(p), batch.column(0)[i].as_py())), place, pa.array(blobs, pa.binary()), crowded], names=["trigger", "doc", "place", "bytes", "crowded"])
+                key, place, span, first, crowded = _marks(batch.column(2)[i])
+                for k in np.flatnonzero(first & ~crowded):
+                    keys.append(key[k])
+                    places.append(place[k])
+                    blobs.append(text[place[k] : place[k] + span[k] + length])
+                many = np.flatnonzero(first & crowded)
+                if len(many):
+                    which, offset, h = window_hashes([text[place[k] : place[k] + span[k] + length] for k in many], length)
+                    at = place[many][which] + offset
+                    keys += h.view(np.int64).tolist()
+                    places += at.tolist()
+                    blobs += [text[p : p + length] for p in at]
+                docs += [ids[i]] * (len(keys) - len(docs))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "doc", "place", "bytes"])
 
     return run
 
 
-def window_hashes(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``blob, offset, hash, hash`` of all windows of the given byte strings."""
+def window_hashes(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``blob, offset, hash`` of all windows of the given byte strings."""
     sizes = np.array([len(b) for b in blobs], np.int64)
     data, begins = np.frombuffer(b"".join(blobs), np.uint8), np.cumsum(sizes) - sizes
     n = sizes - length + 1
     at = ragged_index(begins, n)
     which = np.repeat(np.arange(len(blobs)), n)
-    return which, at - begins[which], span_hashes(data, at, at + length), span_hashes(data, at, at + length, seed=1)
+    return which, at - begins[which], span_hashes(data, at, at + length)
 
 
 def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,34 +242,38 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _sort_suffixes(length: int):
-    """Repeats among the dictionary's phrases, from a partition sorted by trigger."""
+    """Repeats among the dictionary's phrases, from a partition sorted by key,
+    document and place. What is held of the last key so far is only its entries
+    that brought new suffixes, so entries that are single windows don't pile up."""
 
-    def repeats(trigger: np.ndarray, doc: np.ndarray, place: np.ndarray, blobs: list[bytes]):
+    def repeats(key: np.ndarray, doc: np.ndarray, place: np.ndarray, blobs: list[bytes]):
         sizes = np.array([len(b) for b in blobs], np.int64)
         data, begins = np.frombuffer(b"".join(blobs), np.uint8), np.cumsum(sizes) - sizes
         n = sizes - length + 1
         at, which = ragged_index(begins, n), np.repeat(np.arange(len(blobs)), n)
         suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[at]).view(f"S{length}").ravel()
-        d, p, g = doc[which], place[which] + at - begins[which], trigger[which]
-        order = np.lexsort((p, d, suffix, g))  # the suffix array, trigger by trigger
-        same = (g[order][1:] == g[order][:-1]) & (suffix[order][1:] == suffix[order][:-1])
-        later = order[1:][same]
-        return _runs(d[later], p[later])
+        d, p, g = doc[which], place[which] + at - begins[which], key[which]
+        order = np.lexsort((p, d, suffix, g))  # the suffix array, key by key
+        same = np.append(False, (g[order][1:] == g[order][:-1]) & (suffix[order][1:] == suffix[order][:-1]))
+        news = np.bincount(which[order[~same]], minlength=len(blobs)) > 0
+        return which[order[same]], d[order[same]], p[order[same]], news
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        n_old = 0  # entries at the front that were answered before
         for batch in _with_end(batches):
             done = batch is None
             if not done:
-                held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()))
-            if held and (done or sum(len(x[0]) for x in held) >= 2000):
-                trigger, doc, place = (np.concatenate([x[k] for x in held]) for k in range(3))
-                blobs = [b for x in held for b in x[3]]
-                end = len(trigger) if done else int(np.searchsorted(trigger, trigger[-1]))
-                held = [] if done else [(trigger[end:], doc[end:], place[end:], blobs[end:])]
-                if end:
-                    out = repeats(trigger[:end], doc[:end], place[:end], blobs[:end])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["doc", "place", "span"])
+                held.append((*(batch.column(k).to_numpy() for k in range(3)), batch.column(3).to_pylist()))
+            if not held or not (done or sum(len(x[0]) for x in held) - n_old >= 2000):
+                continue
+            key, doc, place = (np.concatenate([x[k] for x in held]) for k in range(3))
+            blobs = [b for x in held for b in x[3]]
+            entry, d, p, news = repeats(key, doc, place, blobs)
+            fresh = entry >= n_old
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _runs(d[fresh], p[fresh])], names=["doc", "place", "span"])
+            keep = np.flatnonzero((key == key[-1]) & news)
+            held, n_old = [(key[keep], doc[keep], place[keep], [blobs[k] for k in keep])], len(keep)
 
     return run
 
@@ -197,55 +283,34 @@ def _with_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def _windows(length: int):
+def _answer(length: int):
+    """Counts and remaining bytes of each document from its marks and repeats."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                which, offset, h1, h2 = window_hashes(some.column(3).to_pylist(), length)
-                doc, place = some.column(1).to_numpy()[which], some.column(2).to_numpy()[which] + offset
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(place)], names=["h1", "h2", "doc", "place"])
+            out = []
+            for i, text in enumerate(_texts(batch.column(1))):
+                places, spans = [], []
+                if batch.column(2)[i].is_valid:
+                    _, place, span, first, _ = _marks(batch.column(2)[i])
+                    places.append(place[~first])
+                    spans.append(span[~first])
+                if batch.column(3)[i].is_valid:
+                    packed = batch.column(3)[i].values.to_numpy()
+                    places.append(packed >> 10)
+                    spans.append(packed & 1023)
+                if not places:
+                    out.append((len(text), 0, 0, text))
+                    continue
+                gone = removal_mask(len(text), np.concatenate(places), np.concatenate(spans), length)
+                n_spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                out.append((len(text), int(gone.sum()), n_spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
-    """``doc_id, spans``: for each document with repeats an array of ``(place,
-    span)``; the windows starting at ``place .. place + span`` have occurred
-    earlier. Spans may touch or overlap."""
-    if not 2 * W <= length <= 500:
-        raise ValueError("length must be 32 to 500 bytes")
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc IS NOT NULL")
-    parse = texts.mapInArrow(_parse(length), "trigger long, phrase long, doc long, packed long")
-    seen = parse.groupBy("trigger").agg(
-        F.min("phrase").alias("p0"), F.max("phrase").alias("p1"), F.min("doc").alias("d0"), F.count(F.lit(1)).alias("n"),
-    ).where("n > 1").select("trigger", (F.col("p0") != F.col("p1")).alias("several"), "d0")
-    found = parse.join(seen, "trigger").select(
-        "trigger", "phrase", "doc", "several", "d0",
-        F.shiftright("packed", 10).alias("place"), F.shiftright("packed", 1).bitwiseAND(F.lit(511)).alias("span"), (F.col("packed").bitwiseAND(F.lit(1)) == 1).alias("own_first"),
-    )
-    # One phrase for the trigger: every occurrence but the first repeats as a whole.
-    whole = found.where(~F.col("several") & ~((F.col("doc") == F.col("d0")) & F.col("own_first"))).select("doc", "place", "span")
-    # Several phrases: the same for each of them, and their firsts form the dictionary.
-    mixed = found.where("several").select("trigger", "phrase", "doc", "place", "span", "own_first")
-    heads = mixed.groupBy("trigger", "phrase").agg(F.min("doc").alias("d0"))
-    sizes = heads.groupBy("trigger").agg((F.count(F.lit(1)) > crowded).alias("crowded"))
-    marked = mixed.join(heads.join(sizes, "trigger"), ["trigger", "phrase"])
-    is_first = (F.col("doc") == F.col("d0")) & F.col("own_first")
-    later = marked.where(~is_first).select("doc", "place", "span")
-    wanted = marked.where(is_first).groupBy("doc").agg(F.collect_list(F.struct("trigger", "place", "span", "crowded")).alias("wanted"))
-    entries = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_dictionary(length), "trigger long, doc long, place long, bytes binary, crowded boolean")
-    few = entries.where("not crowded").select("trigger", "doc", "place", "bytes").repartition("trigger").sortWithinPartitions("trigger")
-    sorted_repeats = few.mapInArrow(_sort_suffixes(length), "doc long, place long, span long")
-    # Triggers with very many phrases: windows are grouped across tasks.
-    windows = entries.where("crowded").mapInArrow(_windows(length), "h1 long, h2 long, doc long, place long")
-    per_doc = windows.groupBy("h1", "h2", "doc").agg(F.min("place").alias("p0"))
-    earliest = per_doc.groupBy("h1", "h2").agg(F.min("doc").alias("d0"))
-    crowd = windows.join(per_doc, ["h1", "h2", "doc"]).join(earliest, ["h1", "h2"]).where("doc > d0 or place > p0").select("doc", "place", F.lit(0).cast("long").alias("span"))
-    every = whole.unionByName(later).unionByName(sorted_repeats).unionByName(crowd)
-    return every.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("place", "span")).alias("spans"))
-
-
 def removal_mask(n: int, place: np.ndarray, span: np.ndarray, length: int) -> np.ndarray:
     """Which of ``n`` bytes the spans cover."""
     steps = np.zeros(n + 1, np.int64)
@@ -254,7 +319,7 @@ def removal_mask(n: int, place: np.ndarray, span: np.ndarray, length: int) -> np
     return np.cumsum(steps[:n]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (binary), one row per input row.
 
     Ids must be integers. A null or empty text has no bytes; rows with a null id
@@ -262,27 +327,30 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     document: they are not held against each other, and spans found for the id
     apply to all its rows. Other columns are ignored; an empty table gives an
     empty result.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(texts, length=length)
-    rows = texts.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i, text in enumerate(_texts(batch.column(1))):
-                own = batch.column(2)[i]
-                if not own.is_valid or not text:
-                    out.append((len(text), 0, 0, text))
-                    continue
-                gone = removal_mask(len(text), own.values.field(0).to_numpy(), own.values.field(1).to_numpy(), length)
-                n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((len(text), int(gone.sum()), n_spans, np.frombuffer(text, np.uint8)[~gone].tobytes()))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    The marks of repeating and dictionary phrases are written to the shared
+    folder; the rest is one plan whose branches share the shuffle of the texts.
+    """
+    if not 2 * W <= length <= 500:
+        raise ValueError("length must be 32 to 500 bytes")
+    every = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    texts = every.where("doc IS NOT NULL")
+    parse = texts.mapInArrow(_parse(length), "trigger long, phrase long, doc long, packed long")
+    dealt = parse.repartition("trigger").sortWithinPartitions("trigger", "phrase", "doc", "packed")
+    path = scratch_path(docs.sparkSession, "phrases")
+    dealt.mapInArrow(_resolve(crowded), "doc long, key long, packed long").write.parquet(path)
+    per_doc = docs.sparkSession.read.parquet(path).groupBy("doc").agg(F.collect_list(F.struct("key", "packed")).alias("marks"))
+    entries = texts.join(per_doc, "doc").select("doc", "text", "marks").mapInArrow(_dictionary(length), "key long, doc long, place long, bytes binary")
+    sorted_entries = entries.repartition("key").sortWithinPartitions("key", "doc", "place")
+    later = sorted_entries.mapInArrow(_sort_suffixes(length), "doc long, place long, span long")
+    # Runs inside one phrase or window are shorter than 1024 windows.
+    pieces_ = F.explode(F.sequence(F.lit(0), F.col("span"), F.lit(1000)))
+    later = later.withColumn("o", pieces_).select("doc", (F.shiftleft(F.col("place") + F.col("o"), 10) + F.least(F.col("span") - F.col("o"), F.lit(999))).alias("piece"))
+    repeats = later.groupBy("doc").agg(F.collect_list("piece").alias("repeats"))
+    rows = texts.join(per_doc, "doc", "left").join(repeats, "doc", "left").select("doc", "text", "marks", "repeats")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    plain = every.where("doc IS NULL").select(F.col("doc").alias("doc_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.coalesce("text", F.lit("")).cast("binary").alias("kept"))
+    return rows.mapInArrow(_answer(length), schema).unionByName(plain)
 
 
 def op4_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
