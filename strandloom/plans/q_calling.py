@@ -43,9 +43,6 @@ def w05(spark, d):
     return K.resolve_strand(e, rank={1: 2, 2: 0, 3: 1, 4: 3}, margin=2)
 
 
-_LOGITS = "array_{f}"
-
-
 @query("w06_reconciled", V.with_views("positions", """WITH w AS (SELECT contig, pos, k, [((p * (k + 1)) % 97) / 25.0, ((p * (k + 2)) % 89) / 25.0, cls::DOUBLE] AS lg FROM positions, (VALUES (0), (1), (2)) v(k) WHERE k = 0 OR (pos + k) % 3 <> 0),
 e AS (SELECT contig, pos, unnest([0, 1, 2]) AS cls, unnest([exp(lg[1]) / (exp(lg[1]) + exp(lg[2]) + exp(lg[3])), exp(lg[2]) / (exp(lg[1]) + exp(lg[2]) + exp(lg[3])), exp(lg[3]) / (exp(lg[1]) + exp(lg[2]) + exp(lg[3]))]) AS p FROM w),
 m AS (SELECT contig, pos, cls, avg(p) AS p, count(*) AS coverage FROM e GROUP BY ALL)
@@ -126,23 +123,23 @@ def w13(spark, d):
     return major.join(first, "cluster_id", "left").select("cluster_id", "first_family", "majority")
 
 
-@query("e18_pair_table", V.with_views("contigs", """WITH b AS (SELECT contig_id, translate(substr(seq, 1, 60), 'ACGT', '(.).') AS s FROM contigs), c AS (SELECT contig_id, unnest(range(1, length(s) + 1)) AS i, s FROM b), d AS (SELECT contig_id, i, substr(s, i, 1) AS ch FROM c WHERE substr(s, i, 1) IN ('(', ')')),
+@query("e18_pair_table", V.with_views("contigs", """WITH b AS (SELECT contig_id, translate(seq, 'ACGT', '(.).') AS s FROM contigs), c AS (SELECT contig_id, unnest(range(1, length(s) + 1)) AS i, s FROM b), d AS (SELECT contig_id, i, substr(s, i, 1) AS ch FROM c WHERE substr(s, i, 1) IN ('(', ')')),
 e AS (SELECT *, CASE ch WHEN '(' THEN sum(CASE ch WHEN '(' THEN 1 ELSE -1 END) OVER w ELSE sum(CASE ch WHEN '(' THEN 1 ELSE -1 END) OVER w + 1 END AS depth, min(1) OVER w AS one FROM d WINDOW w AS (PARTITION BY contig_id ORDER BY i)), p AS (SELECT *, lead(i) OVER (PARTITION BY contig_id, depth ORDER BY i) AS j, lead(ch) OVER (PARTITION BY contig_id, depth ORDER BY i) AS cj FROM e)
 SELECT contig_id, i::INTEGER AS i, j::INTEGER AS j FROM p WHERE ch = '(' AND cj = ')' AND depth > 0"""))
 def e18(spark, d):
     from strandloom.operators.structure import pair_table
 
-    return pair_table(V.contigs(spark, d).selectExpr("contig_id", "translate(substr(seq, 1, 60), 'ACGT', '(.).') AS ss"), id_col="contig_id", structure="ss")
+    return pair_table(V.contigs(spark, d).selectExpr("contig_id", "translate(seq, 'ACGT', '(.).') AS ss"), id_col="contig_id", structure="ss")
 
 
-@query("e19_projected_pairs", V.with_views("contigs", """WITH b AS (SELECT contig_id, substr(seq, 1, 60) AS s FROM contigs), g AS (SELECT contig_id, s, length(s) AS n FROM b WHERE length(s) >= 40), p AS (SELECT contig_id, unnest(range(1, n // 3 + 1)) AS i, n, s FROM g),
+@query("e19_projected_pairs", V.with_views("contigs", """WITH b AS (SELECT contig_id, seq AS s FROM contigs), g AS (SELECT contig_id, s, length(s) AS n FROM b WHERE length(s) >= 40), p AS (SELECT contig_id, unnest(range(1, n // 3 + 1)) AS i, n, s FROM g),
 q AS (SELECT contig_id, i, n + 1 - i AS j, s, substr(s, i, 1) = 'A' AS gi, substr(s, (n + 1 - i)::BIGINT, 1) = 'A' AS gj FROM p)
 SELECT contig_id, count(*) FILTER (WHERE NOT gi AND NOT gj) AS n_pairs, count(*) FILTER (WHERE gi OR gj) AS n_dropped, min(length(replace(substr(s, 1, i), 'A', ''))) FILTER (WHERE NOT gi AND NOT gj) AS first_i FROM q GROUP BY contig_id"""))
 def e19(spark, d):
     """Pairs of a gapped row projected to its ungapped locus; gap pairs are dropped and counted."""
     from strandloom.operators.structure import project_pairs
 
-    rows = V.contigs(spark, d).selectExpr("contig_id", "translate(substr(seq, 1, 60), 'A', '-') AS aligned").where("length(aligned) >= 40")
+    rows = V.contigs(spark, d).selectExpr("contig_id", "translate(seq, 'A', '-') AS aligned").where("length(aligned) >= 40")
     pairs = rows.select("contig_id", F.explode(F.sequence(F.lit(1), F.expr("length(aligned) div 3").cast("int"))).alias("i"), "aligned").withColumn("j", F.length("aligned") + 1 - F.col("i")).drop("aligned")
     return project_pairs(rows, pairs, id_col="contig_id").groupBy("contig_id").agg(F.count_if("kept").alias("n_pairs"), F.count_if(~F.col("kept")).alias("n_dropped"), F.min(F.when(F.col("kept"), F.col("i"))).cast("long").alias("first_i"))
 

@@ -262,12 +262,12 @@ def j13(spark, d):
     return w.join(h, "win", "left").groupBy("arm").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("joined"), _N.alias("windows"), F.count_if(F.col("top") >= 400000).alias("removed"))
 
 
-@query("j14_payload_lookup", V.with_views("contigs", "SELECT contig_id, sha256(concat_ws('|', substr(seq, 1, 30), 'v1')) AS payload, contig_id % 1000 / 10.0::DOUBLE AS logit FROM contigs"))
+@query("j14_payload_lookup", V.with_views("contigs", "SELECT contig_id, sha256(concat_ws('|', seq, 'v1')) AS payload, contig_id % 1000 / 10.0::DOUBLE AS logit FROM contigs"))
 def j14(spark, d):
     """Content-keyed scores; a payload without one is an error."""
     from strandloom.operators.joins import lookup_or_fail
 
-    key = F.sha2(F.concat_ws("|", F.substring("seq", 1, 30), F.lit("v1")), 256)
+    key = F.sha2(F.concat_ws("|", "seq", F.lit("v1")), 256)
     p = V.contigs(spark, d).select("contig_id", key.alias("payload"))
     return lookup_or_fail(p, p.select(F.col("contig_id"), (F.col("contig_id") % 1000 / F.lit(10.0)).alias("logit")), "contig_id", "logit")
 

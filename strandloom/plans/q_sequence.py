@@ -86,10 +86,10 @@ def e04(spark, d):
     return c.select("contig_id", S.paint(F.length("seq"), [("S", F.col("a0"), F.col("a1")), ("L", F.col("b0"), F.col("b1"))]).alias("labels"))
 
 
-@query("e05_label_indices", V.with_views("contigs", "SELECT contig_id, list_transform(regexp_split_to_array(substr(seq, 1, 16), ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END) AS idx, substr(seq, 1, 16) AS back FROM contigs"))
+@query("e05_label_indices", V.with_views("contigs", "SELECT contig_id, list_transform(regexp_split_to_array(seq, ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 3 END) AS idx, seq AS back FROM contigs"))
 def e05(spark, d):
     """Label string to indices and back."""
-    idx = S.encode(F.expr("substr(seq, 1, 16)"), {"A": 0, "C": 1, "G": 2, "T": 3}, -1)
+    idx = S.encode("seq", {"A": 0, "C": 1, "G": 2, "T": 3}, -1)
     letters = F.array(*[F.lit(x) for x in "ACGT"])
     return V.contigs(spark, d).select("contig_id", idx.alias("idx")).withColumn("back", F.array_join(F.transform("idx", lambda i: F.get(letters, i)), ""))
 

@@ -34,7 +34,10 @@ def with_views(names: str, body: str) -> str:
         wanted += [x for x in (*NEEDS.get(n, []), n) if x not in wanted]
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in wanted)
     body = body.strip()
-    return f"WITH {ctes},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes}\n{body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
+    return f"WITH {ctes}\n{body}"
 
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
