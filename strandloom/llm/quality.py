@@ -75,7 +75,7 @@ def repeated_words(windows: Column) -> Column:
 
     packed = F.sort_array(F.transform(windows, lambda h, i: F.shiftleft(h, 15).bitwiseOR(i)))
     same = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), 15) == 0
-    place = lambda a: a.bitwiseAND(F.lit(PACKED - 1)).cast("int")
+    place = lambda a: a.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
     head, tail = F.slice(packed, 1, n - 1), F.slice(packed, 2, n - 1)
     few = covered(F.zip_with(head, tail, lambda a, b: F.when(same(a, b), place(a))), F.zip_with(head, tail, lambda a, b: F.when(same(a, b), place(b))))
     pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))

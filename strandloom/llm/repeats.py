@@ -118,8 +118,11 @@ def _parse(length: int):
             if not found:
                 continue
             doc, trigger, phrase, place, span = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((place, doc))
+            order = np.lexsort((phrase, trigger, place, doc))
             doc, trigger, phrase, place, span = (x[order] for x in (doc, trigger, phrase, place, span))
+            once = np.ones(len(doc), bool)  # rows that repeat an id give their phrases once
+            once[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]) | (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
+            doc, trigger, phrase, place, span = (x[once] for x in (doc, trigger, phrase, place, span))
             known = ~_firsts(trigger, phrase)
             trigger = np.where(known, mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), trigger)
             phrase = np.where(known, np.uint64(0), phrase)
@@ -144,6 +147,7 @@ def _resolve(crowded: int):
         none = np.zeros(0, np.int64)
         held = (none, none, none)  # firsts of the unfinished trigger
         last, full, prev = None, False, None  # its last (trigger, phrase); whether it is crowded
+        row = None  # the last row
         for batch in _with_end(batches):
             if batch is None:
                 trigger = phrase = doc = packed = none
@@ -154,6 +158,14 @@ def _resolve(crowded: int):
             if known.any():
                 yield batch_of(trigger[known], doc[known], packed[known], no[known], no[known])
                 trigger, phrase, doc, packed = trigger[~known], phrase[~known], doc[~known], packed[~known]
+            if len(trigger):  # the same phrase of the same place, from rows that repeat an id
+                once = np.ones(len(trigger), bool)
+                for x in (trigger, phrase, doc, packed):
+                    once[1:] &= x[1:] == x[:-1]
+                once[1:] = ~once[1:]
+                once[0] = (trigger[0], phrase[0], doc[0], packed[0]) != row
+                row = (trigger[-1], phrase[-1], doc[-1], packed[-1])
+                trigger, phrase, doc, packed = trigger[once], phrase[once], doc[once], packed[once]
             if not len(trigger) and batch is not None:
                 continue
             first = np.ones(len(trigger), bool)
