@@ -126,7 +126,8 @@ def test_repeats_of_the_query(spark):
 
 
 def test_repeated_ids_and_null_ids(spark):
-    t = "".join(random.Random(1).choice("abcdef") for _ in range(300))
+    rnd = random.Random(1)
+    t = "".join(rnd.choice("abcdef") for _ in range(300))
     got = repeats.remove_repeats(spark.createDataFrame([(1, t), (1, t), (None, t), (2, t)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 300)]
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
