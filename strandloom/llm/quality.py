@@ -100,7 +100,8 @@ def quality_rules(
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = docs.join(ids, "doc_id", "left").select("trusted", words_of(F.col("text")).alias("words"))
+    # The ids grow with the documents, so they are never broadcast.
+    marked = docs.join(ids.hint("merge"), "doc_id", "left").select("trusted", words_of(F.col("text")).alias("words"))
     table_text = ",".join(repr(x) for x in log_ratios(*bucket_counts(marked, n_buckets)))
     ratios = F.split(F.lit(table_text), ",").cast("array<double>")
 
