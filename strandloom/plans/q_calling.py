@@ -10,7 +10,9 @@ from strandloom.plans import views as V
 from strandloom.plans.registry import query
 from strandloom.session import table
 
-_N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
+
 _FLAG = "f AS (SELECT * FROM positions WHERE p >= {t} AND cls <> 0)"
 _ISL = "i AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lag(pos) OVER w IS NULL OR pos - lag(pos) OVER w - 1 > {g} THEN 1 ELSE 0 END AS new FROM f WINDOW w AS (PARTITION BY contig ORDER BY pos)))"
 
@@ -86,7 +88,7 @@ def w07(spark, d):
 def w08(spark, d):
     from strandloom.operators.selection import heldout_units
 
-    return heldout_units(V.clades(spark, d).groupBy("genus").agg(_N.alias("n")), unit="genus", n="n", floor=0.6, minimum=55)
+    return heldout_units(V.clades(spark, d).groupBy("genus").agg(_n().alias("n")), unit="genus", n="n", floor=0.6, minimum=55)
 
 
 _OWN = "own AS (SELECT cluster_id, phylum, n FROM (SELECT cluster_id, phylum, sum(k) OVER (PARTITION BY cluster_id) AS n, row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC, phylum) AS r FROM (SELECT cluster_id, phylum, count(*) AS k FROM splits GROUP BY ALL)) WHERE r = 1)"
@@ -119,7 +121,7 @@ def w13(spark, d):
     """First non-null value of a cluster in table order, and its majority value."""
     s = V.splits(spark, d).select("cluster_id", "record", "family")
     first = s.where("family <> 'BUILDING'").groupBy("cluster_id").agg(F.min_by("family", "record").alias("first_family"))
-    major = s.groupBy("cluster_id", "family").agg(_N.alias("k")).groupBy("cluster_id").agg(F.min_by("family", F.struct(-F.col("k"), "family")).alias("majority"))
+    major = s.groupBy("cluster_id", "family").agg(_n().alias("k")).groupBy("cluster_id").agg(F.min_by("family", F.struct(-F.col("k"), "family")).alias("majority"))
     return major.join(first, "cluster_id", "left").select("cluster_id", "first_family", "majority")
 
 
@@ -182,4 +184,4 @@ def a26(spark, d):
     t = table(spark, d, "events").selectExpr("user_id AS id", "(event_id div 150) % 100 + 1 AS i").distinct().withColumn("j", F.expr("400 - i - if(i % 7 = 0, 1, 0)"))
     p = t.where("i % 5 <> 0").withColumn("j", F.expr("j + (i % 3) - 1"))
     r = pair_prf(t, p, id_col="id")
-    return r.groupBy((F.col("id") % 8).alias("family")).agg(_N.alias("n"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"))
+    return r.groupBy((F.col("id") % 8).alias("family")).agg(_n().alias("n"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall"))

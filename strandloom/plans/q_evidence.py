@@ -11,7 +11,9 @@ from strandloom.plans import views as V
 from strandloom.plans.registry import query
 from strandloom.session import table
 
-_N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
+
 _EV = "ev AS (SELECT id, CASE WHEN s1 % 3 = 0 THEN NULL ELSE s1 % 3 = 1 END AS covariation, CASE WHEN s2 % 4 = 0 THEN NULL ELSE s2 % 4 = 1 END AS synteny, CASE WHEN s1 % 5 = 0 THEN NULL ELSE s1 % 5 > 3 END AS architecture, CASE WHEN s2 % 7 = 0 THEN NULL ELSE s2 >= 900 END AS posterior FROM scored)"
 
 
@@ -41,7 +43,7 @@ def c09(spark, d):
     manifest, tables = _evidence(spark, d)
     two = {c: tables[c] for c in ("covariation", "synteny")}
     r = E.spare_rule(E.assemble_evidence(manifest, two, "id"), {c: c for c in two})
-    return r.select(F.explode(F.split("reason", ";")).alias("cause")).where("cause <> ''").groupBy("cause").agg(_N.alias("n"))
+    return r.select(F.explode(F.split("reason", ";")).alias("cause")).where("cause <> ''").groupBy("cause").agg(_n().alias("n"))
 
 
 @query("c09_threshold_sensitivity", V.with_views("scored", "SELECT t AS threshold, count(*) FILTER (WHERE s2 >= t) AS spared, count(*) FILTER (WHERE s2 < t) AS mined, sha256(coalesce(string_agg(CASE WHEN s2 >= t THEN concat(id, ':spared') ELSE concat(id, ':mined') END, ',' ORDER BY id), '')) AS fingerprint FROM scored, (VALUES (300), (600), (900)) v(t) GROUP BY t"))
@@ -95,7 +97,7 @@ _RULES = [("regulator", "widget|valve"), ("enzyme", "gear|bolt"), ("transport",
 
 @query("e26_gene_classes", V.with_views("genes", "SELECT cls, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN regexp_matches(lower(product), '{p}') THEN '{c}'" for c, p in _RULES) + " ELSE 'unjudgeable' END AS cls FROM genes) GROUP BY cls"))
 def e26(spark, d):
-    return V.genes(spark, d).select(E.classify_products(F.col("product"), _RULES).alias("cls")).groupBy("cls").agg(_N.alias("n"))
+    return V.genes(spark, d).select(E.classify_products(F.col("product"), _RULES).alias("cls")).groupBy("cls").agg(_n().alias("n"))
 
 
 @query("e27_synteny_status", V.with_views("candidates genes", f"""WITH {_GENE_NEAR}, j AS (SELECT locus_id, product, g - x AS distance, row_number() OVER (PARTITION BY locus_id ORDER BY g - x, gene_id, product) AS r FROM c JOIN g USING (acc, strand) WHERE g - x BETWEEN -10 AND 500)
@@ -112,7 +114,7 @@ def e27(spark, d):
 def a22(spark, d):
     e = table(spark, d, "events")
     p = e.selectExpr("user_id AS aln", "event_id % 5 AS helix", "event_type")
-    depth = e.groupBy(F.col("user_id").alias("aln")).agg(_N.alias("depth"))
+    depth = e.groupBy(F.col("user_id").alias("aln")).agg(_n().alias("depth"))
     return E.covariation_status(p, key="aln", helix="helix", covarying=F.col("event_type") == "click", minimum=5, depth=depth, floor=60)
 
 
@@ -126,7 +128,7 @@ def a23(spark, d):
 
 @query("a24_target_integrity", "WITH a AS (SELECT c_nationkey AS k, count(*) AS n, CAST(sum(length(c_name)) AS BIGINT) AS bp FROM customer GROUP BY 1), b AS (SELECT k, CASE WHEN k % 6 = 0 THEN n + 1 ELSE n END AS n, bp FROM a WHERE k <> 3 UNION ALL SELECT 99, 1, 1) SELECT coalesce(a.k, b.k) AS k, a.n AS a_n, a.bp AS a_bp, b.n AS b_n, b.bp AS b_bp, CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' ELSE 'differs' END AS side FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.n IS DISTINCT FROM b.n OR a.bp IS DISTINCT FROM b.bp")
 def a24(spark, d):
-    a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(_N.alias("n"), F.sum(F.length("c_name")).alias("bp"))
+    a = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(_n().alias("n"), F.sum(F.length("c_name")).alias("bp"))
     b = a.where("k <> 3").withColumn("n", F.expr("if(k % 6 = 0, n + 1, n)")).unionByName(spark.range(1).selectExpr("99 AS k", "1L AS n", "1L AS bp"))
     return X.full_join_mismatch(a, b, "k", ["n", "bp"])
 
@@ -136,14 +138,14 @@ def a27(spark, d):
     """False-pass rate of each control arm over decided rows."""
     _, tables = _evidence(spark, d)
     j = tables["synteny"].join(V.scored(spark, d).select("id", F.col("y").alias("arm")), "id")
-    out = j.groupBy("arm").agg(_N.alias("n"), F.count("synteny").alias("decided"), F.count_if("synteny").alias("passed"))
+    out = j.groupBy("arm").agg(_n().alias("n"), F.count("synteny").alias("decided"), F.count_if("synteny").alias("passed"))
     return out.withColumn("rate", F.round(F.try_divide("passed", "decided"), 6))
 
 
 @query("a27_exclusions", "SELECT reason, lang, count(*) AS n FROM (SELECT lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars > 9000 THEN 'long' ELSE 'kept' END AS reason FROM documents) GROUP BY GROUPING SETS ((reason), (reason, lang))")
 def a27b(spark, d):
     docs = table(spark, d, "documents").selectExpr("lang", "CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars > 9000 THEN 'long' ELSE 'kept' END AS reason")
-    return docs.groupingSets([["reason"], ["reason", "lang"]], "reason", "lang").agg(_N.alias("n"))
+    return docs.groupingSets([["reason"], ["reason", "lang"]], "reason", "lang").agg(_n().alias("n"))
 
 
 _TREE = """nodes AS (SELECT 1 AS taxid, 1 AS parent, 'root' AS rank UNION ALL SELECT 100 + r_regionkey, 1, 'phylum' FROM region UNION ALL SELECT 1000 + n_nationkey, 100 + n_regionkey, 'genus' FROM nation UNION ALL SELECT 100000 + c_custkey, 1000 + c_nationkey, 'species' FROM customer),
@@ -203,7 +205,7 @@ def u01(spark, d):
     cur = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_suppkey % 2 = 0").selectExpr("concat('ACC', l_suppkey) AS accession", "1L AS locus_start").distinct()
     ref = table(spark, d, "supplier").selectExpr("concat('ACC', s_suppkey) AS accession", "s_suppkey AS locus_start")
     lit = table(spark, d, "region").selectExpr("r_name AS clade")
-    return X.union_prior(cur, ref, lit).groupBy("source").agg(_N.alias("n"), F.count("locus_start").alias("with_locus"))
+    return X.union_prior(cur, ref, lit).groupBy("source").agg(_n().alias("n"), F.count("locus_start").alias("with_locus"))
 
 
 @query("u03_shard_merge", "SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0) GROUP BY o_orderkey HAVING count(*) > 1")
@@ -244,22 +246,22 @@ def j06(spark, d):
     pos = docs.join(table(spark, d, "labels"), "doc_id", "left").select(F.lit("positive").alias("pool"), C.first_reason([("no_label", F.expr("quality IS NULL")), ("short", F.expr("n_chars < 100"))], "kept").alias("refusal"))
     parents = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("p"))
     dec = table(spark, d, "benchmark").select("item_id").join(parents, "item_id", "left").select(F.lit("decoy").alias("pool"), C.first_reason([("no_parent", F.expr("p IS NULL"))], "kept").alias("refusal"))
-    return pos.unionByName(dec).groupBy("pool", "refusal").agg(_N.alias("n"))
+    return pos.unionByName(dec).groupBy("pool", "refusal").agg(_n().alias("n"))
 
 
 @query("j07_parent_folds", V.with_views("splits", "SELECT fold, count(*) AS n FROM (SELECT o_orderkey, s.fold FROM orders LEFT JOIN splits s ON s.record = o_custkey AND o_custkey % 4 <> 0) GROUP BY fold"))
 def j07(spark, d):
     """Variants take their parent's fold; those without one are counted."""
     s = V.splits(spark, d).where("record % 4 <> 0").select(F.col("record").alias("o_custkey"), "fold")
-    return table(spark, d, "orders").select("o_custkey").join(s, "o_custkey", "left").groupBy("fold").agg(_N.alias("n"))
+    return table(spark, d, "orders").select("o_custkey").join(s, "o_custkey", "left").groupBy("fold").agg(_n().alias("n"))
 
 
 @query("j13_hit_windows", "WITH w AS (SELECT c_custkey AS win, c_custkey % 3 AS arm FROM customer), h AS (SELECT o_custkey AS win, o_totalprice AS score FROM orders) SELECT arm, (SELECT count(*) FROM h JOIN w w2 USING (win) WHERE w2.arm = w.arm) AS joined, count(*) AS windows, count(*) FILTER (WHERE win IN (SELECT win FROM h WHERE score >= 400000)) AS removed FROM w GROUP BY arm")
 def j13(spark, d):
     """A window goes if any hit reaches the score; hits joined are counted."""
     w = table(spark, d, "customer").selectExpr("c_custkey AS win", "c_custkey % 3 AS arm")
-    h = table(spark, d, "orders").selectExpr("o_custkey AS win", "o_totalprice AS score").groupBy("win").agg(_N.alias("k"), F.max("score").alias("top"))
-    return w.join(h, "win", "left").groupBy("arm").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("joined"), _N.alias("windows"), F.count_if(F.col("top") >= 400000).alias("removed"))
+    h = table(spark, d, "orders").selectExpr("o_custkey AS win", "o_totalprice AS score").groupBy("win").agg(_n().alias("k"), F.max("score").alias("top"))
+    return w.join(h, "win", "left").groupBy("arm").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("joined"), _n().alias("windows"), F.count_if(F.col("top") >= 400000).alias("removed"))
 
 
 @query("j14_payload_lookup", V.with_views("contigs", "SELECT contig_id, sha256(concat_ws('|', seq, 'v1')) AS payload, contig_id % 1000 / 10.0::DOUBLE AS logit FROM contigs"))
@@ -292,7 +294,7 @@ def j22(spark, d):
 def j23(spark, d):
     j = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
     rules = [("unresolved", F.expr("quality IS NULL")), ("refused", F.expr("toxic = 1")), ("foreign", F.expr("lang <> 'en'"))]
-    return j.select(C.first_reason(rules, "placed").alias("status")).groupBy("status").agg(_N.alias("n"))
+    return j.select(C.first_reason(rules, "placed").alias("status")).groupBy("status").agg(_n().alias("n"))
 
 
 _PAIR = "SELECT a.id AS x, b.id AS y, list_sum(list_transform(list_zip(a.codes, b.codes), lambda p: CASE WHEN p[1] = p[2] AND p[1] >= 0 THEN 1 ELSE 0 END)) AS same, list_sum(list_transform(list_zip(a.codes, b.codes), lambda p: CASE WHEN p[1] >= 0 AND p[2] >= 0 THEN 1 ELSE 0 END)) AS known FROM codes a, codes b"

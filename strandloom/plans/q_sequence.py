@@ -11,7 +11,9 @@ from strandloom.plans import views as V
 from strandloom.plans.registry import query
 from strandloom.session import table
 
-_N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
+
 _RC = "reverse(translate({s}, 'ACGT', 'TGCA'))"
 _H = "('0x' || substr(md5(concat_ws(':', {t})), 1, 13))::BIGINT"
 
@@ -41,7 +43,7 @@ def a18(spark, d):
 
 @query("a18_dinucleotides", V.with_views("contigs", "SELECT k, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq)), lambda i: substr(seq, i, 2))) AS k FROM contigs) GROUP BY k"))
 def a18b(spark, d):
-    return V.contigs(spark, d).select(F.explode(S.kmers("seq", 2)).alias("k")).groupBy("k").agg(_N.alias("n"))
+    return V.contigs(spark, d).select(F.explode(S.kmers("seq", 2)).alias("k")).groupBy("k").agg(_n().alias("n"))
 
 
 @query("a19_kmer_frequencies", V.with_views("contigs", "WITH m AS (SELECT contig_id, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3))) AS kmer FROM contigs), n AS (SELECT contig_id, kmer, count(*) AS n FROM m GROUP BY ALL) SELECT contig_id, kmer, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY contig_id), 6) AS freq FROM n"))
@@ -67,7 +69,7 @@ def e12b(spark, d):
 def a25(spark, d):
     """Windows per host group, by genome and by window."""
     n = V.contigs(spark, d).select(F.col("contig_id").alias("doc_id"), S.n_windows(F.length("seq"), 128, 64).alias("w"))
-    return n.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(_N.alias("genomes"), F.sum("w").alias("windows"))
+    return n.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(_n().alias("genomes"), F.sum("w").alias("windows"))
 
 
 @query("e06_token_ids", V.with_views("contigs", "SELECT contig_id, list_transform(regexp_split_to_array(seq, ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 9 END) AS ids, length(seq) + 2 <= 1024 AS fits FROM contigs"))
@@ -178,7 +180,7 @@ def e17(spark, d):
     forms = F.array(F.struct(F.lit("id").alias("transform"), F.col("seq").alias("s")), F.struct(F.lit("rc").alias("transform"), S.reverse_complement("seq").alias("s")), F.struct(F.lit("rev").alias("transform"), F.reverse("seq").alias("s")))
     v = c.select("contig_id", F.explode(forms).alias("f"), ).withColumn("o", F.explode(F.array(F.lit(0), F.lit(5), F.lit(11))))
     v = v.select((F.col("contig_id") % 20).alias("block"), "f.transform", F.substr("f.s", F.col("o") + 1, F.lit(32)).alias("v"))
-    return v.groupBy("block", "transform").agg(_N.alias("n"), F.count_distinct("v").alias("n_distinct"))
+    return v.groupBy("block", "transform").agg(_n().alias("n"), F.count_distinct("v").alias("n_distinct"))
 
 
 _SH = "SELECT DISTINCT contig_id, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS k FROM contigs WHERE contig_id % 2 = {p}"

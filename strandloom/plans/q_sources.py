@@ -9,7 +9,9 @@ from strandloom.plans.registry import query
 from strandloom.session import scratch_path, table
 from strandloom.sources import scans as R
 
-_N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
+
 
 
 @query("s01_corpus_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN length(text) = 0 THEN NULL ELSE md5(text) END AS h, lang FROM documents WHERE position(chr(13) IN text) = 0")
@@ -34,14 +36,14 @@ def s18(spark, d):
     c = table(spark, d, "customer")
     good = R.write_checked(c, scratch_path(spark, "sink"), F.col("c_custkey") >= 0)
     bad = R.write_checked(c, scratch_path(spark, "sink"), F.col("c_custkey") > 5)
-    one = lambda p: spark.read.parquet(p).agg(_N.alias("n")).withColumn("diverted", F.lit(p.endswith(".invalid")))
+    one = lambda p: spark.read.parquet(p).agg(_n().alias("n")).withColumn("diverted", F.lit(p.endswith(".invalid")))
     return one(good).unionByName(one(bad))
 
 
 @query("s05_species_reps", V.with_views("clades", "SELECT phylum AS domain, count(*) AS n, count(DISTINCT concat('A', record)) AS n_acc FROM clades GROUP BY phylum"))
 def s05(spark, d):
     c = V.clades(spark, d).selectExpr("concat(if(record % 2 = 0, 'RS_', 'GB_'), 'A', record) AS acc", "concat('d__', phylum, ';s__', name) AS lineage")
-    return R.parse_species_reps(c, "acc", "lineage").groupBy("domain").agg(_N.alias("n"), F.count_distinct("accession").alias("n_acc"))
+    return R.parse_species_reps(c, "acc", "lineage").groupBy("domain").agg(_n().alias("n"), F.count_distinct("accession").alias("n_acc"))
 
 
 @query("s06_taxonomy_dump", "SELECT CAST(n_nationkey AS VARCHAR) AS taxid, CAST(n_regionkey AS VARCHAR) AS parent, n_name AS rank FROM nation")
@@ -65,7 +67,7 @@ def _gff(spark, d):
 @query("s07_gff3", f"SELECT seqid, count(*) AS n, CAST(sum(lo) AS BIGINT) AS lo, CAST(sum(hi) AS BIGINT) AS hi, 2 * count(*) AS products, 'a;b' AS first_product FROM ({_GFF_SQL}) GROUP BY seqid")
 def s07(spark, d):
     f = R.parse_gff3(_gff(spark, d))
-    return f.groupBy("seqid").agg(_N.alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum(F.size(F.col("attributes")["product"])).alias("products"), F.min(F.get(F.col("attributes")["product"], F.lit(0))).alias("first_product"))
+    return f.groupBy("seqid").agg(_n().alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum(F.size(F.col("attributes")["product"])).alias("products"), F.min(F.get(F.col("attributes")["product"], F.lit(0))).alias("first_product"))
 
 
 @query("s08_cds_groups", f"SELECT seqid, concat('cds', k) AS cds_id, min(lo) AS lo, max(hi) AS hi, count(*) AS n_segments FROM ({_GFF_SQL}) GROUP BY seqid, k")
@@ -89,7 +91,7 @@ def s09b(spark, d):
 def s10(spark, d):
     """Files whose declared count differs from their rows don't hold together."""
     rows = table(spark, d, "events").selectExpr("user_id", "struct(event_id, concat(event_id % 40 + 1, '-', event_id % 40 + 9, ' ', event_id % 40 + 20, '-', event_id % 40 + 28, ', nbp = ', event_id % 9 + 2, ' nbp_cov = ', event_id % 3) AS line) AS r")
-    g = rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("b"), _N.alias("n"))
+    g = rows.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("b"), _n().alias("n"))
     files = g.select(F.col("user_id").alias("file"), F.concat(F.lit("# RMs = "), (F.col("n") + F.expr("if(user_id % 10 = 0, 1, 0)")).cast("string"), F.lit("\n"), "b").alias("content"))
     return R.parse_helixcov(files)
 
@@ -112,8 +114,8 @@ def s12(spark, d):
     line = lambda i: F.concat_ws(" ", i.cast("string"), F.substr("seq", i, F.lit(1)), (i - 1).cast("string"), (i + 1).cast("string"), F.when(i <= F.floor(F.col("n") / 4), F.col("n") + 1 - i).when(i > F.col("n") - F.floor(F.col("n") / 4), F.when((i == F.col("n")) & (F.col("contig_id") % 6 == 0), 2).otherwise(F.col("n") + 1 - i)).otherwise(0).cast("string"), i.cast("string"))
     files = c.select(F.col("contig_id").alias("file"), F.concat(F.col("n").cast("string"), F.lit(" x\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), line), "\n")).alias("content"))
     p = R.parse_ct(files)
-    odd = pairs_symmetric(p, id_col="file").where("i > j").groupBy("file").agg(_N.alias("k"))
-    return p.groupBy("file").agg(_N.alias("n_pairs")).join(odd, "file", "left").select("file", "n_pairs", F.coalesce("k", F.lit(0)).cast("int").alias("n_asymmetric"))
+    odd = pairs_symmetric(p, id_col="file").where("i > j").groupBy("file").agg(_n().alias("k"))
+    return p.groupBy("file").agg(_n().alias("n_pairs")).join(odd, "file", "left").select("file", "n_pairs", F.coalesce("k", F.lit(0)).cast("int").alias("n_asymmetric"))
 
 
 @query("s13_resumable_log", "SELECT user_id AS key, max(event_id) AS seq, arg_max(event_type, event_id) AS status FROM events WHERE event_id % 7 <> 0 GROUP BY user_id")
@@ -133,7 +135,7 @@ def s13b(spark, d):
 def s14(spark, d):
     p = table(spark, d, "part")
     lines = p.where("p_partkey % 5 <> 0").selectExpr("explode(array(concat(md5(p_name), '  ./A', p_partkey, '/g.fna'), if(p_partkey % 2 = 0, concat(md5(p_brand), '  ./A', p_partkey, '/g.gff'), '# none'))) AS value")
-    return R.classify_assemblies(R.parse_manifest(lines), p.selectExpr("concat('A', p_partkey) AS assembly"), "assembly").groupBy("supply").agg(_N.alias("n"))
+    return R.classify_assemblies(R.parse_manifest(lines), p.selectExpr("concat('A', p_partkey) AS assembly"), "assembly").groupBy("supply").agg(_n().alias("n"))
 
 
 @query("s15_window_logits", "SELECT vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE, 6) AS logit FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")

@@ -10,7 +10,9 @@ from strandloom.plans import views as V
 from strandloom.plans.registry import query
 from strandloom.session import table
 
-_N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
+
 
 
 @query("f01_parse_gate", "SELECT count(*) AS n_rows, 5::BIGINT AS n_columns, count(*) = (SELECT max(doc_id) + 1 FROM documents) AS ok FROM documents")
@@ -48,7 +50,7 @@ _REASON_SQL = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in _REASONS) +
 @query("f10_pool_admission", f"SELECT reason, count(*) AS n FROM (SELECT {_REASON_SQL} AS reason FROM lineitem) GROUP BY reason")
 def f10(spark, d):
     rules = [(n, F.expr(c)) for n, c in _REASONS]
-    return table(spark, d, "lineitem").select(C.first_reason(rules).alias("reason")).groupBy("reason").agg(_N.alias("n"))
+    return table(spark, d, "lineitem").select(C.first_reason(rules).alias("reason")).groupBy("reason").agg(_n().alias("n"))
 
 
 @query("f10_duplicate_ids", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -60,7 +62,7 @@ def f10b(spark, d):
 def f11(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", "n_chars", "lang").join(table(spark, d, "labels"), "doc_id", "left")
     rules = [("unlabelled", F.expr("quality IS NULL")), ("toxic", F.expr("toxic = 1")), ("short", F.expr("n_chars < 200")), ("language", F.expr("lang <> 'en'"))]
-    return rows.select("source", C.first_reason(rules, "eligible").alias("refusal")).groupBy("source", "refusal").agg(_N.alias("n"))
+    return rows.select("source", C.first_reason(rules, "eligible").alias("refusal")).groupBy("source", "refusal").agg(_n().alias("n"))
 
 
 @query("f12_host_admission", V.with_views("splits", """WITH held AS (SELECT DISTINCT genus FROM splits WHERE heldout), hp AS (SELECT phylum FROM clades GROUP BY phylum HAVING count(*) < 250)
@@ -69,9 +71,9 @@ def f12(spark, d):
     """Unresolvable lineage first, then each held-out rank."""
     c = V.clades(spark, d)
     genera = V.splits(spark, d).where("heldout").select("genus").distinct().withColumn("hg", F.lit(True))
-    phyla = c.groupBy("phylum").agg(_N.alias("k")).where("k < 250").select("phylum", F.lit(True).alias("hp"))
+    phyla = c.groupBy("phylum").agg(_n().alias("k")).where("k < 250").select("phylum", F.lit(True).alias("hp"))
     rules = [("unresolved", F.expr("family = 'MACHINERY'")), ("heldout_genus", F.col("hg")), ("heldout_phylum", F.col("hp"))]
-    return c.join(genera, "genus", "left").join(phyla, "phylum", "left").select(C.first_reason(rules).alias("verdict")).groupBy("verdict").agg(_N.alias("n"))
+    return c.join(genera, "genus", "left").join(phyla, "phylum", "left").select(C.first_reason(rules).alias("verdict")).groupBy("verdict").agg(_n().alias("n"))
 
 
 @query("f13_rungs", V.with_views("splits", "SELECT record, CASE WHEN nested_train AND calib THEN 'calibration' WHEN nested_train THEN 'train' WHEN heldout THEN 'out_of_distribution' WHEN fold = 'train' THEN 'excluded' ELSE 'in_distribution' END AS rung FROM splits"))
@@ -84,7 +86,7 @@ def f13(spark, d):
 @query("f14_hash_column", V.with_views("loci", "SELECT count(*) AS n, count(*) FILTER (WHERE regexp_full_match(h, '[0-9a-f]{64}')) AS n_hex, count(*) FILTER (WHERE flag IN ('A', 'N', 'R')) AS n_flag FROM (SELECT CASE WHEN lo1 % 10 = 0 THEN upper(sha256(locus_id)) ELSE sha256(locus_id) END AS h, flag FROM loci)"))
 def f14(spark, d):
     rows = V.loci(spark, d).selectExpr("if(lo1 % 10 = 0, upper(sha2(locus_id, 256)), sha2(locus_id, 256)) AS h", "flag")
-    return rows.agg(_N.alias("n"), F.count_if(F.col("h").rlike("^[0-9a-f]{64}$")).alias("n_hex"), F.count_if(F.col("flag").isin("A", "N", "R")).alias("n_flag"))
+    return rows.agg(_n().alias("n"), F.count_if(F.col("h").rlike("^[0-9a-f]{64}$")).alias("n_hex"), F.count_if(F.col("flag").isin("A", "N", "R")).alias("n_flag"))
 
 
 @query("f16_clauses", "SELECT source, count(*) AS n, bool_and(n_chars > 0) AS has_text, bool_and(lang IN ('en', 'fr', 'de', 'es')) AS known_lang, bool_and(n_chars < 20000) AS bounded, bool_and(n_chars > 0) AND bool_and(lang IN ('en', 'fr', 'de', 'es')) AND bool_and(n_chars < 20000) AS passed FROM documents GROUP BY source")
@@ -109,7 +111,7 @@ def f18(spark, d):
     s = V.splits(spark, d)
     of = lambda cond: s.where(cond).select("cluster_id").distinct()
     graded, val = of("fold = 'test'"), of("fold = 'val'")
-    big = s.where("heldout").groupBy("genus").agg(_N.alias("k")).where("k >= 50").select("genus")
+    big = s.where("heldout").groupBy("genus").agg(_n().alias("k")).where("k >= 50").select("genus")
     parts = {
         "train": s.where("nested_train").join(graded, "cluster_id", "left_anti").join(val, "cluster_id", "left_anti"), "selection": s.where("fold = 'val'"),
         "graded": s.join(graded, "cluster_id", "left_semi"), "heldout": s.where("heldout").join(big, "genus", "left_semi"),
@@ -118,7 +120,7 @@ def f18(spark, d):
     for name, p in parts.items():
         p = p.select(F.lit(name).alias("population"), "cluster_id")
         every = p if every is None else every.unionByName(p)
-    return every.groupBy("population").agg(_N.alias("n"), F.count_distinct("cluster_id").alias("n_clusters"))
+    return every.groupBy("population").agg(_n().alias("n"), F.count_distinct("cluster_id").alias("n_clusters"))
 
 
 @query("f19_background_capacity", V.with_views("contigs", "SELECT m AS margin, count(*) AS n, count(*) FILTER (WHERE length(seq) >= 2 * m + 64) AS n_fit, round(avg(length(repeat('.', length(seq)))), 6) AS mean_label FROM contigs, (VALUES (16), (64), (256), (512)) v(m) GROUP BY m"))
@@ -126,7 +128,7 @@ def f19(spark, d):
     """All-background labels, and how many records have room for a window and two margins."""
     margins = F.explode(F.array(*[F.lit(m) for m in (16, 64, 256, 512)]))
     c = V.contigs(spark, d).withColumn("labels", F.expr("repeat('.', length(seq))")).withColumn("margin", margins)
-    return c.groupBy("margin").agg(_N.alias("n"), F.count_if(F.length("seq") >= 2 * F.col("margin") + 64).alias("n_fit"), F.round(F.avg(F.length("labels")), 6).alias("mean_label"))
+    return c.groupBy("margin").agg(_n().alias("n"), F.count_if(F.length("seq") >= 2 * F.col("margin") + 64).alias("n_fit"), F.round(F.avg(F.length("labels")), 6).alias("mean_label"))
 
 
 @query("f20_covering_subset", V.with_views("clades", "SELECT record, family FROM (SELECT *, row_number() OVER (PARTITION BY family, phylum ORDER BY md5(concat('f20:', record)), record) AS r FROM clades) WHERE r <= 3"))
@@ -143,7 +145,7 @@ def f21(spark, d):
     j = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h")).join(table(spark, d, "labels"), "doc_id", "left")
     dup = C.duplicates(j, "h").select("h", F.lit(True).alias("dup"))
     rules = [("duplicate_digest", F.col("dup")), ("no_label", F.expr("quality IS NULL")), ("refused", F.expr("toxic = 1"))]
-    return j.join(dup, "h", "left").select(C.first_reason(rules, "query").alias("reason")).groupBy("reason").agg(_N.alias("n"))
+    return j.join(dup, "h", "left").select(C.first_reason(rules, "query").alias("reason")).groupBy("reason").agg(_n().alias("n"))
 
 
 @query("f22_checked_evidence", V.with_views("scored", "SELECT id, CASE WHEN s1 >= 600 THEN 'passed' ELSE 'failed' END AS status, round(s1 / 1000.0, 6)::DOUBLE AS posterior, (s1 >= 600) = (y = 1) AS agrees FROM scored"))
@@ -195,7 +197,7 @@ def a10(spark, d):
 def k01(spark, d):
     from pyspark.sql import Window
 
-    return V.clades(spark, d).groupBy("genus").agg(_N.alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "genus")).cast("long"))
+    return V.clades(spark, d).groupBy("genus").agg(_n().alias("n")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "genus")).cast("long"))
 
 
 @query("k02_top_per_group", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 3")
