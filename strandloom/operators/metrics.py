@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.calling import runs
+from strandloom.operators.statistics import global_rank
 
 
 def exact_run_detection(df: DataFrame, *, length: int, contig: str = "contig") -> DataFrame:
@@ -81,7 +82,13 @@ def matched_points(curve: DataFrame, *, score: str, precision: float, recall: fl
 def reliability(df: DataFrame, *, p: str, label: str, id_col: str, bins: int = 15, by: list[str] | None = None) -> DataFrame:
     """Equal-mass bins: sizes differ by one at most, the first are larger."""
     by = by or []
-    b = df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(p, id_col)))
+    if by:
+        b = df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(p, id_col)))
+    else:  # the whole table: ranks by range partitions instead of one task's sort
+        ranked = global_rank(df.select(p, label, id_col), [F.col(p), F.col(id_col)], "_rank").withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
+        size, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
+        edge, at = more * (size + 1), F.col("_rank") - 1
+        b = ranked.withColumn("bin", (F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / F.greatest(size, F.lit(1)))) + 1).cast("int"))
     return b.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("conf"), F.avg(label).alias("acc")).withColumn("gap", F.abs(F.col("conf") - F.col("acc")))
 
 
@@ -101,7 +108,7 @@ def kernel_calibration(df: DataFrame, *, p: str, label: str, bandwidths: list[fl
     # log Beta density of p under shapes (q / h + 1, (1 - q) / h + 1), up to its constant in q.
     x = F.greatest(F.least("p", F.lit(1 - 1e-6)), F.lit(1e-6))
     kern = F.exp((F.col("q") / F.col("h")) * F.log(x) + ((1 - F.col("q")) / F.col("h")) * F.log(1 - x) - (F.col("p") / F.col("h")) * F.log(x) - ((1 - F.col("p")) / F.col("h")) * F.log(1 - x))
-    pairs = a.join(b, "_one").select("h", "p", "n", "k", (kern * F.col("m")).alias("w"), (kern * F.col("j")).alias("wk"))
+    pairs = a.join(F.broadcast(b), "_one").select("h", "p", "n", "k", (kern * F.col("m")).alias("w"), (kern * F.col("j")).alias("wk"))
     est = pairs.groupBy("h", "p", "n", "k").agg(F.sum("w").alias("w"), F.sum("wk").alias("wk"))
     one = lambda y: F.try_divide(F.col("wk") - y, F.col("w") - 1)
     clip = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9))

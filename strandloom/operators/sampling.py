@@ -11,21 +11,26 @@ from strandloom.functions.loci import hash_draw
 def curriculum_weights(df: DataFrame, *, strata: list[str], alpha: float) -> DataFrame:
     """Product of inverse-frequency powers over strata, mean one; null is a
     stratum of its own (E09)."""
-    w = F.lit(1.0)
-    for s in strata:
-        w = w * F.pow(F.count(F.lit(1)).over(Window.partitionBy(F.coalesce(F.col(s), F.lit("UNKNOWN")))), F.lit(-alpha))
-    return df.withColumn("_w", w).withColumn("weight", F.col("_w") / F.avg("_w").over(Window.partitionBy())).drop("_w")
+    out = df.withColumn("_w", F.lit(1.0))
+    for i, s in enumerate(strata):
+        key = F.coalesce(F.col(s), F.lit("UNKNOWN"))
+        sizes = df.groupBy(key.alias(f"_k{i}")).agg(F.count(F.lit(1)).alias("_n"))
+        out = out.withColumn(f"_k{i}", key).join(sizes, f"_k{i}").withColumn("_w", F.col("_w") * F.pow("_n", F.lit(-alpha))).drop("_n", f"_k{i}")
+    return out.withColumn("weight", F.col("_w") / out.agg(F.avg("_w")).scalar()).drop("_w")
 
 
 def weighted_draws(df: DataFrame, *, id_col: str, weight: str, draws: DataFrame, seed: str, bins: int = 256) -> DataFrame:
     """One row of ``df`` per row of ``draws``, with replacement, in proportion to
     integer weights (E10). Rows get ranges of the running weight; a draw is a hash
     below the total, and meets its row in one of ``bins`` equal bins."""
-    run = Window.orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.select(id_col, weight, F.coalesce(F.sum(weight).over(run), F.lit(0)).alias("_lo")).withColumn("_hi", F.col("_lo") + F.col(weight))
-    total = rows.agg(F.max("_hi").alias("_t"))
-    rows = rows.join(F.broadcast(total), F.lit(True))
+    # Running weights by parts: each part's own, behind the sums of earlier parts.
+    parts = df.select(id_col, weight, F.pmod(F.xxhash64(id_col), F.lit(bins)).alias("_p"))
+    own = Window.partitionBy("_p").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("_p").agg(F.sum(weight).alias("_s"))
+    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    rows = parts.withColumn("_own", F.coalesce(F.sum(weight).over(own), F.lit(0))).join(before, "_p").select(id_col, weight, (F.col("_start") + F.col("_own")).alias("_lo"))
+    rows = rows.withColumn("_hi", F.col("_lo") + F.col(weight)).withColumn("_t", parts.agg(F.sum(weight)).scalar())
     size = F.ceil(F.col("_t") / bins)
     spread = rows.where(F.col(weight) > 0).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor((F.col("_hi") - 1) / size)))).select(id_col, "_lo", "_hi", "_b")
-    d = draws.select(F.col(id_col).alias("draw")).join(F.broadcast(total), F.lit(True)).withColumn("_x", hash_draw(seed, F.col("draw")) % F.col("_t")).withColumn("_b", F.floor(F.col("_x") / size))
+    d = draws.select(F.col(id_col).alias("draw")).withColumn("_t", parts.agg(F.sum(weight)).scalar()).withColumn("_x", hash_draw(seed, F.col("draw")) % F.col("_t")).withColumn("_b", F.floor(F.col("_x") / size))
     return d.join(spread, "_b").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("draw", id_col)

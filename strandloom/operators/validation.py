@@ -40,8 +40,7 @@ def first_reason(rules: list[tuple[str, Column]], otherwise: str = "admitted") -
 def census(df: DataFrame, *by: str) -> DataFrame:
     """Rows per status and their share; null is a bucket of its own."""
     n = df.select(*[F.coalesce(F.col(b).cast("string"), F.lit("(missing)")).alias(b) for b in by]).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    total = n.agg(F.sum("n").alias("_total"))
-    return n.join(F.broadcast(total), F.lit(True)).withColumn("share", F.try_divide("n", "_total")).drop("_total")
+    return n.withColumn("share", F.try_divide("n", n.agg(F.sum("n")).scalar()))
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:

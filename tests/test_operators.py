@@ -189,3 +189,31 @@ def test_resumed_stream_reads_new_files_only(spark, tmp_path):
     assert incremental_tiles(spark, src, **args).count() == 3
     spark.createDataFrame([(2, "ACGT")], "id long, seq string").write.mode("append").parquet(src)
     assert rows(incremental_tiles(spark, src, **args).groupBy("id").count()) == [(1, 3), (2, 1)]
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    from strandloom.operators.sampling import weighted_draws
+
+    df = spark.createDataFrame([(i, w) for i, w in enumerate([0, 1, 3, 6] * 25)], "id long, w long")
+    draws = spark.range(4000).withColumnRenamed("id", "id")
+    got = weighted_draws(df, id_col="id", weight="w", draws=draws, seed="t")
+    assert got.count() == 4000
+    share = {r.k: r.n / 4000 for r in got.groupBy((F.col("id") % 4).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert 0 not in share and abs(share[1] - 0.1) < 0.03 and abs(share[2] - 0.3) < 0.04 and abs(share[3] - 0.6) < 0.04
+
+
+@pytest.mark.parametrize("n", [0, 4, 15, 100])
+def test_reliability_bins_are_ntiles(spark, n):
+    df = spark.range(n).selectExpr("id", "id / 100D AS p", "cast(id % 2 AS int) AS y")
+    got = [r.n for r in metrics.reliability(df, p="p", label="y", id_col="id").orderBy("bin").collect()]
+    assert got == [n // 15 + (i < n % 15) for i in range(15) if n // 15 + (i < n % 15)]
+
+
+@pytest.mark.parametrize("name", ["j01_interval_mask", "j08_downstream_gene", "j21_best_overlap", "w14_control_windows", "e10_weighted_draws"])
+def test_no_nested_loops(spark, name):
+    from strandloom.plans.catalog import QUERIES
+
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
