@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from strandloom.llm import language, pii
-from tests.llm.test_search import brute_fingerprint, brute_overlap, components
+from tests.llm.test_search import brute_kept, brute_overlap
 from tests.llm.test_tokens import RANKS
 
 SF = "/root/testdata/sf0.001"
@@ -27,9 +27,8 @@ def test_pipeline_equals_brute_force(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     lang, _, rejected = model.predict([t or "" for _, t in rows])
     rows = [r for r, x in zip(rows, rejected, strict=True) if not x]
-    fps = [brute_fingerprint(t) for _, t in rows]
-    comp = components(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 3)
-    rows = [rows[c] for c in sorted(set(comp))]
+    first = set(brute_kept(rows))
+    rows = [r for r in rows if r[0] in first]
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [(i, t) for i, t in rows if not any(brute_overlap(t, x) >= 0.5 for x in items)]
     crf = pii.train(sorted(pii.labelled_sentences()))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from strandloom.llm import decontaminate, repeats, simhash
+from strandloom.llm import decontaminate, repeats, simhash, textbatch
 
 
 def brute_fingerprint(text, k=3):
@@ -83,12 +83,46 @@ def test_links_of_crowded_buckets(spark, hot):
     assert components(len(x), lambda i, j: (i, j) in links) == want
 
 
-def test_one_document_of_each_group_stays(spark):
+def brute_wide(text, k=5):
+    """Bits of the set of k-word shingles, first and second 64."""
+    h = np.unique(np.array(simhash.shingle_hashes(text or "", k), np.uint64))
+    return [sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > len(x)) for x in (h, textbatch.mix(h))]
+
+
+def near_wide(a, b):
+    return sum(bin(x ^ y).count("1") for x, y in zip(a, b, strict=True)) <= 17
+
+
+def brute_kept(rows):
+    """Ids of the smallest document of each group; ids are distinct."""
+    rows = sorted(rows, key=lambda r: r[0])
+    fps = [brute_wide(t) for _, t in rows]
+    return sorted({rows[c][0] for c in components(len(rows), lambda i, j: near_wide(fps[i], fps[j]))})
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_one_document_of_each_group_stays(spark, hot):
     rows = near_table()
-    docs = spark.createDataFrame([*rows, (None, "lost id")], "doc_id long, text string")
-    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
-    comp = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert sorted(k for k in kept if k is not None) == sorted({c for c in comp.values() if c is not None}) and kept.count(None) == 1
+    docs = spark.createDataFrame([*((i, t, 7) for i, t in rows), (None, "lost id", 7), (None, "lost id", 7)], "doc_id long, text string, fp int")
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs, hot=hot).collect()]
+    assert sorted(k for k in kept if k is not None) == brute_kept(dict(rows).items()) and kept.count(None) == 2
+    # Of two texts of 300 words that differ in one word, one stays.
+    assert not {k for k in kept if k and k >= 200 and k % 10 == 1}
+
+
+@pytest.mark.parametrize("hot", [4096, 5])
+def test_wide_links_of_crowded_buckets(spark, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "TESTED_BUCKET", 4)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.integers(0, 2**64, (20, 2), dtype=np.uint64) for _ in range(4)])
+    for _ in range(9):
+        x[20:] ^= np.uint64(1) << rng.integers(0, 64, x[20:].shape, dtype=np.uint64)
+        x = np.concatenate([x, x[:20] ^ (np.uint64(1) << rng.integers(0, 64, (20, 2), dtype=np.uint64)), x[-20:] ^ (np.uint64(1) << rng.integers(0, 64, (20, 2), dtype=np.uint64))])
+    rows = [(i, *map(int, r)) for i, r in enumerate(x.view(np.int64))]
+    got = {(r.a, r.b) for r in simhash.wide_links(spark.createDataFrame(rows, "id long, fp long, fp2 long"), hot=hot).collect()}
+    near = lambda i, j: near_wide([int(v) for v in x[i]], [int(v) for v in x[j]])
+    assert got and all(near(a, b) for a, b in got)
+    assert components(len(x), lambda i, j: (i, j) in got or (j, i) in got) == components(len(x), near)
 
 
 def test_simhash_empty(spark):
