@@ -313,7 +313,10 @@ def drop_near_duplicates(
     a word link to each other; an empty table gives an empty result.
     """
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    distinct = cut(wide_fingerprints(named, k=k).groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")))
+    # Rows are few bytes here and become 134 each: a number of partitions that
+    # is given keeps them from being coalesced into one.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = cut(wide_fingerprints(named, k=k).groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")).repartition(n, "id"))
     found = connected_components(wide_links(distinct, max_bits=max_bits, hot=hot)).where("node <> component")
     first = distinct.join(found.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
     kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
