@@ -35,6 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = labels.select(F.col("component").alias("node"), "component").distinct()
     found = labels.unionByName(roots)
