@@ -125,6 +125,44 @@ def test_wide_links_of_crowded_buckets(spark, hot, monkeypatch):
     assert components(len(x), lambda i, j: (i, j) in got or (j, i) in got) == components(len(x), near)
 
 
+def jaccard(a, b, k=5):
+    a, b = set(simhash.shingle_hashes(a, k)), set(simhash.shingle_hashes(b, k))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited_pairs(seed, sizes, n):
+    """Pairs of texts, the second with some words replaced or cut off, with their similarity."""
+    rnd, pairs = random.Random(seed), []
+    while len(pairs) < n:
+        a = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice(sizes))]
+        b = a[: len(a) - rnd.randrange(1 + len(a) // 6)]
+        for _ in range(rnd.randrange(1 + len(a) // 30)):
+            b[rnd.randrange(len(b))] = f"x{rnd.randrange(10**6)}"
+        j = jaccard(" ".join(a), " ".join(b))
+        if 0.7 <= j < 0.9:
+            pairs.append((" ".join(a), " ".join(b), j))
+    return pairs
+
+
+@pytest.mark.parametrize(("sizes", "hot", "block", "least"), [((8, 9, 12, 20, 35, 42), 4096, 4_000_000, 1.0), ((60, 150, 400), 4096, 4_000_000, 0.98), ((60, 150), 3, 500, 0.98)])
+def test_pairs_are_dropped_by_their_jaccard_similarity(spark, sizes, hot, block, least):
+    pairs = edited_pairs(11, sizes, 500)
+    docs = spark.createDataFrame([(2 * i + s, p[s]) for i, p in enumerate(pairs) for s in (0, 1)], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_similar(docs, hot=hot, block_chars=block).collect()}
+    assert all(2 * i in kept for i in range(len(pairs)))
+    similar = [2 * i + 1 not in kept for i, p in enumerate(pairs) if p[2] >= 0.8]
+    assert not any(2 * i + 1 not in kept for i, p in enumerate(pairs) if p[2] < 0.8)
+    assert len(similar) > 100 and np.mean(similar) >= least
+
+
+def test_large_groups_are_dealt_into_blocks(spark):
+    rnd = random.Random(4)
+    base = words(rnd, 200)
+    docs = [(i, " ".join([*base[:k], f"edit{i}", *base[k + 1 :]])) for i, k in enumerate(rnd.choices(range(200), k=60))]
+    got = simhash.drop_similar(spark.createDataFrame(docs, "doc_id long, text string"), hot=8, block_chars=9000).collect()
+    assert [r.doc_id for r in got] == [0] and jaccard(docs[0][1], docs[1][1]) > 0.8
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
