@@ -3,7 +3,8 @@
 Two multinomials over hashed word 1- and 2-grams are counted: one over a trusted
 target, one over the raw corpus. A document's score is the sum of
 ``ln p_target - ln p_raw`` over its n-grams divided by their number, and every
-document is held against one fixed threshold; nothing is drawn at random.
+document is held against one threshold, the cut that best parts the trusted from
+documents labelled as junk; nothing is drawn at random.
 
 Both count vectors have ``n_buckets`` entries whatever the corpus, so they are
 collected and go back to the tasks as one literal; scoring is a narrow pass.
@@ -16,12 +17,15 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.session import table
+from strandloom.session import cut, table
 
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 N_BUCKETS = 8192
+#: Threshold where no junk is labelled.
 THRESHOLD = -0.15
+#: Scores are counted in bins of this width to find the threshold, within +-SPAN bins.
+BIN, SPAN = 0.001, 4000
 
 
 def words_of(text: Column) -> Column:
@@ -84,8 +88,35 @@ def repeated_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == n, 0).when(n <= PACKED, few).otherwise(many).cast("long")
 
 
+def best_cut(counts: dict[int, tuple[int, int]]) -> float | None:
+    """The cut with the smallest sum of the share of trusted scores below it and
+    the share of junk scores not below it, from ``bin: (trusted, junk)``; none
+    without both. The lowest of equals is taken: trusted scores lie a little high,
+    because their own n-grams are in the target."""
+    t_all, j_all = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    if not t_all or not j_all:
+        return None
+    best, at, below, above = t_all * j_all, min(counts), 0, j_all
+    for b in sorted(counts):
+        t, j = counts[b]
+        below, above = below + t, above - j
+        if below * j_all + above * t_all < best:
+            best, at = below * j_all + above * t_all, b + 1
+    return at * BIN
+
+
+def label_cut(scored: DataFrame, trusted: DataFrame, junk: DataFrame) -> float | None:
+    """``best_cut`` over the labelled rows of ``doc_id, llr, base_failed`` that pass
+    the fixed rules, from one aggregate of at most ``2 * SPAN + 1`` rows."""
+    labels = trusted.withColumn("t", F.lit(1)).withColumn("j", F.lit(0)).unionByName(junk.withColumn("t", F.lit(0)).withColumn("j", F.lit(1)))
+    found = scored.where(~F.col("base_failed")).select("doc_id", "llr").join(labels.hint("merge"), "doc_id")
+    at = F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.floor(F.col("llr") / BIN)))
+    got = found.groupBy(at.alias("b")).agg(F.sum("t").alias("t"), F.sum("j").alias("j")).collect()
+    return best_cut({r["b"]: (r["t"], r["j"]) for r in got})
+
+
 def quality_rules(
-    docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, trusted: DataFrame, *, junk: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
     n_buckets: int = N_BUCKETS, threshold: float = THRESHOLD, min_words: int = 50, max_repeat_percent: int = 50,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
@@ -93,12 +124,15 @@ def quality_rules(
 
     ``trusted`` lists the ids of the target documents (its first column); repeats
     and nulls in it are ignored. With no trusted text every ratio is near zero
-    and the fixed rules decide. A null text has no words (and so fails the length
+    and the fixed rules decide. ``junk`` lists ids of documents known to be bad in the
+    same way and sets the threshold by ``best_cut``; ``threshold`` holds where it is
+    absent or either side has no document that passes the fixed rules. A null text has no words (and so fails the length
     rule); repeated rows are counted and returned as often as they occur; other
     columns are ignored; an empty table gives an empty result. Windows are told
     apart by 64-bit hashes within one document.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True))
+    listed = lambda x: x.select(F.col(x.columns[0]).alias("doc_id")).dropna().distinct()
+    ids = listed(trusted).withColumn("trusted", F.lit(True))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # The ids grow with the documents, so they are never broadcast.
     marked = docs.join(ids.hint("merge"), "doc_id", "left").select("trusted", words_of(F.col("text")).alias("words"))
@@ -122,10 +156,14 @@ def quality_rules(
         repeated_words(F.col("windows")).alias("n_repeat_words"), llr.alias("llr"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "llr", (~failed & (F.col("llr") >= threshold)).alias("kept"),
+    results = scored.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "llr",
     )
+    if junk is not None:
+        results = cut(results)  # scores are few bytes a row and are read twice
+        found = label_cut(results, listed(trusted), listed(junk))
+        threshold = threshold if found is None else found
+    return results.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -133,5 +171,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select("doc_id")
 
 
+def junk_ids(labels: DataFrame) -> DataFrame:
+    """Ids labelled as bad."""
+    return labels.where("quality = 0").select("doc_id")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    return quality_rules(table(spark, sf_dir, "documents"), trusted_ids(labels), junk=junk_ids(labels))

@@ -88,6 +88,21 @@ def test_quality_score_is_the_mean_log_ratio(spark):
         assert got[i] == pytest.approx(sum(ratio[b] for b in g) / len(g))
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quality_verdict_against_labels(spark, sf):
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    rows = quality.op2_quality_rules(spark, f"/root/testdata/{sf}").where("not base_failed").join(labels, "doc_id").collect()
+    junk = [r.kept for r in rows if r.quality == 0]
+    good = [r.kept for r in rows if r.quality == 1 and not r.toxic]
+    assert len(junk) > 20 and sum(junk) <= 0.02 * len(junk)
+    assert len(good) > 200 and sum(good) >= 0.99 * len(good)
+
+
+def test_quality_cut():
+    assert quality.best_cut({-90: (0, 5), -60: (1, 0), -40: (9, 1)}) == pytest.approx(-0.089)
+    assert quality.best_cut({-90: (0, 5)}) is None and quality.best_cut({}) is None
+
+
 def test_quality_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert quality.quality_rules(table(spark, []), none).count() == 0
