@@ -4,7 +4,7 @@ Texts become TF-IDF vectors over hashed character 2- and 3-grams, of length one.
 Each language has several centroids from spherical k-means over a bounded sample
 of its labelled texts; a text takes the language of the centroid with the
 largest cosine. A text farther from its centroid than that centroid's reach, a
-multiple of the distance of its farthest member, is marked as rejected.
+multiple of a high quantile of its members' distances, is marked as rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from strandloom.session import table
 
 DIMS = 4096
 UNKNOWN = "und"
+#: Clusters with fewer members have the reach of their language.
+TINY = 50
 
 
 def ngram_counts(texts: list[str], dims: int = DIMS) -> np.ndarray:
@@ -85,10 +87,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids of unit vectors; starts from the farthest points in turn."""
+    """Centroids of unit vectors; starts from far points in turn, each at nine tenths
+    of the way from the nearest to the farthest, so that outliers found no cluster."""
     chosen = [unit(x.mean(axis=0, keepdims=True))[0]]
     while len(chosen) < min(k, len(x)):
-        chosen.append(x[(x @ np.array(chosen).T).max(axis=1).argmin()])
+        chosen.append(x[(x @ np.array(chosen).T).max(axis=1).argsort(kind="stable")[len(x) // 10]])
     c = np.array(chosen)
     for _ in range(rounds):
         of = (x @ c.T).argmax(axis=1)
@@ -97,13 +100,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(
-    docs: DataFrame, *, clusters: int = 4, per_language: int = 400, max_sample: int = 4000, slack: float = 1.35,
+    docs: DataFrame, *, clusters: int = 4, per_language: int = 400, max_sample: int = 4000, slack: float = 1.35, quantile: float = 0.99,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
     """Centroids from at most ``max_sample`` labelled texts, ``per_language`` of
     each language at most, drawn by a hash of the id. Whole texts are used; rows
     with a null text, language or id are not. One count per language precedes the
-    draw, so that only about twice the sample is shuffled."""
+    draw, so that only about twice the sample is shuffled. A centroid's reach is
+    ``slack`` times the ``quantile`` of its members' distances, that of its
+    language's where it has fewer than ``TINY`` members."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = tuple(sorted(sizes))
@@ -135,13 +140,13 @@ def fit(
         c = spherical_kmeans(own, clusters)
         cosine = own @ c.T
         of = cosine.argmax(axis=1)
+        far = lambda distances: min(1.0, slack * float(np.quantile(distances, quantile)))
         for j in range(len(c)):
             members = cosine[of == j, j]
             centroids.append(c[j])
             owner.append(i)
-            reach.append(min(1.0, slack * (1 - members.min())) if len(members) else 1.0)
-    farthest = max(reach, default=1.0)
-    return Model(languages, np.array(owner, np.int64), np.array(centroids, np.float32).reshape(-1, DIMS), np.array([max(r, farthest) for r in reach]), idf)
+            reach.append(far(1 - (members if len(members) >= TINY else cosine.max(axis=1))))
+    return Model(languages, np.array(owner, np.int64), np.array(centroids, np.float32).reshape(-1, DIMS), np.array(reach), idf)
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_input: bool = False) -> DataFrame:

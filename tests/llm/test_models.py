@@ -43,6 +43,32 @@ def test_language_edge_cases(spark, model):
     assert language.identify(df.where("false"), model).count() == 0
 
 
+UNSEEN = [
+    "Wczoraj wieczorem poszliśmy do sklepu, ponieważ chcieliśmy kupić chleb, mleko i trochę owoców na śniadanie.",
+    "Ieri sera siamo andati al mercato perché volevamo comprare del pane, del latte e un po' di frutta per la colazione.",
+    "Eilen illalla menimme kauppaan, koska halusimme ostaa leipää, maitoa ja hedelmiä aamiaiseksi.",
+    "Вчера вечером мы пошли в магазин, потому что хотели купить хлеб, молоко и немного фруктов на завтрак.",
+    "昨天晚上我们去了商店,因为我们想买面包、牛奶和一些水果当早餐。", "और यह हिन्दी का एक वाक्य है जिसे हम पढ़ते हैं", "xqzj kwvb zzxq jjkq wvxz qqpk zxcv bnmq kjhg fdsq",
+]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_unseen_languages_are_rejected(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = language.fit(docs.where(~language.held_out()))
+    assert model.predict(UNSEEN)[2].all()
+    rows = docs.where(language.held_out() & language.F.col("text").isNotNull()).select("text", "lang").limit(2000).collect()
+    lang, _, rejected = model.predict([r.text for r in rows])
+    assert rejected.mean() < 0.02 and np.mean([a == r.lang for a, r in zip(lang, rows, strict=True)]) > 0.98
+
+
+def test_one_odd_text_does_not_widen_the_reach(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(-1, UNSEEN[0], "en")], docs.schema)
+    model = language.fit(docs.unionByName(odd))
+    assert model.predict(UNSEEN)[2].all()
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None, "x")], COLUMNS)
     empty = language.fit(df)
