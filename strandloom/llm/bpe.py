@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from strandloom.llm.textbatch import ragged_index
+from strandloom.llm.textbatch import ragged_index, same_spans
 
 NO_RANK = np.int32(2**31 - 1)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -165,15 +165,18 @@ def expand(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, parse: np.nd
 
 
 class WordCache:
-    """Ids of the words a worker has met, at most ``limit`` of them; ``encode``
-    takes ``(blob, sizes)`` and gives ``(ids, counts)``. Results don't depend on
-    what the cache holds."""
+    """Ids of the words a worker has met, at most ``limit`` of them, none longer
+    than ``LONGEST``; ``encode`` takes ``(blob, sizes)`` and gives ``(ids, counts)``.
+    A cached word is used for the same bytes only, so results don't depend on what
+    the cache holds."""
 
-    def __init__(self, encode, limit: int = 1_000_000):
+    LONGEST = 64
+
+    def __init__(self, encode, limit: int = 400_000):
         self.encode, self.limit = encode, limit
         self.hashes = np.zeros(0, np.uint64)
-        self.starts = self.counts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.starts = self.counts = self.begins = self.sizes = np.zeros(0, np.int64)
+        self.ids, self.blob = np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
     def look(self, hashes: np.ndarray, blob: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``ids, starts, counts`` for words given by ascending hash."""
@@ -181,18 +184,26 @@ class WordCache:
         known = np.zeros(len(hashes), bool)
         inside = at < len(self.hashes)
         known[inside] = self.hashes[at[inside]] == hashes[inside]
-        new = ~known
+        met = known.copy()
         begins = np.cumsum(sizes) - sizes
+        known[met] = same_spans(blob, begins[met], sizes[met], self.blob, self.begins[at[met]], self.sizes[at[met]])
+        new = ~known
         got, n_got = self.encode(blob[ragged_index(begins[new], sizes[new])], sizes[new])
         ids = np.concatenate([self.ids, got.astype(np.int32)])
         starts, counts = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
         starts[known], counts[known] = self.starts[at[known]], self.counts[at[known]]
         starts[new], counts[new] = len(self.ids) + np.cumsum(n_got) - n_got, n_got
-        if len(self.hashes) + int(new.sum()) <= self.limit:
-            self.starts = np.insert(self.starts, at[new], starts[new])
-            self.counts = np.insert(self.counts, at[new], n_got)
-            self.hashes = np.insert(self.hashes, at[new], hashes[new])
-            self.ids = ids
+        keep = ~met & (sizes <= self.LONGEST)
+        keep[1:] &= hashes[1:] != hashes[:-1]
+        room = self.limit - len(self.hashes)
+        if room > 0 and keep.any():
+            keep = np.flatnonzero(keep)[:room]
+            begun = len(self.blob) + np.cumsum(sizes[keep]) - sizes[keep]
+            self.blob = np.concatenate([self.blob, blob[ragged_index(begins[keep], sizes[keep])]])
+            placed = len(self.ids) + np.cumsum(counts[keep]) - counts[keep]
+            self.ids = np.concatenate([self.ids, ids[ragged_index(starts[keep], counts[keep])]])
+            for name, value in (("starts", placed), ("counts", counts[keep]), ("begins", begun), ("sizes", sizes[keep]), ("hashes", hashes[keep])):
+                setattr(self, name, np.insert(getattr(self, name), at[keep], value))
         return ids, starts, counts
 
 

@@ -3,15 +3,19 @@
 Blocks of documents are cut into pre-tokens. What is shuffled is packed: each
 block sends its distinct words, cut by hash range into buckets, and its parse
 (the positions of the words, as numbers of its distinct words). A bucket's task
-makes the words of all blocks distinct, merges each once and answers every block
-with ids. Words and answers are sorted by hash, so the answers of a block, laid
-bucket after bucket, are in the order of its word numbers; the parse is then
-read through them, position by position. A word is shuffled at most once per
-block, so frequent words weigh no more than rare ones.
+reads its rows as a stream, merges each word once (while a bounded table of
+words holds it) and answers every block with ids. Words and answers are sorted
+by hash, so the answers of a block, laid bucket after bucket, are in the order
+of its word numbers; the parse is then read through them, position by position.
+A word is shuffled at most once per block, so frequent words weigh no more than
+rare ones, and the number of buckets follows from the bytes of all texts, so a
+bucket doesn't grow with them.
 
 The parse is not taken from a written table but computed again, in the same
 way, in the second branch of the plan; blocks are keyed by a digest of their
-content, and a block without its answers fails the job.
+content, and a block without its answers fails the job. The input must give the
+same rows in the same order each time it is read, as files do; a table whose order
+may change (behind a shuffle) is to be written first.
 """
 
 from __future__ import annotations
@@ -27,12 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import bpe
-from strandloom.llm.textbatch import Words, chunks, ragged_index, span_hashes, texts_of
+from strandloom.llm.textbatch import Words, chunks, distinct_spans, ragged_index, text_slices
 from strandloom.session import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Characters of a block of documents.
-BLOCK_CHARS = 16_000_000
+#: Bytes of a block of documents.
+BLOCK_BYTES = 8_000_000
+#: Bytes of all texts for each bucket of words; at most about a fifth of them are words to encode.
+BUCKET_BYTES = 64_000_000
+#: Packed bytes of words that a task encodes together, and words or tokens put in place together.
+SLICE_BYTES = 500_000
+SLICE_WORDS = 200_000
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -72,10 +81,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
     import xxhash
 
     for batch in batches:
-        texts = texts_of(batch.column(1))
-        for lo, hi in chunks([len(t) for t in texts], BLOCK_CHARS):
-            words = Words(texts[lo:hi])
-            ids = batch.column(0).slice(lo, hi - lo)
+        for lo, texts in text_slices(batch.column(1), BLOCK_BYTES):
+            words = Words(texts)
+            ids = batch.column(0).slice(lo, len(texts))
             digest = xxhash.xxh3_128(repr(ids.to_pylist()).encode())
             for part in (words.hashes, words.parse, words.doc_counts):
                 digest.update(part.tobytes())
@@ -113,26 +121,40 @@ def bucket_of(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _encode_bucket(path: str):
-    def run(rows: pa.Table) -> pa.Table:
+def _encode_buckets(path: str):
+    """Answers from a partition sorted by bucket. The table of known words is of
+    one bucket and limited; words beyond it are merged again for each slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = bpe.load_ranks(path)
-        sizes = [unpack(x) for x in rows.column("sizes").to_pylist()]
-        blobs = [_unpack_bytes(x) for x in rows.column("blob").to_pylist()]
-        size, blob = np.concatenate(sizes), np.concatenate(blobs)
-        ends = np.cumsum(size)
-        _, at, back = np.unique(span_hashes(blob, ends - size, ends), return_index=True, return_inverse=True)
-        ids, counts = bpe.merge_words(blob[ragged_index((ends - size)[at], size[at])], size[at], merges)
-        starts = np.cumsum(counts) - counts
-        own = np.split(back, np.cumsum([len(s) for s in sizes])[:-1])
-        return pa.table({
-            "block": rows.column("block"), "bucket": rows.column("bucket"),
-            "counts": pa.array([pack(counts[o]) for o in own], pa.binary()),
-            "ids": pa.array([pack(bpe.expand(ids, starts, counts, o)) for o in own], pa.binary()),
-        })
+        fresh = lambda: bpe.WordCache(lambda blob, sizes: bpe.merge_words(blob, sizes, merges))
+        known, held = fresh(), None
+        for batch in batches:
+            bucket = batch.column(1).to_numpy()
+            packed = [len(x) for x in batch.column(3).to_pylist()] if len(bucket) else []
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else []
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                if bucket[first] != held:
+                    known, held = fresh(), bucket[first]
+                for lo, hi in chunks(packed[first:last], SLICE_BYTES):
+                    yield _answers(batch.slice(first + lo, hi - lo), known)
 
     return run
 
 
+def _answers(rows: pa.RecordBatch, known: bpe.WordCache) -> pa.RecordBatch:
+    sizes = [unpack(x) for x in rows.column(2).to_pylist()]
+    size, blob = np.concatenate(sizes), np.concatenate([_unpack_bytes(x) for x in rows.column(3).to_pylist()])
+    begin = np.cumsum(size) - size
+    hashes, at, entry = distinct_spans(blob, begin, size)
+    ids, starts, counts = known.look(hashes, blob[ragged_index(begin[at], size[at])], size[at])
+    own = np.split(entry, np.cumsum([len(s) for s in sizes])[:-1])
+    return pa.RecordBatch.from_arrays(
+        [rows.column(0), rows.column(1), pa.array([pack(counts[o]) for o in own], pa.binary()), pa.array([pack(bpe.expand(ids, starts, counts, o)) for o in own], pa.binary())],
+        names=["block", "bucket", "counts", "ids"],
+    )
+
+
 def _reassemble(id_type: pa.DataType):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         order = pc.sort_indices(answers, [("bucket", "ascending")])
@@ -140,19 +162,20 @@ def _reassemble(id_type: pa.DataType):
         new = np.append(True, np.diff(answers.column("bucket").to_numpy()) != 0) if len(answers) else np.zeros(0, bool)
         answers = answers.filter(pa.array(new))  # equal blocks give equal answers
         counts = np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in answers.column("counts").to_pylist())])
-        ids = np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in answers.column("ids").to_pylist())])
+        ids = np.concatenate([np.zeros(0, np.int32), *(unpack(x).astype(np.int32) for x in answers.column("ids").to_pylist())])
         starts = np.cumsum(counts) - counts
         tables = []
         for doc_ids, n_words, packed in zip(*(blocks.column(c) for c in ("doc_ids", "n_words", "parse")), strict=True):
             parse = unpack(packed.as_py())
             if len(parse) and parse.max() >= len(counts):
                 raise RuntimeError("a block of documents came back without ids for its words")
-            per = np.append(0, np.cumsum(counts[parse]))
-            n = doc_ids.values.__len__()
-            ends = per[np.cumsum(n_words.values.to_numpy())]
-            flat = bpe.expand(ids, starts, counts, parse).astype(np.int32)
-            tables.append(pa.table({"doc_id": doc_ids.values, "ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat, pa.int32()))}) if n else None)
-        tables = [t for t in tables if t is not None]
+            n_words, doc_ids, before = n_words.values.to_numpy(), doc_ids.values, 0
+            for lo, hi in chunks(n_words.tolist(), SLICE_WORDS):
+                own = parse[before : before + int(n_words[lo:hi].sum())]
+                before += len(own)
+                ends = np.append(0, np.cumsum(counts[own]))[np.append(0, np.cumsum(n_words[lo:hi]))]
+                flat = bpe.expand(ids, starts, counts, own)
+                tables.append(pa.table({"doc_id": doc_ids.slice(lo, hi - lo), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}))
         return pa.concat_tables(tables) if tables else pa.table({"doc_id": pa.array([], id_type), "ids": pa.array([], pa.list_(pa.int32()))})
 
     return run
@@ -165,15 +188,20 @@ def encode(
 
     A null or empty text has no ids; null ids of documents are carried; repeated
     rows give repeated results; other columns are ignored; an empty table gives
-    an empty result. ``n_buckets`` (twice the shuffle partitions if not given)
-    bounds what one task holds: the words of one hash range.
+    an empty result. ``n_buckets``, if not given, is one for each ``BUCKET_BYTES``
+    of text, at least the shuffle partitions. The input is read three times and
+    must give the same rows in the same order each time.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType
-    n = n_buckets or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n_buckets
+    if n is None:
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     parse = rows.mapInArrow(_parse_rows, T.StructType([T.StructField("block", T.StringType()), T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("n_words", T.ArrayType(T.LongType())), T.StructField("parse", T.BinaryType())]))
     words = rows.mapInArrow(_word_rows(n), "block string, bucket int, sizes binary, blob binary")
-    answers = words.groupBy("bucket").applyInArrow(_encode_bucket(ranks_path), "block string, bucket int, counts binary, ids binary")
+    dealt = words.repartition(n, "bucket").sortWithinPartitions("bucket", "block")
+    answers = dealt.mapInArrow(_encode_buckets(ranks_path), "block string, bucket int, counts binary, ids binary")
     arrow_id = pa.array([], pa.int64()).type if isinstance(id_type, T.LongType) else pa.string()
     out = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return parse.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble(arrow_id), out)
@@ -181,7 +209,8 @@ def encode(
 
 def decode(tokens: DataFrame, *, ranks_path: str) -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of each document's ``ids``, looked up
-    in the token table, which has one row per vocabulary entry."""
+    in the token table, which has one row per vocabulary entry. Null lists give no
+    bytes; one document decodes to less than 2 GiB."""
     kept = tokens.columns
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
 
@@ -191,14 +220,13 @@ def decode(tokens: DataFrame, *, ranks_path: str) -> DataFrame:
         begins, blob = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(held), np.uint8)
         at = kept.index("ids")
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                some = batch.slice(lo, 2000)
-                lists = some.column(at)
-                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                flat = lists.flatten().to_numpy()
-                total = np.append(0, np.cumsum(sizes[flat]))
-                data = blob[ragged_index(begins[flat], sizes[flat])]
-                decoded = pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(np.ascontiguousarray(total[ends], np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+            n_tokens = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()
+            for lo, hi in chunks(n_tokens, SLICE_WORDS):
+                some = batch.slice(lo, hi - lo)
+                own = some.column(at).flatten().to_numpy()
+                ends = np.append(0, np.cumsum(sizes[own]))[np.append(0, np.cumsum(n_tokens[lo:hi]))]
+                data = blob[ragged_index(begins[own], sizes[own])]
+                decoded = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.ascontiguousarray(ends, np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*some.columns, decoded], names=schema.names)
 
     return tokens.mapInArrow(run, schema)

@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.textbatch import LETTER, _classes, chunks, code_points, texts_of
+from strandloom.llm.textbatch import LETTER, _classes, code_points, text_slices, texts_of
 from strandloom.session import table
 
 DIMS = 4096
+#: Texts and bytes held as vectors at a time.
+SLICE_DOCS, SLICE_BYTES = 256, 600_000
 UNKNOWN = "und"
 #: Clusters with fewer members have the reach of their language.
 TINY = 50
@@ -149,38 +151,40 @@ def fit(
     return Model(languages, np.array(owner, np.int64), np.array(centroids, np.float32).reshape(-1, DIMS), np.array(reach), idf)
 
 
-def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep_input: bool = False) -> DataFrame:
-    """``doc_id, lang_pred, score, rejected``, one row per input row; with
-    ``keep_input`` the input's columns in place of ``doc_id`` (but for any named
-    like the three results).
+def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, lang_pred, score, rejected``, one row per input row.
 
     A null text and one without a letter give ``und``, score 0 and rejection.
     Ties go to the language that sorts first. Null ids are carried; repeated rows
-    give repeated results; an empty table gives an empty result; a model without
-    a language calls everything ``und``.
+    give repeated results; other columns are ignored; an empty table gives an
+    empty result; a model without a language calls everything ``und``.
     """
-    results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    if keep_input:
-        rows = docs.drop(*(f.name for f in results))
-        at, first = rows.columns.index(text_col), 0
-    else:
-        rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
-        at, first = 0, 1
-    schema = T.StructType([*rows.schema.fields[first:], *results])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(at))
-            for a, b in chunks([len(t) for t in texts], 600_000):
-                for lo in range(a, b, 256):
-                    some = texts[lo : min(b, lo + 256)]
-                    lang, score, rejected = model.predict(some)
-                    kept = [c.slice(lo, len(some)) for c in batch.columns[first:]]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
+            for lo, texts in text_slices(batch.column(1), SLICE_BYTES, SLICE_DOCS):
+                lang, score, rejected = model.predict(texts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows that ``identify`` doesn't reject, with their columns, whatever these
+    are called."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, texts in text_slices(batch.column(at), SLICE_BYTES, SLICE_DOCS):
+                _, _, rejected = model.predict(texts)
+                yield batch.slice(lo, len(texts)).filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document is kept from learning."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2

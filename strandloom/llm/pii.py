@@ -12,9 +12,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.textbatch import chunks, code_points, texts_of
+from strandloom.llm.textbatch import code_points, text_slices
 from strandloom.session import table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", "email", "ip", "card", "phone", "secret")
 SHAPES, FLAGS, SIZES = 512, 512, 64
+#: Bytes of text tagged at a time.
+SLICE_BYTES = 600_000
 
 # The patterns of the contract. Where a run of characters can't match from its
 # start it can't from within, so starts inside a run are skipped; this keeps
@@ -328,14 +332,21 @@ def crf_spans(texts: list[str], crf: Crf) -> list[list[tuple[int, int, str]]]:
     return out
 
 
+def apart(spans: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of those taken: of these the farthest end so far
+    tells whether any that starts before a span's end reaches into it."""
+    taken = sorted(taken)
+    starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, e, _ in taken), max))
+    return [x for x in spans if not (n := bisect_left(starts, x[1])) or reach[n - 1] <= x[0]]
+
+
 def all_spans(texts: list[str], crf: Crf) -> tuple[list[list[tuple[int, int, str]]], list[list[tuple[int, int, str]]]]:
     """Pattern spans, and all spans in order, of each text."""
     base = [base_spans(t) for t in texts]
     every = []
     order = {k: i for i, k in enumerate((*BASE_KINDS, "secret"))}
     for own, more in zip(base, crf_spans(texts, crf), strict=True):
-        taken = sorted((s, e) for s, e, _ in own)
-        free = [x for x in more if not any(s < x[1] and x[0] < e for s, e in taken)] if taken else more
+        free = apart(more, own) if own else more
         every.append(sorted(own + free, key=lambda s: (s[0], order[s[2]], s[1])))
     return base, every
 
@@ -357,11 +368,10 @@ def find(docs: DataFrame, crf: Crf, *, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for lo, hi in chunks([len(t) for t in texts], 1_000_000):
-                lists = all_spans(texts[lo:hi], crf)
+            for lo, texts in text_slices(batch.column(0), SLICE_BYTES):
+                lists = all_spans(texts, crf)
                 cols = [pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in own] for own in x], arrow) for x in lists]
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *cols], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(texts)) for c in batch.columns), *cols], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -383,13 +393,13 @@ def redact(docs: DataFrame, crf: Crf, *, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(at).to_pylist()
-            for lo, hi in chunks([len(t or "") for t in raw], 1_000_000):
-                some = raw[lo:hi]
-                _, spans = all_spans([t or "" for t in some], crf)
-                new = [t if not s else redacted(t, s) for t, s in zip(some, spans, strict=True)]
-                cols = [c.slice(lo, hi - lo) for c in batch.columns]
-                cols[at] = pa.array(new, batch.schema.field(at).type)
+            for lo, texts in text_slices(batch.column(at), SLICE_BYTES):
+                some = batch.slice(lo, len(texts))
+                _, spans = all_spans(texts, crf)
+                new = [redacted(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+                null = some.column(at).is_null().to_numpy(zero_copy_only=False)
+                cols = list(some.columns)
+                cols[at] = pa.array(new, batch.schema.field(at).type, mask=null)
                 yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -13,8 +13,10 @@ than ``hot`` fingerprints are cut again by balls of radius one in the halves of
 the other segment, which keeps every link for the same reason.
 
 Removal of near duplicates at a stated Jaccard similarity of five-word shingles
-takes fingerprints as a filter only: 256 bits fetch candidates, and the shingle
-sets of each component of candidates are compared exactly.
+takes fingerprints as a filter only. More segments are needed at that distance,
+and their balls hold flips of the least certain bits alone, those with the
+closest votes, because that is where similar texts differ; the shingle sets of
+each component of candidates are then compared exactly.
 """
 
 from __future__ import annotations
@@ -23,46 +25,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.textbatch import mix, texts_of
+from strandloom.llm.textbatch import mix, text_slices, texts_of
 from strandloom.operators.cluster import connected_components
 from strandloom.session import cut, table
 
-#: Shingle hashes whose bits are counted at a time.
-BLOCK_HASHES = 100_000
+#: Hashes whose bits are added up in one byte each.
+PIECE = 255
+#: Documents and bytes handled at a time.
+BATCH_DOCS, BATCH_BYTES = 500, 2_000_000
 HOT_BUCKET = 4096
 
 
-def shingle_hashes(text: str, k: int = 3, seed: int = 42) -> list[int]:
+def shingle_hashes(text: str, k: int = 3, seed: int = 42) -> np.ndarray:
     """XXH64 of every k-word shingle (the whole sequence if shorter)."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII only
+    digest = xxhash.xxh64_intdigest
     if len(words) <= k:
-        return [xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else []
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
     joined = b" ".join(words)
-    starts, at = [], 0
-    for w in words:
-        starts.append(at)
-        at += len(w) + 1
-    ends = [*(s - 1 for s in starts[k:]), len(joined)]
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[s:e], seed) for s, e in zip(starts, ends, strict=False)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    ends = starts[k - 1 :] + sizes[k - 1 :]
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts.tolist(), ends.tolist(), strict=False)), np.uint64, len(ends))
+
+
+def votes_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each document's hashes have each of the 64 bits set: the bits
+    of eight places are added in the bytes of one integer, ``PIECE`` hashes at a time."""
+    votes = np.zeros((len(counts), 64), np.int32)
+    some = np.flatnonzero(counts)
+    if not len(some):
+        return votes
+    n_pieces = -(-counts[some] // PIECE)
+    first = np.cumsum(n_pieces) - n_pieces
+    begins = np.cumsum(counts) - counts
+    at = np.repeat(begins[some], n_pieces) + (np.arange(n_pieces.sum()) - np.repeat(first, n_pieces)) * PIECE
+    for k in range(8):
+        spread = (hashes >> np.uint64(k)) & np.uint64(0x0101010101010101)
+        sums = np.add.reduceat(spread, at).astype("<u8").view(np.uint8).reshape(-1, 8)
+        votes[some, k::8] = np.add.reduceat(sums, first, axis=0, dtype=np.int32)
+    return votes
 
 
 def fingerprints_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Majority of every bit over each document's hashes; none gives zero."""
-    votes = np.zeros((len(counts), 64), np.int64)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    for lo in range(0, len(hashes), BLOCK_HASHES):
-        part, own = hashes[lo : lo + BLOCK_HASHES], doc[lo : lo + BLOCK_HASHES]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        votes[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-    return np.packbits(2 * votes > counts[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+    return np.packbits(2 * votes_of(hashes, counts) > counts[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def fingerprints(docs: DataFrame, *, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,11 +85,10 @@ def fingerprints(docs: DataFrame, *, k: int = 3, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                lists = [np.array(shingle_hashes(t, k), np.uint64) for t in texts_of(some.column(1))]
+            for lo, texts in text_slices(batch.column(1), BATCH_BYTES, BATCH_DOCS):
+                lists = [shingle_hashes(t, k) for t in texts]
                 fp = fingerprints_of(np.concatenate(lists), np.array([len(x) for x in lists]))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fp.view(np.int64))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(fp.view(np.int64))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -182,37 +194,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, max_bits: int = 3, id_col: s
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprints(docs: DataFrame, *, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, fp2``: 128 bits over the *set* of shingles, the second 64 from
-    rehashed shingles; one row per input row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                lists = [np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in texts_of(some.column(1))]
-                counts, hashes = np.array([len(x) for x in lists]), np.concatenate(lists)
-                both = [fingerprints_of(h, counts).view(np.int64) for h in (hashes, mix(hashes))]
-                yield pa.RecordBatch.from_arrays([some.column(0), *map(pa.array, both)], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
-#: Segments of the 128 bits: (column, offset, bits).
-SEGMENTS = tuple((c, at, bits) for c in ("fp", "fp2") for at, bits in ((0, 21), (21, 21), (42, 22)))
-#: Fingerprints that differ in at most this many bits differ in at most two bits
-#: of one of the six segments, where the balls of radius one around both meet.
-#: 17 of 128 bits estimate a cosine of 0.914, for sets a Jaccard similarity of 0.84.
-WIDE_BITS = 17
 #: Buckets up to this size are tested for links before a forest is grown.
-TESTED_BUCKET = 256
+TESTED_BUCKET = 1024
+#: Rows of a bucket or component's pair of blocks beyond which it is dealt out, and
+#: the most buckets that are broadcast because they are.
+CROWDED_BUCKET, MAX_BROADCAST = 50_000, 100_000
 
 
 def _linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
     """Whether rows of 64-bit words are near, over the arrays' common shape."""
-    return sum(np.bitwise_count(a[..., i] ^ b[..., i]).astype(np.int32) for i in range(a.shape[-1])) <= max_bits
+    return sum(np.bitwise_count(a[..., i] ^ b[..., i]).astype(np.int16) for i in range(a.shape[-1])) <= max_bits
 
 
 def wide_forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,7 +212,7 @@ def wide_forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]
     while len(rest) > 1:
         frontier, rest = rest[:1], rest[1:]
         while len(frontier) and len(rest):
-            block, frontier = frontier[:256], frontier[256:]
+            block, frontier = frontier[:64], frontier[64:]
             near = _linked(fps[block][:, None], fps[rest][None, :], max_bits)
             found = near.any(axis=0)
             if found.any():
@@ -233,11 +224,11 @@ def wide_forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([none, *parents]), np.concatenate([none, *children])
 
 
-def _wide_bucket_links(max_bits: int, width: int):
-    """Links of each bucket from a partition sorted by ``bucket, sub``; the
-    fingerprints have ``width`` words."""
+def _wide_bucket_links(max_bits: int):
+    """Links of each bucket from a partition sorted by ``bucket, sub``; rows are
+    ``bucket, sub``, two words of fingerprint, ``id``."""
 
-    def links(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(fps: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.diff(bounds)
         small = sizes <= TESTED_BUCKET
         grown = ~small
@@ -257,7 +248,7 @@ def _wide_bucket_links(max_bits: int, width: int):
         return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, ids = np.zeros((0, 2), np.int64), np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
+        keys, fps, ids = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
         batches, done = iter(batches), False
         while not done:
             batch = next(batches, None)
@@ -265,87 +256,58 @@ def _wide_bucket_links(max_bits: int, width: int):
             if not done:
                 columns = [c.to_numpy() for c in batch.columns]
                 keys = np.concatenate([keys, np.column_stack(columns[:2])])
-                fps = np.concatenate([fps, np.column_stack(columns[2:-1]).view(np.uint64)])
-                ids = np.concatenate([ids, columns[-1]])
+                fps = np.concatenate([fps, np.column_stack(columns[2:4]).view(np.uint64)])
+                ids = np.concatenate([ids, columns[4]])
             if not len(ids):
                 continue
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             bounds = np.concatenate([[0], cuts, [len(ids)] if done else []]).astype(np.int64)
             last = bounds[-1]
             if last:
-                a, b = links(keys[:last], fps[:last], ids[:last], bounds)
+                a, b = links(fps[:last], ids[:last], bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             keys, fps, ids = keys[last:], fps[last:], ids[last:]
 
     return run
 
 
-def wide_links(distinct: DataFrame, *, max_bits: int = WIDE_BITS, hot: int = HOT_BUCKET) -> DataFrame:
-    """``a, b`` between the ids of ``id, fp, fp2``: links that connect all wide
-    fingerprints within ``max_bits`` (17 at most) of each other."""
-    if not 0 <= max_bits <= WIDE_BITS:
-        raise ValueError("six segments with balls of radius one reach 17 bits")
-    ball = lambda v, bits: [v, *[v.bitwiseXOR(F.lit(1 << b)) for b in range(bits)]]
-    keys = F.array(*[v * 8 + F.lit(i) for i, (c, at, bits) in enumerate(SEGMENTS) for v in ball(_bits(c, at, bits), bits)])
-    return _bucket_forests(distinct.select("id", "fp", "fp2", F.explode(keys).alias("bucket")), ["fp", "fp2"], max_bits, hot)
-
-
-def _bits(c: str, at: int, bits: int) -> Column:
-    return F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << bits) - 1))
-
-
 def _block_pairs(blocks: Column) -> Column:
     """A number for each pair of blocks that the row's block, a hash of its id, is in."""
     own = F.pmod(F.xxhash64("id"), blocks)
     return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(own, x) * blocks + F.greatest(own, x))
 
 
-def _bucket_forests(rows: DataFrame, words: list[str], max_bits: int, hot: int) -> DataFrame:
-    """``a, b`` from rows of ``id, bucket`` and the fingerprint's ``words``: a forest
-    of the links in each bucket. A bucket of more than ``hot`` rows is dealt into
-    blocks by a hash of the id and every two blocks meet in a group of their own,
-    so that no link is lost and no group grows with the data."""
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("bucket", F.ceil(F.col("n") / (hot / 2)).alias("blocks"))
-    pairs = F.coalesce(_block_pairs(F.col("blocks")), F.array(F.lit(-1).cast("long")))
-    dealt = rows.join(sizes, "bucket", "left").select("bucket", F.explode(pairs).alias("sub"), *words, "id")
-    dealt = dealt.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub")
-    return dealt.mapInArrow(_wide_bucket_links(max_bits, len(words)), "a long, b long")
-
-
-def drop_near_duplicates(
-    docs: DataFrame, *, k: int = 5, max_bits: int = WIDE_BITS, hot: int = HOT_BUCKET,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest id
-    that links reach. Documents link where the 128-bit fingerprints of their sets
-    of ``k``-word shingles differ in at most ``max_bits``; that estimates a similarity,
-    ``drop_similar`` computes it.
-
-    Ids are integers. Rows that repeat an id are one document, which stays if one
-    of its texts is the first of its copies and no link leads to a smaller id; one
-    row of it stays. Rows with a null id can't be named and all stay. Texts without
-    a word link to each other; an empty table gives an empty result.
-    """
-    named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # Rows are few bytes here and become 134 each: a number of partitions that
-    # is given keeps them from being coalesced into one.
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = cut(wide_fingerprints(named, k=k).groupBy("fp", "fp2").agg(F.min("doc_id").alias("id")).repartition(n, "id"))
-    found = connected_components(wide_links(distinct, max_bits=max_bits, hot=hot)).where("node <> component")
-    first = distinct.join(found.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
-
-
-#: Words of the fingerprints that fetch candidates, and their segments: twelve of 18 bits.
-WORDS = ("fp1", "fp2", "fp3", "fp4")
-CANDIDATE_SEGMENTS = tuple((c, at, 18) for c in WORDS for at in (0, 18, 36))
-#: Candidates differ in at most this many of the 256 bits. Sets of a similarity of
-#: 0.8 differ in 39 on average with a standard deviation of 6, unrelated ones in 128.
-CANDIDATE_BITS = 64
-#: At a similarity of 0.8 a bit differs with a probability of 0.151, so two segments
-#: meet in one of 0.348 of all cases and one of twelve in 0.994. Votes of few shingles
-#: are coarse: sets of at most PREFIXED meet, without a loss, in their smallest hashes.
+def _bucket_forests(rows: DataFrame, max_bits: int, hot: int) -> DataFrame:
+    """``a, b`` from rows of ``bucket, fp1, fp2, id``: a forest of the links in each
+    bucket. A bucket of about ``hot`` rows or more, as a share of the ids tells, is
+    dealt into blocks by a hash of the id and every two blocks meet in a group of
+    their own, so that no link is lost and no group grows with the data."""
+    share = max(1, hot // 1024)
+    seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("bucket").agg((F.count(F.lit(1)) * share).alias("n"))
+    crowded = cut(seen.where(F.col("n") > hot).select("bucket", F.ceil(F.col("n") / (hot / 2)).alias("blocks")))
+    n = crowded.count()
+    single = F.array(F.lit(-1).cast("long"))
+    if n:
+        crowded = F.broadcast(crowded) if n <= MAX_BROADCAST else crowded.hint("merge")
+        rows = rows.join(crowded, "bucket", "left").withColumn("sub", F.explode(F.coalesce(_block_pairs(F.col("blocks")), single)))
+    else:
+        rows = rows.withColumn("sub", F.lit(-1).cast("long"))
+    dealt = rows.select("bucket", "sub", "fp1", "fp2", "id").repartition("bucket", "sub").sortWithinPartitions("bucket", "sub")
+    return dealt.mapInArrow(_wide_bucket_links(max_bits), "a long, b long")
+
+
+#: Bits of a segment and their number, up to each number of documents. At a similarity
+#: of 0.8 a bit differs with a probability of 0.151, so segments of 18 bits meet in
+#: 0.37 of all cases and one of twelve in 0.996; the wider ones keep buckets small
+#: and are as many as reach 0.99 as well (figures from correlated normal votes).
+LAYOUTS = ((1 << 24, 18, 12), (1 << 27, 21, 18), (1 << 30, 24, 27), (1 << 62, 28, 47))
+#: Least certain bits of a segment that its ball flips.
+WEAK_BITS = 4
+#: Candidates differ in at most this many of 128 bits. Sets of a similarity of 0.8
+#: differ in 19 on average with a standard deviation of 4, unrelated ones in 64.
+CANDIDATE_BITS = 40
+#: Votes of few shingles are coarse: sets of at most PREFIXED meet, without a loss, in
+#: their smallest hashes.
 SEGMENTED, PREFIXED = 32, 40
 #: Least similarity the segments are laid out for, in percent.
 LEAST_PERCENT = 80
@@ -353,42 +315,67 @@ LEAST_PERCENT = 80
 BLOCK_CHARS = 4_000_000
 
 
-def shingle_sets(docs: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT) -> DataFrame:
-    """``doc_id, set1, set2, n, low, fp1 .. fp4`` of ``doc_id, text``: a digest of the
-    set of shingles, their number, the smallest hashes (of sets up to ``PREFIXED``;
-    two sets that are similar enough share one) and 256 bits of fingerprint."""
-    longs = lambda *names: [T.StructField(x, T.LongType()) for x in names]
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs("set1", "set2", "n"), T.StructField("low", T.ArrayType(T.LongType())), *longs(*WORDS)])
+def layout(n_docs: int) -> tuple[int, int]:
+    """Bits and number of segments for so many documents."""
+    return next((bits, n) for most, bits, n in LAYOUTS if n_docs <= most)
+
+
+def weak_balls(votes: np.ndarray, counts: np.ndarray, bits: int, n_segments: int) -> np.ndarray:
+    """Segment values of each document's fingerprint with one weak bit or none
+    flipped, ``1 + WEAK_BITS`` a segment, marked with the segment's number."""
+    margin = (2 * votes - counts[:, None]).reshape(len(counts), -1, 64)
+    margin = margin[:, :, : 64 // bits * bits].reshape(len(counts), -1, bits)[:, :n_segments]
+    place = np.int64(1) << np.arange(bits, dtype=np.int64)
+    value = ((margin > 0) * place).sum(axis=2)
+    weak = np.argsort(np.abs(margin), axis=2, kind="stable")[:, :, :WEAK_BITS]
+    ball = np.concatenate([value[:, :, None], value[:, :, None] ^ place[weak]], axis=2)
+    return ((ball * 64 + np.arange(n_segments)[None, :, None]) * 2).reshape(len(counts), -1)
+
+
+def shingle_sets(docs: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT, bits: int = 18, n_segments: int = 12) -> DataFrame:
+    """``doc_id, set1, set2, n, fp1, fp2, buckets`` of ``doc_id, text``: a digest of
+    the set of shingles, their number, 128 bits of fingerprint, and the buckets in
+    which similar sets meet: balls of the segments, and of sets up to ``PREFIXED`` the
+    smallest hashes, of which two sets that are similar enough share one. Sets too
+    small to be similar to another without being equal have no bucket."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in ("set1", "set2", "n", "fp1", "fp2")), T.StructField("buckets", T.ArrayType(T.LongType()))])
+    n_words = max(2, -(-n_segments // (64 // bits)))
+
+    def buckets(x: np.ndarray, balls: np.ndarray) -> np.ndarray:
+        if len(x) * (100 - percent) < percent:
+            return np.zeros(0, np.int64)
+        low = x[: len(x) + 1 + -len(x) * percent // 100].view(np.int64) | 1 if len(x) <= PREFIXED else np.zeros(0, np.int64)
+        return np.concatenate([balls, low]) if len(x) >= SEGMENTED else low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                some = batch.slice(lo, 500)
-                lists = [np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in texts_of(some.column(1))]
+            for lo, texts in text_slices(batch.column(1), BATCH_BYTES, BATCH_DOCS):
+                lists = [np.unique(shingle_hashes(t, k)) for t in texts]
                 counts, hashes = np.array([len(x) for x in lists]), np.concatenate(lists)
                 digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64) for x in lists])
-                low = [x[: len(x) + 1 + -len(x) * percent // 100].view(np.int64) if len(x) <= PREFIXED else [] for x in lists]
-                words = []
-                for _ in WORDS:
-                    words.append(pa.array(fingerprints_of(hashes, counts).view(np.int64)))
+                votes = []
+                for _ in range(n_words):
+                    votes.append(votes_of(hashes, counts))
                     hashes = mix(hashes)
+                fp = [np.packbits(2 * v > counts[:, None], axis=1, bitorder="little").view("<i8").reshape(-1) for v in votes[:2]]
+                own = [buckets(x, b) for x, b in zip(lists, weak_balls(np.concatenate(votes, axis=1), counts, bits, n_segments), strict=True)]
+                offsets = np.append(0, np.cumsum([len(x) for x in own]))
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(counts.astype(np.int64)), pa.array(low, pa.list_(pa.int64())), *words], names=schema.names
+                    [
+                        batch.column(0).slice(lo, len(texts)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(counts.astype(np.int64)), *map(pa.array, fp),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(own))),
+                    ],
+                    names=schema.names,
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def candidate_links(distinct: DataFrame, *, percent: int = LEAST_PERCENT, hot: int = HOT_BUCKET) -> DataFrame:
-    """``a, b`` between the ids of rows of ``shingle_sets``: a forest of candidates.
-    Sets too small to be similar to another without being equal have none."""
-    ends = F.array(*[F.struct(_bits(c, at, bits).alias("v"), F.lit(i).alias("i")) for i, (c, at, bits) in enumerate(CANDIDATE_SEGMENTS)])
-    segments = F.flatten(F.transform(ends, lambda s: F.transform(_ball(s["v"], 18), lambda v: (v * 16 + s["i"]) * 2)))
-    keys = F.concat(F.when(F.col("n") >= SEGMENTED, segments).otherwise(F.array().cast("array<long>")), F.transform("low", lambda h: h.bitwiseOR(F.lit(1).cast("long"))))
-    rows = distinct.where(F.col("n") * (100 - percent) >= percent).select("id", *WORDS, F.explode(keys).alias("bucket"))
-    return _bucket_forests(rows, list(WORDS), CANDIDATE_BITS, hot)
+def candidate_links(distinct: DataFrame, *, hot: int = CROWDED_BUCKET) -> DataFrame:
+    """``a, b`` between the ids of rows of ``shingle_sets``: a forest of candidates."""
+    return _bucket_forests(distinct.select(F.explode("buckets").alias("bucket"), "fp1", "fp2", "id"), CANDIDATE_BITS, hot)
 
 
 def set_forest(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -418,13 +405,10 @@ def set_forest(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([none, *parents]), np.concatenate([none, *children])
 
 
-def similar_links(members: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``a, b`` between the ids of ``component, id, text``: a forest of the links of a
-    similarity of at least ``percent`` inside each component. A component of more
-    than ``block_chars`` is dealt into pairs of blocks like a crowded bucket."""
-    sizes = members.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text")) / block_chars)).alias("blocks"))
-    dealt = members.join(sizes, "component").select("component", F.explode(_block_pairs(F.col("blocks"))).alias("sub"), "id", "text")
-    dealt = dealt.repartition("component", "sub").sortWithinPartitions("component", "sub")
+def similar_links(members: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT) -> DataFrame:
+    """``a, b`` between the ids of ``component, sub, id, text``: a forest of the links
+    of a similarity of at least ``percent`` inside each component's groups ``sub``."""
+    dealt = members.select("component", "sub", "id", "text").repartition("component", "sub").sortWithinPartitions("component", "sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, sets = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), []
@@ -435,7 +419,7 @@ def similar_links(members: DataFrame, *, k: int = 5, percent: int = LEAST_PERCEN
             if not done:
                 keys = np.concatenate([keys, np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])])
                 ids = np.concatenate([ids, batch.column(2).to_numpy()])
-                sets += [np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in texts_of(batch.column(3))]
+                sets += [np.unique(shingle_hashes(t, k)) for t in texts_of(batch.column(3))]
             if not len(ids):
                 continue
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -452,33 +436,42 @@ def similar_links(members: DataFrame, *, k: int = 5, percent: int = LEAST_PERCEN
 
 
 def drop_similar(
-    docs: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT, hot: int = HOT_BUCKET, block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT, hot: int = CROWDED_BUCKET, block_chars: int = BLOCK_CHARS, segments: tuple[int, int] | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest id
     that links reach. Documents link where the Jaccard similarity of their sets of
     ``k``-word shingles is ``percent`` (80 at least) or more. Fingerprints fetch the
-    candidates and miss about one of 160 pairs of a similarity of just 0.8, fewer
-    above; no link is made on a fingerprint alone.
+    candidates and miss about one of 200 pairs of a similarity of just 0.8, fewer
+    above; no link is made on a fingerprint alone. ``segments`` are the bits and
+    the number of the segments, by default those that ``layout`` has for the rows.
 
     Ids are integers. Rows that repeat an id are one document, which stays if one
-    of its texts is the first of its copies and no link leads to a smaller id; one
-    row of it stays. Rows with a null id can't be named and all stay. Texts without
-    a word link to each other; an empty table gives an empty result.
+    of its texts is the first of its copies and no link leads to a smaller id; the
+    row of its smallest text stays. Rows with a null id can't be named and all stay.
+    Texts without a word link to each other; an empty table gives an empty result.
+    A component of candidates of more than ``block_chars`` is dealt into pairs of
+    blocks like a crowded bucket.
     """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError("the segments reach a similarity of 80 percent")
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # Rows are few bytes here and become over a hundred each: a number of partitions
-    # that is given keeps them from being coalesced into one.
+    bits, n_segments = segments or layout(docs.count())
+    # Rows are few bytes here and become many: a number of partitions that is given
+    # keeps them from being coalesced into one.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = shingle_sets(named, k=k, percent=percent)
-    distinct = cut(sets.groupBy(*sets.columns[1:]).agg(F.min("doc_id").alias("id")).repartition(n, "id"))
-    near = connected_components(candidate_links(distinct, percent=percent, hot=hot))
-    members = named.withColumnRenamed("doc_id", "id").join(near.withColumnRenamed("node", "id"), "id").select("component", "id", "text")
-    found = connected_components(similar_links(members, k=k, percent=percent, block_chars=block_chars)).where("node <> component")
+    sets = shingle_sets(named, k=k, percent=percent, bits=bits, n_segments=n_segments)
+    distinct = cut(sets.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n", "fp1", "fp2")), F.first("buckets").alias("buckets")).repartition(n, "id"))
+    near = cut(connected_components(candidate_links(distinct, hot=hot)).select(F.col("node").alias("id"), "component"))
+    # Shingles are about as many as words, of six characters on average.
+    sizes = near.join(distinct.select("id", "n"), "id").groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 6 / block_chars)).alias("blocks"))
+    dealt = near.join(sizes, "component").select("id", "component", F.explode(_block_pairs(F.col("blocks"))).alias("sub"))
+    members = named.withColumnRenamed("doc_id", "id").join(dealt, "id")
+    found = connected_components(similar_links(members, k=k, percent=percent)).where("node <> component")
     first = distinct.join(found.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    kept = docs.join(first, id_col, "left_semi")
+    order = Window.partitionBy(id_col).orderBy(F.col(text_col), F.xxhash64(*docs.columns))
+    kept = kept.select(*docs.columns, F.row_number().over(order).alias("_row of its id")).where(F.col("_row of its id") == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 

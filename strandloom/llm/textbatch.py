@@ -11,12 +11,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters handled at a time; bounds the memory of the arrays below.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 500_000
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache
@@ -37,6 +37,15 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, limit: int, rows: int = 1 << 30) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of consecutive slices of a batch of about ``limit`` bytes
+    and at most ``rows`` rows (one at least); only a slice's texts are Python strings."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in chunks(sizes, limit):
+        for lo in range(a, b, rows):
+            yield lo, texts_of(column.slice(lo, min(b, lo + rows) - lo))
+
+
 def chunks(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of about ``limit`` characters, one row at least."""
     lo, total = 0, 0
@@ -110,38 +119,70 @@ def pretoken_starts(cps: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+#: Bytes of a span hashed block by block with others; longer spans are hashed one by one.
+LONG_SPAN = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _blocks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one integer, without a copy."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of ``data[s:e]`` for all spans: differences of one prefix
-    polynomial over mixed symbols, brought to a common power, then mixed with
-    the length."""
-    base = _base(seed)
-    n = len(data)
-    power = np.full(n + 1, base, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    prefix = np.zeros(n + 1, np.uint64)
-    mixed = data.astype(np.uint64)
-    mixed += np.uint64(seed + 1)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= power[:n]
-    np.cumsum(mixed, out=prefix[1:])
-    value = prefix[ends] - prefix[starts]
-    value *= power[n - starts]
-    value *= _unpower(base, n)  # the weight is now the same wherever the span lies
-    value += (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    return mix(value)
-
-
-def _base(seed: int) -> np.uint64:
-    """An odd multiplier for each seed."""
-    return np.uint64((int(_BASE) + 2 * seed * 0x51ED2701 + (seed > 0) * 0x6A09E667F3BCC908) % (1 << 64))
-
-
-def _unpower(base: np.uint64, n: int) -> np.uint64:
-    """Inverse of ``base ** n`` modulo 2 ** 64, so that hashes don't depend on
-    the batch a span lies in."""
-    return np.uint64(pow(int(base), -n, 1 << 64))
+    """64-bit hash of the bytes ``data[s:e]`` for all spans: blocks of eight bytes
+    are mixed in one after another, XXH3 takes spans beyond ``LONG_SPAN``."""
+    import xxhash
+
+    size = ends - starts
+    h = (size.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    blocks, live, done = _blocks_of(data), np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        own = h[live] ^ (blocks[starts[live] + done] & _MASKS[np.minimum(size[live] - done, 8)])
+        own *= np.uint64(0xBF58476D1CE4E5B9)
+        own ^= own >> np.uint64(32)
+        own *= np.uint64(0x94D049BB133111EB)
+        h[live] = own ^ (own >> np.uint64(29))
+        done += 8
+        live = live[size[live] > done]
+    long = np.flatnonzero(size > LONG_SPAN)
+    if len(long):
+        view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+        h[long] = np.fromiter((digest(view[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return mix(h)
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, at: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes ``data[s:s + n]`` equal those of ``other`` at ``at``."""
+    same = sizes == other_sizes
+    a, b, done = _blocks_of(data), _blocks_of(other), 0
+    live = np.flatnonzero(same & (sizes > 0))
+    while len(live) and done < LONG_SPAN:
+        differ = ((a[starts[live] + done] ^ b[at[live] + done]) & _MASKS[np.minimum(sizes[live] - done, 8)]) != 0
+        same[live[differ]] = False
+        done += 8
+        live = live[~differ & (sizes[live] > done)]
+    for i in live.tolist():
+        same[i] = np.array_equal(data[starts[i] + done : starts[i] + sizes[i]], other[at[i] + done : at[i] + sizes[i]])
+    return same
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hash, span, entry``: the hash and the first span of every distinct byte
+    string, by ascending hash, and each span's entry. Bytes are compared, so
+    different strings of one hash are entries of their own."""
+    if hashes is None:
+        hashes = span_hashes(data, starts, starts + sizes)
+    found, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+    rest = np.flatnonzero(at[back] != np.arange(len(hashes)))
+    while len(rest := rest[~same_spans(data, starts[rest], sizes[rest], data, starts[at[back[rest]]], sizes[at[back[rest]]])]):
+        more, first, own = np.unique(hashes[rest], return_index=True, return_inverse=True)
+        back[rest] = len(at) + own
+        found, at = np.concatenate([found, more]), np.concatenate([at, rest[first]])
+    order = np.argsort(found, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], at[order], place[back]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -160,32 +201,32 @@ def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Distinct pre-tokens of a batch (as UTF-8 spans) and each document's parse."""
+    """Distinct pre-tokens of a batch (as UTF-8 spans) and each document's parse.
+    Pre-tokens are told apart by their bytes; hashes only order them."""
 
     def __init__(self, texts: list[str]):
-        doc_counts, uniq, blobs, sizes, inverse = [], [], [], [], []
+        none = np.zeros(0, np.int64)
+        doc_counts, hashes, blobs, sizes, entries = [none], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)], [none], []
         for lo, hi in chunks([len(t) for t in texts]):
             cps, doc_starts = code_points(texts[lo:hi])
             starts = pretoken_starts(cps, doc_starts)
             offsets = utf8_offsets(cps)
             data = np.frombuffer("".join(texts[lo:hi]).encode("utf-8", "surrogatepass"), np.uint8)
-            b0 = offsets[starts]
-            b1 = np.append(b0[1:], len(data))
+            begin = offsets[starts]
+            size = np.diff(np.append(begin, len(data)))
             doc_counts.append(np.diff(np.searchsorted(starts, doc_starts)))
-            u, at, back = np.unique(span_hashes(data, b0, b1), return_index=True, return_inverse=True)
-            size = (b1 - b0)[at]
-            uniq.append(u)
-            inverse.append(back)
-            sizes.append(size)
-            blobs.append(data[ragged_index(b0[at], size)])
-        none = np.zeros(0, np.int64)
-        all_size = np.concatenate([none, *sizes])
-        all_start = np.cumsum(all_size) - all_size
-        blob = np.concatenate([np.zeros(0, np.uint8), *blobs])
+            h, at, entry = distinct_spans(data, begin, size)
+            hashes.append(h)
+            entries.append(entry.astype(np.uint32))
+            sizes.append(size[at])
+            blobs.append(data[ragged_index(begin[at], size[at])])
+        size, blob = np.concatenate(sizes), np.concatenate(blobs)
+        begin = np.cumsum(size) - size
         #: Hash, bytes and length of every distinct pre-token, by ascending hash.
-        self.hashes, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *uniq]), return_index=True)
-        self.sizes = all_size[at]
-        self.blob = blob[ragged_index(all_start[at], self.sizes)]
+        self.hashes, at, entry = distinct_spans(blob, begin, size, np.concatenate(hashes))
+        self.sizes = size[at]
+        self.blob = blob[ragged_index(begin[at], self.sizes)]
+        entry, firsts = entry.astype(np.uint32), np.cumsum([len(h) for h in hashes])
         #: Pre-tokens of every document, as numbers of distinct pre-tokens.
-        self.parse = np.concatenate([none, *(np.searchsorted(self.hashes, u)[back] for u, back in zip(uniq, inverse, strict=True))]).astype(np.uint32)
-        self.doc_counts = np.concatenate([none, *doc_counts])
+        self.parse = np.concatenate([np.zeros(0, np.uint32), *(entry[f : f + len(h)][e] for f, h, e in zip(firsts[:-1], hashes[1:], entries, strict=True))])
+        self.doc_counts = np.concatenate(doc_counts)

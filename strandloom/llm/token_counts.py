@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import bpe
-from strandloom.llm.textbatch import Words, chunks, texts_of
+from strandloom.llm.textbatch import Words, text_slices
 from strandloom.session import table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Characters whose pre-tokens are made distinct together.
-BLOCK_CHARS = 24_000_000
+#: Bytes of text whose pre-tokens are made distinct together.
+BLOCK_BYTES = 8_000_000
 
 
 @lru_cache(maxsize=2)
@@ -51,19 +51,18 @@ def count_tokens(
     ``tokenizer_path`` names a tokenizers file with a byte-level BPE model. No
     begin, end or other special tokens are added and nothing is truncated. A null
     or empty text has 0 bytes and 0 tokens; null ids are carried; repeated rows
-    give repeated results; other columns are ignored. Distinct pre-tokens are
-    told apart by 64-bit hashes within a worker.
+    give repeated results; other columns are ignored. Pre-tokens
+    are told apart by their bytes.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for lo, hi in chunks([len(t) for t in texts], BLOCK_CHARS):
-                n = count_batch(texts[lo:hi], tokenizer_path)
-                size = [len(t.encode("utf-8", "surrogatepass")) for t in texts[lo:hi]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=schema.names)
+            for lo, texts in text_slices(batch.column(1), BLOCK_BYTES):
+                n = count_batch(texts, tokenizer_path)
+                size = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(texts)), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm import bpe
-from strandloom.llm.textbatch import Words, chunks, texts_of
+from strandloom.llm.textbatch import Words, text_slices
 from strandloom.session import scratch_path, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-BLOCK_CHARS = 8_000_000
+#: Bytes of text whose pre-tokens are made distinct together.
+BLOCK_BYTES = 4_000_000
 
 
 @lru_cache(maxsize=2)
@@ -94,13 +95,13 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for lo, hi in chunks([len(t) for t in texts], BLOCK_CHARS):
-                ids, counts = encode_batch(texts[lo:hi], tokenizer_path, end_id)
+            for lo, texts in text_slices(batch.column(1), BLOCK_BYTES):
+                ids, counts = encode_batch(texts, tokenizer_path, end_id)
+                n = len(texts)
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.full(hi - lo, part), pa.int32()), pa.array(before + ends - counts, pa.int64()), pa.array(counts, pa.int64()), lists],
+                    [batch.column(0).slice(lo, n), pa.array(np.full(n, part), pa.int32()), pa.array(before + ends - counts, pa.int64()), pa.array(counts, pa.int64()), lists],
                     schema=pa.schema([("doc_id", batch.schema.field(0).type), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), pa.field("ids", pa.list_(pa.field("element", pa.int32(), False)))]),
                 )
                 before += int(ends[-1])
@@ -117,7 +118,8 @@ def read_token_files(spark: SparkSession, path: str, id_type: T.DataType) -> Dat
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = totals.select("part", before.alias("before"))
-    return rows.join(places, "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    # One row of two integers a file: bounded by the number of files, which Spark lists anyway.
+    return rows.join(F.broadcast(places), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def id_checksums(tokens: DataFrame) -> DataFrame:

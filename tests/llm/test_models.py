@@ -38,8 +38,9 @@ def test_language_edge_cases(spark, model):
     got = {(r.doc_id): r for r in language.identify(df, model).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and all(got[i].rejected and got[i].score == 0 for i in (1, 2, 3))
     assert got[4].lang_pred == "de" and got[7].lang_pred == "en" and got[None].lang_pred == "en" and got[6].rejected
-    kept = language.identify(df, model, keep_input=True)
-    assert kept.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"] and kept.count() == len(rows)
+    clashing = df.selectExpr("*", "doc_id AS lang_pred", "'x' AS rejected")
+    kept = language.keep_identified(clashing, model)
+    assert kept.columns == clashing.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in clashing.collect() if not got[r.doc_id].rejected)
     assert language.identify(df.where("false"), model).count() == 0
 
 
@@ -168,6 +169,22 @@ def test_pii_table(spark, crf):
     assert pii.find(df.where("false"), crf).count() == 0
 
 
+def test_spans_apart():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(300):
+        some = lambda: [(s := rnd.randint(0, 60), s + rnd.randint(1, 12), "x") for _ in range(rnd.randint(0, 9))]
+        spans, taken = some(), some()
+        assert pii.apart(spans, taken) == [x for x in spans if not any(s < x[1] and x[0] < e for s, e, _ in taken)]
+
+
+def test_a_line_of_many_addresses(spark, crf):
+    text = "a.b@c.de 1.2.3.4 " * 20_000
+    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), crf).collect()
+    assert len(row.base) == 40_000 and set(row.base) <= set(row.spans)
+
+
 def test_pii_query_base(spark):
     docs = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall())
     for r in pii.op6_pii(spark, "/root/testdata/sf0.001").collect():

@@ -62,10 +62,9 @@ def test_simhash_equals_brute_force(spark):
     assert sorted(map(tuple, got)) == want
 
 
-def test_long_documents_are_counted_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK_HASHES", 64)
+def test_long_documents_are_counted_in_pieces():
     t = " ".join(words(random.Random(1), 1000))
-    h = np.array(simhash.shingle_hashes(t) + simhash.shingle_hashes("a b c d"), np.uint64)
+    h = np.concatenate([simhash.shingle_hashes(t), simhash.shingle_hashes("a b c d")])
     assert simhash.fingerprints_of(h, np.array([998, 0, 2])).tolist() == [brute_fingerprint(t), 0, brute_fingerprint("a b c d")]
 
 
@@ -83,50 +82,39 @@ def test_links_of_crowded_buckets(spark, hot):
     assert components(len(x), lambda i, j: (i, j) in links) == want
 
 
-def brute_wide(text, k=5):
-    """Bits of the set of k-word shingles, first and second 64."""
-    h = np.unique(np.array(simhash.shingle_hashes(text or "", k), np.uint64))
-    return [sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in x) > len(x)) for x in (h, textbatch.mix(h))]
-
+def test_query_names_and_formats(spark):
+    import duckdb
 
-def near_wide(a, b):
-    return sum(bin(x ^ y).count("1") for x, y in zip(a, b, strict=True)) <= 17
+    d = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{d}/documents.parquet' ORDER BY doc_id").fetchall()
+    fps = [brute_fingerprint(t) for _, t in rows]
+    comp = components(len(rows), lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 3)
+    want = [(i, f"{f:016x}", rows[c][0]) for (i, _), f, c in zip(rows, fps, comp, strict=True)]
+    got = simhash.op5_simhash(spark, d)
+    assert got.columns == ["doc_id", "fingerprint", "component_id"] and sorted(map(tuple, got.collect())) == want
 
 
 def brute_kept(rows):
-    """Ids of the smallest document of each group; ids are distinct."""
+    """Ids of the smallest document of each group of a similarity of 0.8; ids are distinct."""
     rows = sorted(rows, key=lambda r: r[0])
-    fps = [brute_wide(t) for _, t in rows]
-    return sorted({rows[c][0] for c in components(len(rows), lambda i, j: near_wide(fps[i], fps[j]))})
+    sets = [set(simhash.shingle_hashes(t or "", 5).tolist()) for _, t in rows]
+    near = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    return sorted({rows[c][0] for c in components(len(rows), near)})
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_one_document_of_each_group_stays(spark, hot):
+@pytest.mark.parametrize(("hot", "block"), [(50_000, 4_000_000), (3, 3000)])
+def test_one_document_of_each_group_stays(spark, hot, block):
     rows = near_table()
-    docs = spark.createDataFrame([*((i, t, 7) for i, t in rows), (None, "lost id", 7), (None, "lost id", 7)], "doc_id long, text string, fp int")
-    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs, hot=hot).collect()]
-    assert sorted(k for k in kept if k is not None) == brute_kept(dict(rows).items()) and kept.count(None) == 2
-    # Of two texts of 300 words that differ in one word, one stays.
-    assert not {k for k in kept if k and k >= 200 and k % 10 == 1}
-
-
-@pytest.mark.parametrize("hot", [4096, 5])
-def test_wide_links_of_crowded_buckets(spark, hot, monkeypatch):
-    monkeypatch.setattr(simhash, "TESTED_BUCKET", 4)
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.integers(0, 2**64, (20, 2), dtype=np.uint64) for _ in range(4)])
-    for _ in range(9):
-        x[20:] ^= np.uint64(1) << rng.integers(0, 64, x[20:].shape, dtype=np.uint64)
-        x = np.concatenate([x, x[:20] ^ (np.uint64(1) << rng.integers(0, 64, (20, 2), dtype=np.uint64)), x[-20:] ^ (np.uint64(1) << rng.integers(0, 64, (20, 2), dtype=np.uint64))])
-    rows = [(i, *map(int, r)) for i, r in enumerate(x.view(np.int64))]
-    got = {(r.a, r.b) for r in simhash.wide_links(spark.createDataFrame(rows, "id long, fp long, fp2 long"), hot=hot).collect()}
-    near = lambda i, j: near_wide([int(v) for v in x[i]], [int(v) for v in x[j]])
-    assert got and all(near(a, b) for a, b in got)
-    assert components(len(x), lambda i, j: (i, j) in got or (j, i) in got) == components(len(x), near)
+    docs = spark.createDataFrame([*((i, t, 7) for i, t in rows), (None, "lost id", 7), (None, "lost id", 7), (900, "row b", 1), (900, "row a", 2), (900, "row a", 3)], "doc_id long, text string, fp int")
+    kept = simhash.drop_similar(docs, hot=hot, block_chars=block).collect()
+    ids = [r.doc_id for r in kept]
+    assert sorted(k for k in ids if k is not None) == sorted([*brute_kept(dict(rows).items()), 900]) and ids.count(None) == 2
+    # Of two texts of 300 words that differ in one word, one stays; of rows of one id that of the smallest text.
+    assert not {k for k in ids if k and 200 <= k < 900 and k % 10 == 1} and [r.text for r in kept if r.doc_id == 900] == ["row a"]
 
 
 def jaccard(a, b, k=5):
-    a, b = set(simhash.shingle_hashes(a, k)), set(simhash.shingle_hashes(b, k))
+    a, b = (set(simhash.shingle_hashes(x, k).tolist()) for x in (a, b))
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
@@ -144,11 +132,14 @@ def edited_pairs(seed, sizes, n):
     return pairs
 
 
-@pytest.mark.parametrize(("sizes", "hot", "block", "least"), [((8, 9, 12, 20, 35, 42), 4096, 4_000_000, 1.0), ((60, 150, 400), 4096, 4_000_000, 0.98), ((60, 150), 3, 500, 0.98)])
-def test_pairs_are_dropped_by_their_jaccard_similarity(spark, sizes, hot, block, least):
+@pytest.mark.parametrize(
+    ("sizes", "hot", "block", "segments", "least"),
+    [((8, 9, 12, 20, 35, 42), 50_000, 4_000_000, None, 0.995), ((60, 150, 400), 50_000, 4_000_000, None, 0.98), ((60, 150, 400), 50_000, 4_000_000, (24, 27), 0.98), ((60, 150), 3, 500, None, 0.98)],
+)
+def test_pairs_are_dropped_by_their_jaccard_similarity(spark, sizes, hot, block, segments, least):
     pairs = edited_pairs(11, sizes, 500)
     docs = spark.createDataFrame([(2 * i + s, p[s]) for i, p in enumerate(pairs) for s in (0, 1)], "doc_id long, text string")
-    kept = {r.doc_id for r in simhash.drop_similar(docs, hot=hot, block_chars=block).collect()}
+    kept = {r.doc_id for r in simhash.drop_similar(docs, hot=hot, block_chars=block, segments=segments).collect()}
     assert all(2 * i in kept for i in range(len(pairs)))
     similar = [2 * i + 1 not in kept for i, p in enumerate(pairs) if p[2] >= 0.8]
     assert not any(2 * i + 1 not in kept for i, p in enumerate(pairs) if p[2] < 0.8)

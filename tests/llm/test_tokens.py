@@ -117,3 +117,72 @@ def test_empty_tables(spark, tmp_path):
     assert bpe_codec.encode(none, ranks_path=RANKS).count() == 0
     token_files.write_token_files(none, str(tmp_path / "e"), tokenizer_path=JSON)
     assert token_files.read_token_files(spark, str(tmp_path / "e"), none.schema["doc_id"].dataType).count() == 0
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+STRUCTURED = [(20 + k, f"{w}\n{w.translate(str.maketrans('ab', 'ba'))}") for k, w in enumerate(map(thue_morse, (1024, 4096)))]
+
+
+def expected(encode, rows):
+    out = []
+    for i, t in rows:
+        ids = encode(t or "")
+        out.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_words_of_one_hash_stay_apart(spark, library, tik, monkeypatch, weak):
+    """Structured words, and every word under a hash of three bits."""
+    if weak:
+        monkeypatch.setattr(textbatch, "mix", lambda h: h & np.uint64(7))
+    rows = TEXTS + STRUCTURED
+    texts = [t or "" for _, t in rows]
+    w = textbatch.Words(texts)
+    words = [bytes(x) for x in np.split(w.blob, np.cumsum(w.sizes)[:-1])]
+    assert len(set(words)) == len(words)
+    assert ["".join(words[k].decode() for k in p) for p in np.split(w.parse, np.cumsum(w.doc_counts)[:-1])] == texts
+    token_counts._cache.cache_clear()
+    token_files._cache.cache_clear()
+    for _ in range(2):  # with an empty and a filled cache
+        assert token_counts.count_batch(texts, JSON).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        ids, n = token_files.encode_batch(texts, JSON, 2)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    merges = bpe.load_ranks(RANKS)
+    known = bpe.WordCache(lambda blob, sizes: bpe.merge_words(blob, sizes, merges), limit=9)
+    for _ in range(3):
+        ids, starts, counts = known.look(w.hashes, w.blob, w.sizes)
+        flat = bpe.expand(ids, starts, counts, w.parse).tolist()
+        assert flat == [i for t in texts for i in tik.encode_ordinary(t)]
+    token_counts._cache.cache_clear()
+    token_files._cache.cache_clear()
+
+
+def test_structured_words_through_the_codec(spark, tik):
+    got = bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(docs(spark, STRUCTURED), ranks_path=RANKS), ranks_path=RANKS))
+    assert sorted(map(tuple, got.collect())) == expected(tik.encode_ordinary, STRUCTURED)
+
+
+def test_registered_queries_equal_the_libraries(spark, library, tik):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall()
+    assert sorted(map(tuple, bpe_codec.op7_bpe_codec(spark, sf).collect())) == expected(tik.encode_ordinary, rows)
+    plain = [library.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    counts = [(i, len((t or "").encode()), len(x), len(x) > 1024) for (i, t), x in zip(rows, plain, strict=True)]
+    assert sorted(map(tuple, token_counts.op8_token_counts(spark, sf).collect())) == counts
+    start, want = 0, []
+    for (i, _), x in zip(rows, plain, strict=True):
+        want.append((i, start, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())))
+        start += len(x) + 1
+    assert sorted(map(tuple, token_files.op10_token_files(spark, sf).collect())) == want
+
+
+def test_decoding_in_slices(spark, tik, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "SLICE_WORDS", 40)
+    tokens = bpe_codec.encode(docs(spark), ranks_path=RANKS)
+    assert order(map(tuple, bpe_codec.digests(bpe_codec.decode(tokens, ranks_path=RANKS)).collect())) == order(expected(tik.encode_ordinary, TEXTS))
