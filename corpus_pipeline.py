@@ -17,7 +17,7 @@ from strandloom.session import scratch_path, table
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those the classifier rejects go."""
     model = language.fit(docs.where(~language.held_out()))
-    return language.identify(docs, model, keep_input=True).where("not rejected").select(*docs.columns)
+    return language.keep_identified(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
