@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Tokens that stand for a missing cell, and for booleans.
-NULL_TOKENS = ("", "none", "nan", "na", "<na>", "null")
+NULL_TOKENS = ("", "none", "nan", "na", "<na>", "null", "n/a")
 TRUE_TOKENS = ("true", "1", "yes", "t")
 FALSE_TOKENS = ("false", "0", "no", "f")
 
@@ -75,7 +75,16 @@ def hash_uniform(*parts: str | Column) -> Column:
 
 
 def row_hash(cells: list[Column]) -> Column:
-    """SHA-256 of length-framed, kind-tagged cells (E01). Null is ``n``; every
-    other cell is ``s<length>:<text>``."""
-    framed = [F.when(c.isNull(), F.lit("n;")).otherwise(F.concat(F.lit("s"), F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"), F.lit(";"))) for c in cells]
+    """SHA-256 of length-framed, kind-tagged cells (E01). Null is ``n;``; every
+    other cell is ``<kind><length>:<text>;`` with kind ``s`` for strings, ``b`` for
+    booleans, ``i`` for integers of any width, ``f`` for floating-point numbers and
+    ``S<type>`` for the rest, so the integer 1 and the string '1' differ."""
+    def kind(c: Column) -> Column:
+        t = F.typeof(c)
+        return (
+            F.when(t == "string", "s").when(t == "boolean", "b").when(t.isin("tinyint", "smallint", "int", "bigint"), "i")
+            .when(t.isin("float", "double"), "f").otherwise(F.concat(F.lit("S"), t))
+        )
+
+    framed = [F.when(c.isNull(), F.lit("n;")).otherwise(F.concat(kind(c), F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string"), F.lit(";"))) for c in cells]
     return F.sha2(F.concat(*framed), 256)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.operators.statistics import global_rank
 from strandloom.session import cut
 
 
@@ -42,3 +43,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     found = labels.unionByName(roots)
     alone = loops.select(F.col("u").alias("node"), F.col("u").alias("component")).join(found, "node", "left_anti")
     return found.unionByName(alone)
+
+
+def dense_labels(clusters: DataFrame, *, cluster: str = "component") -> DataFrame:
+    """Adds ``label``: clusters numbered from 0 by their smallest node, which is their
+    name, so in order of first appearance by id (C01)."""
+    names = global_rank(clusters.select(cluster).distinct(), [F.col(cluster)], "_r").select(cluster, (F.col("_r") - 1).alias("label"))
+    return clusters.join(names, cluster)
+
+
+def cut_sweep(edges: DataFrame, nodes: DataFrame, *, weight: str, cuts: list[float], node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
+    """Single linkage at several cuts (C01): ``cut, node, component`` over the edges of
+    at least each cut's weight; a node without one is alone."""
+    out = None
+    for c in cuts:
+        comp = connected_components(edges.where(F.col(weight) >= c), a, b).withColumnRenamed("node", node)
+        at = nodes.select(node).join(comp, node, "left").select(F.lit(c).alias("cut"), node, F.coalesce("component", node).alias("component"))
+        out = at if out is None else out.unionByName(at)
+    return out

@@ -6,11 +6,13 @@ so the running sums are over distinct scores.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.calling import runs
-from strandloom.operators.statistics import global_rank
+from strandloom.operators.statistics import rank_in_group
 
 
 def exact_run_detection(df: DataFrame, *, length: int, contig: str = "contig") -> DataFrame:
@@ -80,29 +82,32 @@ def matched_points(curve: DataFrame, *, score: str, precision: float, recall: fl
 
 
 def reliability(df: DataFrame, *, p: str, label: str, id_col: str, bins: int = 15, by: list[str] | None = None) -> DataFrame:
-    """Equal-mass bins: sizes differ by one at most, the first are larger."""
+    """Equal-mass bins: sizes differ by one at most, the first are larger.
+    ``debiased_gap`` is the gap less the mean absolute deviation of a normal error of
+    the bin's accuracy under its own scores, 0 at the least. Ranks come from range
+    partitions, so no group is sorted by one task."""
     by = by or []
-    if by:
-        b = df.withColumn("bin", F.ntile(bins).over(Window.partitionBy(*by).orderBy(p, id_col)))
-    else:  # the whole table: ranks by range partitions instead of one task's sort
-        ranked = global_rank(df.select(p, label, id_col), [F.col(p), F.col(id_col)], "_rank").withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
-        size, more = F.floor(F.col("_n") / bins), F.col("_n") % bins
-        edge, at = more * (size + 1), F.col("_rank") - 1
-        b = ranked.withColumn("bin", (F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / F.greatest(size, F.lit(1)))) + 1).cast("int"))
-    return b.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("conf"), F.avg(label).alias("acc")).withColumn("gap", F.abs(F.col("conf") - F.col("acc")))
+    ranked = rank_in_group(df.select(*by, p, label, id_col), by=by, order=[p, id_col])
+    size, more = F.floor(F.col("n") / bins), F.col("n") % bins
+    edge, at = more * (size + 1), F.col("rank") - 1
+    b = ranked.withColumn("bin", (F.when(at < edge, F.floor(at / (size + 1))).otherwise(more + F.floor((at - edge) / F.greatest(size, F.lit(1)))) + 1).cast("int"))
+    g = b.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("conf"), F.avg(label).alias("acc"), F.sum(F.col(p) * (1 - F.col(p))).alias("_v"))
+    gap = F.abs(F.col("conf") - F.col("acc"))
+    noise = F.sqrt(F.col("_v")) / F.col("n") * F.lit(math.sqrt(2 / math.pi))
+    return g.withColumn("gap", gap).withColumn("debiased_gap", F.greatest(F.lit(0.0), gap - noise)).drop("_v")
 
 
-def ece(table: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Expected calibration error of reliability bins."""
-    return table.groupBy(*(by or [])).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
+def ece(table: DataFrame, by: list[str] | None = None, gap: str = "gap") -> DataFrame:
+    """Expected calibration error of reliability bins; with ``gap="debiased_gap"``
+    less the mean gap that calibrated scores would show by chance."""
+    return table.groupBy(*(by or [])).agg((F.sum(F.col("n") * F.col(gap)) / F.sum("n")).alias("ece"))
 
 
-def kernel_calibration(df: DataFrame, *, p: str, label: str, bandwidths: list[float]) -> DataFrame:
+def kernel_calibration(df: DataFrame, *, p: str, label: str, bandwidths: list[float], levels: int = 1000) -> DataFrame:
     """Leave-one-out Beta-kernel estimates per bandwidth: mean gap and log
-    likelihood (M05). Rows are first compressed to distinct ``(p, label)``, and
-    the pair join runs over those: with scores of bounded resolution their number
-    is bounded, whatever the rows."""
-    g = df.groupBy(F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k"))
+    likelihood (M05). Scores are rounded to ``levels`` steps first, so at most
+    ``levels + 1`` rows meet each other, whatever the input's size."""
+    g = df.groupBy((F.round(F.col(p) * levels) / levels).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k"))
     a = g.select("p", "n", "k", F.explode(F.array(*[F.lit(h) for h in bandwidths])).alias("h"), F.lit(1).alias("_one"))
     b = g.select(F.col("p").alias("q"), F.col("n").alias("m"), F.col("k").alias("j"), F.lit(1).alias("_one"))
     # log Beta density of p under shapes (q / h + 1, (1 - q) / h + 1), up to its constant in q.
@@ -117,7 +122,53 @@ def kernel_calibration(df: DataFrame, *, p: str, label: str, bandwidths: list[fl
     return est.groupBy("h").agg((F.sum(gap) / F.sum("n")).alias("ece"), F.sum(ll).alias("log_likelihood"))
 
 
-def fit_temperature(df: DataFrame, *, logit: str, label: str, lo: float = 0.05, hi: float = 20.0, points: int = 16, rounds: int = 6) -> float | None:
+def choose_bandwidth(table: DataFrame) -> DataFrame:
+    """The row of ``kernel_calibration`` of the largest leave-one-out likelihood,
+    the smaller bandwidth on a tie (M05)."""
+    return table.orderBy(F.desc("log_likelihood"), "h").limit(1)
+
+
+def brier_decomposition(bins: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Reliability, resolution and uncertainty of reliability bins (M05): their
+    sum with signs, ``reliability - resolution + uncertainty``, is the Brier score of
+    the bins' mean scores."""
+    by = by or []
+    g = bins.groupBy(*by).agg(
+        F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("acc")) / F.sum("n")).alias("base"), (F.sum(F.col("n") * (F.col("conf") - F.col("acc")) ** 2) / F.sum("n")).alias("reliability"),
+        (F.sum(F.col("n") * F.col("acc") ** 2) / F.sum("n")).alias("_sq"),
+    )
+    return g.select(*by, "n", "reliability", (F.col("_sq") - F.col("base") ** 2).alias("resolution"), (F.col("base") * (1 - F.col("base"))).alias("uncertainty"))
+
+
+def unit_grades(df: DataFrame, *, unit: str, p: str, label: str, minimum: int) -> DataFrame:
+    """``n, admissible, brier`` of each unit (M09); units below ``minimum`` rows have
+    no grade. Grades of larger groups follow from another column as ``unit``."""
+    ok = F.col("n") >= minimum
+    g = df.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(p) - F.col(label)) ** 2).alias("_b"))
+    return g.select(unit, "n", ok.alias("admissible"), F.when(ok, F.col("_b")).alias("brier"))
+
+
+def strand_robustness(df: DataFrame, *, id_col: str, confirmed: str) -> DataFrame:
+    """From one row per item and strand (M10): items, those confirmed on any strand,
+    and those whose verdict doesn't depend on it."""
+    per = df.groupBy(id_col).agg(F.bool_or(confirmed).alias("_any"), F.bool_and(confirmed).alias("_all"))
+    return per.agg(F.count(F.lit(1)).alias("n"), F.count_if("_any").alias("confirmed"), F.count_if(F.col("_any") == F.col("_all")).alias("invariant"))
+
+
+def arm_intervals(df: DataFrame, *, arm: str, block: str, score: str, label: str, replicates: int, seed: str, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Bootstrap intervals of average precision (M08): per arm, and of the paired
+    difference between every two arms, over the same replicates of whole blocks.
+    Rows are compressed to arm, block and score before the replicates multiply them."""
+    w = block_bootstrap_weights(df, block=block, replicates=replicates, seed=seed)
+    small = df.groupBy(arm, block, score, label).agg(F.count(F.lit(1)).alias("_k")).join(w, block).withColumn("_wt", F.col("_k") * F.col("weight"))
+    ap = average_precision(ranking_curve(small, score=score, label=label, by=[arm, "rep"], weight="_wt"), by=[arm, "rep"]).select(arm, "rep", "ap")
+    ends = lambda c: (F.percentile(c, F.lit(alpha / 2)).alias("lo"), F.percentile(c, F.lit(1 - alpha / 2)).alias("hi"), F.count(F.lit(1)).alias("n"))
+    other = ap.select(F.col(arm).alias("other"), "rep", F.col("ap").alias("_ap"))
+    pairs = ap.join(other, "rep").where(F.col(arm) < F.col("other")).withColumn("_d", F.col("ap") - F.col("_ap"))
+    return ap.groupBy(arm).agg(*ends("ap")), pairs.groupBy(arm, "other").agg(*ends("_d"))
+
+
+def fit_temperature(df: DataFrame, *, logit: str, label: str, lo: float = 0.05, hi: float = 20.0, points: int = 16, rounds: int = 9) -> float | None:
     """Inverse temperature that makes the likelihood's derivative zero, by
     k-section: each round one job has the derivative at ``points`` places (M06).
     None if the bracket has no sign change."""
@@ -143,7 +194,7 @@ def block_bootstrap_weights(blocks: DataFrame, *, block: str, replicates: int, s
     Blocks are numbered by name; draws and numbers meet in an equi-join."""
     n = blocks.select(block).distinct().withColumn("_i", F.row_number().over(Window.orderBy(block)) - 1)
     size = n.agg(F.count(F.lit(1)).alias("_k"))
-    draws = size.select("_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
+    draws = size.select("_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).repartition("rep").withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("_d").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("_k")
     return draws.select("rep", pick.alias("_i")).join(n, "_i").groupBy("rep", block).agg(F.count(F.lit(1)).alias("weight"))
 

@@ -19,18 +19,22 @@ def curriculum_weights(df: DataFrame, *, strata: list[str], alpha: float) -> Dat
     return out.withColumn("weight", F.col("_w") / out.agg(F.avg("_w")).scalar()).drop("_w")
 
 
-def weighted_draws(df: DataFrame, *, id_col: str, weight: str, draws: DataFrame, seed: str, bins: int = 256) -> DataFrame:
+def weighted_draws(df: DataFrame, *, id_col: str, weight: str, draws: DataFrame, seed: str, rows_per_bin: int = 64, rows_per_part: int = 1_000_000) -> DataFrame:
     """One row of ``df`` per row of ``draws``, with replacement, in proportion to
-    integer weights (E10). Rows get ranges of the running weight; a draw is a hash
-    below the total, and meets its row in one of ``bins`` equal bins."""
+    integer weights (E10). Rows get ranges of the running weight, in order of a hash
+    part and the id; a draw is a hash below the total, and meets its row in one of
+    equal bins, whose number follows from the rows, so that a draw is compared with
+    about ``rows_per_bin`` of them."""
+    n = df.count()
+    bins, n_parts = max(1, -(-n // rows_per_bin)), max(16, -(-n // rows_per_part))
     # Running weights by parts: each part's own, behind the sums of earlier parts.
-    parts = df.select(id_col, weight, F.pmod(F.xxhash64(id_col), F.lit(bins)).alias("_p"))
+    parts = df.select(id_col, weight, (hash_draw("part", F.col(id_col)) % n_parts).alias("_p"))
     own = Window.partitionBy("_p").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy("_p").agg(F.sum(weight).alias("_s"))
     before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     rows = parts.withColumn("_own", F.coalesce(F.sum(weight).over(own), F.lit(0))).join(before, "_p").select(id_col, weight, (F.col("_start") + F.col("_own")).alias("_lo"))
     rows = rows.withColumn("_hi", F.col("_lo") + F.col(weight)).withColumn("_t", parts.agg(F.sum(weight)).scalar())
-    size = F.ceil(F.col("_t") / bins)
+    size = F.greatest(F.lit(1), F.ceil(F.col("_t") / bins))
     spread = rows.where(F.col(weight) > 0).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor((F.col("_hi") - 1) / size)))).select(id_col, "_lo", "_hi", "_b")
     d = draws.select(F.col(id_col).alias("draw")).withColumn("_t", parts.agg(F.sum(weight)).scalar()).withColumn("_x", hash_draw(seed, F.col("draw")) % F.col("_t")).withColumn("_b", F.floor(F.col("_x") / size))
     return d.join(spread, "_b").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("draw", id_col)

@@ -18,13 +18,18 @@ def reservoir(df: DataFrame, id_col: str, *, head: int, k: int, seed: str) -> Da
     return df.where(F.col(id_col) < head).orderBy(h, id_col).limit(k)
 
 
-def table_digest(hashes: DataFrame) -> DataFrame:
-    """Digest of a table of row hashes ``h`` that ignores order: sorted hashes
-    per bucket of their first two digits, then the buckets' digests (E01)."""
+def table_digest(hashes: DataFrame, *, by: list[str] | None = None, digits: int = 4) -> DataFrame:
+    """Digest of a table of row hashes ``h`` that ignores order, one per group
+    ``by`` (E01): sorted hashes per bucket of their first ``digits`` digits, then the
+    digests of up to 256 buckets at a time, two digits less at each level. A bucket
+    holds rows / 16**digits hashes; two more digits divide it by 256."""
+    by = by or []
     join = lambda c: F.sha2(F.array_join(c, "\n"), 256)
-    per = hashes.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.count(F.lit(1)).alias("n"), join(F.array_sort(F.collect_list("h"))).alias("h"))
-    pairs = F.array_sort(F.collect_list(F.struct("b", "h")))
-    return per.agg(join(F.transform(pairs, lambda x: x["h"])).alias("digest"), F.sum("n").alias("n"))
+    level = hashes.groupBy(*by, F.substring("h", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("n"), join(F.array_sort(F.collect_list("h"))).alias("h"))
+    for left in range(digits - 2, -1, -2):
+        pairs = F.array_sort(F.collect_list(F.struct("b", "h")))
+        level = level.groupBy(*by, F.substring("b", 1, left).alias("c")).agg(join(F.transform(pairs, lambda x: x["h"])).alias("h"), F.sum("n").alias("n")).withColumnRenamed("c", "b")
+    return level.select(*by, F.col("h").alias("digest"), "n")
 
 
 def stratified_round_robin(df: DataFrame, *, stratum: str, id_col: str, n: int, cap: int, seed: str) -> DataFrame:

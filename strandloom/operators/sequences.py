@@ -33,24 +33,44 @@ def shared_kmer_hosts(items: DataFrame, hosts: DataFrame, *, k: int, item_id: st
     return a.join(b, "kmer").groupBy(item_id, host_id).agg(F.count(F.lit(1)).alias("n_shared"))
 
 
-def localise(contigs: DataFrame, leaders: DataFrame, *, k: int, contig_id: str, leader_id: str, max_mismatch: float = 0.15, seq_col: str = "seq") -> DataFrame:
-    """Seed and extend (J16): seeds of ``k`` letters every half seed, on both
-    strands of the leader, are joined with the contigs' k-mers; each implied
-    start is verified by mismatches over the leader's length. The best place is
-    ``unique`` or, on a tie, ``ambiguous``."""
-    q = leaders.select(leader_id, F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col(seq_col).alias("q")), F.struct(F.lit(-1).alias("strand"), S.reverse_complement(seq_col).alias("q")))).alias("s")).select(leader_id, "s.strand", "s.q")
-    at = F.sequence(F.lit(0), F.length("q") - k, F.lit(max(1, k // 2)))
-    seeds = q.where(F.length("q") >= k).withColumn("o", F.explode(at)).select(leader_id, "strand", "q", "o", F.substr("q", F.col("o") + 1, F.lit(k)).alias("kmer"))
+#: Places around its predicted one at which a segment is tried, nearest first.
+SHIFTS = (0, -1, 1, -2, 2, -3, 3, -4, 4, -5, 5)
+
+
+def localise(contigs: DataFrame, segments: DataFrame, *, k: int, contig_id: str, leader_id: str, max_mismatch: float = 0.15, seq_col: str = "seq") -> DataFrame:
+    """Seed and extend (J16). ``segments`` has ``leader_id, seq, offset``: the parts of
+    each leader of at least ``k`` letters and where they lie from its start, elided
+    stretches between them. Seeds of ``k`` letters every half seed, on both strands,
+    are joined with the contigs' k-mers; each implied start is held against all
+    segments, which may lie up to five letters beside their place with at most
+    ``max_mismatch`` of their letters different, each. Starts rank by mismatches, then
+    by whether all offsets and letters are exact; ``start0, end0`` reach from the first
+    to the last segment found, on the contig's forward strand. A tie between
+    different places is ``ambiguous``."""
+    s = segments.select(leader_id, F.col(seq_col).alias("q"), F.col("offset").cast("long").alias("offset")).where(F.length("q") >= k)
+    span = s.groupBy(leader_id).agg(F.max(F.col("offset") + F.length("q")).alias("_t"), F.count(F.lit(1)).alias("_n"))
+    both = F.array(F.struct(F.lit(1).alias("strand"), F.col("q").alias("q"), F.col("offset").alias("offset")), F.struct(F.lit(-1).alias("strand"), S.reverse_complement("q").alias("q"), (F.col("_t") - F.col("offset") - F.length("q")).alias("offset")))
+    placed = s.join(span, leader_id).select(leader_id, "_n", F.explode(both).alias("s")).select(leader_id, "_n", "s.*")
+    seeds = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.length("q") - k, F.lit(max(1, k // 2))))).select(leader_id, "strand", "offset", "o", F.substr("q", F.col("o") + 1, F.lit(k)).alias("kmer"))
     mers = contigs.select(contig_id, F.posexplode(S.kmers(seq_col, k)).alias("p", "kmer"))
-    starts = seeds.join(mers, "kmer").select(leader_id, contig_id, "strand", "q", (F.col("p") - F.col("o")).alias("start0")).where("start0 >= 0").distinct()
-    placed = starts.join(contigs.select(contig_id, F.col(seq_col).alias("c")), contig_id).where(F.col("start0") + F.length("q") <= F.length("c"))
-    letters = lambda s: F.split(s, "")
-    seen = F.substr("c", F.col("start0") + 1, F.length("q"))
-    wrong = F.size(F.filter(F.zip_with(letters(F.col("q")), letters(seen), lambda a, b: a != b), lambda x: x))
-    ok = placed.withColumn("mismatches", wrong).where(F.col("mismatches") <= F.lit(max_mismatch) * F.length("q"))
-    w = Window.partitionBy(leader_id)
-    best = ok.withColumn("_b", F.min("mismatches").over(w)).where(F.col("mismatches") == F.col("_b"))
-    pick = F.min(F.struct(contig_id, "strand", "start0", "mismatches")).alias("b")
+    starts = seeds.join(mers, "kmer").select(leader_id, contig_id, "strand", (F.col("p") - F.col("o") - F.col("offset")).alias("start0")).distinct()
+    tried = starts.join(placed, [leader_id, "strand"]).join(contigs.select(contig_id, F.col(seq_col).alias("c")), contig_id)
+    letters = lambda x: F.split(x, "")
+    n = F.length("q")
+
+    def at(d: int):
+        pos = F.col("start0") + F.col("offset") + d
+        wrong = F.size(F.filter(F.zip_with(letters(F.col("q")), letters(F.substr("c", (pos + 1).cast("int"), n)), lambda a, b: a != b), lambda x: x))
+        inside = (pos >= 0) & (pos + n <= F.length("c"))
+        return F.when(inside & (wrong <= F.lit(max_mismatch) * n), F.struct(pos.alias("pos"), wrong.alias("wrong"), F.lit(d).alias("shift")))
+
+    held = tried.withColumn("hit", F.coalesce(*(at(d) for d in SHIFTS)))
+    whole = held.groupBy(leader_id, contig_id, "strand", "start0", "_n").agg(
+        F.count("hit").alias("_k"), F.min("hit.pos").alias("lo"), F.max(F.col("hit.pos") + n).alias("hi"), F.sum("hit.wrong").alias("mismatches"), F.bool_and((F.col("hit.wrong") == 0) & (F.col("hit.shift") == 0)).alias("exact"),
+    ).where(F.col("_k") == F.col("_n"))
+    places = whole.groupBy(leader_id, contig_id, "strand", F.col("lo").alias("start0"), F.col("hi").alias("end0")).agg(F.min(F.struct("mismatches", (~F.col("exact")).alias("inexact"))).alias("quality"))
+    best = places.withColumn("_b", F.min("quality").over(Window.partitionBy(leader_id))).where(F.col("quality") == F.col("_b"))
+    pick = F.min(F.struct(contig_id, "strand", "start0", "end0", F.col("quality.mismatches").alias("mismatches"), (~F.col("quality.inexact")).alias("exact"))).alias("b")
     return best.groupBy(leader_id).agg(F.count(F.lit(1)).alias("n_best"), pick).select(leader_id, F.when(F.col("n_best") == 1, "unique").otherwise("ambiguous").alias("status"), "n_best", "b.*")
 
 
@@ -106,14 +126,38 @@ def mono_shuffle(df: DataFrame, *, id_col: str, seq_col: str, seed: str) -> Data
     return keyed.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "p", "c"))), lambda x: x["c"]), "").alias("decoy"))
 
 
-def embed_decoys(hosts: DataFrame, decoys: DataFrame, *, seed: str, host_id: str = "host_id", decoy_id: str = "decoy_id") -> DataFrame:
+def gc_matched(df: DataFrame, *, id_col: str, seq_col: str, seed: str) -> DataFrame:
+    """A sequence of the same length drawn letter by letter (E13): G or C with the
+    sequence's own share of them, each of a pair with a chance of one half. Draws are
+    hashes of id and place."""
+    share = F.try_divide(F.length(F.regexp_replace(F.upper(seq_col), "[^GC]", "")), F.length(seq_col))
+    at = F.posexplode(F.filter(F.split(seq_col, ""), lambda c: c != "")).alias("p", "c")
+    u = hash_draw(seed, F.col(id_col), F.col("p"))
+    strong = (u % 1_000_000) / F.lit(1_000_000.0) < F.col("_gc")
+    odd = (u / F.lit(1_000_000)).cast("long") % 2 == 1
+    letter = F.when(strong, F.when(odd, "G").otherwise("C")).otherwise(F.when(odd, "A").otherwise("T"))
+    drawn = df.select(id_col, share.alias("_gc"), F.col(seq_col)).select(id_col, "_gc", at).select(id_col, "p", letter.alias("d"))
+    return drawn.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "").alias("decoy"))
+
+
+def column_shuffle(rows: DataFrame, *, alignment: str, row: str, aligned: str, seed: str) -> DataFrame:
+    """Rows of each alignment with its columns in one hash order (E13): conservation
+    and gaps of a column stay together, neighbours don't."""
+    cols = F.posexplode(F.filter(F.split(aligned, ""), lambda c: c != "")).alias("p", "c")
+    keyed = rows.select(alignment, row, cols).withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col(alignment).cast("string"), F.col("p").cast("string"))))
+    return keyed.groupBy(alignment, row).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("h", "p", "c"))), lambda x: x["c"]), "").alias("decoy"))
+
+
+def embed_decoys(hosts: DataFrame, decoys: DataFrame, *, seed: str, host_id: str = "host_id", decoy_id: str = "decoy_id", hosts_per_bucket: int = 100_000) -> DataFrame:
     """Each decoy spliced into a host of its bucket at a hash-chosen phase.
-    Hosts are numbered by hash inside 16 buckets, so the choice is an equi-join."""
+    Hosts are numbered by hash inside buckets, so the choice is an equi-join; there
+    are 16 buckets or one for each ``hosts_per_bucket`` hosts."""
+    n = max(16, -(-hosts.count() // hosts_per_bucket))
     w = Window.partitionBy("_b").orderBy("_h", host_id)
-    h = hosts.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}h:"), F.col(host_id).cast("string")))).withColumn("_b", hash_draw(f"{seed}b", F.col(host_id)) % 16)
+    h = hosts.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}h:"), F.col(host_id).cast("string")))).withColumn("_b", hash_draw(f"{seed}b", F.col(host_id)) % n)
     h = h.withColumn("_n", F.row_number().over(w) - 1).select(host_id, F.col("seq").alias("host"), "_b", "_n")
     sizes = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_k"))
-    d = decoys.withColumn("_b", hash_draw(f"{seed}d", F.col(decoy_id)) % 16).join(F.broadcast(sizes), "_b")
+    d = decoys.withColumn("_b", hash_draw(f"{seed}d", F.col(decoy_id)) % n).join(F.broadcast(sizes), "_b")
     d = d.withColumn("_n", hash_draw(f"{seed}n", F.col(decoy_id)) % F.col("_k")).join(h, ["_b", "_n"]).where(F.length("host") >= F.length("insert"))
     phase = hash_draw(f"{seed}p", F.col(decoy_id)) % (F.length("host") - F.length("insert") + 1)
     d = d.withColumn("phase", phase)

@@ -10,9 +10,21 @@ from strandloom.session import cut
 
 def nearest_rank(df: DataFrame, value: str, q: float, *, by: list[str], id_col: str) -> DataFrame:
     """Value of rank ``ceil(q * n)`` in each group, and ``n`` (A10)."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value, id_col)).alias("_r"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.where(F.col("_r") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))).select(*by, F.col(value).alias("value"), "n")
+    ranked = rank_in_group(df.where(F.col(value).isNotNull()).select(*by, value, id_col), by=by, order=[value, id_col])
+    return ranked.where(F.col("rank") == F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n")))).select(*by, F.col(value).alias("value"), "n")
+
+
+def linear_percentiles(df: DataFrame, value: str, qs: dict[str, float], *, by: list[str], id_col: str) -> DataFrame:
+    """Percentiles by linear interpolation between the two nearest ranks of each
+    group (A10), a column for each name of ``qs``; no group is held by one task."""
+    ranked = rank_in_group(df.where(F.col(value).isNotNull()).select(*by, value, id_col), by=by, order=[value, id_col])
+
+    def part(q: float) -> Column:
+        at = F.lit(q) * (F.col("n") - 1) + 1
+        share = F.when(F.col("rank") == F.floor(at), 1 - (at - F.floor(at))).when(F.col("rank") == F.floor(at) + 1, at - F.floor(at))
+        return F.sum(F.when(share > 0, share * F.col(value)))
+
+    return ranked.groupBy(*by).agg(*(part(q).alias(name) for name, q in qs.items()))
 
 
 def ks_statistic(df: DataFrame, value: str, arm: str, first, second, *, by: list[str]) -> DataFrame:
@@ -33,6 +45,40 @@ def wilson(k: Column, n: Column, z: float = 1.959964) -> tuple[Column, Column]:
     return (mid - half) / den, (mid + half) / den
 
 
+def binomial_se(k: Column, n: Column) -> Column:
+    """Standard error of the share ``k`` of ``n``."""
+    p = F.try_divide(k, n)
+    return F.sqrt(F.try_divide(p * (1 - p), n))
+
+
+def minimum_detectable_effect(p: Column, n: Column, *, z_alpha: float = 1.959964, z_power: float = 0.841621) -> Column:
+    """Smallest difference from a rate ``p`` that two arms of ``n`` show at the given
+    normal quantiles of level and power (A12)."""
+    return F.lit(z_alpha + z_power) * F.sqrt(F.try_divide(2 * p * (1 - p), n))
+
+
+def false_discovery_budget(rate: Column, tested: Column, accepted: Column) -> Column:
+    """Share of accepted items that a false-pass rate among those tested allows to be
+    false, 1 at most (A12)."""
+    return F.least(F.lit(1.0), F.try_divide(rate * tested, accepted))
+
+
+def rank_in_group(df: DataFrame, *, by: list[str], order: list[str]) -> DataFrame:
+    """``rank`` (1..n) of each row in its group by a total order, and ``n``, from one
+    global rank: a large group is spread over tasks like any other rows. Groups
+    ``by`` are few; null is one."""
+    ranked = global_rank(df, [*(F.col(c) for c in by), *(F.col(c) for c in order)], "_rank")
+    if not by:
+        return ranked.withColumnRenamed("_rank", "rank").withColumn("n", df.agg(F.count(F.lit(1))).scalar())
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*(F.col(c).alias(f"_g_{c}") for c in by), "n", before.alias("_before"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return ranked.join(sizes, same).withColumn("rank", F.col("_rank") - F.col("_before")).select(*df.columns, "rank", "n")
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Dense position 1..n in a total order without a single-task sort: rows are
     range-partitioned, numbered inside partitions, and each partition's start

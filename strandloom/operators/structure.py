@@ -66,3 +66,38 @@ def pairs_symmetric(pairs: DataFrame, *, id_col: str) -> DataFrame:
     """Rows ``(i, j)`` without their mirror ``(j, i)``."""
     mirror = pairs.select(id_col, F.col("j").alias("i"), F.col("i").alias("j"))
     return pairs.join(mirror, [id_col, "i", "j"], "left_anti")
+
+
+# Watson-Crick partners, and the bases that a wobble pair adds to each.
+PARTNERS = {"A": "U", "U": "A", "G": "C", "C": "G"}
+WOBBLE = {"G": "U", "U": "G"}
+
+
+def pairing_pattern(acceptor: str, n_pairs: int, *, wobble: bool = False) -> str:
+    """Regular expression of ``n_pairs`` residues in a row, 5' to 3', that pair with
+    the acceptor end in any register; ``N`` pairs with all, a register of ``N`` alone
+    doesn't count. With ``wobble`` G pairs with U as well."""
+    ends = acceptor.upper().replace("T", "U")[::-1]
+    if not 1 <= n_pairs <= len(ends) or set(ends) - {*PARTNERS, "N"}:
+        raise ValueError("n_pairs residues must pair with an acceptor of A, C, G, U and N")
+
+    def letter(acc: str) -> str:
+        return "[ACGU]" if acc == "N" else f"[{PARTNERS[acc]}{WOBBLE.get(acc, '') if wobble else ''}]"
+
+    registers = [ends[i : i + n_pairs] for i in range(len(ends) - n_pairs + 1)]
+    registers = [r for r in registers if set(r) != {"N"}]
+    if not registers:
+        raise ValueError("every register is all wildcards")
+    return "|".join("".join(map(letter, r)) for r in registers)
+
+
+def bulge_motif(bulges: DataFrame, *, id_col: str, residues: str, sizes: tuple[int, int], n_pairs: int, acceptor: str = "NCCA", wobble: bool = False) -> DataFrame:
+    """``id, n_bulges, status`` from one row per bulge (E21): ``detected`` if a bulge of
+    admissible size holds residues that pair with the acceptor end, ``absent`` if none
+    does, ``undetectable`` without a bulge of that size. T counts as U."""
+    if not n_pairs <= sizes[0] <= sizes[1]:
+        raise ValueError("the smallest bulge must hold the pairs")
+    own = F.translate(F.upper(residues), "T", "U")
+    sized = F.length(residues).between(*sizes)
+    g = bulges.groupBy(id_col).agg(F.count_if(sized).alias("n_bulges"), F.count_if(sized & own.rlike(pairing_pattern(acceptor, n_pairs, wobble=wobble))).alias("_hits"))
+    return g.select(id_col, "n_bulges", F.when(F.col("n_bulges") == 0, "undetectable").when(F.col("_hits") > 0, "detected").otherwise("absent").alias("status"))

@@ -26,27 +26,28 @@ def parse_dump(lines: DataFrame, names: list[str], value: str = "value") -> Data
     return lines.select(*[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def lineage_by_rank(ids: DataFrame, nodes: DataFrame, merged: DataFrame, *, max_depth: int = 50) -> DataFrame:
+def lineage_by_rank(ids: DataFrame, nodes: DataFrame, merged: DataFrame) -> DataFrame:
     """``taxid, rank, ancestor`` of each id (E23): merged ids are redirected, then
-    parents are joined until nothing moves; a node that is its own parent ends
-    the walk, and a cycle ends at ``max_depth``."""
+    parents are joined until nothing moves, however deep the tree; a node that is
+    its own parent ends the walk, and a parent met before on it is an error."""
     start = ids.select("taxid").distinct().join(merged.select(F.col("old").alias("taxid"), "new"), "taxid", "left")
-    at = start.select("taxid", F.coalesce("new", "taxid").alias("node"))
+    at = start.select("taxid", F.coalesce("new", "taxid").alias("node")).withColumn("path", F.array("node"))
     out = None
     tree = nodes.select(F.col("taxid").alias("node"), "parent", "rank")
-    for _ in range(max_depth):
+    while True:
         step = cut(at.join(tree, "node"))
         here = step.select("taxid", "rank", F.col("node").alias("ancestor"))
         out = here if out is None else out.unionByName(here)
-        at = step.where("parent <> node").select("taxid", F.col("parent").alias("node"))
+        moved = step.where("parent <> node").where(F.when(~F.array_contains("path", F.col("parent")), True).otherwise(F.raise_error(F.concat(F.lit("cycle of parents at "), F.col("parent").cast("string"))).cast("boolean")))
+        at = moved.select("taxid", F.col("parent").alias("node"), F.array_append("path", F.col("parent")).alias("path"))
         if at.isEmpty():
             break
     return out
 
 
 def reconcile_names(rows: DataFrame, vocabulary: DataFrame, synonyms: DataFrame, *, name: str) -> DataFrame:
-    """Fill-only resolution: the row's own name if known, else its synonym, else
-    the scientific name; ``source`` says which (E24)."""
+    """Fill-only resolution: the row's own name if the vocabulary has it, else the
+    name it is a synonym of, else null; ``source`` says which (E24)."""
     v = vocabulary.select(F.col("name").alias(name), F.col("name").alias("_own")).distinct()
     s = synonyms.select(F.col("alias").alias(name), F.col("name").alias("_syn")).dropDuplicates([name])
     j = rows.join(v, name, "left").join(s, name, "left")

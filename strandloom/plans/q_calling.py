@@ -158,11 +158,19 @@ def e20(spark, d):
     return helices(p, id_col="id", minimum=2)
 
 
-@query("e21_bulge_motif", V.with_views("contigs", "SELECT contig_id, length(s) AS n, regexp_matches(s, '[AG]CCA$|^T.CCA') AS motif, CASE WHEN length(s) < 6 THEN NULL ELSE regexp_matches(s, 'TGG[ACGT]') END AS status FROM (SELECT contig_id, substr(seq, (contig_id % 9 + 1)::INT, (contig_id % 14)::INT) AS s FROM contigs)"))
+_E21 = "CASE WHEN count(*) FILTER (WHERE length(s) >= 4) = 0 THEN 'undetectable' WHEN bool_or(length(s) >= 4 AND regexp_matches(s, '{p}')) THEN 'detected' ELSE 'absent' END"
+
+
+@query("e21_bulge_motif", V.with_views("contigs", f"WITH b AS (SELECT contig_id, translate(substr(seq, (contig_id % 9 + 5 * k)::INT + 1, ((contig_id + k) % 7 + 1)::INT), 'T', 'U') AS s FROM contigs, (VALUES (0), (1), (2)) v(k)) SELECT contig_id, count(*) FILTER (WHERE length(s) >= 4) AS n_bulges, {_E21.format(p='UGG|GG[ACGU]')} AS status, {_E21.format(p='[AG][CU]U|[CU]UG')} AS wobbling FROM b GROUP BY contig_id"))
 def e21(spark, d):
-    """Acceptor motif on a bulge's own residues; too small is undetectable (null), not absent."""
-    s = V.contigs(spark, d).selectExpr("contig_id", "substr(seq, cast(contig_id % 9 + 1 AS int), cast(contig_id % 14 AS int)) AS s")
-    return s.select("contig_id", F.length("s").cast("long").alias("n"), F.col("s").rlike("[AG]CCA$|^T.CCA").alias("motif"), F.when(F.length("s") >= 6, F.col("s").rlike("TGG[ACGT]")).alias("status"))
+    """Residues of a bulge that pair with an acceptor end in any register; without a
+    bulge of admissible size the answer is undetectable, not absent."""
+    from strandloom.operators.structure import bulge_motif
+
+    b = V.contigs(spark, d).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).selectExpr("contig_id", "substr(seq, cast(contig_id % 9 + 5 * k AS int) + 1, cast((contig_id + k) % 7 + 1 AS int)) AS s")
+    plain = bulge_motif(b, id_col="contig_id", residues="s", sizes=(4, 7), n_pairs=3)
+    loose = bulge_motif(b, id_col="contig_id", residues="s", sizes=(4, 7), n_pairs=3, acceptor="CAGU", wobble=True)
+    return plain.join(loose.select("contig_id", F.col("status").alias("wobbling")), "contig_id")
 
 
 @query("e22_architecture", V.with_views("scored", "SELECT id, CASE WHEN s1 < 100 THEN NULL ELSE (s1 >= 500 OR (s1 >= 300 AND s2 >= 600) OR s2 >= 850) END AS status, s1 >= 500 AS named, s1 >= 300 AND s2 >= 600 AS short_stem, s2 >= 850 AS class_two FROM scored"))

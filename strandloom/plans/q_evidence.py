@@ -46,13 +46,16 @@ def c09(spark, d):
     return r.select(F.explode(F.split("reason", ";")).alias("cause")).where("cause <> ''").groupBy("cause").agg(_n().alias("n"))
 
 
-@query("c09_threshold_sensitivity", V.with_views("scored", "SELECT t AS threshold, count(*) FILTER (WHERE s2 >= t) AS spared, count(*) FILTER (WHERE s2 < t) AS mined, sha256(coalesce(string_agg(CASE WHEN s2 >= t THEN concat(id, ':spared') ELSE concat(id, ':mined') END, ',' ORDER BY id), '')) AS fingerprint FROM scored, (VALUES (300), (600), (900)) v(t) GROUP BY t"))
+@query("c09_threshold_sensitivity", V.with_views("scored", "WITH o AS (SELECT t AS threshold, s2 >= t AS spared, sha256(concat(id, CASE WHEN s2 >= t THEN ':spared' ELSE ':mined' END)) AS h FROM scored, (VALUES (300), (600), (900)) v(t)), g AS (" + V.digest_sql("SELECT threshold, h FROM o", "threshold") + ") SELECT threshold, spared, mined, digest AS fingerprint FROM g JOIN (SELECT threshold, count(*) FILTER (WHERE spared) AS spared, count(*) FILTER (WHERE NOT spared) AS mined FROM o GROUP BY threshold) USING (threshold)"))
 def c09b(spark, d):
     """Outcome counts and their fingerprint at each threshold."""
+    from strandloom.operators.selection import table_digest
+
     s = V.scored(spark, d).select("id", "s2", F.explode(F.array(*[F.lit(t) for t in (300, 600, 900)])).alias("threshold"))
-    s = s.withColumn("o", F.concat(F.col("id").cast("string"), F.when(F.col("s2") >= F.col("threshold"), ":spared").otherwise(":mined")))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "o"))), lambda x: x["o"]), ",")
-    return s.groupBy("threshold").agg(F.count_if(F.col("s2") >= F.col("threshold")).alias("spared"), F.count_if(F.col("s2") < F.col("threshold")).alias("mined"), F.sha2(lines, 256).alias("fingerprint"))
+    spared = F.col("s2") >= F.col("threshold")
+    o = s.select("threshold", spared.alias("spared"), F.sha2(F.concat(F.col("id").cast("string"), F.when(spared, ":spared").otherwise(":mined")), 256).alias("h"))
+    counts = o.groupBy("threshold").agg(F.count_if("spared").alias("spared"), F.count_if(~F.col("spared")).alias("mined"))
+    return counts.join(table_digest(o, by=["threshold"]), "threshold").select("threshold", "spared", "mined", F.col("digest").alias("fingerprint"))
 
 
 @query("j11_idle_tables", V.with_views("scored", f"WITH {_EV} SELECT evidence, n_decided, n_decided = 0 AS idle FROM (SELECT 'covariation' AS evidence, count(covariation) AS n_decided FROM ev UNION ALL SELECT 'synteny', count(synteny) FROM ev UNION ALL SELECT 'foreign', 0)"))
@@ -264,14 +267,16 @@ def j13(spark, d):
     return w.join(h, "win", "left").groupBy("arm").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("joined"), _n().alias("windows"), F.count_if(F.col("top") >= 400000).alias("removed"))
 
 
-@query("j14_payload_lookup", V.with_views("contigs", "SELECT contig_id, sha256(concat_ws('|', seq, 'v1')) AS payload, contig_id % 1000 / 10.0::DOUBLE AS logit FROM contigs"))
+@query("j14_payload_lookup", V.with_views("contigs", "SELECT contig_id, start0, sha256(concat_ws('|', w, 'v1')) AS payload, ('0x' || substr(sha256(concat_ws('|', w, 'v1')), 1, 6))::BIGINT % 1000 / 10.0::DOUBLE AS logit FROM (SELECT contig_id, s AS start0, substr(seq, s + 1, 2) AS w FROM (SELECT contig_id, seq, unnest([0, 7, 19]) AS s FROM contigs))"))
 def j14(spark, d):
-    """Content-keyed scores; a payload without one is an error."""
+    """Scores keyed by content, one per distinct payload, found for every window; a
+    payload without one is an error."""
     from strandloom.operators.joins import lookup_or_fail
 
-    key = F.sha2(F.concat_ws("|", "seq", F.lit("v1")), 256)
-    p = V.contigs(spark, d).select("contig_id", key.alias("payload"))
-    return lookup_or_fail(p, p.select(F.col("contig_id"), (F.col("contig_id") % 1000 / F.lit(10.0)).alias("logit")), "contig_id", "logit")
+    key = F.sha2(F.concat_ws("|", F.substr("seq", F.col("start0") + 1, F.lit(2)), F.lit("v1")), 256)
+    p = V.contigs(spark, d).select("contig_id", "seq", F.explode(F.array(F.lit(0), F.lit(7), F.lit(19))).alias("start0")).select("contig_id", "start0", key.alias("payload"))
+    scores = p.select("payload").distinct().withColumn("logit", F.conv(F.substring("payload", 1, 6), 16, 10).cast("long") % 1000 / F.lit(10.0))
+    return lookup_or_fail(p, scores, "payload", "logit")
 
 
 @query("j15_item_scores", "SELECT c_custkey AS item, coalesce(max(o_totalprice), -1.0) AS score, count(o_orderkey) AS n_rows FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -307,7 +312,7 @@ def j17(spark, d):
     from strandloom.operators.similarity import similarity_links
 
     codes = V.codes(spark, d)
-    links = similarity_links(codes, id_col="id", codes="codes", identity=0.40, coverage=0.7, n_blocks=4)
+    links = similarity_links(codes, id_col="id", codes="codes", identity=0.40, coverage=0.7)
     comp = connected_components(links).select(F.col("node").alias("id"), "component")
     return codes.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
@@ -317,4 +322,16 @@ def j18(spark, d):
     from strandloom.operators.similarity import nearest_across
 
     codes = V.codes(spark, d)
-    return nearest_across(codes.where("id % 4 = 0"), codes.where("id % 4 <> 0"), id_col="id", codes="codes", coverage=0.7, n_blocks=3).withColumn("identity", F.round("identity", 9))
+    return nearest_across(codes.where("id % 4 = 0"), codes.where("id % 4 <> 0"), id_col="id", codes="codes", coverage=0.7).withColumn("identity", F.round("identity", 9))
+
+
+@query("c01_cut_sweep", V.with_views("splits", "WITH RECURSIVE e AS (SELECT a.record AS x, b.record AS y, (a.record + b.record) % 100 AS w FROM splits a JOIN splits b ON a.cluster_id = b.cluster_id AND a.record <> b.record), c AS (SELECT unnest([30, 60, 90]) AS cut), r AS (SELECT cut, record AS x, record AS y FROM splits, c UNION SELECT r.cut, r.x, e.y FROM r JOIN e ON e.x = r.y AND e.w >= r.cut), m AS (SELECT cut, x, min(y) AS component FROM r GROUP BY cut, x) SELECT cut, x AS record, component, dense_rank() OVER (PARTITION BY cut ORDER BY component) - 1 AS label FROM m"))
+def c01(spark, d):
+    """Single linkage at three cuts, with labels from 0 by first appearance in each."""
+    from strandloom.operators.cluster import cut_sweep, dense_labels
+
+    s = V.splits(spark, d).select("record", "cluster_id")
+    e = s.withColumnRenamed("record", "a").join(s.withColumnRenamed("record", "b"), "cluster_id").where("a < b").withColumn("w", F.expr("(a + b) % 100"))
+    swept = cut_sweep(e, s, weight="w", cuts=[30, 60, 90], node="record")
+    out = [dense_labels(swept.where(F.col("cut") == c)) for c in (30, 60, 90)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("cut", "record", "component", "label")

@@ -192,14 +192,16 @@ def e09(spark, d):
     return curriculum_weights(c, strata=["genus", "family"], alpha=0.5).select("record", F.round("weight", 6).alias("weight"))
 
 
-@query("e10_weighted_draws", V.with_views("clades", "SELECT count(*) AS n_draws, 1 AS all_known FROM clades"))
+_DRAW = "('0x' || substr(md5(concat_ws(':', {t}, {x})), 1, 13))::BIGINT"
+
+
+@query("e10_weighted_draws", V.with_views("clades", f"WITH r AS (SELECT record, record % 7 + 1 AS w, sum(record % 7 + 1) OVER (ORDER BY {_DRAW.format(t="'part'", x='record')} % 16, record) AS hi FROM clades), d AS (SELECT record AS draw, {_DRAW.format(t="'e10'", x='record')} % (SELECT max(hi) FROM r) AS x FROM clades) SELECT draw, record FROM d JOIN r ON x >= hi - w AND x < hi"))
 def e10(spark, d):
-    """As many draws with replacement as rows; every draw falls on a row."""
+    """As many draws with replacement as rows, each on the row whose weight it falls in."""
     from strandloom.operators.sampling import weighted_draws
 
     c = V.clades(spark, d).select("record", (F.col("record") % 7 + 1).alias("weight"))
-    got = weighted_draws(c, id_col="record", weight="weight", draws=c, seed="e10")
-    return got.agg(_n().alias("n_draws"), F.min(F.col("record").isNotNull().cast("int")).alias("all_known"))
+    return weighted_draws(c, id_col="record", weight="weight", draws=c, seed="e10").select("draw", "record")
 
 
 @query("e28_posteriors", V.with_views("scored", "SELECT id, round(1 / (1 + exp(-z)), 9) AS p, round(1 / (1 + exp(-(z / 1.5 + ln(0.01 / 0.99) - ln(0.3 / 0.7)))), 9) AS calibrated FROM (SELECT id, (s1 - 500) / 100.0::DOUBLE AS z FROM scored)"))
@@ -273,13 +275,12 @@ def m05(spark, d):
     return M.kernel_calibration(s, p="p", label="y", bandwidths=[0.05, 0.1]).select("h", F.round("ece", 6).alias("ece"))
 
 
-@query("m06_temperature", V.with_views("scored", "SELECT true AS flat_gradient, true AS inside FROM scored LIMIT 1"))
+@query("m06_temperature", V.with_views("scored", "WITH RECURSIVE z AS (SELECT (s1 - 600) / 100.0::DOUBLE AS z, y, count(*) AS n FROM scored GROUP BY ALL), it AS (SELECT 0 AS k, 0.05::DOUBLE AS lo, 20.0::DOUBLE AS hi UNION ALL SELECT k + 1, CASE WHEN g < 0 THEN m ELSE lo END, CASE WHEN g < 0 THEN hi ELSE m END FROM (SELECT k, lo, hi, (lo + hi) / 2 AS m, (SELECT sum(n * (1 / (1 + exp(-(lo + hi) / 2 * z)) - y) * z) FROM z) AS g FROM it WHERE k < 60)) SELECT round((lo + hi) / 2, 5) AS inverse_temperature FROM it WHERE k = 60"))
 def m06(spark, d):
-    """The derivative of the likelihood at the fitted temperature is near zero."""
+    """The inverse temperature at which the likelihood's derivative is zero."""
     s = V.scored(spark, d).selectExpr("(s1 - 600) / 100D AS z", "y")
     beta = M.fit_temperature(s, logit="z", label="y")
-    g = s.agg((F.abs(F.avg((1 / (1 + F.exp(-F.lit(beta) * F.col("z"))) - F.col("y")) * F.col("z"))) < 1e-3).alias("flat_gradient"))
-    return g.withColumn("inside", F.lit(0.05 < beta < 20))
+    return s.agg(F.round(F.lit(beta), 5).alias("inverse_temperature"))
 
 
 _BOOT = "bl AS (SELECT block, row_number() OVER (ORDER BY block) - 1 AS i FROM (SELECT DISTINCT block FROM scored)), kk AS (SELECT count(*) AS k FROM bl), dr AS (SELECT rep, ('0x' || substr(md5(concat_ws(':', 'm07', rep, d)), 1, 8))::BIGINT % k AS i FROM kk, (SELECT unnest(range(1, 201)) AS rep), (SELECT unnest(range(1, (SELECT k FROM kk) + 1)) AS d)), w AS (SELECT rep, block, count(*) AS weight FROM dr JOIN bl USING (i) GROUP BY ALL)"
@@ -295,32 +296,52 @@ def m07(spark, d):
     return r.select("n_blocks", *[F.round(c, 9).alias(c) for c in ("point", "lo", "hi")])
 
 
-@query("m08_arm_metrics", V.with_views("scored", f"WITH {_BOOT}, a AS (SELECT 's1' AS arm, id, block, y, s1 AS s FROM scored UNION ALL SELECT 's2', id, block, y, s2 FROM scored), n AS (SELECT arm, rep, s, sum(weight) FILTER (WHERE y = 1) AS p, sum(weight) FILTER (WHERE y <> 1) AS q FROM a JOIN w USING (block) GROUP BY ALL), cv AS (SELECT arm, rep, coalesce(p, 0) AS p, sum(coalesce(p, 0)) OVER x AS tp, sum(coalesce(q, 0)) OVER x AS fp, sum(coalesce(p, 0)) OVER (PARTITION BY arm, rep) AS np FROM n WINDOW x AS (PARTITION BY arm, rep ORDER BY s DESC)), ap AS (SELECT arm, rep, sum(p::DOUBLE / np * tp / nullif(tp + fp, 0)) AS ap FROM cv GROUP BY ALL) SELECT arm, round(quantile_cont(ap, 0.025), 7) AS lo, round(quantile_cont(ap, 0.975), 7) AS hi, count(*) AS n FROM ap WHERE rep <= 20 GROUP BY arm"))
+@query("m08_arm_metrics", V.with_views("scored", f"WITH {_BOOT}, a AS (SELECT 's1' AS arm, id, block, y, s1 AS s FROM scored UNION ALL SELECT 's2', id, block, y, s2 FROM scored), n AS (SELECT arm, rep, s, sum(weight) FILTER (WHERE y = 1) AS p, sum(weight) FILTER (WHERE y <> 1) AS q FROM a JOIN w USING (block) GROUP BY ALL), cv AS (SELECT arm, rep, coalesce(p, 0) AS p, sum(coalesce(p, 0)) OVER x AS tp, sum(coalesce(q, 0)) OVER x AS fp, sum(coalesce(p, 0)) OVER (PARTITION BY arm, rep) AS np FROM n WINDOW x AS (PARTITION BY arm, rep ORDER BY s DESC)), ap AS (SELECT arm, rep, sum(p::DOUBLE / np * tp / nullif(tp + fp, 0)) AS ap FROM cv GROUP BY ALL) SELECT arm, round(quantile_cont(ap, 0.025), 7) AS lo, round(quantile_cont(ap, 0.975), 7) AS hi, count(*) AS n FROM ap GROUP BY arm"))
 def m08(spark, d):
-    """Average precision of two arms under the same 20 block replicates."""
+    """Average precision of two arms under the same 200 block replicates."""
+    return _arms(spark, d)[0].select("arm", F.round("lo", 7).alias("lo"), F.round("hi", 7).alias("hi"), "n")
+
+
+def _arms(spark, d):
     s = V.scored(spark, d)
     both = s.selectExpr("'s1' AS arm", "block", "y", "s1 AS s").unionByName(s.selectExpr("'s2' AS arm", "block", "y", "s2 AS s"))
-    w = M.block_bootstrap_weights(s, block="block", replicates=200, seed="m07").where("rep <= 20")
-    # Blocks and scores are compressed before the replicates multiply them.
-    small = both.groupBy("arm", "block", "s", "y").agg(_n().alias("k")).join(w, "block").withColumn("wt", F.col("k") * F.col("weight"))
-    ap = M.average_precision(M.ranking_curve(small, score="s", label="y", by=["arm", "rep"], weight="wt"), by=["arm", "rep"])
-    return ap.groupBy("arm").agg(F.round(F.percentile("ap", F.lit(0.025)), 7).alias("lo"), F.round(F.percentile("ap", F.lit(0.975)), 7).alias("hi"), _n().alias("n"))
+    return M.arm_intervals(both, arm="arm", block="block", score="s", label="y", replicates=200, seed="m07")
+
+
+@query("m08_paired_difference", V.with_views("scored", f"WITH {_BOOT}, a AS (SELECT 's1' AS arm, id, block, y, s1 AS s FROM scored UNION ALL SELECT 's2', id, block, y, s2 FROM scored), n AS (SELECT arm, rep, s, sum(weight) FILTER (WHERE y = 1) AS p, sum(weight) FILTER (WHERE y <> 1) AS q FROM a JOIN w USING (block) GROUP BY ALL), cv AS (SELECT arm, rep, coalesce(p, 0) AS p, sum(coalesce(p, 0)) OVER x AS tp, sum(coalesce(q, 0)) OVER x AS fp, sum(coalesce(p, 0)) OVER (PARTITION BY arm, rep) AS np FROM n WINDOW x AS (PARTITION BY arm, rep ORDER BY s DESC)), ap AS (SELECT arm, rep, sum(p::DOUBLE / np * tp / nullif(tp + fp, 0)) AS ap FROM cv GROUP BY ALL) SELECT a.arm, b.arm AS other, round(quantile_cont(a.ap - b.ap, 0.025), 7) AS lo, round(quantile_cont(a.ap - b.ap, 0.975), 7) AS hi, count(*) AS n FROM ap a JOIN ap b ON a.rep = b.rep AND a.arm < b.arm GROUP BY a.arm, b.arm"))
+def m08b(spark, d):
+    """Interval of the difference between arms, replicate by replicate."""
+    return _arms(spark, d)[1].select("arm", "other", F.round("lo", 7).alias("lo"), F.round("hi", 7).alias("hi"), "n")
+
+
+@query("m08_prevalence_sweep", V.with_views("scored", f"WITH {_CURVE} SELECT r AS ratio, round(sum(p::DOUBLE / np * tp / (tp + r * np::DOUBLE / nn * fp)), 9) AS ap FROM cv, (VALUES (1), (10), (100)) v(r) GROUP BY r"))
+def m08c(spark, d):
+    """Average precision at one, ten and a hundred decoys for each positive."""
+    c = M.ranking_curve(V.scored(spark, d), score="s1", label="y").withColumn("ratio", F.explode(F.array(F.lit(1), F.lit(10), F.lit(100))))
+    return M.average_precision(c, by=["ratio"], lam=F.col("ratio") * F.col("n_pos") / F.col("n_neg")).select("ratio", F.round("ap", 9).alias("ap"))
+
+
+@query("m08_recall_grid", V.with_views("scored", f"WITH {_CURVE} SELECT g AS recall, round(max(tp::DOUBLE / (tp + fp)) FILTER (WHERE tp::DOUBLE / np >= g), 9) AS precision FROM cv, (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.95::DOUBLE)) v(g) GROUP BY g"))
+def m08d(spark, d):
+    """Best precision at each of a grid of recalls."""
+    c = M.ranking_curve(V.scored(spark, d), score="s1", label="y")
+    out = [M.matched_points(c, score="s1", precision=0.9, recall=r).select(F.lit(r).alias("recall"), F.round("precision_at_recall", 9).alias("precision")) for r in (0.5, 0.8, 0.95)]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("m09_unit_grades", V.with_views("scored", "WITH g AS (SELECT block, count(*) AS n, avg((s1 / 1000.0::DOUBLE - y) * (s1 / 1000.0::DOUBLE - y)) AS brier FROM scored GROUP BY block) SELECT block, n, n >= 20 AS admissible, round(CASE WHEN n >= 20 THEN brier END, 9) AS brier FROM g"))
 def m09(spark, d):
     """Each held-out unit graded, null below the minimum size."""
     p = F.col("s1") / F.lit(1000.0)
-    g = V.scored(spark, d).groupBy("block").agg(_n().alias("n"), F.avg((p - F.col("y")) * (p - F.col("y"))).alias("b"))
-    return g.select("block", "n", (F.col("n") >= 20).alias("admissible"), F.round(F.when(F.col("n") >= 20, F.col("b")), 9).alias("brier"))
+    g = M.unit_grades(V.scored(spark, d).withColumn("p", p), unit="block", p="p", label="y", minimum=20)
+    return g.withColumn("brier", F.round("brier", 9))
 
 
 @query("m10_strand_robustness", V.with_views("scored", "SELECT count(*) AS n, count(*) FILTER (WHERE s1 >= 600 OR s2 >= 600) AS confirmed, count(*) FILTER (WHERE (s1 >= 600) = (s2 >= 600)) AS invariant FROM scored"))
 def m10(spark, d):
     s = V.scored(spark, d)
     both = s.selectExpr("id", "s1 >= 600 AS v").unionByName(s.selectExpr("id", "s2 >= 600 AS v"))
-    per = both.groupBy("id").agg(F.bool_or("v").alias("any"), F.bool_and("v").alias("all"))
-    return per.agg(_n().alias("n"), F.count_if("any").alias("confirmed"), F.count_if(F.col("any") == F.col("all")).alias("invariant"))
+    return M.strand_robustness(both, id_col="id", confirmed="v")
 
 
 @query("m11_auroc", V.with_views("scored", "WITH n AS (SELECT s1, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y <> 1) AS q FROM scored GROUP BY s1), u AS (SELECT p, q, p * (coalesce(sum(q) OVER (ORDER BY s1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2.0::DOUBLE) AS u FROM n) SELECT CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(q) AS BIGINT) AS n_neg, round(sum(u) / (sum(p) * sum(q)), 9) AS auroc, round(sqrt((sum(p) + sum(q) + 1)::DOUBLE / (12 * sum(p) * sum(q))), 9) AS null_se FROM u"))
@@ -328,14 +349,20 @@ def m11(spark, d):
     return M.auroc(V.scored(spark, d), score="s1", label="y").select("n_pos", "n_neg", F.round("auroc", 9).alias("auroc"), F.round("null_se", 9).alias("null_se"))
 
 
-@query("m12_embedding_probe", "SELECT count(*) AS n_test, true AS separable FROM embeddings WHERE vec_id % 3 = 0")
+_LABEL = "(embedding[1] + embedding[2] > 0)::INT AS y1, ('0x' || substr(md5(concat('m12:', vec_id)), 1, 8))::BIGINT % 2 AS y2"
+
+
+@query("m12_embedding_probe", f"WITH e AS (SELECT vec_id, embedding, vec_id % 3 = 0 AS test, {_LABEL} FROM embeddings), l AS (SELECT vec_id, embedding, test, 'linear' AS label, y1 AS y FROM e UNION ALL SELECT vec_id, embedding, test, 'random', y2 FROM e), x AS (SELECT label, vec_id, test, y, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM l), w AS (SELECT label, i, avg(v) FILTER (WHERE y = 1) - avg(v) FILTER (WHERE y = 0) AS w FROM x WHERE NOT test GROUP BY label, i), s AS (SELECT label, vec_id, y, sum(v * w) AS s FROM x JOIN w USING (label, i) WHERE test GROUP BY ALL), r AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY s) AS r FROM s) SELECT label, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) > 0.75 AS separable FROM r GROUP BY label")
 def m12(spark, d):
-    """Logistic probe, held out by id, for a property that is linear in the embedding: it must separate."""
+    """Logistic probes, held out by id, for a property that is linear in the embedding
+    and for a random one: they must find the first and not the second, as the
+    difference of the class means does in SQL."""
     from strandloom.operators.probe import probe_scores
 
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding"), F.expr("cast(embedding[0] + embedding[1] > 0 AS int)").alias("y"), (F.col("vec_id") % 3 == 0).alias("test"))
-    s = probe_scores(e)
-    return M.auroc(s, score="score", label="y").select((F.col("n_pos") + F.col("n_neg")).alias("n_test"), (F.col("auroc") > 0.8).alias("separable"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding"), (F.col("vec_id") % 3 == 0).alias("test"))
+    random = F.conv(F.substring(F.md5(F.concat(F.lit("m12:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long") % 2
+    out = [M.auroc(probe_scores(e.withColumn("y", y.cast("int"))), score="score", label="y").withColumn("label", F.lit(name)) for name, y in (("linear", F.expr("embedding[0] + embedding[1] > 0")), ("random", random))]
+    return out[0].unionByName(out[1]).select("label", "n_pos", "n_neg", (F.col("auroc") > 0.75).alias("separable"))
 
 
 @query("c02_match_columns", V.with_views("contigs", "WITH r AS (SELECT contig_id % 40 AS aln, contig_id, translate(rpad(seq, max(length(seq)) OVER (PARTITION BY contig_id % 40)::INT, 'A'), 'ACGT', 'ACGU') AS s FROM contigs), x AS (SELECT aln, contig_id, unnest(range(1, length(s) + 1)) AS i, s FROM r), y AS (SELECT aln, contig_id, i, CASE WHEN i % 5 = 0 AND contig_id % 3 = 0 THEN '.' ELSE substr(s, i, 1) END AS ch FROM x), k AS (SELECT aln, i FROM y GROUP BY aln, i HAVING NOT bool_or(ch = '.')) SELECT contig_id, string_agg(CASE ch WHEN 'A' THEN '0' WHEN 'C' THEN '1' WHEN 'G' THEN '2' ELSE '3' END, '' ORDER BY i) AS codes FROM y JOIN k USING (aln, i) GROUP BY contig_id"))
@@ -412,10 +439,42 @@ def scratch_of(spark, df):
     return path
 
 
-@query("r02_round_monitor", "WITH r AS (SELECT user_id % 5 AS run, user_id AS round, count(*) FILTER (WHERE event_type = 'click') * 1000 // count(*) AS recall FROM events GROUP BY ALL) SELECT run, max(recall) AS best, count(*) AS rounds FROM r GROUP BY run")
+@query("r02_round_monitor", "WITH r AS (SELECT user_id % 5 AS run, user_id AS round, count(*) FILTER (WHERE event_type = 'click') * 1000 // count(*) AS recall FROM events GROUP BY ALL) SELECT run, max(recall) AS best, count(*) AS rounds, coalesce(bool_or(recall <= b - 50), false) AS halted FROM (SELECT *, max(recall) OVER (PARTITION BY run ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r) GROUP BY run")
 def r02(spark, d):
-    """Best recall so far per run, kept as a streaming state."""
+    """Best recall so far per run, kept as a streaming state; 50 below it halts."""
     from strandloom.streaming.scan import best_so_far
 
     r = table(spark, d, "events").groupBy(F.expr("user_id % 5").alias("run"), F.col("user_id").alias("round")).agg(F.expr("count_if(event_type = 'click') * 1000 div count(*)").alias("recall"))
-    return best_so_far(spark, scratch_of(spark, r), "run long, round long, recall long")
+    return best_so_far(spark, scratch_of(spark, r), "run long, round long, recall long", drop=50)
+
+
+_DEB = "b AS (SELECT count(*) AS n, avg(p) AS conf, avg(y) AS acc, sum(p * (1 - p)) AS v FROM (SELECT *, s1 / 1000.0::DOUBLE AS p, ntile(15) OVER (ORDER BY s1, id) AS bin FROM scored) GROUP BY bin)"
+
+
+@query("m03_debiased_ece", V.with_views("scored", f"WITH {_DEB} SELECT round(sum(n * greatest(0, abs(conf - acc) - sqrt(v) / n * sqrt(2 / pi()))) / sum(n), 9) AS ece FROM b"))
+def m03c(spark, d):
+    r = M.reliability(V.scored(spark, d).withColumn("p", F.col("s1") / F.lit(1000.0)), p="p", label="y", id_col="id")
+    return M.ece(r, gap="debiased_gap").select(F.round("ece", 9).alias("ece"))
+
+
+@query("m05_brier_decomposition", V.with_views("scored", f"WITH {_DEB}, t AS (SELECT sum(n * acc) / sum(n) AS base FROM b) SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(n * (conf - acc) * (conf - acc)) / sum(n), 9) AS reliability, round(sum(n * (acc - base) * (acc - base)) / sum(n), 9) AS resolution, round(any_value(base * (1 - base)), 9) AS uncertainty FROM b, t"))
+def m05b(spark, d):
+    r = M.reliability(V.scored(spark, d).withColumn("p", F.col("s1") / F.lit(1000.0)), p="p", label="y", id_col="id")
+    return M.brier_decomposition(r).select("n", *[F.round(c, 9).alias(c) for c in ("reliability", "resolution", "uncertainty")])
+
+
+@query("m05_bandwidth", V.with_views("scored", f"""WITH g AS (SELECT s1 // 20 / 50.0::DOUBLE AS p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM scored GROUP BY 1), pr AS (SELECT h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-6), 1e-6) AS x FROM g a, g b, (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.3::DOUBLE)) v(h)),
+e AS (SELECT h, p, n, k, sum({_KERN} * m) AS w, sum({_KERN} * j) AS wk FROM pr GROUP BY h, p, n, k), o AS (SELECT *, greatest(least((wk - 1) / nullif(w - 1, 0), 1 - 1e-9), 1e-9) AS e1, greatest(least(wk / nullif(w - 1, 0), 1 - 1e-9), 1e-9) AS e0 FROM e), l AS (SELECT h, sum(k * ln(e1) + (n - k) * ln(1 - e0)) AS ll FROM o GROUP BY h)
+SELECT h FROM l ORDER BY ll DESC, h LIMIT 1"""))
+def m05c(spark, d):
+    """The bandwidth of the largest leave-one-out likelihood."""
+    s = V.scored(spark, d).selectExpr("(s1 div 20) / 50D AS p", "y")
+    return M.choose_bandwidth(M.kernel_calibration(s, p="p", label="y", bandwidths=[0.02, 0.05, 0.1, 0.3])).select("h")
+
+
+@query("a12_power", V.with_views("scored", "SELECT block, round(sqrt(p * (1 - p) / n), 9) AS se, round((1.959964 + 0.841621) * sqrt(2 * p * (1 - p) / n), 9) AS mde, round(least(1, 0.01 * n / nullif(k, 0)), 9) AS fdr FROM (SELECT block, count(*) AS n, count(*) FILTER (WHERE y = 1) AS k, avg(y) AS p FROM scored GROUP BY block)"))
+def a12b(spark, d):
+    """Standard error, smallest detectable effect and false-discovery share per block."""
+    g = V.scored(spark, d).groupBy("block").agg(_n().alias("n"), F.count_if(F.col("y") == 1).alias("k"))
+    n, k = F.col("n"), F.col("k")
+    return g.select("block", F.round(S.binomial_se(k, n), 9).alias("se"), F.round(S.minimum_detectable_effect(k / n, n), 9).alias("mde"), F.round(S.false_discovery_budget(F.lit(0.01), n, k), 9).alias("fdr"))

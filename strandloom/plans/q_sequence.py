@@ -134,13 +134,23 @@ def f09(spark, d):
     return V.candidates(spark, d).select("locus_id", lo.alias("fwd_lo"), hi.alias("fwd_hi"))
 
 
-@query("e13_dinucleotide_decoys", V.with_views("contigs", "SELECT contig_id AS id, true AS same_pairs, true AS same_ends FROM contigs"))
+@query("e13_dinucleotide_decoys", V.with_views("contigs", "SELECT contig_id AS id, md5(array_to_string(list_sort(list_transform(range(1, length(seq)), lambda i: substr(seq, i, 2))), ',')) AS pairs, concat(substr(seq, 1, 1), substr(seq, length(seq), 1)) AS ends, length(seq) >= 32 AS changed FROM contigs"))
 def e13(spark, d):
-    """Decoys must keep every pair count and both end letters."""
+    """Decoys keep every pair count and both end letters, and aren't the sequence."""
     made = O.dinucleotide_decoys(V.contigs(spark, d), id_col="contig_id", seq_col="seq", seed="e13")
-    pairs = lambda c: F.array_sort(S.kmers(c, 2))
-    ends = lambda c: F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
-    return made.select("id", (pairs("seq") == pairs("decoy")).alias("same_pairs"), (ends("seq") == ends("decoy")).alias("same_ends"))
+    return made.select("id", F.md5(F.array_join(F.array_sort(S.kmers("decoy", 2)), ",")).alias("pairs"), F.concat(F.substring("decoy", 1, 1), F.substring("decoy", -1, 1)).alias("ends"), (F.col("decoy") != F.col("seq")).alias("changed"))
+
+
+@query("e13_gc_matched", V.with_views("contigs", "WITH p AS (SELECT contig_id, seq, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc, unnest(range(length(seq))) AS p FROM contigs), u AS (SELECT contig_id, gc, p, ('0x' || substr(md5(concat_ws(':', 'gc', contig_id, p)), 1, 13))::BIGINT AS u FROM p) SELECT contig_id, string_agg(CASE WHEN u % 1000000 / 1000000.0::DOUBLE < gc THEN CASE WHEN u // 1000000 % 2 = 1 THEN 'G' ELSE 'C' END ELSE CASE WHEN u // 1000000 % 2 = 1 THEN 'A' ELSE 'T' END END, '' ORDER BY p) AS decoy FROM u GROUP BY contig_id"))
+def e13c(spark, d):
+    return O.gc_matched(V.contigs(spark, d), id_col="contig_id", seq_col="seq", seed="gc")
+
+
+@query("e13_column_shuffle", V.with_views("contigs", "SELECT contig_id % 30 AS aln, contig_id, string_agg(substr(s, p + 1, 1), '' ORDER BY md5(concat_ws(':', 'col', contig_id % 30, p)), p) AS decoy FROM (SELECT contig_id, substr(seq, 1, 32) AS s, unnest(range(32)) AS p FROM contigs) GROUP BY contig_id"))
+def e13d(spark, d):
+    """Columns of an alignment in one order for all its rows."""
+    rows = V.contigs(spark, d).selectExpr("contig_id % 30 AS aln", "contig_id", "substr(seq, 1, 32) AS s")
+    return O.column_shuffle(rows, alignment="aln", row="contig_id", aligned="s", seed="col")
 
 
 @query("e13_mono_shuffle", V.with_views("contigs", "SELECT contig_id, string_agg(c, '' ORDER BY md5(concat('m:', contig_id, ':', p)), p) AS decoy FROM (SELECT contig_id, unnest(range(length(seq))) AS p, substr(seq, unnest(range(length(seq))) + 1, 1) AS c FROM contigs) GROUP BY contig_id"))
@@ -192,15 +202,20 @@ def j19(spark, d):
     return O.shared_kmer_hosts(c.where("contig_id % 2 = 0").select(F.col("contig_id").alias("item"), "seq"), c.where("contig_id % 2 = 1").select(F.col("contig_id").alias("host"), "seq"), k=12, item_id="item", host_id="host")
 
 
-@query("j16_localise", V.with_views("contigs", "SELECT contig_id AS leader_id, contig_id, true AS own, CASE WHEN contig_id % 2 = 0 THEN -1 ELSE 1 END AS strand, 20 AS start0, 1 AS mismatches FROM contigs WHERE length(seq) >= 96"))
+@query("j16_localise", V.with_views("contigs", "SELECT contig_id AS leader_id, contig_id, 'unique' AS status, CASE WHEN contig_id % 2 = 0 THEN -1 ELSE 1 END AS strand, 10 AS start0, CASE WHEN contig_id % 5 = 4 THEN 83 ELSE 85 END AS end0, (contig_id % 3 = 0)::BIGINT AS mismatches, contig_id % 3 <> 0 AND contig_id % 5 < 3 AS exact FROM contigs WHERE length(seq) >= 96"))
 def j16(spark, d):
-    """Leaders cut from contigs, one letter changed, every second one reversed,
-    must be found at home: unique, on their strand, with one mismatch."""
+    """Leaders of two stretches with an elided one between, some with a changed letter,
+    a wrong elision or a missing pair of letters; every second one reversed. They must
+    be found at home, on their strand, with what differs."""
     c = V.contigs(spark, d).where("length(seq) >= 96")
-    cut = F.expr("concat(substr(seq, 21, 30), translate(substr(seq, 51, 1), 'ACGT', 'CGTA'), substr(seq, 52, 29))")
-    leaders = c.select(F.col("contig_id").alias("leader_id"), cut.alias("s")).select("leader_id", F.when(F.col("leader_id") % 2 == 0, S.reverse_complement("s")).otherwise(F.col("s")).alias("seq"))
-    found = O.localise(c, leaders, k=14, contig_id="contig_id", leader_id="leader_id")
-    return found.select("leader_id", "contig_id", (F.col("status") == "unique").alias("own"), "strand", "start0", "mismatches")
+    first = F.expr("if(contig_id % 3 = 0, concat(substr(seq, 11, 20), translate(substr(seq, 31, 1), 'ACGT', 'CGTA'), substr(seq, 32, 9)), substr(seq, 11, 30))")
+    last = F.expr("if(contig_id % 5 = 4, substr(seq, 56, 28), substr(seq, 56, 30))")
+    gap = F.expr("CASE contig_id % 5 WHEN 3 THEN 12 WHEN 4 THEN 18 ELSE 15 END")
+    parts = c.select(F.col("contig_id").alias("leader_id"), first.alias("a"), last.alias("b"), gap.alias("g"))
+    turned = parts.select("leader_id", F.when(F.col("leader_id") % 2 == 0, S.reverse_complement("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("leader_id") % 2 == 0, S.reverse_complement("a")).otherwise(F.col("b")).alias("b"), "g")
+    segments = turned.select("leader_id", F.explode(F.array(F.struct(F.col("a").alias("seq"), F.lit(0).alias("offset")), F.struct(F.col("b").alias("seq"), (F.length("a") + F.col("g")).alias("offset")))).alias("s")).select("leader_id", "s.*")
+    found = O.localise(c, segments, k=14, contig_id="contig_id", leader_id="leader_id")
+    return found.select("leader_id", "contig_id", "status", "strand", "start0", "end0", "mismatches", "exact")
 
 
 @query("e32_handoff", V.with_views("contigs", f"SELECT contig_id, strand, replace(CASE WHEN strand = -1 THEN {_RC.format(s='p')} ELSE p END, 'T', 'U') AS rna, length(p) - length(replace(p, 'A', '')) AS n_a FROM (SELECT contig_id, substr(seq, 11, 40) AS p, unnest(CASE WHEN contig_id % 3 = 0 THEN [1, -1] WHEN contig_id % 3 = 1 THEN [1] ELSE [-1] END) AS strand FROM contigs)"))

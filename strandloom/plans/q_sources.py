@@ -14,11 +14,11 @@ def _n():
 
 
 
-@query("s01_corpus_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN length(text) = 0 THEN NULL ELSE md5(text) END AS h, lang FROM documents WHERE position(chr(13) IN text) = 0")
+@query("s01_corpus_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN length(text) = 0 THEN NULL ELSE md5(text) END AS h, lang FROM documents")
 def s01(spark, d):
     """Written with an unnamed index column and read back: every text survives."""
     path = scratch_path(spark, "corpus-csv")
-    docs = table(spark, d, "documents").where("NOT contains(text, '\r')").selectExpr("doc_id AS _c0", "doc_id", "text", "lang")
+    docs = table(spark, d, "documents").selectExpr("doc_id AS _c0", "doc_id", "text", "lang")
     docs.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return R.read_corpus_csv(spark, path, ["_c0", "doc_id", "text", "lang"]).select("doc_id", F.md5("text").alias("h"), "lang")
 
@@ -59,20 +59,26 @@ _GFF_SQL = "SELECT concat('ACC', l_suppkey) AS seqid, l_orderkey % 50 AS k, l_pa
 
 def _gff(spark, d):
     """One file's content per sequence: a header, CDS rows, a sequence tail."""
-    rows = table(spark, d, "lineitem").selectExpr("concat('ACC', l_suppkey) AS seqid", "struct(l_orderkey, l_linenumber, l_partkey, concat_ws('\t', concat('ACC', l_suppkey), 'src', 'CDS', l_partkey, l_partkey + 30, '.', '+', '0', concat('ID=cds', l_orderkey % 50, ';product=a%3Bb,c')) AS line) AS r")
+    rows = table(spark, d, "lineitem").selectExpr("concat('ACC', l_suppkey) AS seqid", "struct(l_orderkey, l_linenumber, l_partkey, concat_ws('\t', concat('ACC', l_suppkey), 'src', 'CDS', l_partkey, l_partkey + 30, '.', '+', '0', concat('ID=cds', l_orderkey % 50, ';product=a%3Bb,c;product=100%25 id ', l_linenumber, ';Note=x=y+z;empty=')) AS line) AS r")
     g = rows.groupBy("seqid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("b"))
     return g.select(F.col("seqid").alias("file"), F.concat(F.lit("##gff-version 3\n"), "b", F.lit("\n##FASTA\n>x\nACGT\n")).alias("content"))
 
 
-@query("s07_gff3", f"SELECT seqid, count(*) AS n, CAST(sum(lo) AS BIGINT) AS lo, CAST(sum(hi) AS BIGINT) AS hi, 2 * count(*) AS products, 'a;b' AS first_product FROM ({_GFF_SQL}) GROUP BY seqid")
+@query("s07_gff3", f"SELECT seqid, count(*) AS n, CAST(sum(lo) AS BIGINT) AS lo, CAST(sum(hi) AS BIGINT) AS hi, 3 * count(*) AS products, md5(string_agg(concat('a;b|c|100% id ', ln, '|x=y+z'), ',' ORDER BY ok, ln, lo)) AS attributes FROM ({_GFF_SQL}) GROUP BY seqid")
 def s07(spark, d):
+    """Repeated keys, escapes, a second '=' and a plus sign come through whole."""
     f = R.parse_gff3(_gff(spark, d))
-    return f.groupBy("seqid").agg(_n().alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum(F.size(F.col("attributes")["product"])).alias("products"), F.min(F.get(F.col("attributes")["product"], F.lit(0))).alias("first_product"))
+    a = F.col("attributes")
+    said = F.concat_ws("|", F.array_join(a["product"], "|"), F.array_join(a["Note"], "|"))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", said.alias("s")))), lambda x: x["s"]), ",")
+    return f.groupBy("seqid").agg(_n().alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.sum(F.size(a["product"])).alias("products"), F.md5(every).alias("attributes"))
 
 
-@query("s08_cds_groups", f"SELECT seqid, concat('cds', k) AS cds_id, min(lo) AS lo, max(hi) AS hi, count(*) AS n_segments FROM ({_GFF_SQL}) GROUP BY seqid, k")
+@query("s08_cds_groups", f"SELECT seqid, concat('cds', k) AS cds_id, min(lo) AS lo, max(hi) AS hi, count(*) AS n_segments, string_agg(concat('a;b|c|100% id ', ln), '|' ORDER BY ok, ln, lo) AS products FROM ({_GFF_SQL}) GROUP BY seqid, k")
 def s08(spark, d):
-    return R.group_cds(R.parse_gff3(_gff(spark, d))).select("seqid", "cds_id", "lo", "hi", F.size("segments").cast("long").alias("n_segments"))
+    """Segments and attributes of all rows of an ID, in file order."""
+    g = R.group_cds(R.parse_gff3(_gff(spark, d)))
+    return g.select("seqid", "cds_id", "lo", "hi", F.size("segments").cast("long").alias("n_segments"), F.array_join(F.col("attributes")["product"], "|").alias("products"))
 
 
 @query("s09_tblout", V.with_views("loci", "SELECT locus_id AS target, least(lo1, hi1) AS lo, greatest(lo1, hi1) AS hi, CASE WHEN lo1 > hi1 THEN -1 ELSE 1 END AS strand, (lo1 % 100)::DOUBLE AS score FROM loci WHERE flag <> 'N'"))
@@ -149,3 +155,28 @@ def s15(spark, d):
 def s17(spark, d):
     wanted = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return R.keep_wanted(table(spark, d, "orders").select("o_orderkey", "o_custkey"), wanted, "o_custkey")
+
+
+@query("s11_alignment_depth", V.with_views("contigs", "SELECT contig_id AS file, 2 AS n_rows, length(seq) AS width, round((2.0::DOUBLE * length(seq) - length(seq) + length(replace(seq, 'A', '')) - length(seq) + length(replace(seq, 'C', ''))) / length(seq), 9) AS mean_depth FROM contigs"))
+def s11b(spark, d):
+    """Rows, width and mean residues a column; A of one row and C of the other are gaps."""
+    files = V.contigs(spark, d).selectExpr("contig_id AS file", "concat('# STOCKHOLM 1.0\na   ', replace(seq, 'A', '-'), '\nb   ', replace(seq, 'C', '.'), '\n#=GC SS_cons   ', repeat('.', length(seq)), '\n//\n') AS content")
+    return R.alignment_depth(R.parse_stockholm(files)).withColumn("mean_depth", F.round("mean_depth", 9))
+
+
+@query("s13_work_decisions", "WITH l AS (SELECT o_custkey AS k, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY o_custkey) SELECT decision, count(*) AS n FROM (SELECT CASE WHEN s IS NULL THEN 'run' WHEN s = 'F' THEN 'reuse' WHEN s = 'P' THEN 'retry' ELSE 'give_up' END AS decision FROM customer LEFT JOIN l ON k = c_custkey) GROUP BY decision")
+def s13c(spark, d):
+    """Reuse, retry, run or give up, by each key's last log row."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("status")).withColumnRenamed("o_custkey", "key")
+    wanted = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return R.work_decision(wanted, o, key="key", status="status", done="F", retry=["P"]).groupBy("decision").agg(_n().alias("n"))
+
+
+@query("s18_json_and_shards", "SELECT n_regionkey AS shard, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys, count(nullif(n_name, 'CHINA')) AS named FROM nation GROUP BY n_regionkey")
+def s18b(spark, d):
+    """Written by shard, counted per shard, reported as JSON and read back."""
+    shards, report = scratch_path(spark, "shards"), scratch_path(spark, "report")
+    R.write_shards(table(spark, d, "nation").withColumn("n_name", F.nullif("n_name", F.lit("CHINA"))), shards, "n_regionkey")
+    per = spark.read.parquet(shards).groupBy(F.col("n_regionkey").cast("long").alias("shard")).agg(_n().alias("n"), F.sum("n_nationkey").alias("keys"), F.count("n_name").alias("named"))
+    R.write_json_report(per, report)
+    return spark.read.schema("shard long, n long, keys long, named long").json(report)

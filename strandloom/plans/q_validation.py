@@ -157,17 +157,19 @@ def f22(spark, d):
     return held.select("id", "status", F.round("posterior", 6).alias("posterior"), ((F.col("posterior") >= 0.6) == (F.col("y") == 1)).alias("agrees"))
 
 
-_FR = "concat(CASE WHEN {c} IS NULL THEN 'n;' ELSE concat('s', length(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR), ';') END)"
+_FR = "concat(CASE WHEN {c} IS NULL THEN 'n;' ELSE concat('{k}', length(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR), ';') END)"
+_CELLS = (("i", "o_orderkey"), ("s", "o_orderstatus"), ("s", "nullif(o_orderpriority, $$5-LOW$$)"), ("b", "o_orderkey % 2 = 0"), ("s", "CAST(o_orderkey AS VARCHAR)"))
 
 
-@query("e01_record_hash", f"SELECT o_orderkey, sha256(concat({', '.join(_FR.format(c=c) for c in ('o_orderkey', 'o_orderstatus', 'nullif(o_orderpriority, $$5-LOW$$)'))})) AS h FROM orders")
+@query("e01_record_hash", f"SELECT o_orderkey, sha256(concat({', '.join(_FR.format(k=k, c=c) for k, c in _CELLS)})) AS h FROM orders")
 def e01(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", L.row_hash([F.col("o_orderkey"), F.col("o_orderstatus"), F.nullif("o_orderpriority", F.lit("5-LOW"))]).alias("h"))
+    """Kinds are tagged: an integer and the string of its digits differ."""
+    return table(spark, d, "orders").select("o_orderkey", L.row_hash([F.col("o_orderkey"), F.col("o_orderstatus"), F.nullif("o_orderpriority", F.lit("5-LOW")), F.expr("o_orderkey % 2 = 0"), F.col("o_orderkey").cast("string")]).alias("h"))
 
 
-@query("e01_table_digest", "SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM (SELECT b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM (SELECT sha256(concat(c_custkey, ':', c_name)) AS h, substr(sha256(concat(c_custkey, ':', c_name)), 1, 2) AS b FROM customer) GROUP BY b)")
+@query("e01_table_digest", V.digest_sql("SELECT sha256(concat(c_custkey, ':', c_name)) AS h FROM customer"))
 def e01b(spark, d):
-    """Order-independent digest in two levels: buckets of hashes, then the root."""
+    """Order-independent digest in three levels: buckets of hashes, then of buckets."""
     from strandloom.operators.selection import table_digest
 
     return table_digest(table(spark, d, "customer").select(F.expr("sha2(concat(c_custkey, ':', c_name), 256)").alias("h")))
@@ -186,11 +188,12 @@ def a09(spark, d):
 @query("a10_percentiles", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(quantile_disc(o_totalprice, 0.9), 4) AS rank90, count(*) AS n FROM orders GROUP BY o_orderpriority")
 def a10(spark, d):
     """Linear-interpolated and nearest-rank percentiles."""
-    from strandloom.operators.statistics import nearest_rank
+    from strandloom.operators.statistics import linear_percentiles, nearest_rank
 
-    o = table(spark, d, "orders")
-    lin = o.groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", F.lit(0.5)), 4).alias("p50"), F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("p90"))
-    return lin.join(nearest_rank(o, "o_totalprice", 0.9, by=["o_orderpriority"], id_col="o_orderkey"), "o_orderpriority").select("o_orderpriority", "p50", "p90", F.round("value", 4).alias("rank90"), "n")
+    o = table(spark, d, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    lin = linear_percentiles(o, "o_totalprice", {"p50": 0.5, "p90": 0.9}, by=["o_orderpriority"], id_col="o_orderkey")
+    near = nearest_rank(o, "o_totalprice", 0.9, by=["o_orderpriority"], id_col="o_orderkey")
+    return lin.join(near, "o_orderpriority").select("o_orderpriority", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"), F.round("value", 4).alias("rank90"), "n")
 
 
 @query("k01_total_order", V.with_views("clades", "SELECT genus, n, row_number() OVER (ORDER BY n DESC, genus) AS place FROM (SELECT genus, count(*) AS n FROM clades GROUP BY genus)"))

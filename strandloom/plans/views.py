@@ -40,6 +40,14 @@ def with_views(names: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def digest_sql(rows: str, by: str = "") -> str:
+    """The SQL form of ``table_digest`` with four digits over rows of ``h`` (and ``by``)."""
+    g = f"{by}, " if by else ""
+    one = f"SELECT {g}substr(h, 1, 4) AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM ({rows}) GROUP BY ALL"
+    two = f"SELECT {g}substr(b, 1, 2) AS c, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM ({one}) GROUP BY ALL"
+    return f"SELECT {g}sha256(string_agg(h, chr(10) ORDER BY c)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM ({two}) {'GROUP BY ' + by if by else ''}"
+
+
 def contigs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").selectExpr(
         "doc_id AS contig_id",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    A local folder is made only where the setting is absent, as in tests.
+    Without the setting a folder is made where Spark runs in one process (a
+    ``local`` master); on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = made.get() if made.isDefined() else "file://" + tempfile.mkdtemp(prefix="strandloom-")
+        if made.isDefined():
+            path = made.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            path = "file://" + tempfile.mkdtemp(prefix="strandloom-")
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path

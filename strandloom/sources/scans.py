@@ -20,8 +20,9 @@ def read_corpus_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``name, description, seq, file``: one row per record, upper case."""
-    rec = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_name").alias("file")).where("trim(value) <> ''")
+    """``name, description, seq, file``: one row per record, upper case (S02). A record
+    starts with ``>`` at the start of a line; ``>`` within a header stays."""
+    rec = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"), F.col("_metadata.file_name").alias("file")).where("trim(value) <> ''")
     header = F.split_part("value", F.lit("\n"), F.lit(1))
     body = F.regexp_replace(F.expr("substr(value, length(split_part(value, '\n', 1)) + 1)"), r"\s", "")
     return rec.select(F.split_part(header, F.lit(" "), F.lit(1)).alias("name"), F.expr("substr(split_part(value, '\n', 1), length(split_part(split_part(value, '\n', 1), ' ', 1)) + 2)").alias("description"), F.upper(body).alias("seq"), "file")
@@ -42,6 +43,16 @@ def write_checked(df: DataFrame, path: str, valid: Column) -> str:
     return where
 
 
+def write_json_report(df: DataFrame, path: str) -> None:
+    """A small table as JSON lines in one file, fields that are null included."""
+    df.coalesce(1).write.option("ignoreNullFields", "false").mode("errorifexists").json(path)
+
+
+def write_shards(df: DataFrame, path: str, shard: str) -> None:
+    """Parquet in one folder per value of ``shard`` (S18), which Spark prunes by when read."""
+    df.write.partitionBy(shard).mode("errorifexists").parquet(path)
+
+
 def parse_species_reps(df: DataFrame, accession: str, lineage: str) -> DataFrame:
     """Representatives without source prefix, with their domain and species."""
     m = F.str_to_map(F.col(lineage), F.lit(";"), F.lit("__"))
@@ -51,26 +62,65 @@ def parse_species_reps(df: DataFrame, accession: str, lineage: str) -> DataFrame
 def parse_gff3(files: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
     """Features of whole GFF3 files (S07): the body ends at ``##FASTA`` or at a
     bare ``>``; comment lines go; a line without nine columns is an error;
-    attributes are multi-valued and percent-decoded."""
+    attributes are as ``gff3_attributes`` reads them."""
     body = F.split(F.col(content), r"(?m)^(##FASTA|>)", 2)[0]
     lines = files.select(F.col(file).alias("file"), F.posexplode(F.split(body, "\n")).alias("line_no", "line")).where("line <> '' AND NOT startswith(line, '#')")
     c = F.split("line", "\t")
     checked = lines.where(F.when(F.size(c) == 9, True).otherwise(F.raise_error(F.concat(F.lit("not nine columns: "), F.col("line"))).cast("boolean")))
-    pairs = F.filter(F.split(c[8], ";"), lambda a: F.contains(a, F.lit("=")))
-    attrs = F.map_from_entries(F.transform(pairs, lambda a: F.struct(F.split_part(a, F.lit("="), F.lit(1)).alias("key"), F.transform(F.split(F.split_part(a, F.lit("="), F.lit(2)), ","), lambda v: F.url_decode(F.replace(v, F.lit("+"), F.lit("%2B")))).alias("value"))))
-    return checked.select("file", "line_no", c[0].alias("seqid"), c[2].alias("type"), c[3].cast("long").alias("lo"), c[4].cast("long").alias("hi"), F.when(c[6] == "-", -1).when(c[6] == "+", 1).otherwise(0).alias("strand"), attrs.alias("attributes"))
+    return checked.select("file", "line_no", c[0].alias("seqid"), c[2].alias("type"), c[3].cast("long").alias("lo"), c[4].cast("long").alias("hi"), F.when(c[6] == "-", -1).when(c[6] == "+", 1).otherwise(0).alias("strand"), gff3_attributes(c[8]).alias("attributes"))
+
+
+def _require(ok: Column, message: str, text: Column) -> Column:
+    return F.when(ok, text).otherwise(F.raise_error(F.concat(F.lit(message), text)).cast("string"))
+
+
+def percent_decoded(text: Column) -> Column:
+    """``%XX`` decoded, everything else as it is; a ``%`` without two hexadecimal
+    digits and bytes that aren't UTF-8 are errors."""
+    sound = _require(~text.rlike("%(?![0-9A-Fa-f]{2})"), "malformed percent-escape: ", text)
+    decoded = F.url_decode(F.replace(sound, F.lit("+"), F.lit("%2B")))
+    # The decoder puts U+FFFD where bytes are not UTF-8.
+    mark = F.lit(chr(0xFFFD))
+    ok = ~F.contains(decoded, mark) | F.contains(text, mark) | F.contains(F.upper(text), F.lit("%EF%BF%BD"))
+    return F.when(F.contains(text, F.lit("%")), F.when(ok, decoded).otherwise(F.raise_error(F.concat(F.lit("escaped bytes that are not UTF-8: "), text)).cast("string"))).otherwise(text)
+
+
+def merged_map(entries: Column) -> Column:
+    """A map from an array of ``(key, values)``: the values of a key that comes more
+    than once are joined in order."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.flatten(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]))))
+
+
+def gff3_attributes(column: Column) -> Column:
+    """Column nine as a map of keys to values: fragments are split at ``;``, then at
+    the first ``=``, values at ``,``, and each part is decoded after that. Values of
+    a repeated key are joined in order; ``.`` and an empty column are an empty map; a
+    fragment without ``=`` or with an empty key is an error."""
+    text = F.trim(column)
+    parts = F.filter(F.split(F.when(text == ".", "").otherwise(text), ";"), lambda a: F.trim(a) != "")
+    checked = F.transform(parts, lambda a: _require(a.rlike(r"^\s*[^=\s][^=]*="), "attribute fragment without a key and '=': ", a))
+    key = lambda a: percent_decoded(F.trim(F.regexp_extract(a, "^([^=]*)=", 1)))
+    values = lambda a: F.transform(F.split(F.regexp_extract(a, "(?s)^[^=]*=(.*)$", 1), ","), percent_decoded)
+    return merged_map(F.transform(checked, lambda a: F.struct(key(a).alias("key"), values(a).alias("value"))))
 
 
 def group_cds(features: DataFrame) -> DataFrame:
-    """Rows of one declared ``ID`` as one feature with its segments (S08); a row
-    without an ID stands alone; an ID on two sequences or strands is an error."""
-    ident = F.get(F.col("attributes")["ID"], F.lit(0))
-    key = F.coalesce(ident, F.concat(F.lit("row:"), F.col("line_no").cast("string")))
-    g = features.where("type = 'CDS'").groupBy("file", key.alias("cds_id")).agg(
-        F.min("seqid").alias("seqid"), F.min("strand").alias("strand"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("segments"),
+    """Rows of one declared ``ID`` as one feature with its segments and the attributes
+    of all its rows, both in file order (S08); a row without an ID stands alone, its
+    ``cds_id`` being ``row:`` and its line; an ID on two sequences or strands is an error."""
+    declared = F.nullif(F.trim(F.get(F.col("attributes")["ID"], F.lit(0))), F.lit(""))
+    own = F.when(declared.isNull(), F.col("line_no"))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "lo", "hi", "attributes_")))
+    g = features.where("type = 'CDS'").withColumn("attributes_", F.map_entries("attributes")).groupBy("file", declared.alias("_id"), own.alias("_row")).agg(
+        F.min("seqid").alias("seqid"), F.min("strand").alias("strand"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), rows.alias("_rows"),
         (F.count_distinct("seqid") + F.count_distinct("strand")).alias("_k"),
     )
-    return g.where(F.when(F.col("_k") == 2, True).otherwise(F.raise_error(F.lit("one ID on two sequences or strands")).cast("boolean"))).drop("_k")
+    sound = g.where(F.when(F.col("_k") == 2, True).otherwise(F.raise_error(F.lit("one ID on two sequences or strands")).cast("boolean")))
+    return sound.select(
+        "file", F.coalesce("_id", F.concat(F.lit("row:"), F.col("_row").cast("string"))).alias("cds_id"), F.col("_id").isNotNull().alias("declared"), "seqid", "strand", "lo", "hi",
+        F.transform("_rows", lambda r: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"))).alias("segments"), merged_map(F.flatten(F.transform("_rows", lambda r: r["attributes_"]))).alias("attributes"),
+    )
 
 
 def parse_tblout(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -101,11 +151,24 @@ def parse_helixcov(files: DataFrame, file: str = "file", content: str = "content
 
 def parse_stockholm(files: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
     """``file, row_name, aligned``: interleaved blocks joined per row, the
-    consensus structure under ``#=GC SS_cons`` (S11)."""
+    consensus structure under ``#=GC SS_cons`` (S11). Rows of one file that differ in
+    width are an error."""
     lines = files.select(F.col(file).alias("file"), F.posexplode(F.split(content, "\n")).alias("p", "line")).where("line <> '' AND line <> '//' AND (NOT startswith(line, '#') OR startswith(line, '#=GC SS_cons'))")
     name = F.when(F.startswith("line", F.lit("#=GC")), "#=GC SS_cons").otherwise(F.regexp_extract("line", r"^(\S+)", 1))
     chunk = F.regexp_extract("line", r"(\S+)\s*$", 1)
-    return lines.select("file", name.alias("row_name"), "p", chunk.alias("c")).groupBy("file", "row_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]), "").alias("aligned"))
+    joined = lines.select("file", name.alias("row_name"), "p", chunk.alias("c")).groupBy("file", "row_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]), "").alias("aligned"))
+    w = Window.partitionBy("file")
+    same = F.min(F.length("aligned")).over(w) == F.max(F.length("aligned")).over(w)
+    return joined.withColumn("_same", same).where(F.when(F.col("_same"), True).otherwise(F.raise_error(F.concat(F.lit("rows of different width in "), F.col("file").cast("string"))).cast("boolean"))).drop("_same")
+
+
+def alignment_depth(rows: DataFrame) -> DataFrame:
+    """``file, n_rows, width, mean_depth``: sequences of each alignment, its columns, and
+    the mean number of sequences with a residue in a column (S11)."""
+    seqs = rows.where("NOT startswith(row_name, '#')")
+    residues = F.length(F.regexp_replace("aligned", r"[.\-~_]", ""))
+    g = seqs.groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.length("aligned")).cast("long").alias("width"), F.sum(residues).alias("_n"))
+    return g.select("file", "n_rows", "width", F.try_divide("_n", "width").alias("mean_depth"))
 
 
 def parse_ct(files: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
@@ -122,6 +185,15 @@ def last_log_rows(lines: DataFrame, schema: str, *, key: str, seq: str, value: s
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def work_decision(wanted: DataFrame, last: DataFrame, *, key: str, status: str, done: str, retry: list[str]) -> DataFrame:
+    """What a resumed run does with each wanted key, from the last log row of each
+    (S13): ``reuse`` where it is done, ``retry`` where the status allows another try,
+    ``run`` without a row, else ``give_up``."""
+    s = F.col(status)
+    say = F.when(s.isNull(), "run").when(s == done, "reuse").when(s.isin(*retry), "retry").otherwise("give_up")
+    return wanted.select(key).distinct().join(last.select(key, status), key, "left").select(key, say.alias("decision"))
+
+
 def parse_manifest(lines: DataFrame, value: str = "value") -> DataFrame:
     """``digest, file`` of checksum lines."""
     pattern = r"^([0-9a-f]{32})\s+\*?(?:\./)?(.+)$"

@@ -163,9 +163,16 @@ def test_lineage_cycles_and_merged_ids(spark):
     nodes = spark.createDataFrame([(1, 1, "root"), (2, 1, "p"), (3, 2, "g"), (8, 9, "x"), (9, 8, "x")], "taxid long, parent long, rank string")
     merged = spark.createDataFrame([(30, 3)], "old long, new long")
     ids = spark.createDataFrame([(30,), (8,), (77,)], "taxid long")
-    got = taxonomy.lineage_by_rank(ids, nodes, merged, max_depth=4)
-    assert rows(got.where("taxid = 30"), "ancestor") == [(1,), (2,), (3,)]
-    assert got.where("taxid = 8").count() == 4 and got.where("taxid = 77").count() == 0
+    got = taxonomy.lineage_by_rank(ids.where("taxid <> 8"), nodes, merged)
+    assert rows(got.where("taxid = 30"), "ancestor") == [(1,), (2,), (3,)] and got.where("taxid = 77").count() == 0
+    with pytest.raises(Exception, match="cycle of parents"):
+        taxonomy.lineage_by_rank(ids, nodes, merged).collect()
+
+
+def test_deep_lineages_are_whole(spark):
+    deep = spark.range(1, 62).selectExpr("id AS taxid", "greatest(id - 1, 1) AS parent", "'r' AS rank")
+    none = spark.createDataFrame([], "old long, new long")
+    assert taxonomy.lineage_by_rank(deep.where("taxid = 61").select("taxid"), deep, none).count() == 61
 
 
 def test_gff_refuses_wrong_width_and_split_ids(spark):
@@ -217,3 +224,136 @@ def test_no_nested_loops(spark, name):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def gff(spark, *attributes):
+    text = "\n".join(f"s\tx\tCDS\t{9 * i + 1}\t{9 * i + 9}\t.\t+\t0\t{a}" for i, a in enumerate(attributes))
+    return scans.parse_gff3(spark.createDataFrame([("f", text)], "file string, content string"))
+
+
+def test_gff_attributes(spark):
+    got = [r.attributes for r in gff(spark, "ID=a;Note=x=y;Note=z,w%2Cv", ".", "product=NAD(P)+ 100%25 id;empty=; ;", "k%3D=%C3%A9").orderBy("line_no").collect()]
+    assert got == [{"ID": ["a"], "Note": ["x=y", "z", "w,v"]}, {}, {"product": ["NAD(P)+ 100% id"], "empty": [""]}, {"k=": ["é"]}]
+    for bad, why in (("lone", "fragment"), ("=v", "fragment"), ("k=100% id", "malformed"), ("ID=%FF", "UTF-8")):
+        with pytest.raises(Exception, match=why):
+            gff(spark, bad).collect()
+
+
+def test_cds_rows_join_their_attributes(spark):
+    got = scans.group_cds(gff(spark, "ID=a;product=p", "ID=b", "ID=a;product=q;pseudo=true", "product=r", "ID=row:3", "ID= ")).collect()
+    by = {(r.cds_id, r.declared): r for r in got}
+    a = by["a", True]
+    assert len(by) == 5 and a.attributes == {"ID": ["a", "a"], "product": ["p", "q"], "pseudo": ["true"]} and [tuple(x) for x in a.segments] == [(1, 9), (19, 27)]
+    assert by["row:3", False].attributes == {"product": ["r"]} and by["row:3", True].attributes == {"ID": ["row:3"]}
+
+
+def test_csv_texts_survive(spark, tmp_path):
+    texts = ["a\rb", "a\r\nb", "\n\n", 'say "x", "y"', " lead", "tail ", "\r", "é\u2028", "back\\slash\\"]
+    path = str(tmp_path / "csv")
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_c0 int, k int, text string")
+    df.write.csv(path, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    got = {int(r.k): r.text for r in scans.read_corpus_csv(spark, path, ["_c0", "k", "text"]).collect()}
+    assert got == dict(enumerate(texts))
+
+
+def test_fasta_headers_may_hold_the_mark(spark, tmp_path):
+    path = tmp_path / "x.fa"
+    path.write_text(">a tRNA 5'->3' end\nAC\ngt\n>b\n\n>a again\nTT\n")
+    got = sorted(map(tuple, scans.read_fasta(spark, str(path)).select("name", "description", "seq").collect()))
+    assert got == [("a", "again", "TT"), ("a", "tRNA 5'->3' end", "ACGT"), ("b", "", "")]
+
+
+def test_alignment_rows_of_one_width(spark):
+    bad = spark.createDataFrame([("f", "# STOCKHOLM 1.0\na  ACG\nb  AC\n//")], "file string, content string")
+    with pytest.raises(Exception, match="different width"):
+        scans.parse_stockholm(bad).collect()
+
+
+def test_kinds_in_the_record_hash(spark):
+    one = spark.sql("SELECT 1 AS i, 1L AS l, '1' AS s, 1.0D AS f, true AS b, 'true' AS t, date'2024-01-01' AS d, '2024-01-01' AS e")
+    h = {c: one.select(L.row_hash([F.col(c)])).first()[0] for c in one.columns}
+    assert h["i"] == h["l"] and len({h[c] for c in "isfbtde"}) == 7
+    assert one.select(L.clean_null(F.lit(" N/A ")), L.clean_null(F.lit("n/b"))).first()[:] == (None, "n/b")
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from strandloom import session
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Nothing:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            class sc:
+                def getCheckpointDir(self):
+                    return Nothing()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Session())
+
+
+def test_digest_levels_ignore_order(spark):
+    h = spark.range(3000).selectExpr("sha2(cast(id AS string), 256) AS h", "id % 2 AS g")
+    whole = selection.table_digest(h).first()
+    assert whole == selection.table_digest(h.orderBy("h")).first() and whole.n == 3000 and whole.digest != selection.table_digest(h.limit(2999)).first().digest
+    assert selection.table_digest(h, by=["g"], digits=2).count() == 2
+
+
+def test_segments_with_shifts_and_ties(spark):
+    import random
+
+    rnd = random.Random(6)
+    seq = "".join(rnd.choice("ACGT") for _ in range(400))
+    a, b = seq[50:80], seq[100:130]
+    segs = [("ok", a, 0), ("ok", b, 50), ("shift", a, 0), ("shift", b, 45), ("far", a, 0), ("far", b, 44), ("bad", a, 0), ("bad", "".join("ACGT"["TGCA".index(x)] if i % 6 == 0 else x for i, x in enumerate(b[:24])) + "ACGTAC", 50)]
+    df = spark.createDataFrame(segs, "leader_id string, seq string, offset long")
+    one = spark.createDataFrame([(1, seq)], "contig_id long, seq string")
+    got = {r.leader_id: (r.status, r.start0, r.end0, r.mismatches, r.exact) for r in sequences.localise(one, df, k=14, contig_id="contig_id", leader_id="leader_id").collect()}
+    assert got == {"ok": ("unique", 50, 130, 0, True), "shift": ("unique", 50, 130, 0, False)}
+    twice = spark.createDataFrame([(1, seq), (2, seq)], "contig_id long, seq string")
+    assert {r.status for r in sequences.localise(twice, df.where("leader_id = 'ok'"), k=14, contig_id="contig_id", leader_id="leader_id").collect()} == {"ambiguous"}
+
+
+def test_pairing_pattern():
+    assert structure.pairing_pattern("NCCA", 4) == "[U][G][G][ACGU]" and structure.pairing_pattern("CA", 2, wobble=True) == "[U][G]"
+    assert structure.pairing_pattern("GU", 2, wobble=True) == "[AG][CU]" and structure.pairing_pattern("NCCA", 1) == "[U]|[G]|[G]"
+    for acceptor, n in (("NN", 1), ("NCCA", 5), ("XX", 1)):
+        with pytest.raises(ValueError):
+            structure.pairing_pattern(acceptor, n)
+
+
+def test_monitor_halts_across_batches(spark, tmp_path):
+    from strandloom.streaming.scan import best_so_far
+
+    src, sink, cp = (str(tmp_path / x) for x in ("src", "sink", "cp"))
+    schema = "run long, round long, recall long"
+    args = dict(drop=5, checkpoint=cp, sink=sink)
+    spark.createDataFrame([(1, 2, 90), (1, 1, 80), (2, 1, 70), (2, 2, 66)], schema).write.parquet(src)
+    assert rows(best_so_far(spark, src, schema, **args)) == [(1, 90, 2, False), (2, 70, 2, False)]
+    spark.createDataFrame([(1, 3, 85), (2, 3, 75)], schema).write.mode("append").parquet(src)
+    assert rows(best_so_far(spark, src, schema, **args)) == [(1, 90, 3, True), (2, 75, 3, False)]
+
+
+def test_similarity_blocks_follow_the_rows(spark, monkeypatch):
+    from strandloom.operators import similarity
+
+    df = spark.range(60).selectExpr("id", "transform(sequence(1, 8), i -> cast((id div 3 + i) % 4 AS int)) AS codes")
+    want = {(r.a, r.b) for r in similarity.similarity_links(df, id_col="id", codes="codes", identity=1.0, coverage=0.9).collect()}
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 7)
+    got = cluster.connected_components(similarity.similarity_links(df, id_col="id", codes="codes", identity=1.0, coverage=0.9))
+    assert rows(got) == rows(cluster.connected_components(spark.createDataFrame(sorted(want), "a long, b long"))) and similarity._n_blocks(df) == 9
+
+
+def test_dense_labels(spark):
+    df = spark.createDataFrame([(5, 5), (9, 5), (7, 7), (1, 1)], "node long, component long")
+    assert rows(cluster.dense_labels(df), "node", "label") == [(1, 0), (5, 1), (7, 2), (9, 1)]
