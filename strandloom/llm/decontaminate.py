@@ -3,10 +3,10 @@
 A seed is a fixed mask over consecutive words; the words at its zeros are
 ignored, so a seed still hits where such words were substituted. Hashes of all
 masked windows of the benchmark are joined with those of the documents. Each hit
-names a diagonal (position in the document minus position in the item), and the
-words that seeds on one diagonal hold equal are verified against the item's
-length: the overlap counts equal words only, so substitutions lower it and
-don't hide it.
+names a diagonal (position in the document minus position in the item); around
+it all words of the item are compared with the document's words in place, and
+the share of equal ones is the overlap. Substitutions lower the overlap by their
+own words only.
 
 Documents are hashed in Arrow batches; a bitmap of fixed size over the
 benchmark's hashes keeps all but a few of their windows from being shuffled.
@@ -23,13 +23,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.textbatch import chunks, mix, ragged_index, span_hashes
-from strandloom.session import table
+from strandloom.llm.textbatch import mix, ragged_index, span_hashes, text_slices
+from strandloom.session import cut, table
 
-#: Fixed masks over words: 1 is compared, 0 ignored.
-MASKS = ("111111", "1110111", "11011011", "101110101")
+#: Fixed masks over words: 1 is compared, 0 ignored. Of items of 12 words or more with
+#: half of their words or more equal at random places they hit nine in ten or more.
+MASKS = ("1111", "11011", "101101", "1010101", "1100101", "1001011")
+#: Items of this many words or more need two seeds on a diagonal to be compared.
+LONG_ITEM = 24
 #: Bits of the bitmap over the benchmark's hashes, whatever their number.
-BITMAP_BITS = 1 << 22
+BITMAP_BITS = 1 << 25
+#: Documents to compare that are broadcast at most; beyond, texts are shuffled to meet them.
+MAX_BROADCAST = 100_000
+#: Bytes of text hashed at a time.
+SLICE_BYTES = 1_000_000
 
 
 @cache
@@ -68,16 +75,25 @@ def seed_hashes(words: np.ndarray, counts: np.ndarray, mask: str) -> tuple[np.nd
     return text, at - begins[text], mix(h)
 
 
+def _hashed(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, word hashes, words per row and a key of each row's words, by slices."""
+    import xxhash
+
+    for lo, texts in text_slices(batch.column(column), SLICE_BYTES):
+        words, counts = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
+        ends = np.cumsum(counts)
+        keys = [xxhash.xxh3_64_intdigest(words[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+        yield lo, words, counts, np.array(keys, np.uint64).view(np.int64)
+
+
 def _seed_rows(masks: tuple[str, ...], bitmap: bytes | None):
-    """Rows ``id, mask, hash, pos, n_words`` of a table of ``id, text``; with a
+    """Rows ``id, key, mask, hash, pos, n_words`` of a table of ``id, text``; with a
     bitmap only windows it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if bitmap is None else np.frombuffer(bitmap, np.uint8)
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo, hi in chunks([len(t) for t in texts]):
-                words, counts = word_hashes(texts[lo:hi])
+            for lo, words, counts, keys in _hashed(batch, 1):
                 for m, mask in enumerate(masks):
                     text, pos, h = seed_hashes(words, counts, mask)
                     if bits is not None:
@@ -85,15 +101,44 @@ def _seed_rows(masks: tuple[str, ...], bitmap: bytes | None):
                         held = (bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         text, pos, h = text[held], pos[held], h[held]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(text + lo)), pa.array(np.full(len(h), m), pa.int32()), pa.array(h.view(np.int64)), pa.array(pos, pa.int64()), pa.array(counts[text], pa.int64())],
-                        names=["id", "mask", "hash", "pos", "n_words"],
+                        [batch.column(0).take(pa.array(text + lo)), pa.array(keys[text]), pa.array(np.full(len(h), m), pa.int32()), pa.array(h.view(np.int64)), pa.array(pos, pa.int64()), pa.array(counts[text], pa.int64())],
+                        names=["id", "key", "mask", "hash", "pos", "n_words"],
                     )
 
     return run
 
 
-def _schema(id_type: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField("id", id_type), T.StructField("mask", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("n_words", T.LongType())])
+def _seed_schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("mask", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("hash", "pos", "n_words"))])
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``item_key, words`` of each row of ``id, text``."""
+    for batch in batches:
+        for _, words, counts, keys in _hashed(batch, 1):
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(words.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), lists], names=["item_key", "words"])
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of ``id, text, doc_key, wanted``, the hashes of the words that lie on
+    each wanted diagonal, one for each word of the item and null beyond the text's ends."""
+    for batch in batches:
+        for lo, words, counts, keys in _hashed(batch, 1):
+            ends = np.cumsum(counts)
+            for i in np.flatnonzero(keys == batch.column(2).slice(lo, len(keys)).to_numpy()).tolist():
+                own, wanted = words[ends[i] - counts[i] : ends[i]].view(np.int64), batch.column(3)[lo + i].values
+                n, diagonal = (wanted.field(c).to_numpy() for c in ("n_words", "diagonal"))
+                for a in range(0, len(n), 1000):
+                    at = np.repeat(diagonal[a : a + 1000], n[a : a + 1000]) + ragged_index(np.zeros(len(n[a : a + 1000]), np.int64), n[a : a + 1000])
+                    inside = (at >= 0) & (at < len(own))
+                    values = pa.array(own[np.where(inside, at, 0)], mask=~inside)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[a : a + 1000])), pa.int32()), values)
+                    some = wanted.slice(a, 1000)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(np.full(len(some), lo + i))), some.field("item_id"), some.field("item_key"), some.field("diagonal"), lists],
+                        names=["doc_id", "item_id", "item_key", "diagonal", "found"],
+                    )
 
 
 def contaminated(
@@ -103,42 +148,61 @@ def contaminated(
     """One row per document and benchmark item that it holds: ``doc_id, item_id,
     n_equal, n_item_words, overlap, first_word``.
 
-    ``overlap`` is the share of the item's words found equal and in place on the
-    best diagonal; ``min_overlap`` of it are needed. Items shorter than the
-    shortest mask are found by unmasked seeds of their own length, so whole or
-    not at all; items without words never are. Null texts have no words; rows
-    with a null id are not reported; repeated rows are reported once; other
-    columns are ignored; empty tables give an empty result.
+    ``overlap`` is the share of the item's words that are equal and in place on the
+    best diagonal; ``min_overlap`` of it are needed; ``first_word`` is where that
+    diagonal meets the item's start in the document (its own start at the least).
+    Diagonals are those that seeds hit, twice for items of ``LONG_ITEM`` words or
+    more. An inserted or missing word starts another diagonal; each is judged on
+    its own words. Items shorter than the shortest mask are found by unmasked seeds
+    of their own length, so whole or not at all; items without words never are.
+    Null texts have no words; rows with a null id are not reported; rows that repeat
+    an id are reported once, with the best overlap of their texts; other columns are
+    ignored; empty tables give an empty result.
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     b = benchmark.select(F.col(item_col).alias("id"), F.col(item_text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    id_type, item_type = d.schema["id"].dataType, b.schema["id"].dataType
     shortest = min(map(len, masks))
     # Short items: at most ``shortest - 1`` different lengths.
     lengths = b.select(F.size(F.array_remove(F.split(F.col("text"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).alias("n"))
     short = sorted(r["n"] for r in lengths.where((F.col("n") > 0) & (F.col("n") < shortest)).distinct().collect())
     every = (*masks, *("1" * n for n in short))
-    tests = b.mapInArrow(_seed_rows(every, None), _schema(b.schema["id"].dataType))
+    tests = b.mapInArrow(_seed_rows(every, None), _seed_schema(item_type))
     tests = tests.where((F.col("mask") < len(masks)) | (F.col("n_words") < shortest))
-    # At most BITMAP_BITS distinct rows come back.
-    held = np.zeros(BITMAP_BITS, np.uint8)
-    for r in tests.select(F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("bit")).distinct().toLocalIterator():
-        held[r["bit"]] = 1
-    bitmap = np.packbits(held, bitorder="little").tobytes()
-    hits = d.mapInArrow(_seed_rows(every, bitmap), _schema(d.schema["id"].dataType)).select(F.col("id").alias("doc_id"), "mask", "hash", "pos")
-    items = tests.select(F.col("id").alias("item_id"), "mask", "hash", F.col("pos").alias("at"), F.col("n_words").alias("n_item_words"))
-    met = hits.join(items, ["mask", "hash"])
-    cares = F.array(*[F.array(*[F.lit(k) for k, c in enumerate(m) if c == "1"]) for m in every])
-    equal = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "mask")), lambda s: F.transform(F.get(cares, s["mask"]), lambda k: s["at"] + k)))))
-    diagonals = met.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "n_item_words").agg(equal.cast("long").alias("n_equal"), F.min("pos").alias("first_word"))
-    good = diagonals.withColumn("overlap", F.col("n_equal") / F.col("n_item_words")).where(F.col("overlap") >= min_overlap)
-    best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_equal", "n_item_words", "overlap", "first_word"), F.struct(F.col("n_equal"), -F.col("first_word"))).alias("best"))
+    # At most BITMAP_BITS / 32 rows come back.
+    bit = F.col("hash").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    parts = tests.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("part"))
+    bitmap = np.zeros(BITMAP_BITS // 32, "<u4")
+    for r in parts.toLocalIterator():
+        bitmap[r["at"]] = r["part"]
+    hits = d.mapInArrow(_seed_rows(every, bitmap.tobytes()), _seed_schema(id_type)).select(F.col("id").alias("doc_id"), F.col("key").alias("doc_key"), "mask", "hash", "pos")
+    items = tests.select(F.col("id").alias("item_id"), F.col("key").alias("item_key"), "mask", "hash", F.col("pos").alias("at"), "n_words").distinct()
+    met = hits.join(items, ["mask", "hash"]).select("doc_id", "doc_key", "item_id", "item_key", "n_words", (F.col("pos") - F.col("at")).alias("diagonal"), "mask", "at")
+    diagonals = met.groupBy("doc_id", "doc_key", "item_id", "item_key", "n_words", "diagonal").agg(F.count_distinct("mask", "at").alias("seeds"))
+    wanted = diagonals.where((F.col("n_words") < LONG_ITEM) | (F.col("seeds") > 1))
+    wanted = cut(wanted.groupBy(F.col("doc_id").alias("id"), "doc_key").agg(F.collect_list(F.struct("item_id", "item_key", "n_words", "diagonal")).alias("wanted")))
+    beside = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted.hint("merge")
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", item_type), T.StructField("item_key", T.LongType()), T.StructField("diagonal", T.LongType()), T.StructField("found", T.ArrayType(T.LongType()))])
+    passages = d.join(beside, "id").select("id", "text", "doc_key", "wanted").mapInArrow(_passages, schema)
+    words = b.mapInArrow(_item_words, "item_key long, words array<long>").dropDuplicates(["item_key"])
+    equal = F.size(F.filter(F.zip_with("found", "words", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda e: e)).cast("long")
+    n = F.size("words").cast("long")
+    compared = passages.join(words, "item_key").select("doc_id", "item_id", equal.alias("n_equal"), n.alias("n_item_words"), F.greatest("diagonal", F.lit(0).cast("long")).alias("first_word"))
+    good = compared.withColumn("overlap", F.col("n_equal") / F.col("n_item_words")).where(F.col("overlap") >= min_overlap)
+    best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_equal", "n_item_words", "overlap", "first_word"), F.struct(F.col("overlap"), F.col("n_equal"), -F.col("first_word"))).alias("best"))
     return best.select("doc_id", "item_id", "best.*")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    found = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no benchmark item. Rows that share an id go together;
+    rows with a null id are judged by their texts, each for itself."""
+    def without(rows: DataFrame, key: str) -> DataFrame:
+        found = contaminated(rows, benchmark, id_col=key, text_col=text_col, **options).select(F.col("doc_id").alias(key)).distinct()
+        return rows.join(found, key, "left_anti").select(*docs.columns)
+
+    digest = "digest of the text"
+    nameless = docs.where(F.col(id_col).isNull()).withColumn(digest, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return without(docs.where(F.col(id_col).isNotNull()), id_col).unionByName(without(nameless, digest))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
