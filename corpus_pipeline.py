@@ -2,6 +2,9 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 read again as the next one's ``docs``. Stages fit what they need on their own input.
+Whole texts travel between Spark and Python in every stage, so its Arrow batches are
+set to ``BATCH_ROWS`` rows; Spark's default of 10,000 holds five times that memory on
+both sides of each worker.
 """
 
 from __future__ import annotations
@@ -14,6 +17,9 @@ from strandloom.llm import bpe_codec, decontaminate, language, pii, simhash
 from strandloom.session import scratch_path, table
 
 
+BATCH_ROWS = 2000
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those the classifier rejects go."""
     model = language.fit(docs.where(~language.held_out()))
@@ -42,12 +48,22 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(docs, ranks_path=path), ranks_path=path))
 
 
+def staged(stage):
+    """The stage with its session's Arrow batches bounded."""
+
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
 STAGES = [
-    ("language", language_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("decontamination", decontamination_stage),
-    ("pii", pii_stage),
-    ("encoding", encoding_stage),
+    ("language", staged(language_stage)),
+    ("near_duplicates", staged(near_duplicate_stage)),
+    ("decontamination", staged(decontamination_stage)),
+    ("pii", staged(pii_stage)),
+    ("encoding", staged(encoding_stage)),
 ]
 
 # Classifiers, fingerprints and merges are beyond SQL; tests hold the result
