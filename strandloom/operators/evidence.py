@@ -29,6 +29,18 @@ def spare_rule(df: DataFrame, statuses: dict[str, str]) -> DataFrame:
     return df.withColumn("spared", rule).withColumn("reason", tag)
 
 
+def round_readiness(df: DataFrame, statuses: dict[str, str]) -> DataFrame:
+    """Whether a round can run (E30): candidates, those that no evidence passes, which
+    is the most that full evidence could leave to mine, and for each evidence how many
+    it decides; ``ready`` if every one decides some and something can be left."""
+    passed = F.coalesce(F.greatest(*[F.coalesce(F.col(c), F.lit(False)) for c in statuses.values()], F.lit(False)), F.lit(False))
+    g = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~passed).alias("maximum_yield"), *(F.count(c).alias(f"n_{name}") for name, c in statuses.items()))
+    ready = F.col("maximum_yield") > 0
+    for name in statuses:
+        ready = ready & (F.col(f"n_{name}") > 0)
+    return g.withColumn("ready", ready)
+
+
 def assemble_evidence(manifest: DataFrame, tables: dict[str, DataFrame], key: str) -> DataFrame:
     """Manifest with one nullable column per evidence table; what a table lacks
     is unavailable (J10). Tables have ``key`` and a column of their own name."""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions.loci import hash_draw
+
 BIN = 4096
 
 
@@ -52,9 +54,11 @@ def exact_ids(candidates: DataFrame, known: DataFrame, *, id_col: str = "locus_i
 
 def mask_report(candidates: DataFrame, known: DataFrame, *, flank: int, by: str) -> DataFrame:
     """Per group: candidates, masked at the flank, truly overlapping, exact."""
-    flags = candidates
-    for name, ids in (("masked", masked_ids(candidates, known, flank=flank)), ("overlap", masked_ids(candidates, known, flank=0)), ("exact", exact_ids(candidates, known))):
-        flags = flags.join(ids.withColumn(name, F.lit(True)), "locus_id", "left")
+    merged = merge_intervals(known).drop("n")
+    pairs = overlap_join(candidates.select("locus_id", "acc", "lo", "hi").distinct(), merged, flank=flank)
+    touch = (F.col("lo") <= F.col("r_hi")) & (F.col("r_lo") <= F.col("hi"))
+    hit = pairs.groupBy("locus_id").agg(F.bool_or(touch).alias("overlap")).withColumn("masked", F.lit(True))
+    flags = candidates.join(hit, "locus_id", "left").join(exact_ids(candidates, known).withColumn("exact", F.lit(True)), "locus_id", "left")
     return flags.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"n_{c}") for c in ("masked", "overlap", "exact")])
 
 
@@ -74,3 +78,14 @@ def best_overlap(spans: DataFrame, annotated: DataFrame, *, id_col: str, right_i
     pairs = overlap_join(spans, annotated, key=key).select(id_col, F.col(f"r_{right_id}").alias(right_id), inter.alias("inter"), (inter / union).alias("iou"))
     best = pairs.groupBy(id_col).agg(F.max_by(F.struct(right_id, "inter", "iou"), F.struct("iou", "inter", right_id)).alias("b"))
     return spans.select(id_col).join(best, id_col, "left").select(id_col, f"b.{right_id}", "b.inter", "b.iou")
+
+
+def control_windows(loci: DataFrame, hosts: DataFrame, known: DataFrame, *, id_col: str, seed: str, acc: str = "acc", length: str = "len") -> DataFrame:
+    """One window of each locus's length at a hash-drawn place of its host, without
+    those that touch a known interval (W14). Hosts have one row of ``acc, len``; a
+    host shorter than the locus gives none."""
+    span = F.col("hi") - F.col("lo")
+    c = loci.select(id_col, acc, span.alias("_span")).distinct().join(hosts.select(acc, length), acc).where(F.col(length) > F.col("_span"))
+    lo = hash_draw(seed, F.col(id_col)) % (F.col(length) - F.col("_span")) + 1
+    drawn = c.withColumn("lo", lo).withColumn("hi", F.col("lo") + F.col("_span")).select(id_col, acc, "lo", "hi")
+    return drawn.join(masked_ids(drawn, known, flank=0, id_col=id_col), id_col, "left_anti").select(id_col, acc, "lo", "hi")

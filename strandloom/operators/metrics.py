@@ -155,6 +155,24 @@ def strand_robustness(df: DataFrame, *, id_col: str, confirmed: str) -> DataFram
     return per.agg(F.count(F.lit(1)).alias("n"), F.count_if("_any").alias("confirmed"), F.count_if(F.col("_any") == F.col("_all")).alias("invariant"))
 
 
+def auroc_interval(df: DataFrame, *, score: str, label: str, block: str, replicates: int, seed: str, alpha: float = 0.05) -> DataFrame:
+    """AUROC and the percentile interval over replicates of whole blocks (M12); no
+    interval below two blocks. Rows are compressed to block and score first."""
+    w = block_bootstrap_weights(df, block=block, replicates=replicates, seed=seed)
+    small = df.groupBy(block, score, label).agg(F.count(F.lit(1)).alias("_k")).join(w, block).withColumn("_wt", F.col("_k") * F.col("weight"))
+    ends = auroc(small, score=score, label=label, by=["rep"], weight="_wt").agg(F.percentile("auroc", F.lit(alpha / 2)).alias("lo"), F.percentile("auroc", F.lit(1 - alpha / 2)).alias("hi"))
+    whole = auroc(df, score=score, label=label).select("auroc", "n_pos", "n_neg").join(df.agg(F.count_distinct(block).alias("n_blocks")), F.lit(True))
+    ok = F.col("n_blocks") >= 2
+    return whole.join(ends, F.lit(True)).select("n_blocks", "auroc", F.when(ok, F.col("lo")).alias("lo"), F.when(ok, F.col("hi")).alias("hi"))
+
+
+def duplicate_agreement(df: DataFrame, *, payload: str, posterior: str, tolerance: float) -> DataFrame:
+    """Payloads scored more than once, those whose scores agree within the tolerance,
+    and the largest spread (M10)."""
+    g = df.groupBy(payload).agg(F.count(F.lit(1)).alias("_n"), (F.max(posterior) - F.min(posterior)).alias("_d")).where(F.col("_n") > 1)
+    return g.agg(F.count(F.lit(1)).alias("n_repeated"), F.count_if(F.col("_d") <= tolerance).alias("n_agree"), F.max("_d").alias("largest"))
+
+
 def arm_intervals(df: DataFrame, *, arm: str, block: str, score: str, label: str, replicates: int, seed: str, alpha: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Bootstrap intervals of average precision (M08): per arm, and of the paired
     difference between every two arms, over the same replicates of whole blocks.
@@ -208,10 +226,12 @@ def bootstrap_ratio(sums: DataFrame, weights: DataFrame, *, block: str, numerato
     return n.join(ends, F.lit(True)).select("n_blocks", "point", F.when(ok, F.col("lo")).alias("lo"), F.when(ok, F.col("hi")).alias("hi"))
 
 
-def auroc(df: DataFrame, *, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Rank-sum AUROC with mid-ranks for ties, and its null standard error."""
+def auroc(df: DataFrame, *, score: str, label: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Rank-sum AUROC with mid-ranks for ties, and its null standard error (M11);
+    rows count as often as their integer ``weight``."""
     by = by or []
-    n = df.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))
+    one = F.col(weight) if weight else F.lit(1)
+    n = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, one).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(one)).alias("_n"))
     w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_n").over(w), F.lit(0))
     rows = n.select(*by, "_p", "_n", (F.col("_p") * (below + F.col("_n") / 2)).alias("_u"))

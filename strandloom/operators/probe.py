@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.functions.loci import hash_draw
+from strandloom.operators.sequences import kmer_frequencies
+from strandloom.session import cut
+
 
 def probe_scores(df: DataFrame, *, max_iter: int = 30) -> DataFrame:
     """``id, y, score`` of test rows from a logistic regression fitted on the
@@ -15,3 +21,29 @@ def probe_scores(df: DataFrame, *, max_iter: int = 30) -> DataFrame:
     v = df.select("id", "y", "test", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = LogisticRegression(labelCol="y", maxIter=max_iter, regParam=0.01).fit(v.where("NOT test"))
     return model.transform(v.where("test")).select("id", "y", vector_to_array("probability")[1].alias("score"))
+
+
+def composition_probe(df: DataFrame, *, id_col: str, seq_col: str, label: str, k: int, folds: int, seed: str, max_iter: int = 30) -> DataFrame:
+    """``id, y, fold, score`` (M11): logistic regressions on k-mer frequencies, each row
+    scored by the model of the folds it isn't in. Folds are hashes of the id."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    mers = ["".join(p) for p in product("ACGT", repeat=k)]
+    freq = kmer_frequencies(df, id_col=id_col, seq_col=seq_col, k=k).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("kmer", "freq"))).alias("_m"))
+    vector = array_to_vector(F.array(*[F.coalesce(F.col("_m")[m], F.lit(0.0)) for m in mers]))
+    fold = hash_draw(seed, F.col(id_col)) % folds
+    rows = cut(df.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"), fold.alias("fold")).join(freq.select(F.col(id_col).alias("id"), vector.alias("features")), "id"))
+    out = None
+    for f in range(folds):
+        model = LogisticRegression(labelCol="y", maxIter=max_iter, regParam=0.01).fit(rows.where(F.col("fold") != f))
+        got = model.transform(rows.where(F.col("fold") == f)).select("id", "y", "fold", vector_to_array("probability")[1].alias("score"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def separability(auroc_row: DataFrame, *, bands: float = 2.0, clear: float = 0.8) -> DataFrame:
+    """Adds ``verdict`` (M11, M12): ``clear`` from a fixed AUROC on, ``detectable`` beyond
+    so many null standard errors from one half, else ``none``."""
+    a = F.col("auroc")
+    return auroc_row.withColumn("verdict", F.when(a >= clear, "clear").when(a > 0.5 + bands * F.col("null_se"), "detectable").otherwise("none"))

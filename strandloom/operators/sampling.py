@@ -38,3 +38,24 @@ def weighted_draws(df: DataFrame, *, id_col: str, weight: str, draws: DataFrame,
     spread = rows.where(F.col(weight) > 0).withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / size), F.floor((F.col("_hi") - 1) / size)))).select(id_col, "_lo", "_hi", "_b")
     d = draws.select(F.col(id_col).alias("draw")).withColumn("_t", parts.agg(F.sum(weight)).scalar()).withColumn("_x", hash_draw(seed, F.col("draw")) % F.col("_t")).withColumn("_b", F.floor(F.col("_x") / size))
     return d.join(spread, "_b").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("draw", id_col)
+
+
+def mixed_draws(positives: DataFrame, negatives: DataFrame, *, id_col: str, weight: str, n: int, negative_share: float, seed: str) -> DataFrame:
+    """``slot, kind, <id>`` for ``n`` draws with a fixed share of negatives, spread evenly
+    over the slots (E10): positives in proportion to their weights, negatives alike,
+    both with replacement. A side without rows gives no draw."""
+    slots = positives.sparkSession.range(n).withColumnRenamed("id", "slot")
+    share = F.lit(negative_share)
+    negative = F.floor((F.col("slot") + 1) * share + 1e-9) > F.floor(F.col("slot") * share + 1e-9)
+    out = []
+    for kind, rows, mine in (("positive", positives, ~negative), ("negative", negatives.withColumn(weight, F.lit(1)), negative)):
+        own = slots.where(mine).select(F.col("slot").alias(id_col))
+        got = weighted_draws(rows.select(id_col, weight), id_col=id_col, weight=weight, draws=own, seed=f"{seed}:{kind}")
+        out.append(got.select(F.col("draw").alias("slot"), F.lit(kind).alias("kind"), id_col))
+    return out[0].unionByName(out[1])
+
+
+def mix_summary(drawn: DataFrame, *, id_col: str) -> DataFrame:
+    """Draws, distinct rows and share of each kind as realised."""
+    g = drawn.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("n_rows"))
+    return g.withColumn("share", F.col("n") / g.agg(F.sum("n")).scalar())

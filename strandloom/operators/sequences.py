@@ -173,3 +173,32 @@ def ablation_pairs(df: DataFrame, *, seed: str, id_col: str) -> DataFrame:
     pick = F.get("_s", (hash_draw(seed, F.col(id_col)) % F.size("_s")).cast("int"))
     rows = rows.withColumn("control_lo", pick)
     return rows.select(id_col, S.ablate(F.col("seq"), F.col("lo"), F.col("hi")).alias("ablated"), S.ablate(F.col("seq"), F.col("control_lo"), F.col("control_lo") + span - 1).alias("control"), F.col("control_lo").cast("int").alias("control_lo"))
+
+
+def symmetric_splice(df: DataFrame, *, id_col: str, insert: str, first: str, length: str, seed: str, seq_col: str = "seq") -> DataFrame:
+    """A fixed insert laid over a hash-chosen place of a background run (E15): ``first``
+    (1-based) and ``length`` name the run; runs shorter than the insert give no row."""
+    room = F.col(length) - len(insert) + 1
+    rows = df.where(room > 0)
+    st = F.col(first) + hash_draw(seed, F.col(id_col)) % room
+    return rows.withColumn("st", st).select(id_col, "st", S.splice(F.col(seq_col), F.lit(insert), (F.col("st") - 1).cast("int")).alias("seq"))
+
+
+def recovery_variants(df: DataFrame, *, id_col: str, offsets: list[int], length: int, seq_col: str = "seq") -> DataFrame:
+    """``transform, offset, variant`` of each sequence that holds the farthest offset
+    (E17): as it is, its reverse complement and its reverse, cut at each offset."""
+    forms = F.array(F.struct(F.lit("id").alias("transform"), F.col(seq_col).alias("s")), F.struct(F.lit("rc").alias("transform"), S.reverse_complement(seq_col).alias("s")), F.struct(F.lit("rev").alias("transform"), F.reverse(seq_col).alias("s")))
+    rows = df.where(F.length(seq_col) >= max(offsets) + length).select(id_col, F.explode(forms).alias("f")).withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets])))
+    return rows.select(id_col, "f.transform", "offset", F.substr("f.s", F.col("offset") + 1, F.lit(length)).alias("variant"))
+
+
+def classify_triples(calls: DataFrame, *, id_col: str, arm: str, called: str) -> DataFrame:
+    """``id, verdict`` from the calls of ``intact``, ``ablated`` and ``control`` sequences
+    (E16): ``unscorable`` if the intact one is not called or an arm is missing,
+    ``insensitive`` if the ablated one is still called, ``fragile`` if the control is
+    lost as well, else ``specific``."""
+    of = lambda name: F.bool_or(F.when(F.col(arm) == name, F.col(called)))
+    g = calls.groupBy(id_col).agg(of("intact").alias("_i"), of("ablated").alias("_a"), of("control").alias("_c"))
+    scorable = F.col("_i") & F.col("_a").isNotNull() & F.col("_c").isNotNull()
+    verdict = F.when(~F.coalesce(scorable, F.lit(False)), "unscorable").when(F.col("_a"), "insensitive").when(~F.col("_c"), "fragile").otherwise("specific")
+    return g.select(id_col, verdict.alias("verdict"))

@@ -45,14 +45,19 @@ def lineage_by_rank(ids: DataFrame, nodes: DataFrame, merged: DataFrame) -> Data
     return out
 
 
-def reconcile_names(rows: DataFrame, vocabulary: DataFrame, synonyms: DataFrame, *, name: str) -> DataFrame:
+def reconcile_names(rows: DataFrame, vocabulary: DataFrame, synonyms: DataFrame, *, name: str, scientific: str | None = None) -> DataFrame:
     """Fill-only resolution: the row's own name if the vocabulary has it, else the
-    name it is a synonym of, else null; ``source`` says which (E24)."""
+    name it is a synonym of, else the row's ``scientific`` name if the vocabulary has
+    that, else null; ``source`` says which (E24)."""
     v = vocabulary.select(F.col("name").alias(name), F.col("name").alias("_own")).distinct()
     s = synonyms.select(F.col("alias").alias(name), F.col("name").alias("_syn")).dropDuplicates([name])
     j = rows.join(v, name, "left").join(s, name, "left")
-    source = F.when(F.col("_own").isNotNull(), "corpus").when(F.col("_syn").isNotNull(), "synonym").otherwise("unresolved")
-    return j.withColumn("resolved", F.coalesce("_own", "_syn")).withColumn("source", source).drop("_own", "_syn")
+    if scientific:
+        j = j.join(vocabulary.select(F.col("name").alias(scientific), F.col("name").alias("_sci")).distinct(), scientific, "left")
+    else:
+        j = j.withColumn("_sci", F.lit(None).cast("string"))
+    source = F.when(F.col("_own").isNotNull(), "corpus").when(F.col("_syn").isNotNull(), "synonym").when(F.col("_sci").isNotNull(), "scientific").otherwise("unresolved")
+    return j.withColumn("resolved", F.coalesce("_own", "_syn", "_sci")).withColumn("source", source).drop("_own", "_syn", "_sci")
 
 
 def project_split_names(rows: DataFrame, universe: DataFrame, *, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandloom.operators import cohorts as H
 from strandloom.operators import calling as K
 from strandloom.plans import views as V
 from strandloom.plans.registry import query
@@ -112,17 +113,14 @@ def w10(spark, d):
 def w12(spark, d):
     """Best recall so far and whether a round falls too far below it."""
     r = table(spark, d, "events").groupBy(F.expr("user_id % 7").alias("run"), F.col("user_id").alias("round")).agg(F.expr("count_if(event_type = 'click') * 1000 div count(*)").alias("recall"))
-    best = F.max("recall").over(Window.partitionBy("run").orderBy("round").rowsBetween(Window.unboundedPreceding, 0))
-    return r.withColumn("best", best).withColumn("halt", F.col("best") - F.col("recall") >= 60)
+    return H.round_decisions(r, run="run", order="round", recall="recall", drop=60)
 
 
-@query("w13_first_value", V.with_views("splits", "SELECT cluster_id, arg_min(nullif(family, 'BUILDING'), record) FILTER (WHERE family <> 'BUILDING') AS first_family, (SELECT x.family FROM splits x WHERE x.cluster_id = s.cluster_id GROUP BY x.family ORDER BY count(*) DESC, x.family LIMIT 1) AS majority FROM splits s GROUP BY cluster_id"))
+@query("w13_first_value", V.with_views("splits", "SELECT cluster_id, arg_min(nullif(family, 'BUILDING'), record) FILTER (WHERE family <> 'BUILDING') AS first_family, (SELECT x.family FROM splits x WHERE x.cluster_id = s.cluster_id AND x.family <> 'BUILDING' GROUP BY x.family ORDER BY count(*) DESC, x.family LIMIT 1) AS majority FROM splits s GROUP BY cluster_id"))
 def w13(spark, d):
     """First non-null value of a cluster in table order, and its majority value."""
-    s = V.splits(spark, d).select("cluster_id", "record", "family")
-    first = s.where("family <> 'BUILDING'").groupBy("cluster_id").agg(F.min_by("family", "record").alias("first_family"))
-    major = s.groupBy("cluster_id", "family").agg(_n().alias("k")).groupBy("cluster_id").agg(F.min_by("family", F.struct(-F.col("k"), "family")).alias("majority"))
-    return major.join(first, "cluster_id", "left").select("cluster_id", "first_family", "majority")
+    s = V.splits(spark, d).select("cluster_id", "record", F.nullif("family", F.lit("BUILDING")).alias("family"))
+    return H.first_and_majority(s, cluster="cluster_id", value="family", order="record").select("cluster_id", "first_family", F.col("majority_family").alias("majority"))
 
 
 @query("e18_pair_table", V.with_views("contigs", """WITH b AS (SELECT contig_id, translate(seq, 'ACGT', '(.).') AS s FROM contigs), c AS (SELECT contig_id, unnest(range(1, length(s) + 1)) AS i, s FROM b), d AS (SELECT contig_id, i, substr(s, i, 1) AS ch FROM c WHERE substr(s, i, 1) IN ('(', ')')),

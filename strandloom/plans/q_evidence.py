@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.operators import cohorts as H
 from strandloom.operators import evidence as E
 from strandloom.operators import taxonomy as X
 from strandloom.operators import validation as C
@@ -256,15 +257,15 @@ def j06(spark, d):
 def j07(spark, d):
     """Variants take their parent's fold; those without one are counted."""
     s = V.splits(spark, d).where("record % 4 <> 0").select(F.col("record").alias("o_custkey"), "fold")
-    return table(spark, d, "orders").select("o_custkey").join(s, "o_custkey", "left").groupBy("fold").agg(_n().alias("n"))
+    return H.stamp_parents(table(spark, d, "orders").select("o_custkey"), s, parent="o_custkey", columns=["fold"]).groupBy("fold").agg(_n().alias("n"))
 
 
 @query("j13_hit_windows", "WITH w AS (SELECT c_custkey AS win, c_custkey % 3 AS arm FROM customer), h AS (SELECT o_custkey AS win, o_totalprice AS score FROM orders) SELECT arm, (SELECT count(*) FROM h JOIN w w2 USING (win) WHERE w2.arm = w.arm) AS joined, count(*) AS windows, count(*) FILTER (WHERE win IN (SELECT win FROM h WHERE score >= 400000)) AS removed FROM w GROUP BY arm")
 def j13(spark, d):
     """A window goes if any hit reaches the score; hits joined are counted."""
     w = table(spark, d, "customer").selectExpr("c_custkey AS win", "c_custkey % 3 AS arm")
-    h = table(spark, d, "orders").selectExpr("o_custkey AS win", "o_totalprice AS score").groupBy("win").agg(_n().alias("k"), F.max("score").alias("top"))
-    return w.join(h, "win", "left").groupBy("arm").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("joined"), _n().alias("windows"), F.count_if(F.col("top") >= 400000).alias("removed"))
+    h = table(spark, d, "orders").selectExpr("o_custkey AS win", "o_totalprice AS score")
+    return H.hit_windows(w, h, window="win", score="score", at_least=400000, by=["arm"])
 
 
 @query("j14_payload_lookup", V.with_views("contigs", "SELECT contig_id, start0, sha256(concat_ws('|', w, 'v1')) AS payload, ('0x' || substr(sha256(concat_ws('|', w, 'v1')), 1, 6))::BIGINT % 1000 / 10.0::DOUBLE AS logit FROM (SELECT contig_id, s AS start0, substr(seq, s + 1, 2) AS w FROM (SELECT contig_id, seq, unnest([0, 7, 19]) AS s FROM contigs))"))
@@ -290,9 +291,8 @@ def j15(spark, d):
 @query("j22_setting_prices", V.with_views("scored", "WITH g AS (SELECT * FROM (VALUES (1, 300, 500), (2, 500, 700), (3, 700, 900)) v(setting, t1, t2)) SELECT setting, count(*) FILTER (WHERE NOT (s1 >= t1 OR s2 >= t2)) AS mined, count(*) FILTER (WHERE NOT (s1 >= t1)) AS ceiling, count(*) FILTER (WHERE y = 1 AND NOT (s1 >= t1 OR s2 >= t2)) AS damaged FROM scored, g GROUP BY setting"))
 def j22(spark, d):
     """Mined candidates, ceiling and damage to known controls at each setting."""
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(a).alias("t1"), F.lit(b).alias("t2")) for s, a, b in ((1, 300, 500), (2, 500, 700), (3, 700, 900))]))
-    r = V.scored(spark, d).withColumn("g", grid).select("y", "g.*", (F.col("s1") >= F.col("g.t1")).alias("a"), (F.col("s2") >= F.col("g.t2")).alias("b"))
-    return r.groupBy("setting").agg(F.count_if(~(F.col("a") | F.col("b"))).alias("mined"), F.count_if(~F.col("a")).alias("ceiling"), F.count_if((F.col("y") == 1) & ~(F.col("a") | F.col("b"))).alias("damaged"))
+    grid = [{"s1": a, "s2": b} for a, b in ((300, 500), (500, 700), (700, 900))]
+    return H.price_settings(V.scored(spark, d), settings=grid, scores=["s1", "s2"], known=F.col("y") == 1)
 
 
 @query("j23_sourcing_audit", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'unresolved' WHEN l.toxic = 1 THEN 'refused' WHEN d.lang <> 'en' THEN 'foreign' ELSE 'placed' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY status")
@@ -335,3 +335,11 @@ def c01(spark, d):
     swept = cut_sweep(e, s, weight="w", cuts=[30, 60, 90], node="record")
     out = [dense_labels(swept.where(F.col("cut") == c)) for c in (30, 60, 90)]
     return out[0].unionByName(out[1]).unionByName(out[2]).select("cut", "record", "component", "label")
+
+
+@query("e30_round_readiness", V.with_views("scored", f"WITH {_EV} SELECT count(*) AS n, count(*) FILTER (WHERE NOT coalesce(covariation, false) AND NOT coalesce(synteny, false)) AS maximum_yield, count(covariation) AS n_covariation, count(synteny) AS n_synteny, count(*) FILTER (WHERE NOT coalesce(covariation, false) AND NOT coalesce(synteny, false)) > 0 AND count(covariation) > 0 AND count(synteny) > 0 AS ready FROM ev"))
+def e30b(spark, d):
+    """What full evidence could leave to mine, and whether every table decides something."""
+    manifest, tables = _evidence(spark, d)
+    two = {c: tables[c] for c in ("covariation", "synteny")}
+    return E.round_readiness(E.assemble_evidence(manifest, two, "id"), {c: c for c in two})

@@ -107,9 +107,7 @@ def w14(spark, d):
     """Length-matched windows at hash-drawn places of the host that avoid known loci."""
     known = V.known(spark, d)
     hosts = known.groupBy("acc").agg(F.max("hi").alias("len"))
-    c = V.candidates(spark, d).select("locus_id", "acc", (F.col("hi") - F.col("lo")).alias("span"), "lo", "hi").distinct().join(hosts, "acc").where("len > span")
-    drawn = c.withColumn("lo", L.hash_draw("w14", F.col("locus_id")) % (F.col("len") - F.col("span")) + 1).withColumn("hi", F.col("lo") + F.col("span"))
-    return drawn.join(I.masked_ids(drawn, known, flank=0), "locus_id", "left_anti").select("locus_id", "acc", "lo", "hi")
+    return I.control_windows(V.candidates(spark, d), hosts, known, id_col="locus_id", seed="w14")
 
 
 @query("s16_known_locus_union", """SELECT source, count(*) AS n, count(DISTINCT accession) AS n_acc FROM (SELECT 'union' AS source, concat('ACC', l_suppkey) AS accession, l_partkey AS lo, l_orderkey AS hi FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'own', concat('ACC', s_suppkey), CASE WHEN s_nationkey % 2 = 0 THEN NULL ELSE s_suppkey END, s_suppkey + 10 FROM supplier) WHERE lo IS NOT NULL AND hi IS NOT NULL GROUP BY source""")

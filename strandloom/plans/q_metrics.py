@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strandloom.operators import cohorts as H
 from strandloom.operators import metrics as M
 from strandloom.operators import statistics as S
 from strandloom.plans import views as V
@@ -56,10 +57,7 @@ def a07(spark, d):
 @query("a08_class_weights", V.with_views("positions", "WITH n AS (SELECT cls, count(*) AS n FROM positions GROUP BY cls), w AS (SELECT cls, n, pow(sum(n) OVER () / n, 0.5) AS w FROM n) SELECT cls, n, round(w / avg(w) OVER (), 6) AS weight, round(n * w / sum(n * w) OVER (), 6) AS loss_share FROM w"))
 def a08(spark, d):
     """Inverse-frequency weights of mean one, and each class's share of the loss."""
-    n = V.positions(spark, d).groupBy("cls").agg(_n().alias("n"))
-    every = Window.partitionBy()
-    w = n.withColumn("w", F.pow(F.sum("n").over(every) / F.col("n"), F.lit(0.5)))
-    return w.select("cls", "n", F.round(F.col("w") / F.avg("w").over(every), 6).alias("weight"), F.round(F.col("n") * F.col("w") / F.sum(F.col("n") * F.col("w")).over(every), 6).alias("loss_share"))
+    return H.class_weights(V.positions(spark, d), cls="cls").select("cls", "n", F.round("weight", 6).alias("weight"), F.round("loss_share", 6).alias("loss_share"))
 
 
 @query("a11_ks_statistic", V.with_views("scored", "WITH c AS (SELECT s1, count(*) FILTER (WHERE y = 1) AS a, count(*) FILTER (WHERE y = 0) AS b FROM scored GROUP BY s1) SELECT round(max(g), 9) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY s1) / sum(a) OVER () - sum(b) OVER (ORDER BY s1) / sum(b) OVER ()) AS g FROM c)"))
@@ -86,14 +84,13 @@ def a13(spark, d):
 
 @query("a14_power_verdicts", V.with_views("scored", "SELECT y AS arm, count(*) AS n, count(DISTINCT block) AS blocks, CASE WHEN count(*) < 100 THEN 'too_few' WHEN count(DISTINCT block) < 2 THEN 'not_resamplable' ELSE 'powered' END AS verdict FROM scored GROUP BY y"))
 def a14(spark, d):
-    g = V.scored(spark, d).groupBy(F.col("y").alias("arm")).agg(_n().alias("n"), F.count_distinct("block").alias("blocks"))
-    return g.withColumn("verdict", F.when(F.col("n") < 100, "too_few").when(F.col("blocks") < 2, "not_resamplable").otherwise("powered"))
+    return H.power_table(V.scored(spark, d).withColumnRenamed("y", "arm"), arm="arm", block="block", minimum=100)
 
 
 @query("a15_floor_sweep", V.with_views("clades", "WITH g AS (SELECT genus, count(*) AS n FROM clades GROUP BY genus) SELECT f AS floor, count(*) FILTER (WHERE n >= f) AS cleared, count(*) AS units, round(count(*) FILTER (WHERE n >= f)::DOUBLE / count(*), 6) AS fraction FROM g, (VALUES (30), (50), (60), (70)) v(f) GROUP BY f"))
 def a15(spark, d):
-    g = V.clades(spark, d).groupBy("genus").agg(_n().alias("n")).withColumn("floor", F.explode(F.array(*[F.lit(x) for x in (30, 50, 60, 70)])))
-    return g.groupBy("floor").agg(F.count_if(F.col("n") >= F.col("floor")).alias("cleared"), _n().alias("units"), F.round(F.count_if(F.col("n") >= F.col("floor")) / _n(), 6).alias("fraction"))
+    g = V.clades(spark, d).groupBy("genus").agg(_n().alias("n"))
+    return H.floor_sweep(g, n="n", floors=[30, 50, 60, 70]).withColumn("fraction", F.round("fraction", 6))
 
 
 _EL = "SELECT o_custkey AS rec, CASE o_orderstatus WHEN 'F' THEN 'a' WHEN 'O' THEN 'b' ELSE 'c' END AS el, min(o_orderkey) AS lo, min(o_orderkey) + 3000 AS hi FROM orders GROUP BY ALL"
@@ -129,8 +126,9 @@ def a30(spark, d):
 @query("a31_recovery", "SELECT c_nationkey AS family, count(*) AS n, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)) AS recovered FROM customer GROUP BY c_nationkey")
 def a31(spark, d):
     """An item is recovered if any call is good enough."""
-    calls = table(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(1))
-    return table(spark, d, "customer").join(calls, "c_custkey", "left").groupBy(F.col("c_nationkey").alias("family")).agg(_n().alias("n"), F.count("hit").alias("recovered"))
+    calls = table(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    items = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("family"))
+    return H.recovery(items, calls, item="c_custkey", by=["family"]).drop("rate")
 
 
 @query("a32_probe_set", V.with_views("contigs", "SELECT arm, family, count(*) AS n FROM (SELECT 'natural' AS arm, lang AS family FROM documents UNION ALL SELECT 'synthetic', concat('f', contig_id % 4) FROM contigs) GROUP BY ALL"))
@@ -146,22 +144,21 @@ def a33(spark, d):
     """Two orientations, one published: the larger, the plus strand on a tie."""
     s = V.scored(spark, d)
     both = s.selectExpr("id", "1 AS strand", "s1 AS p").unionByName(s.selectExpr("id", "-1 AS strand", "s2 AS p"))
-    return both.groupBy("id").agg(F.max("p").alias("best"), F.max_by("strand", F.struct("p", "strand")).alias("strand"))
+    return H.published(both, id_col="id", strand="strand", posterior="p")
 
 
 @query("a34_separation_census", V.with_views("scored", "SELECT arm, min(p) FILTER (WHERE y = 1) > max(p) FILTER (WHERE y = 0) AS separated, min(p) FILTER (WHERE y = 1) AS low_pos, max(p) FILTER (WHERE y = 0) AS high_neg FROM (SELECT 'one' AS arm, y, s1 AS p FROM scored UNION ALL SELECT 'two', y, s2 FROM scored) GROUP BY arm"))
 def a34(spark, d):
     s = V.scored(spark, d)
     both = s.selectExpr("'one' AS arm", "y", "s1 AS p").unionByName(s.selectExpr("'two' AS arm", "y", "s2 AS p"))
-    lo, hi = F.min(F.when(F.col("y") == 1, F.col("p"))), F.max(F.when(F.col("y") == 0, F.col("p")))
-    return both.groupBy("arm").agg((lo > hi).alias("separated"), lo.alias("low_pos"), hi.alias("high_neg"))
+    return H.separation_census(both, arm="arm", label="y", score="p")
 
 
 @query("a37_segment_report", "SELECT c_custkey % 4 AS shard, arm, count(*) AS windows, count(*) FILTER (WHERE removed) AS removed, round(count(*) FILTER (WHERE removed)::DOUBLE / count(*), 6) AS rate FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'production' WHEN 1 THEN 'spike' ELSE 'null' END AS arm, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AS removed FROM customer) GROUP BY ALL")
 def a37(spark, d):
-    hit = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(1))
-    c = table(spark, d, "customer").selectExpr("c_custkey", "c_custkey % 4 AS shard", "CASE c_custkey % 3 WHEN 0 THEN 'production' WHEN 1 THEN 'spike' ELSE 'null' END AS arm").join(hit, "c_custkey", "left")
-    return c.groupBy("shard", "arm").agg(_n().alias("windows"), F.count("hit").alias("removed"), F.round(F.count("hit") / _n(), 6).alias("rate"))
+    hits = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    c = table(spark, d, "customer").selectExpr("c_custkey", "c_custkey % 4 AS shard", "CASE c_custkey % 3 WHEN 0 THEN 'production' WHEN 1 THEN 'spike' ELSE 'null' END AS arm")
+    return H.recovery(c, hits, item="c_custkey", by=["shard", "arm"]).select("shard", "arm", F.col("n").alias("windows"), F.col("recovered").alias("removed"), F.round("rate", 6).alias("rate"))
 
 
 @query("a38_localizer_recovery", V.with_views("contigs", "SELECT length(seq) // 512 AS stratum, k, count(*) AS n, count(*) FILTER (WHERE position(substr(seq, 1, k) IN substr(seq, 2)) = 0) AS recovered FROM contigs, (VALUES (6), (8), (12)) v(k) GROUP BY ALL"))
@@ -377,15 +374,13 @@ def c02(spark, d):
 
 @query("c03_cluster_spread", V.with_views("splits", "SELECT cluster_id, count(DISTINCT genus) AS n_genus, count(DISTINCT phylum) AS n_phylum, count(DISTINCT phylum) > 1 AS crosses FROM splits GROUP BY cluster_id"))
 def c03(spark, d):
-    g = V.splits(spark, d).groupBy("cluster_id").agg(F.count_distinct("genus").alias("n_genus"), F.count_distinct("phylum").alias("n_phylum"))
-    return g.withColumn("crosses", F.col("n_phylum") > 1)
+    return H.cluster_spread(V.splits(spark, d), cluster="cluster_id", taxa=["genus", "phylum"], top="phylum")
 
 
 @query("c04_split_ladder", V.with_views("splits", "SELECT record, CASE WHEN heldout THEN 'heldout' WHEN bool_or(heldout) OVER (PARTITION BY cluster_id) THEN 'excluded' WHEN family = 'MACHINERY' THEN 'dropped' ELSE 'train' END AS role FROM splits"))
 def c04(spark, d):
     """A cluster linked to a held-out member is excluded from training."""
-    held = F.bool_or("heldout").over(Window.partitionBy("cluster_id"))
-    return V.splits(spark, d).withColumn("h", held).select("record", F.expr("CASE WHEN heldout THEN 'heldout' WHEN h THEN 'excluded' WHEN family = 'MACHINERY' THEN 'dropped' ELSE 'train' END").alias("role"))
+    return H.split_ladder(V.splits(spark, d), cluster="cluster_id", heldout=F.col("heldout"), dropped=F.col("family") == "MACHINERY").select("record", "role")
 
 
 @query("c05_random_folds", V.with_views("splits", "WITH p AS (SELECT cluster_id, min(genus) AS genus, count(*) AS n FROM splits GROUP BY cluster_id), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY genus ORDER BY md5(concat('c05:', cluster_id)), cluster_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER (PARTITION BY genus) AS t FROM p) SELECT cluster_id, genus, n, CASE WHEN b < 0.8 * t THEN 'train' WHEN b < 0.9 * t THEN 'val' ELSE 'test' END AS fold FROM w"))
@@ -398,28 +393,21 @@ def c05(spark, d):
 @query("c06_distinct_strata", V.with_views("clades", "WITH g AS (SELECT genus, count(*) AS s, (SELECT count(*) FROM clades) AS n FROM clades GROUP BY genus) SELECT k, round(sum(1 - exp(list_sum(list_transform(range(k), lambda i: ln((n - s - i)::DOUBLE / (n - i)))))), 6) AS expected FROM g, (VALUES (5), (20), (50)) v(k) GROUP BY k"))
 def c06(spark, d):
     """Expected distinct strata among k draws without replacement."""
-    g = V.clades(spark, d).groupBy("genus").agg(_n().alias("s")).withColumn("n", F.sum("s").over(Window.partitionBy()))
-    g = g.withColumn("k", F.explode(F.array(*[F.lit(x) for x in (5, 20, 50)])))
-    logs = F.aggregate(F.sequence(F.lit(0), F.col("k") - 1), F.lit(0.0), lambda a, i: a + F.log((F.col("n") - F.col("s") - i) / (F.col("n") - i)))
-    return g.groupBy("k").agg(F.round(F.sum(1 - F.exp(logs)), 6).alias("expected"))
+    return H.expected_strata(V.clades(spark, d), stratum="genus", draws=[5, 20, 50]).withColumn("expected", F.round("expected", 6))
 
 
 @query("c07_control_comparison", V.with_views("scored", "SELECT t AS setting, block, count(*) FILTER (WHERE y = 1) AS controls, count(*) FILTER (WHERE y = 1 AND s1 < t) AS control_failed, count(*) FILTER (WHERE y = 0) AS candidates, count(*) FILTER (WHERE y = 0 AND s1 < t) AS candidate_failed, coalesce(count(*) FILTER (WHERE y = 1 AND s1 < t)::DOUBLE / nullif(count(*) FILTER (WHERE y = 1), 0) > count(*) FILTER (WHERE y = 0 AND s1 < t)::DOUBLE / nullif(count(*) FILTER (WHERE y = 0), 0), false) AS anti_selective FROM scored, (VALUES (300), (600)) v(t) GROUP BY ALL"))
 def c07(spark, d):
     """Failures of controls and candidates per stratum and setting; a setting
     that fails controls more often is anti-selective."""
-    s = V.scored(spark, d).withColumn("setting", F.explode(F.array(F.lit(300), F.lit(600))))
-    n = lambda c: F.expr(f"count_if({c})")
-    g = s.groupBy("setting", "block").agg(n("y = 1").alias("controls"), n("y = 1 AND s1 < setting").alias("control_failed"), n("y = 0").alias("candidates"), n("y = 0 AND s1 < setting").alias("candidate_failed"))
-    return g.withColumn("anti_selective", F.coalesce(F.try_divide("control_failed", "controls") > F.try_divide("candidate_failed", "candidates"), F.lit(False)))
+    return H.compare_controls(V.scored(spark, d), settings=[300, 600], score="s1", control=F.col("y") == 1, by=["block"])
 
 
-@query("c08_grid_inertness", V.with_views("scored", "WITH s AS (SELECT id, t, u, s1 >= t AND s2 >= u AS st FROM scored, (VALUES (0), (500)) a(t), (VALUES (0), (1)) b(u)) SELECT x.t, count(*) FILTER (WHERE x.st) AS passed, count(*) FILTER (WHERE x.st <> y.st) AS differing, count(*) FILTER (WHERE x.st <> y.st) = 0 AS inert FROM s x JOIN s y ON x.id = y.id AND x.t = y.t AND x.u = 0 AND y.u = 1 GROUP BY x.t"))
+@query("c08_grid_inertness", V.with_views("scored", "WITH s AS (SELECT id, t, u, s1 >= t AND s2 >= u AS st FROM scored, (VALUES (0), (500)) a(t), (VALUES (0), (1)) b(u)) SELECT x.t, count(*) AS n, count(*) FILTER (WHERE x.st <> y.st) AS differing, count(*) FILTER (WHERE x.st <> y.st) = 0 AS inert FROM s x JOIN s y ON x.id = y.id AND x.t = y.t AND x.u = 0 AND y.u = 1 GROUP BY x.t"))
 def c08(spark, d):
-    """A parameter is inert where both its values give every candidate the same state."""
+    """A parameter is inert where all its values give every candidate the same state."""
     s = V.scored(spark, d).withColumn("t", F.explode(F.array(F.lit(0), F.lit(500)))).withColumn("u", F.explode(F.array(F.lit(0), F.lit(1))))
-    per = s.withColumn("st", F.expr("s1 >= t AND s2 >= u")).groupBy("t", "id").agg(F.bool_or(F.expr("st AND u = 0")).alias("a"), F.bool_or(F.expr("st AND u = 1")).alias("b"))
-    return per.groupBy("t").agg(F.count_if("a").alias("passed"), F.count_if(F.col("a") != F.col("b")).alias("differing")).withColumn("inert", F.col("differing") == 0)
+    return H.grid_inertness(s.withColumn("st", F.expr("s1 >= t AND s2 >= u")), id_col="id", parameter="u", state="st", by=["t"])
 
 
 @query("r01_incremental_scan", V.with_views("contigs", "SELECT contig_id, count(*) AS n_windows FROM (SELECT contig_id, unnest(list_distinct(list_concat(range(0, greatest(length(seq) - 128, 0) + 1, 64), [greatest(length(seq) - 128, 0)]))) AS s FROM contigs) GROUP BY contig_id"))
@@ -478,3 +466,43 @@ def a12b(spark, d):
     g = V.scored(spark, d).groupBy("block").agg(_n().alias("n"), F.count_if(F.col("y") == 1).alias("k"))
     n, k = F.col("n"), F.col("k")
     return g.select("block", F.round(S.binomial_se(k, n), 9).alias("se"), F.round(S.minimum_detectable_effect(k / n, n), 9).alias("mde"), F.round(S.false_discovery_budget(F.lit(0.01), n, k), 9).alias("fdr"))
+
+
+@query("e10_mixed_draws", V.with_views("clades", "SELECT kind, count(*) AS n, round(count(*) / 900.0::DOUBLE, 9) AS share, bool_and(known) AS all_known FROM (SELECT CASE WHEN floor((s + 1) * 0.3::DOUBLE + 1e-9) > floor(s * 0.3::DOUBLE + 1e-9) THEN 'negative' ELSE 'positive' END AS kind, true AS known FROM (SELECT unnest(range(900)) AS s)) GROUP BY kind"))
+def e10b(spark, d):
+    """Nine hundred draws, three tenths of them negatives, each from its own side."""
+    from strandloom.operators.sampling import mix_summary, mixed_draws
+
+    c = V.clades(spark, d).select("record", "family", (F.col("record") % 7 + 1).alias("weight"))
+    got = mixed_draws(c.where("family = 'BUILDING'"), c.where("family <> 'BUILDING'"), id_col="record", weight="weight", n=900, negative_share=0.3, seed="mix")
+    sides = got.join(c.select("record", "family"), "record").groupBy("kind").agg(F.bool_and((F.col("family") == "BUILDING") == (F.col("kind") == "positive")).alias("all_known"))
+    return mix_summary(got, id_col="record").join(sides, "kind").select("kind", "n", F.round("share", 9).alias("share"), "all_known")
+
+
+@query("m10_duplicate_agreement", V.with_views("scored", "WITH g AS (SELECT s2, max(s1) - min(s1) AS d FROM scored GROUP BY s2 HAVING count(*) > 1) SELECT count(*) AS n_repeated, count(*) FILTER (WHERE d <= 400) AS n_agree, max(d) AS largest FROM g"))
+def m10b(spark, d):
+    """Payloads scored more than once and whether the scores agree."""
+    return M.duplicate_agreement(V.scored(spark, d), payload="s2", posterior="s1", tolerance=400)
+
+
+@query("m12_auroc_interval", V.with_views("scored", f"WITH {_BOOT}, n AS (SELECT rep, s1, sum(weight) FILTER (WHERE y = 1) AS p, sum(weight) FILTER (WHERE y <> 1) AS q FROM scored JOIN w USING (block) GROUP BY ALL), u AS (SELECT rep, coalesce(p, 0) AS p, coalesce(q, 0) AS q, coalesce(p, 0) * (coalesce(sum(coalesce(q, 0)) OVER (PARTITION BY rep ORDER BY s1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + coalesce(q, 0) / 2.0::DOUBLE) AS u FROM n), a AS (SELECT rep, sum(u) / (sum(p) * sum(q)) AS a FROM u GROUP BY rep), n0 AS (SELECT s1, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y <> 1) AS q FROM scored GROUP BY s1), u0 AS (SELECT p, q, p * (coalesce(sum(q) OVER (ORDER BY s1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2.0::DOUBLE) AS u FROM n0) SELECT (SELECT count(DISTINCT block) FROM scored) AS n_blocks, round((SELECT sum(u) / (sum(p) * sum(q)) FROM u0), 9) AS auroc, round(quantile_cont(a, 0.025), 7) AS lo, round(quantile_cont(a, 0.975), 7) AS hi FROM a"))
+def m12b(spark, d):
+    """AUROC with an interval over replicates of whole blocks."""
+    r = M.auroc_interval(V.scored(spark, d), score="s1", label="y", block="block", replicates=200, seed="m07")
+    return r.select("n_blocks", F.round("auroc", 9).alias("auroc"), F.round("lo", 7).alias("lo"), F.round("hi", 7).alias("hi"))
+
+
+@query("m11_composition_probe", V.with_views("contigs", "WITH f AS (SELECT contig_id, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc, seq, (('0x' || substr(md5(concat('m11:', contig_id)), 1, 8))::BIGINT % 2) AS coin FROM contigs), l AS (SELECT 'composition' AS label, gc, (gc > 0.5)::INT AS y FROM f UNION ALL SELECT 'coin', gc, coin FROM f), r AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY gc) + (count(*) OVER (PARTITION BY label, gc) - 1) / 2.0::DOUBLE AS r FROM l), a AS (SELECT label, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)) AS a FROM r GROUP BY label) SELECT label, n_pos, n_neg, a >= 0.8 AS separable FROM a"))
+def m11b(spark, d):
+    """Cross-validated probes on 2-mer frequencies for a label that follows composition
+    and for a coin; SQL ranks by the share of G and C instead."""
+    from strandloom.operators.probe import composition_probe, separability
+
+    gc = F.length(F.regexp_replace("seq", "[^GC]", "")) / F.length("seq")
+    c = V.contigs(spark, d)
+    out = None
+    for name, y in (("composition", gc > 0.5), ("coin", F.conv(F.substring(F.md5(F.concat(F.lit("m11:"), F.col("contig_id").cast("string"))), 1, 8), 16, 10).cast("long") % 2)):
+        s = composition_probe(c.withColumn("y", y.cast("int")), id_col="contig_id", seq_col="seq", label="y", k=2, folds=3, seed="m11")
+        one = separability(M.auroc(s, score="score", label="y")).select(F.lit(name).alias("label"), "n_pos", "n_neg", (F.col("verdict") == "clear").alias("separable"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -172,8 +172,7 @@ SELECT contig_id, st, concat(substr(seq, 1, st - 1), 'ACGTACGTACGTACGT', substr(
 def e15(spark, d):
     """A fixed insert over a hash-chosen place of the background run."""
     c = V.contigs(spark, d).where("length(seq) >= 96").selectExpr("contig_id", "seq", "length(seq) div 3 + 1 AS b0", "length(seq) - length(seq) div 3 AS n")
-    st = F.col("b0") + L.hash_draw("e15", F.col("contig_id")) % (F.col("n") - 15)
-    return c.withColumn("st", st).select("contig_id", "st", S.splice(F.col("seq"), F.lit("ACGTACGTACGTACGT"), (F.col("st") - 1).cast("int")).alias("seq"))
+    return O.symmetric_splice(c, id_col="contig_id", insert="ACGTACGTACGTACGT", first="b0", length="n", seed="e15")
 
 
 @query("e16_ablation", V.with_views("contigs", f"""WITH r AS (SELECT contig_id, seq, 9 AS lo, 9 + contig_id % 12 AS hi FROM contigs WHERE length(seq) > 10 + contig_id % 12), s AS (SELECT *, list_filter(range(1, length(seq) - (hi - lo + 1) + 2), lambda x: x + hi - lo < lo OR x > hi) AS v FROM r), p AS (SELECT *, v[{_H.format(t="'e16', contig_id")} % len(v) + 1] AS cl FROM s WHERE len(v) > 0)
@@ -186,11 +185,8 @@ def e16(spark, d):
 @query("e17_recovery_variants", V.with_views("contigs", f"SELECT contig_id % 20 AS block, transform, count(*) AS n, count(DISTINCT v) AS n_distinct FROM (SELECT contig_id, t.transform, o.o, substr(CASE t.transform WHEN 'rc' THEN {_RC.format(s='seq')} WHEN 'rev' THEN reverse(seq) ELSE seq END, o.o + 1, 32) AS v FROM contigs, (VALUES ('id'), ('rc'), ('rev')) t(transform), (VALUES (0), (5), (11)) o(o) WHERE length(seq) >= 64) GROUP BY ALL"))
 def e17(spark, d):
     """Transforms and phase offsets of each eligible parent, counted by block."""
-    c = V.contigs(spark, d).where("length(seq) >= 64")
-    forms = F.array(F.struct(F.lit("id").alias("transform"), F.col("seq").alias("s")), F.struct(F.lit("rc").alias("transform"), S.reverse_complement("seq").alias("s")), F.struct(F.lit("rev").alias("transform"), F.reverse("seq").alias("s")))
-    v = c.select("contig_id", F.explode(forms).alias("f"), ).withColumn("o", F.explode(F.array(F.lit(0), F.lit(5), F.lit(11))))
-    v = v.select((F.col("contig_id") % 20).alias("block"), "f.transform", F.substr("f.s", F.col("o") + 1, F.lit(32)).alias("v"))
-    return v.groupBy("block", "transform").agg(_n().alias("n"), F.count_distinct("v").alias("n_distinct"))
+    v = O.recovery_variants(V.contigs(spark, d).where("length(seq) >= 64"), id_col="contig_id", offsets=[0, 5, 11], length=32)
+    return v.groupBy((F.col("contig_id") % 20).alias("block"), "transform").agg(_n().alias("n"), F.count_distinct("variant").alias("n_distinct"))
 
 
 _SH = "SELECT DISTINCT contig_id, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS k FROM contigs WHERE contig_id % 2 = {p}"
@@ -235,3 +231,12 @@ def e33(spark, d):
 
     w = O.tile(V.contigs(spark, d), id_col="contig_id", seq_col="seq", window=128, stride=64).select("window_id", F.lit(5).alias("a"), F.lit(25).alias("b"))
     return call_coordinates(w, window="window_id", start="a", end="b").withColumn("contig_id", F.col("contig_id").cast("long"))
+
+
+@query("e16_triples", V.with_views("contigs", "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN NOT contains(seq, 'ACG') OR contig_id % 11 = 0 THEN 'unscorable' WHEN contains(substr(seq, 9), 'ACG') THEN 'insensitive' WHEN NOT contains(substr(seq, 1, 24), 'ACG') THEN 'fragile' ELSE 'specific' END AS verdict FROM contigs) GROUP BY verdict"))
+def e16b(spark, d):
+    """A motif called in the whole sequence, without its start, and without its end."""
+    c = V.contigs(spark, d)
+    arms = F.array(F.struct(F.lit("intact").alias("arm"), F.col("seq").alias("s")), F.struct(F.lit("ablated").alias("arm"), F.expr("substr(seq, 9)").alias("s")), F.struct(F.lit("control").alias("arm"), F.expr("substr(seq, 1, 24)").alias("s")))
+    calls = c.select("contig_id", F.explode(arms).alias("a")).where("NOT (contig_id % 11 = 0 AND a.arm = 'control')").select("contig_id", "a.arm", F.contains("a.s", F.lit("ACG")).alias("called"))
+    return O.classify_triples(calls, id_col="contig_id", arm="arm", called="called").groupBy("verdict").agg(_n().alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.operators import cohorts as H
 from strandloom.functions import loci as L
 from strandloom.operators import validation as C
 from strandloom.plans import views as V
@@ -78,9 +79,8 @@ def f12(spark, d):
 
 @query("f13_rungs", V.with_views("splits", "SELECT record, CASE WHEN nested_train AND calib THEN 'calibration' WHEN nested_train THEN 'train' WHEN heldout THEN 'out_of_distribution' WHEN fold = 'train' THEN 'excluded' ELSE 'in_distribution' END AS rung FROM splits"))
 def f13(spark, d):
-    checked = V.splits(spark, d).withColumn("_ok", F.when(F.expr("calib AND fold <> 'train'"), F.raise_error(F.lit("calibration outside train"))).otherwise(True).cast("boolean"))
-    rung = F.expr("CASE WHEN nested_train AND calib THEN 'calibration' WHEN nested_train THEN 'train' WHEN heldout THEN 'out_of_distribution' WHEN fold = 'train' THEN 'excluded' ELSE 'in_distribution' END")
-    return checked.where("_ok").select("record", rung.alias("rung"))
+    s = V.splits(spark, d)
+    return H.rungs(s, fold="fold", train="train", nested="nested_train", calibration="calib", heldout="heldout").select("record", "rung")
 
 
 @query("f14_hash_column", V.with_views("loci", "SELECT count(*) AS n, count(*) FILTER (WHERE regexp_full_match(h, '[0-9a-f]{64}')) AS n_hex, count(*) FILTER (WHERE flag IN ('A', 'N', 'R')) AS n_flag FROM (SELECT CASE WHEN lo1 % 10 = 0 THEN upper(sha256(locus_id)) ELSE sha256(locus_id) END AS h, flag FROM loci)"))
@@ -108,19 +108,8 @@ UNION ALL SELECT 'selection', cluster_id FROM splits WHERE fold = 'val' UNION AL
 UNION ALL SELECT 'heldout', cluster_id FROM splits WHERE heldout AND genus IN (SELECT genus FROM big)) GROUP BY population"""))
 def f18(spark, d):
     """Train minus selection and graded clusters; selection; graded closure; held-out orders of a minimum size."""
-    s = V.splits(spark, d)
-    of = lambda cond: s.where(cond).select("cluster_id").distinct()
-    graded, val = of("fold = 'test'"), of("fold = 'val'")
-    big = s.where("heldout").groupBy("genus").agg(_n().alias("k")).where("k >= 50").select("genus")
-    parts = {
-        "train": s.where("nested_train").join(graded, "cluster_id", "left_anti").join(val, "cluster_id", "left_anti"), "selection": s.where("fold = 'val'"),
-        "graded": s.join(graded, "cluster_id", "left_semi"), "heldout": s.where("heldout").join(big, "genus", "left_semi"),
-    }
-    every = None
-    for name, p in parts.items():
-        p = p.select(F.lit(name).alias("population"), "cluster_id")
-        every = p if every is None else every.unionByName(p)
-    return every.groupBy("population").agg(_n().alias("n"), F.count_distinct("cluster_id").alias("n_clusters"))
+    p = H.populations(V.splits(spark, d), cluster="cluster_id", fold="fold", nested="nested_train", heldout="heldout", unit="genus", minimum=50)
+    return p.groupBy("population").agg(_n().alias("n"), F.count_distinct("cluster_id").alias("n_clusters"))
 
 
 @query("f19_background_capacity", V.with_views("contigs", "SELECT m AS margin, count(*) AS n, count(*) FILTER (WHERE length(seq) >= 2 * m + 64) AS n_fit, round(avg(length(repeat('.', length(seq)))), 6) AS mean_label FROM contigs, (VALUES (16), (64), (256), (512)) v(m) GROUP BY m"))
@@ -134,9 +123,15 @@ def f19(spark, d):
 @query("f20_covering_subset", V.with_views("clades", "SELECT record, family FROM (SELECT *, row_number() OVER (PARTITION BY family, phylum ORDER BY md5(concat('f20:', record)), record) AS r FROM clades) WHERE r <= 3"))
 def f20(spark, d):
     """A small deterministic subset with a minimum of every class."""
-    from strandloom.operators.selection import top_per_group
+    return H.covering_subset(V.clades(spark, d), cls=["family", "phylum"], id_col="record", minimum=3, seed="f20").select("record", "family")
 
-    return top_per_group(V.clades(spark, d).withColumn("h", F.expr("md5(concat('f20:', record))")), ["family", "phylum"], [F.col("h"), F.col("record")], 3).select("record", "family")
+
+@query("f20_coverage_report", V.with_views("clades", "WITH s AS (SELECT *, row_number() OVER (PARTITION BY family, phylum ORDER BY md5(concat('f20:', record)), record) <= 3 AS chosen FROM clades) SELECT family, phylum, count(*) AS n, count(*) FILTER (WHERE chosen) AS n_subset, count(*) FILTER (WHERE chosen AND record % 10 = 0) AS n_leaked, count(*) FILTER (WHERE chosen) >= least(count(*), 3) AS covered FROM s GROUP BY ALL"))
+def f20b(spark, d):
+    """Coverage of every class and members of the subset that another split holds."""
+    c = V.clades(spark, d)
+    chosen = H.covering_subset(c, cls=["family", "phylum"], id_col="record", minimum=3, seed="f20")
+    return H.coverage_report(c, chosen, cls=["family", "phylum"], id_col="record", minimum=3, forbidden=c.where("record % 10 = 0"))
 
 
 @query("f21_heldout_carve", """WITH j AS (SELECT d.doc_id, md5(d.text) AS h, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)), dup AS (SELECT h FROM j GROUP BY h HAVING count(*) > 1)
