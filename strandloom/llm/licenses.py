@@ -7,6 +7,10 @@ phrase, the starts implied by both words are intersected, and the phrase is then
 verified word by word. Whole-notice templates also need a share of their other
 words at the same relative positions.
 
+Postings are fixed per template and not chosen anew in each file. That gives what
+the file's own choice would: a file that holds a key phrase holds all its words, so
+the two rarest of them that the file has are the two rarest of the phrase.
+
 The scan is one narrow pass without a shuffle; only the document frequencies of
 the template vocabulary (a fixed number of rows) are collected before it.
 """

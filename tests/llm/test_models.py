@@ -189,3 +189,21 @@ def test_pii_query_base(spark):
     docs = dict(duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall())
     for r in pii.op6_pii(spark, "/root/testdata/sf0.001").collect():
         assert r.base_sha256 == pii.base_digest(docs[r.doc_id])
+
+
+def test_recall_on_documents_of_another_source(spark, crf):
+    """Secrets in the given documents, which the field was not trained on, by their fixed
+    forms; a document without a digit has no span."""
+    import re
+
+    forms = re.compile(r"\bAKIA[0-9A-Z]{16}\b|\bghp_[0-9A-Za-z]{20,}\b|\b(?:api_key|token|password|secret)\b ?[=:] ?\"?[0-9a-f]{16,}")
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    found = pii.crf_spans(texts, crf)
+    hit = total = 0
+    for t, spans in zip(texts, found, strict=True):
+        for m in forms.finditer(t):
+            total += 1
+            hit += any(s < m.end() and m.start() < e and k == "secret" for s, e, k in spans)
+        assert not spans or any(c.isdigit() for c in t)
+    print("secrets", hit, total)
+    assert total > 10 and hit >= 0.9 * total

@@ -59,12 +59,12 @@ def brute_counts(x):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x or "")), len(lines) - len(set(lines)), len(covered)
 
 
-TEXTS = [(1, None), (2, ""), (3, " \n\t"), (4, "a b c a b c d"), (5, "\n".join(["x y", "x y", "", "z"])), (6, "é#ü $" * 40), (7, "w " * 40000), (8, "a a a a"), (8, "a a a a"), (None, "one two"), (9, " ".join(f"w{i % 70}" for i in range(200)))]
+TEXTS = [(1, None), (2, ""), (3, " \n\t"), (4, "a b c a b c d"), (5, "\n".join(["x y", "x y", "", "z"])), (6, "é#ü $" * 40), (7, "w " * 40000), (11, " ".join(f"v{i}" for i in range(32_700)) + " a b c d a b c"), (12, " ".join(f"v{i}" for i in range(32_900)) + " a b c d a b c"), (8, "a a a a"), (8, "a a a a"), (None, "one two"), (9, " ".join(f"w{i % 70}" for i in range(200)))]
 
 
-@pytest.mark.parametrize("packed", [quality.PACKED, 3])
-def test_quality_counts(spark, monkeypatch, packed):
-    monkeypatch.setattr(quality, "PACKED", packed)
+@pytest.mark.parametrize("most", [quality.MAX_BROADCAST, 0])
+def test_quality_counts(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "MAX_BROADCAST", most)
     docs = table(spark, TEXTS)
     trusted = spark.createDataFrame([(9,), (9,), (None,)], "doc_id long")
     got = quality.quality_rules(docs, trusted).collect()
@@ -75,6 +75,15 @@ def test_quality_counts(spark, monkeypatch, packed):
         assert not (r.kept and r.base_failed)
 
 
+def test_windows_of_one_short_hash_stay_apart(spark):
+    """Hashes that agree in their low 49 bits only: the packed sort sees them, whole hashes decide."""
+    high = 1 << 52
+    for w in ([5, 5 + high, 9, 9], [5, 5 + high, 5, 9], [5, 5 + high, 7, 7, 9], [3, 3, 3, 8], [1, 2]):
+        df = spark.createDataFrame([(w,)], "w array<long>").withColumn("p", quality.repeated_places(F.col("w")))
+        got = df.select(quality.repeated_words(F.col("w"), F.col("p"))).first()[0]
+        assert got == len({i + k for i, h in enumerate(w) if w.count(h) > 1 for k in range(3)}), w
+
+
 def test_quality_score_is_the_mean_log_ratio(spark):
     docs = [(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(60))) for i in range(12)]
     got = {r.doc_id: r.llr for r in quality.quality_rules(table(spark, docs), spark.createDataFrame([(i,) for i in range(0, 12, 3)], "id long"), n_buckets=64).collect()}

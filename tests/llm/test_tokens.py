@@ -102,13 +102,40 @@ def test_token_files(spark, library, tmp_path):
     assert back.where("doc_id = 7").count() == 1
 
 
+def scanned_rows(df):
+    """Rows that the ORC reader of an executed plan gave."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+    leaves = plan.collectLeaves()
+    for i in range(leaves.size()):
+        m = leaves.apply(i).metrics().get("numOutputRows")
+        if m.isDefined():
+            found.append(m.get().value())
+    return sum(found)
+
+
 def test_token_files_are_indexed(spark, tmp_path):
+    """A filter on the id reads one row group by the index, and none by the Bloom filter
+    where the id lies inside a group's range but isn't in it."""
     import pyarrow.orc as orc
 
-    path = tmp_path / "orc"
-    token_files.write_token_files(docs(spark), str(path), tokenizer_path=JSON)
-    f = orc.ORCFile(str(next(path.glob("part-*.orc"))))
-    assert f.row_index_stride > 0 and "ids" in f.schema.names
+    path = str(tmp_path / "orc")
+    rows = spark.range(0, 120_000, 2).selectExpr("id AS doc_id", "concat('text of document ', id) AS text").coalesce(1)
+    token_files.write_token_files(rows, path, tokenizer_path=JSON, stripe_bytes=1 << 16)
+    parts = sorted((tmp_path / "orc").glob("part-*.orc"))
+    f = orc.ORCFile(str(parts[0]))
+    assert f.row_index_stride == 10_000 and "ids" in f.schema.names and f.compression == "ZSTD"
+    total = sum(orc.ORCFile(str(p)).nrows for p in parts)
+    assert total == 60_000
+    read = lambda cond: spark.read.orc(path).where(cond).select("doc_id", "n_tokens")
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one, none = read("doc_id = 70000"), read("doc_id = 70001")
+        assert one.count() == 1 and 0 < scanned_rows(one) <= 10_000
+        assert none.count() == 0 and scanned_rows(none) < scanned_rows(one)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
 
 
 def test_empty_tables(spark, tmp_path):
