@@ -22,6 +22,8 @@ from strandloom.session import cut, table
 SPACES = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 N_BUCKETS = 8192
+#: Trusted ids that are broadcast at most: some 40 MB in each executor.
+MAX_BROADCAST = 1_000_000
 #: Threshold where no junk is labelled.
 THRESHOLD = -0.15
 #: Scores are counted in bins of this width to find the threshold, within +-SPAN bins.
@@ -60,32 +62,41 @@ def log_ratios(target: list[int], raw: list[int]) -> list[float]:
     return [(math.log(a + 1) - t) - (math.log(b + 1) - r) for a, b in zip(target, raw, strict=True)]
 
 
-#: Windows up to which their positions are packed beside 49 bits of their hashes.
+#: Windows up to which a sort holds their positions beside 49 bits of their hashes.
 PACKED = 1 << 15
 
 
-def repeated_words(windows: Column) -> Column:
-    """Words in windows whose hash occurs twice or more in the array: the windows
-    are sorted with their positions, equal neighbours give the positions, and
-    each position covers three words. Arrays of up to ``PACKED`` windows are
-    sorted as plain integers, hash above position."""
+def repeated_places(windows: Column) -> Column:
+    """``(i, j)`` for neighbours of one hash in the order of hash and position, null if
+    no hash occurs twice. Up to ``PACKED`` windows are sorted as plain integers, 49
+    bits of the hash above the position, and the whole hashes of neighbours are
+    compared: should any two differ, ``j`` is -1."""
     n = F.size(windows)
-    none = F.array().cast("array<int>")
+    packed = F.sort_array(F.transform(windows, lambda h, i: F.shiftleft(h, 15).bitwiseOR(i)))
+    place = lambda a: a.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
+    whole = lambda a: F.get(windows, place(a))
+    pair = lambda a, b: F.when(F.shiftrightunsigned(a.bitwiseXOR(b), 15) == 0, F.struct(place(a).alias("i"), F.when(whole(a) == whole(b), place(b)).otherwise(-1).alias("j")))
+    few = F.array_compact(F.zip_with(F.slice(packed, 1, n - 1), F.slice(packed, 2, n - 1), pair))
+    return F.when(F.size(F.array_distinct(windows)) < n, F.when(n <= PACKED, few).otherwise(sorted_places(windows)))
+
+
+def sorted_places(windows: Column) -> Column:
+    """The same from a sort by whole hashes, for any number of windows."""
+    n = F.size(windows)
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.array_compact(F.zip_with(F.slice(pairs, 1, n - 1), F.slice(pairs, 2, n - 1), lambda a, b: F.when(a["h"] == b["h"], F.struct(a["i"].alias("i"), b["i"].alias("j")))))
+
 
-    def covered(first: Column, second: Column) -> Column:
-        at = F.array_union(F.array_compact(first), F.array_compact(second))
+def repeated_words(windows: Column, places: Column) -> Column:
+    """Words in windows whose 64-bit hash occurs twice or more in the array, from
+    ``repeated_places``: each position covers three words."""
+    def covered(pairs: Column) -> Column:
+        at = F.array_union(F.transform(pairs, lambda p: p["i"]), F.transform(pairs, lambda p: p["j"]))
         step = lambda k: F.transform(at, lambda i: i + k)
         return F.size(F.array_union(F.array_union(at, step(1)), step(2)))
 
-    packed = F.sort_array(F.transform(windows, lambda h, i: F.shiftleft(h, 15).bitwiseOR(i)))
-    same = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), 15) == 0
-    place = lambda a: a.bitwiseAND(F.lit((1 << 15) - 1)).cast("int")
-    head, tail = F.slice(packed, 1, n - 1), F.slice(packed, 2, n - 1)
-    few = covered(F.zip_with(head, tail, lambda a, b: F.when(same(a, b), place(a))), F.zip_with(head, tail, lambda a, b: F.when(same(a, b), place(b))))
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    first, second = F.slice(pairs, 1, n - 1), F.slice(pairs, 2, n - 1)
-    many = covered(F.zip_with(first, second, lambda a, b: F.when(a["h"] == b["h"], a["i"])), F.zip_with(first, second, lambda a, b: F.when(a["h"] == b["h"], b["i"])))
-    return F.when(F.size(F.array_distinct(windows)) == n, 0).when(n <= PACKED, few).otherwise(many).cast("long")
+    mixed = F.exists(places, lambda p: p["j"] < 0)
+    return F.when(places.isNull(), 0).when(mixed, covered(sorted_places(windows))).otherwise(covered(places)).cast("long")
 
 
 def best_cut(counts: dict[int, tuple[int, int]]) -> float | None:
@@ -134,8 +145,9 @@ def quality_rules(
     listed = lambda x: x.select(F.col(x.columns[0]).alias("doc_id")).dropna().distinct()
     ids = listed(trusted).withColumn("trusted", F.lit(True))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # The ids grow with the documents, so they are never broadcast.
-    marked = docs.join(ids.hint("merge"), "doc_id", "left").select("trusted", words_of(F.col("text")).alias("words"))
+    # Ids are broadcast only if they are counted to be few enough; else texts are shuffled to meet them.
+    beside = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids.hint("merge")
+    marked = docs.join(beside, "doc_id", "left").select("trusted", words_of(F.col("text")).alias("words"))
     table_text = ",".join(repr(x) for x in log_ratios(*bucket_counts(marked, n_buckets)))
     ratios = F.split(F.lit(table_text), ",").cast("array<double>")
 
@@ -148,12 +160,13 @@ def quality_rules(
     )
     parts = parts.withColumn("two", chained(F.col("ids"), F.col("ids"), 2))
     parts = parts.withColumn("windows", chained(F.col("two"), F.col("ids"), 3))
+    parts = parts.withColumn("places", repeated_places(F.col("windows")))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, h: a + F.get(ratios, F.pmod(h, F.lit(n_buckets)).cast("int")))
     llr = (total("ids") + total("two")) / F.greatest(F.size("ids") + F.size("two"), F.lit(1))
     scored = parts.select(
         "doc_id", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("windows")).alias("n_repeat_words"), llr.alias("llr"),
+        repeated_words(F.col("windows"), F.col("places")).alias("n_repeat_words"), llr.alias("llr"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     results = scored.select(
