@@ -103,23 +103,24 @@ def ece(table: DataFrame, by: list[str] | None = None, gap: str = "gap") -> Data
     return table.groupBy(*(by or [])).agg((F.sum(F.col("n") * F.col(gap)) / F.sum("n")).alias("ece"))
 
 
-def kernel_calibration(df: DataFrame, *, p: str, label: str, bandwidths: list[float], levels: int = 1000) -> DataFrame:
+def kernel_calibration(df: DataFrame, *, p: str, label: str, bandwidths: list[float], levels: int = 1000, by: list[str] | None = None) -> DataFrame:
     """Leave-one-out Beta-kernel estimates per bandwidth: mean gap and log
     likelihood (M05). Scores are rounded to ``levels`` steps first, so at most
-    ``levels + 1`` rows meet each other, whatever the input's size."""
-    g = df.groupBy((F.round(F.col(p) * levels) / levels).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k"))
-    a = g.select("p", "n", "k", F.explode(F.array(*[F.lit(h) for h in bandwidths])).alias("h"), F.lit(1).alias("_one"))
-    b = g.select(F.col("p").alias("q"), F.col("n").alias("m"), F.col("k").alias("j"), F.lit(1).alias("_one"))
+    ``levels + 1`` rows of a group meet each other, whatever the input's size."""
+    by = by or []
+    g = df.groupBy(*by, (F.round(F.col(p) * levels) / levels).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k"))
+    a = g.select(*by, "p", "n", "k", F.explode(F.array(*[F.lit(h) for h in bandwidths])).alias("h"), F.lit(1).alias("_one"))
+    b = g.select(*by, F.col("p").alias("q"), F.col("n").alias("m"), F.col("k").alias("j"), F.lit(1).alias("_one"))
     # log Beta density of p under shapes (q / h + 1, (1 - q) / h + 1), up to its constant in q.
     x = F.greatest(F.least("p", F.lit(1 - 1e-6)), F.lit(1e-6))
     kern = F.exp((F.col("q") / F.col("h")) * F.log(x) + ((1 - F.col("q")) / F.col("h")) * F.log(1 - x) - (F.col("p") / F.col("h")) * F.log(x) - ((1 - F.col("p")) / F.col("h")) * F.log(1 - x))
-    pairs = a.join(F.broadcast(b), "_one").select("h", "p", "n", "k", (kern * F.col("m")).alias("w"), (kern * F.col("j")).alias("wk"))
-    est = pairs.groupBy("h", "p", "n", "k").agg(F.sum("w").alias("w"), F.sum("wk").alias("wk"))
+    pairs = a.join(b, ["_one", *by]).select(*by, "h", "p", "n", "k", (kern * F.col("m")).alias("w"), (kern * F.col("j")).alias("wk"))
+    est = pairs.groupBy(*by, "h", "p", "n", "k").agg(F.sum("w").alias("w"), F.sum("wk").alias("wk"))
     one = lambda y: F.try_divide(F.col("wk") - y, F.col("w") - 1)
     clip = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9))
     ll = F.col("k") * F.log(clip(one(1))) + (F.col("n") - F.col("k")) * F.log(1 - clip(one(0)))
     gap = F.col("k") * F.abs(one(1) - F.col("p")) + (F.col("n") - F.col("k")) * F.abs(one(0) - F.col("p"))
-    return est.groupBy("h").agg((F.sum(gap) / F.sum("n")).alias("ece"), F.sum(ll).alias("log_likelihood"))
+    return est.groupBy(*by, "h").agg((F.sum(gap) / F.sum("n")).alias("ece"), F.sum(ll).alias("log_likelihood"))
 
 
 def choose_bandwidth(table: DataFrame) -> DataFrame:
@@ -140,12 +141,14 @@ def brier_decomposition(bins: DataFrame, by: list[str] | None = None) -> DataFra
     return g.select(*by, "n", "reliability", (F.col("_sq") - F.col("base") ** 2).alias("resolution"), (F.col("base") * (1 - F.col("base"))).alias("uncertainty"))
 
 
-def unit_grades(df: DataFrame, *, unit: str, p: str, label: str, minimum: int) -> DataFrame:
-    """``n, admissible, brier`` of each unit (M09); units below ``minimum`` rows have
-    no grade. Grades of larger groups follow from another column as ``unit``."""
+def unit_grades(df: DataFrame, *, unit: str, p: str, label: str, minimum: int, bandwidth: float) -> DataFrame:
+    """``n, admissible, brier, ece`` of each unit (M09), ``ece`` by the kernel estimate;
+    units below ``minimum`` rows have no grade. Grades of larger groups follow from
+    another column as ``unit``."""
     ok = F.col("n") >= minimum
     g = df.groupBy(unit).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(p) - F.col(label)) ** 2).alias("_b"))
-    return g.select(unit, "n", ok.alias("admissible"), F.when(ok, F.col("_b")).alias("brier"))
+    k = kernel_calibration(df.where(F.col(unit).isNotNull()), p=p, label=label, bandwidths=[bandwidth], by=[unit]).select(unit, F.col("ece").alias("_e"))
+    return g.join(k, unit, "left").select(unit, "n", ok.alias("admissible"), F.when(ok, F.col("_b")).alias("brier"), F.when(ok, F.col("_e")).alias("ece"))
 
 
 def strand_robustness(df: DataFrame, *, id_col: str, confirmed: str) -> DataFrame:

@@ -326,12 +326,27 @@ def m08d(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("m09_unit_grades", V.with_views("scored", "WITH g AS (SELECT block, count(*) AS n, avg((s1 / 1000.0::DOUBLE - y) * (s1 / 1000.0::DOUBLE - y)) AS brier FROM scored GROUP BY block) SELECT block, n, n >= 20 AS admissible, round(CASE WHEN n >= 20 THEN brier END, 9) AS brier FROM g"))
+_UNIT = """WITH r AS (SELECT {u} AS unit, y, s1 // 20 / 50.0::DOUBLE AS p FROM scored), t AS (SELECT unit, count(*) AS n, avg((p - y) * (p - y)) AS brier FROM r GROUP BY unit), g AS (SELECT unit, p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM r GROUP BY unit, p), pr AS (SELECT a.unit, 0.1::DOUBLE AS h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-6), 1e-6) AS x FROM g a JOIN g b USING (unit)),
+e AS (SELECT unit, p, n, k, sum({kern} * m) AS w, sum({kern} * j) AS wk FROM pr GROUP BY unit, p, n, k), o AS (SELECT *, (wk - 1) / nullif(w - 1, 0) AS e1, wk / nullif(w - 1, 0) AS e0 FROM e), c AS (SELECT unit, sum(k * abs(e1 - p) + (n - k) * abs(e0 - p)) / sum(n) AS ece FROM o GROUP BY unit)
+SELECT unit, n, n >= {m} AS admissible, round(CASE WHEN n >= {m} THEN brier END, 9) AS brier, round(CASE WHEN n >= {m} THEN ece END, 6) AS ece FROM t LEFT JOIN c USING (unit)"""
+
+
+def _graded(spark, d, unit, minimum):
+    s = V.scored(spark, d).selectExpr(f"{unit} AS unit", "(s1 div 20) / 50D AS p", "y")
+    g = M.unit_grades(s, unit="unit", p="p", label="y", minimum=minimum, bandwidth=0.1)
+    return g.withColumn("brier", F.round("brier", 9)).withColumn("ece", F.round("ece", 6))
+
+
+@query("m09_unit_grades", V.with_views("scored", _UNIT.format(u="block", kern=_KERN, m=20)))
 def m09(spark, d):
-    """Each held-out unit graded, null below the minimum size."""
-    p = F.col("s1") / F.lit(1000.0)
-    g = M.unit_grades(V.scored(spark, d).withColumn("p", p), unit="block", p="p", label="y", minimum=20)
-    return g.withColumn("brier", F.round("brier", 9))
+    """Each held-out unit graded by Brier score and kernel estimate, null below the minimum size."""
+    return _graded(spark, d, "block", 20)
+
+
+@query("m09_regrouped", V.with_views("scored", _UNIT.format(u="right(block, 1)", kern=_KERN, m=50)))
+def m09b(spark, d):
+    """The same over larger groups of units."""
+    return _graded(spark, d, "right(block, 1)", 50)
 
 
 @query("m10_strand_robustness", V.with_views("scored", "SELECT count(*) AS n, count(*) FILTER (WHERE s1 >= 600 OR s2 >= 600) AS confirmed, count(*) FILTER (WHERE (s1 >= 600) = (s2 >= 600)) AS invariant FROM scored"))
