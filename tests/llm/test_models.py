@@ -207,3 +207,9 @@ def test_recall_on_documents_of_another_source(spark, crf):
         assert not spans or any(c.isdigit() for c in t)
     print("secrets", hit, total)
     assert total > 10 and hit >= 0.9 * total
+
+
+def test_one_line_of_many_tokens(spark, crf):
+    text = "plain words here " * 40_000 + "password=0123456789abcdef01 end"
+    (row,) = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), crf).collect()
+    assert [(s.kind, text[s.start : s.end]) for s in row.spans] == [("secret", "password=0123456789abcdef01")]

@@ -43,6 +43,17 @@ def test_pipeline_equals_brute_force(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_of_clashing_names(spark, k):
+    """Extra columns called like results or helpers of the operators come back unharmed."""
+    names = ["score", "lang_pred", "rejected", "fp1", "component", "n", "id", "wanted", "item_id", "spans", "base", "found"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *(f"concat('{c}', doc_id) AS {c}" for c in names))
+    out = corpus_pipeline.STAGES[k][1](spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.select("doc_id", *names).collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_take_edge_rows(spark, k):
     docs = spark.read.parquet(f"{SF}/documents.parquet")

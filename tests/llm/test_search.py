@@ -267,3 +267,13 @@ def test_decontamination_empty_tables(spark):
     d = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(d, b).count() == 0 and decontaminate.contaminated(d.where("false"), d.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+
+
+def test_very_long_texts(spark):
+    rnd = random.Random(8)
+    long = " ".join(words(rnd, 120_000))
+    rows = [(1, long), (2, long + " tail"), (3, "x" * 400_000), (4, "one two three")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: brute_fingerprint(t) for i, t in rows if i > 2}
+    assert all(got[i].fp % (1 << 64) == f for i, f in want.items()) and bin(got[1].fp ^ got[2].fp).count("1") <= 3 and got[2].component_id == 1
+    assert sorted(r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [1, 3, 4]
