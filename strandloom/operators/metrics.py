@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.calling import runs
-from strandloom.operators.statistics import rank_in_group
+from strandloom.operators.statistics import rank_in_group, running_sums
 
 
 def exact_run_detection(df: DataFrame, *, length: int, contig: str = "contig") -> DataFrame:
@@ -57,10 +57,14 @@ def operating_point(df: DataFrame, *, score: str, label: str, thresholds: list[i
 
 
 def ranking_curve(df: DataFrame, *, score: str, label: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Per distinct score: hits and false hits at or above it, and the totals."""
+    """Per distinct score: hits and false hits at or above it, and the totals. Without
+    groups the running sums are spread over range partitions."""
     by = by or []
     one = F.col(weight) if weight else F.lit(1)
     n = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, one).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(one)).alias("_n"))
+    if not by:
+        sums = running_sums(n, [F.desc(score)], {"tp": "_p", "fp": "_n"})
+        return sums.select(score, "_p", "tp", "fp", F.col("total_tp").alias("n_pos"), F.col("total_fp").alias("n_neg"))
     w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     total = Window.partitionBy(*by)
     return n.select(*by, score, "_p", F.sum("_p").over(w).alias("tp"), F.sum("_n").over(w).alias("fp"), F.sum("_p").over(total).alias("n_pos"), F.sum("_n").over(total).alias("n_neg"))
@@ -235,8 +239,10 @@ def auroc(df: DataFrame, *, score: str, label: str, by: list[str] | None = None,
     by = by or []
     one = F.col(weight) if weight else F.lit(1)
     n = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, one).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(one)).alias("_n"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_n").over(w), F.lit(0))
+    if by:
+        below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        n, below = running_sums(n, [F.col(score)], {"_upto": "_n"}), F.col("_upto") - F.col("_n")
     rows = n.select(*by, "_p", "_n", (F.col("_p") * (below + F.col("_n") / 2)).alias("_u"))
     np_, nn = F.sum("_p"), F.sum("_n")
     return rows.groupBy(*by).agg(np_.alias("n_pos"), nn.alias("n_neg"), F.try_divide(F.sum("_u"), np_ * nn).alias("auroc"), F.sqrt(F.try_divide(np_ + nn + 1, 12 * np_ * nn)).alias("null_se"))

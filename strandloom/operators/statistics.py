@@ -30,6 +30,9 @@ def linear_percentiles(df: DataFrame, value: str, qs: dict[str, float], *, by: l
 def ks_statistic(df: DataFrame, value: str, arm: str, first, second, *, by: list[str]) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per group."""
     counts = df.where(F.col(arm).isin(first, second)).groupBy(*by, value).agg(F.count_if(F.col(arm) == first).alias("_a"), F.count_if(F.col(arm) == second).alias("_b"))
+    if not by:
+        sums = running_sums(counts, [F.col(value)], {"a": "_a", "b": "_b"})
+        return sums.agg(F.max(F.abs(F.try_divide("a", "total_a") - F.try_divide("b", "total_b"))).alias("ks"))
     w = Window.partitionBy(*by)
     run = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     gap = F.abs(F.try_divide(F.sum("_a").over(run), F.sum("_a").over(w)) - F.try_divide(F.sum("_b").over(run), F.sum("_b").over(w)))
@@ -79,6 +82,21 @@ def rank_in_group(df: DataFrame, *, by: list[str], order: list[str]) -> DataFram
     return ranked.join(sizes, same).withColumn("rank", F.col("_rank") - F.col("_before")).select(*df.columns, "rank", "n")
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds for each ``name: column`` the column's sum over the rows up to this one,
+    ``name``, and over all, ``total_<name>``, in a total order of the whole table. Rows
+    are range-partitioned, summed inside partitions, and each partition's start follows
+    from the partitions' totals (one row each)."""
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = parts.select("*", *(F.sum(c).over(own).alias(f"_own_{n}") for n, c in sums.items()))
+    earlier, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    totals = parts.groupBy("_part").agg(*(F.sum(c).alias(f"_s_{n}") for n, c in sums.items()))
+    starts = totals.select("_part", *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums), *(F.sum(f"_s_{n}").over(every).alias(f"total_{n}") for n in sums))
+    joined = local.join(F.broadcast(starts), "_part")
+    return joined.select(*df.columns, *((F.col(f"_own_{n}") + F.col(f"_before_{n}")).alias(n) for n in sums), *(f"total_{n}" for n in sums))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Dense position 1..n in a total order without a single-task sort: rows are
     range-partitioned, numbered inside partitions, and each partition's start

@@ -62,7 +62,7 @@ def a08(spark, d):
 
 @query("a11_ks_statistic", V.with_views("scored", "WITH c AS (SELECT s1, count(*) FILTER (WHERE y = 1) AS a, count(*) FILTER (WHERE y = 0) AS b FROM scored GROUP BY s1) SELECT round(max(g), 9) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY s1) / sum(a) OVER () - sum(b) OVER (ORDER BY s1) / sum(b) OVER ()) AS g FROM c)"))
 def a11(spark, d):
-    return S.ks_statistic(V.scored(spark, d).withColumn("g", F.lit(1)), "s1", "y", 1, 0, by=["g"]).select(F.round("ks", 9).alias("ks"))
+    return S.ks_statistic(V.scored(spark, d), "s1", "y", 1, 0, by=[]).select(F.round("ks", 9).alias("ks"))
 
 
 @query("a12_wilson", "WITH g AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS k FROM orders GROUP BY 1) SELECT o_orderpriority, n, k, round((k::DOUBLE / n + 3.841458881296 / 2 / n - 1.959964 * sqrt(k::DOUBLE / n * (1 - k::DOUBLE / n) / n + 3.841458881296 / 4 / n / n)) / (1 + 3.841458881296 / n), 6) AS lo, round((k::DOUBLE / n + 3.841458881296 / 2 / n + 1.959964 * sqrt(k::DOUBLE / n * (1 - k::DOUBLE / n) / n + 3.841458881296 / 4 / n / n)) / (1 + 3.841458881296 / n), 6) AS hi FROM g")

@@ -357,3 +357,14 @@ def test_similarity_blocks_follow_the_rows(spark, monkeypatch):
 def test_dense_labels(spark):
     df = spark.createDataFrame([(5, 5), (9, 5), (7, 7), (1, 1)], "node long, component long")
     assert rows(cluster.dense_labels(df), "node", "label") == [(1, 0), (5, 1), (7, 2), (9, 1)]
+
+
+def test_running_sums_cross_partitions(spark):
+    df = spark.range(4000).selectExpr("id", "hash(id) AS h", "id % 7 AS v")
+    got = statistics.running_sums(df, [F.desc("h"), F.col("id")], {"s": "v"}).orderBy(F.desc("h"), "id").collect()
+    total = 0
+    for r in got:
+        total += r.v
+        assert r.s == total
+    assert {r.total_s for r in got} == {total} and len(got) == 4000
+    assert statistics.running_sums(df.where("false"), [F.col("h")], {"s": "v"}).count() == 0
