@@ -38,7 +38,7 @@ W = 16
 #: Bytes parsed at a time; longer documents are cut into overlapping pieces.
 CHUNK_BYTES = 2_000_000
 #: Occurrences of a trigger beyond which its phrases' windows are dealt out one by one.
-CROWDED = 20_000
+CROWDED = 1_000
 
 
 def pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
