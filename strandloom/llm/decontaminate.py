@@ -33,8 +33,8 @@ MASKS = ("1111", "11011", "101101", "1010101", "1100101", "1001011")
 LONG_ITEM = 24
 #: Bits of the bitmap over the benchmark's hashes, whatever their number.
 BITMAP_BITS = 1 << 25
-#: Documents to compare that are broadcast at most; beyond, texts are shuffled to meet them.
-MAX_BROADCAST = 100_000
+#: Diagonals to compare that are broadcast at most; beyond, texts are shuffled to meet them.
+MAX_BROADCAST = 200_000
 #: Bytes of text hashed at a time.
 SLICE_BYTES = 1_000_000
 
@@ -181,7 +181,8 @@ def contaminated(
     diagonals = met.groupBy("doc_id", "doc_key", "item_id", "item_key", "n_words", "diagonal").agg(F.count_distinct("mask", "at").alias("seeds"))
     wanted = diagonals.where((F.col("n_words") < LONG_ITEM) | (F.col("seeds") > 1))
     wanted = cut(wanted.groupBy(F.col("doc_id").alias("id"), "doc_key").agg(F.collect_list(F.struct("item_id", "item_key", "n_words", "diagonal")).alias("wanted")))
-    beside = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted.hint("merge")
+    n_wanted = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    beside = F.broadcast(wanted) if n_wanted <= MAX_BROADCAST else wanted.hint("merge")
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", item_type), T.StructField("item_key", T.LongType()), T.StructField("diagonal", T.LongType()), T.StructField("found", T.ArrayType(T.LongType()))])
     passages = d.join(beside, "id").select("id", "text", "doc_key", "wanted").mapInArrow(_passages, schema)
     words = b.mapInArrow(_item_words, "item_key long, words array<long>").dropDuplicates(["item_key"])

@@ -306,8 +306,8 @@ WEAK_BITS = 4
 #: Candidates differ in at most this many of 128 bits. Sets of a similarity of 0.8
 #: differ in 19 on average with a standard deviation of 4, unrelated ones in 64.
 CANDIDATE_BITS = 40
-#: Votes of few shingles are coarse: sets of at most PREFIXED meet, without a loss, in
-#: their smallest hashes.
+#: Votes of few shingles are coarse: sets of at most PREFIXED meet in their smallest
+#: hashes, of which two that are similar enough share one for certain.
 SEGMENTED, PREFIXED = 32, 40
 #: Least similarity the segments are laid out for, in percent.
 LEAST_PERCENT = 80
