@@ -107,6 +107,20 @@ def test_quality_verdict_against_labels(spark, sf):
     assert len(good) > 200 and sum(good) >= 0.99 * len(good)
 
 
+def test_quality_verdict_on_labels_it_has_not_seen(spark):
+    """Target, threshold and raw counts from even ids only count as labels; odd ids are judged."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    even = labels.where("doc_id % 2 = 0")
+    got = quality.quality_rules(spark.read.parquet(f"{d}/documents.parquet"), quality.trusted_ids(even), junk=quality.junk_ids(even))
+    rows = got.where("not base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id").select("kept", "quality", "toxic").collect()
+    junk = [r.kept for r in rows if r.quality == 0]
+    good = [r.kept for r in rows if r.quality == 1 and not r.toxic]
+    print("held out: kept", sum(junk), "of", len(junk), "junk,", sum(good), "of", len(good), "good")
+    assert len(junk) > 50 and sum(junk) <= 0.05 * len(junk)
+    assert len(good) > 500 and sum(good) >= 0.97 * len(good)
+
+
 def test_quality_cut():
     assert quality.best_cut({-90: (0, 5), -60: (1, 0), -40: (9, 1)}) == pytest.approx(-0.089)
     assert quality.best_cut({-90: (0, 5)}) is None and quality.best_cut({}) is None
