@@ -312,7 +312,7 @@ SEGMENTED, PREFIXED = 32, 40
 #: Least similarity the segments are laid out for, in percent.
 LEAST_PERCENT = 80
 #: Characters of text in a block of a component of candidates.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_500_000
 
 
 def layout(n_docs: int) -> tuple[int, int]:
