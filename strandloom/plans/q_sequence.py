@@ -141,7 +141,7 @@ def e13(spark, d):
     return made.select("id", F.md5(F.array_join(F.array_sort(S.kmers("decoy", 2)), ",")).alias("pairs"), F.concat(F.substring("decoy", 1, 1), F.substring("decoy", -1, 1)).alias("ends"), (F.col("decoy") != F.col("seq")).alias("changed"))
 
 
-@query("e13_gc_matched", V.with_views("contigs", "WITH p AS (SELECT contig_id, seq, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc, unnest(range(length(seq))) AS p FROM contigs), u AS (SELECT contig_id, gc, p, ('0x' || substr(md5(concat_ws(':', 'gc', contig_id, p)), 1, 13))::BIGINT AS u FROM p) SELECT contig_id, string_agg(CASE WHEN u % 1000000 / 1000000.0::DOUBLE < gc THEN CASE WHEN u // 1000000 % 2 = 1 THEN 'G' ELSE 'C' END ELSE CASE WHEN u // 1000000 % 2 = 1 THEN 'A' ELSE 'T' END END, '' ORDER BY p) AS decoy FROM u GROUP BY contig_id"))
+@query("e13_gc_matched", V.with_views("contigs", "WITH b AS MATERIALIZED (SELECT contig_id, length(seq) AS n, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc FROM contigs), p AS (SELECT contig_id, gc, unnest(range(n)) AS p FROM b), u AS (SELECT contig_id, gc, p, ('0x' || substr(md5(concat_ws(':', 'gc', contig_id, p)), 1, 13))::BIGINT AS u FROM p) SELECT contig_id, string_agg(CASE WHEN u % 1000000 / 1000000.0::DOUBLE < gc THEN CASE WHEN u // 1000000 % 2 = 1 THEN 'G' ELSE 'C' END ELSE CASE WHEN u // 1000000 % 2 = 1 THEN 'A' ELSE 'T' END END, '' ORDER BY p) AS decoy FROM u GROUP BY contig_id"))
 def e13c(spark, d):
     return O.gc_matched(V.contigs(spark, d), id_col="contig_id", seq_col="seq", seed="gc")
 
