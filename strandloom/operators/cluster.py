@@ -9,24 +9,6 @@ from strandloom.operators.statistics import global_rank
 from strandloom.session import cut
 
 
-#: A node of more than a 500th of the edges is a hub: there are at most a thousand.
-HUB_SHARE, HUB_FLOOR = 500, 1000
-
-
-def _with_minimum(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Adds ``m``, the smallest ``v`` of each ``u``. Hubs, which are a thousand nodes at
-    most by their definition, meet their rows in a broadcast join, so that no
-    partition holds all rows of one."""
-    g = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
-    hubs = g.where(F.col("k") > max(HUB_FLOOR, n_rows // HUB_SHARE)).select("u", "m").collect()
-    low = g.select("u", "m")
-    if not hubs:
-        return rows.join(low, "u")
-    few = F.broadcast(rows.sparkSession.createDataFrame(hubs, low.schema))
-    marked = rows.join(few, "u", "left")
-    return marked.where("m IS NULL").select("u", "v").join(low, "u").unionByName(marked.where("m IS NOT NULL").select("u", "v", "m"))
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node of each connected component.
 
@@ -38,11 +20,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     loops = e.where("u = v").select("u").distinct()
     e = cut(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen, n = None, e.count()
+    seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_minimum(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
         e = cut(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
@@ -51,7 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         state = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break
-        seen, n = state, state["n"]
+        seen = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

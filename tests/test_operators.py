@@ -368,25 +368,3 @@ def test_running_sums_cross_partitions(spark):
         assert r.s == total
     assert {r.total_s for r in got} == {total} and len(got) == 4000
     assert statistics.running_sums(df.where("false"), [F.col("h")], {"s": "v"}).count() == 0
-
-
-@pytest.mark.parametrize(("floor", "share"), [(1000, 500), (2, 20)])
-def test_components_with_hubs(spark, monkeypatch, floor, share):
-    import random
-
-    monkeypatch.setattr(cluster, "HUB_FLOOR", floor)
-    monkeypatch.setattr(cluster, "HUB_SHARE", share)
-    rnd = random.Random(4)
-    edges = [(500, i) for i in range(100, 160)] + [(i, 700) for i in range(600, 660)] + [(i, i + 1) for i in range(800, 840)] + [(rnd.randrange(1000, 1100), rnd.randrange(1000, 1100)) for _ in range(60)] + [(5, 5)]
-    root = {x: x for e in edges for x in e}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for x, y in edges:
-        p, q = sorted((find(x), find(y)))
-        root[q] = p
-    got = cluster.connected_components(spark.createDataFrame(edges, "a long, b long"))
-    assert rows(got) == sorted((x, find(x)) for x in root)
