@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import bpe_codec, decontaminate, language, licenses, merkle, packing, pii, quality, repeats, simhash, token_counts, token_files
+from strandloom.llm import bpe_codec, decontaminate, language, licenses, merkle, packing, pii, quality, repeats, search, simhash, token_counts, token_files
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_files": token_files.op10_token_files,
+    "op11_lexical_search": search.op11_lexical_search,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_packing": packing.op13_packing,
 }
 
-ORACLES = {"op1_license_scan": licenses.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
+ORACLES = {"op1_license_scan": licenses.ORACLE_SQL, "op11_lexical_search": search.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL}
