@@ -38,7 +38,7 @@ ROW_GROUP_BYTES = 16 << 20
 #: Items and bytes of their texts that one pass over the index answers.
 PASS_ITEMS, PASS_BYTES = 2000, 8_000_000
 #: Ranges opened in one step, and numbers of cells that a step or an item's open ranges hold at most.
-STEP_RANGES, STEP_CELLS = 64, 200_000
+STEP_RANGES, STEP_CELLS = 256, 200_000
 #: Groups in which an item's best documents of all tasks meet before they meet at last.
 MERGE_GROUPS = 64
 
@@ -114,8 +114,8 @@ def read_treap(height: int, nibbles: bytes, lost: bytes, sizes: bytes) -> Treap:
     children = _BITS[quarters].astype(np.int64)
     # Children follow level by level in the order of their parents.
     first = (np.cumsum(children) - children + 1 + int(sizes[0])).astype(np.int32)
-    most = np.zeros(n + 1, np.int64)
-    own = np.ascontiguousarray(np.frombuffer(lost, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+    most = np.zeros(n + 1, np.int32)
+    own = np.ascontiguousarray(np.frombuffer(lost, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int32)
     at = 1
     for k, size in enumerate(sizes.tolist()):
         if k == 0:
@@ -285,7 +285,7 @@ def descend(treap: Treap, docs: np.ndarray, rows: np.ndarray, weights: np.ndarra
     """Adds the documents of a block to an item's best: the rows' paths descend jointly,
     always into the ranges of documents of the greatest bounds. Returns the ranges opened."""
     n_ranges, opened = max(1, min(STEP_RANGES, STEP_CELLS // len(rows))), 0
-    bounds = np.array([int((weights * treap.most[1]).sum())])
+    bounds = np.array([int(weights.sum()) * int(treap.most[1])])
     cells, level, begin = np.ones((1, len(rows)), np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
         open_ = bounds >= best.floor
