@@ -194,6 +194,9 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, max_bits: int = 3, id_col: s
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Words of 64 bits in a wide fingerprint, and their columns.
+WORDS = 4
+FP = tuple(f"fp{i + 1}" for i in range(WORDS))
 #: Buckets up to this size are tested for links before a forest is grown.
 TESTED_BUCKET = 1024
 #: Rows of a bucket or component's pair of blocks beyond which it is dealt out, and
@@ -226,7 +229,7 @@ def wide_forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]
 
 def _wide_bucket_links(max_bits: int):
     """Links of each bucket from a partition sorted by ``bucket, sub``; rows are
-    ``bucket, sub``, two words of fingerprint, ``id``."""
+    ``bucket, sub``, ``WORDS`` words of fingerprint, ``id``."""
 
     def links(fps: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.diff(bounds)
@@ -248,7 +251,7 @@ def _wide_bucket_links(max_bits: int):
         return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps, ids = np.zeros((0, 2), np.int64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+        keys, fps, ids = np.zeros((0, 2), np.int64), np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64)
         batches, done = iter(batches), False
         while not done:
             batch = next(batches, None)
@@ -256,8 +259,8 @@ def _wide_bucket_links(max_bits: int):
             if not done:
                 columns = [c.to_numpy() for c in batch.columns]
                 keys = np.concatenate([keys, np.column_stack(columns[:2])])
-                fps = np.concatenate([fps, np.column_stack(columns[2:4]).view(np.uint64)])
-                ids = np.concatenate([ids, columns[4]])
+                fps = np.concatenate([fps, np.column_stack(columns[2:-1]).view(np.uint64)])
+                ids = np.concatenate([ids, columns[-1]])
             if not len(ids):
                 continue
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -278,7 +281,7 @@ def _block_pairs(blocks: Column) -> Column:
 
 
 def _bucket_forests(rows: DataFrame, max_bits: int, hot: int) -> DataFrame:
-    """``a, b`` from rows of ``bucket, fp1, fp2, id``: a forest of the links in each
+    """``a, b`` from rows of ``bucket``, fingerprint words and ``id``: a forest of the links in each
     bucket. A bucket of about ``hot`` rows or more, as a share of the ids tells, is
     dealt into blocks by a hash of the id and every two blocks meet in a group of
     their own, so that no link is lost and no group grows with the data."""
@@ -292,7 +295,7 @@ def _bucket_forests(rows: DataFrame, max_bits: int, hot: int) -> DataFrame:
         rows = rows.join(crowded, "bucket", "left").withColumn("sub", F.explode(F.coalesce(_block_pairs(F.col("blocks")), single)))
     else:
         rows = rows.withColumn("sub", F.lit(-1).cast("long"))
-    dealt = rows.select("bucket", "sub", "fp1", "fp2", "id").repartition("bucket", "sub").sortWithinPartitions("bucket", "sub")
+    dealt = rows.select("bucket", "sub", *FP, "id").repartition("bucket", "sub").sortWithinPartitions("bucket", "sub")
     return dealt.mapInArrow(_wide_bucket_links(max_bits), "a long, b long")
 
 
@@ -303,9 +306,10 @@ def _bucket_forests(rows: DataFrame, max_bits: int, hot: int) -> DataFrame:
 LAYOUTS = ((1 << 24, 18, 12), (1 << 27, 21, 18), (1 << 30, 24, 27), (1 << 62, 28, 47))
 #: Least certain bits of a segment that its ball flips.
 WEAK_BITS = 4
-#: Candidates differ in at most this many of 128 bits. Sets of a similarity of 0.8
-#: differ in 19 on average with a standard deviation of 4, unrelated ones in 64.
-CANDIDATE_BITS = 40
+#: Candidates differ in at most this many of 256 bits. Sets of a similarity of 0.8
+#: differ in 39 on average with a standard deviation of 6, unrelated ones in 128 with
+#: one of 8, so that one of some 10^10 unrelated pairs that meet is a candidate.
+CANDIDATE_BITS = 75
 #: Votes of few shingles are coarse: sets of at most PREFIXED meet in their smallest
 #: hashes, of which two that are similar enough share one for certain.
 SEGMENTED, PREFIXED = 32, 40
@@ -333,13 +337,13 @@ def weak_balls(votes: np.ndarray, counts: np.ndarray, bits: int, n_segments: int
 
 
 def shingle_sets(docs: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT, bits: int = 18, n_segments: int = 12) -> DataFrame:
-    """``doc_id, set1, set2, n, fp1, fp2, buckets`` of ``doc_id, text``: a digest of
-    the set of shingles, their number, 128 bits of fingerprint, and the buckets in
+    """``doc_id, set1, set2, n``, ``FP`` and ``buckets`` of ``doc_id, text``: a digest of
+    the set of shingles, their number, 256 bits of fingerprint, and the buckets in
     which similar sets meet: balls of the segments, and of sets up to ``PREFIXED`` the
     smallest hashes, of which two sets that are similar enough share one. Sets too
     small to be similar to another without being equal have no bucket."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in ("set1", "set2", "n", "fp1", "fp2")), T.StructField("buckets", T.ArrayType(T.LongType()))])
-    n_words = max(2, -(-n_segments // (64 // bits)))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(x, T.LongType()) for x in ("set1", "set2", "n", *FP)), T.StructField("buckets", T.ArrayType(T.LongType()))])
+    n_words = max(WORDS, -(-n_segments // (64 // bits)))
 
     def buckets(x: np.ndarray, balls: np.ndarray) -> np.ndarray:
         if len(x) * (100 - percent) < percent:
@@ -359,7 +363,7 @@ def shingle_sets(docs: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT, b
                 for _ in range(n_words):
                     votes.append(votes_of(hashes, counts))
                     hashes = mix(hashes)
-                fp = [np.packbits(2 * v > counts[:, None], axis=1, bitorder="little").view("<i8").reshape(-1) for v in votes[:2]]
+                fp = [np.packbits(2 * v > counts[:, None], axis=1, bitorder="little").view("<i8").reshape(-1) for v in votes[:WORDS]]
                 own = [buckets(x, b) for x, b in zip(lists, weak_balls(np.concatenate(votes, axis=1), counts, bits, n_segments), strict=True)]
                 offsets = np.append(0, np.cumsum([len(x) for x in own]))
                 yield pa.RecordBatch.from_arrays(
@@ -375,7 +379,7 @@ def shingle_sets(docs: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT, b
 
 def candidate_links(distinct: DataFrame, *, hot: int = CROWDED_BUCKET) -> DataFrame:
     """``a, b`` between the ids of rows of ``shingle_sets``: a forest of candidates."""
-    return _bucket_forests(distinct.select(F.explode("buckets").alias("bucket"), "fp1", "fp2", "id"), CANDIDATE_BITS, hot)
+    return _bucket_forests(distinct.select(F.explode("buckets").alias("bucket"), *FP, "id"), CANDIDATE_BITS, hot)
 
 
 def set_forest(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -461,7 +465,7 @@ def drop_similar(
     # keeps them from being coalesced into one.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = shingle_sets(named, k=k, percent=percent, bits=bits, n_segments=n_segments)
-    distinct = cut(sets.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n", "fp1", "fp2")), F.first("buckets").alias("buckets")).repartition(n, "id"))
+    distinct = cut(sets.groupBy("set1", "set2").agg(F.min("doc_id").alias("id"), *(F.min(c).alias(c) for c in ("n", *FP)), F.first("buckets").alias("buckets")).repartition(n, "id"))
     near = cut(connected_components(candidate_links(distinct, hot=hot)).select(F.col("node").alias("id"), "component"))
     # Shingles are about as many as words, of six characters on average.
     sizes = near.join(distinct.select("id", "n"), "id").groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 6 / block_chars)).alias("blocks"))

@@ -134,7 +134,7 @@ def edited_pairs(seed, sizes, n):
 
 @pytest.mark.parametrize(
     ("sizes", "hot", "block", "segments", "least"),
-    [((8, 9, 12, 20, 35, 42), 50_000, 4_000_000, None, 0.995), ((60, 150, 400), 50_000, 4_000_000, None, 0.98), ((60, 150, 400), 50_000, 4_000_000, (24, 27), 0.98), ((60, 150), 3, 500, None, 0.98)],
+    [((8, 9, 12, 20, 35, 42), 50_000, 4_000_000, None, 0.995), ((60, 150, 400), 50_000, 4_000_000, None, 0.98), *(((60, 150, 400), 50_000, 4_000_000, segments, 0.98) for segments in ((21, 18), (24, 27), (28, 47))), ((60, 150), 3, 500, None, 0.98)],
 )
 def test_pairs_are_dropped_by_their_jaccard_similarity(spark, sizes, hot, block, segments, least):
     pairs = edited_pairs(11, sizes, 500)
@@ -146,6 +146,26 @@ def test_pairs_are_dropped_by_their_jaccard_similarity(spark, sizes, hot, block,
     assert len(similar) > 100 and np.mean(similar) >= least
 
 
+def test_unrelated_documents_are_no_candidates():
+    """Balls of unrelated fingerprints meet in proportion to the square of their number;
+    the pairs that do are not within the candidates' bits."""
+    rng = np.random.default_rng(2)
+    n = 60_000
+    votes, counts = rng.binomial(200, 0.5, (n, 64 * simhash.WORDS)).astype(np.int32), np.full(n, 200)
+    balls = simhash.weak_balls(votes, counts, 18, 12)
+    fps = np.packbits(2 * votes > counts[:, None], axis=1, bitorder="little").view("<u8")
+    order = np.argsort(balls.ravel(), kind="stable")
+    bucket, doc = balls.ravel()[order], np.repeat(np.arange(n), balls.shape[1])[order]
+    met, closest = 0, 256
+    for step in range(1, 30):
+        same = bucket[step:] == bucket[:-step]
+        a, b = doc[:-step][same], doc[step:][same]
+        met += len(a)
+        closest = min(closest, np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1)[a != b].min(initial=256))
+    # 16 million documents meet 70,000 times as many pairs: at 75 bits, one of 10^10 of these.
+    assert met > 1_000_000 and closest > simhash.CANDIDATE_BITS + 5
+
+
 def test_large_groups_are_dealt_into_blocks(spark):
     rnd = random.Random(4)
     base = words(rnd, 200)
