@@ -271,6 +271,55 @@ def test_recall_of_random_substitutions(spark):
         assert len(want) > 100 and np.mean(same) >= (0.99 if rate <= 20 else 0.95 if rate <= 40 else 0.9), (rate, np.mean(same))
 
 
+PHRASE = "which of the following statements is correct about"
+
+
+@pytest.mark.parametrize("n", [40, 160])
+def test_a_common_phrase_meets_no_item(spark, n):
+    """Documents and items that share a phrase only: diagonals grow with the documents,
+    not with the pairs, and what they hold of one item is found as before."""
+    rnd = random.Random(n)
+    items = [(i, " ".join([*words(rnd, 5), PHRASE, *words(rnd, 8)])) for i in range(n)]
+    docs = [(i, " ".join([*words(rnd, 30), PHRASE, *words(rnd, 30)])) for i in range(n)]
+    # Eleven words of twenty: the phrase and three of the others, each next to no equal one.
+    kept = lambda t, at: " ".join(w if 5 <= k < 12 or k in at else "other" for k, w in enumerate(t.split()))
+    docs += [(1000 + i, " ".join([*words(rnd, 30), kept(t, {1, 3, 14, 16}), *words(rnd, 30)])) for i, t in items[:20]]
+    d, b = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(items, "id long, text string")
+    wanted = decontaminate._wanted(d, b, decontaminate.MASKS, len(decontaminate.MASKS), 0.5)
+    assert wanted.count() < 2 * len(docs)
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.contaminated(d, b, id_col="id", item_col="id").collect()}
+    want = {(i, j): round(v * len(u.split())) for i, t in docs if i >= 1000 for j, u in items if (v := brute_overlap(t, u)) >= 0.5}
+    assert {(1000 + i, i) for i in range(20)} <= set(want) and got == want
+
+
+def test_items_that_are_mostly_a_common_phrase(spark):
+    rnd = random.Random(5)
+    items = [(i, f"{PHRASE} {' '.join(words(rnd, 4))}") for i in range(40)]
+    docs = [(i, " ".join([*words(rnd, 20), PHRASE, *words(rnd, 20)])) for i in range(5)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got.count() == 5 * 40  # the phrase alone is more than half of each
+
+
+def test_inserted_and_missing_words_do_not_hide_a_passage(spark):
+    rnd = random.Random(6)
+    items = [(i, " ".join(words(rnd, 45))) for i in range(30)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        docs.append((i, " ".join([*words(rnd, 20), *w[:15], "inserted", *w[15:30], "inserted", *w[30:], *words(rnd, 20)])))
+        docs.append((100 + i, " ".join([*words(rnd, 20), *w[:14], *w[16:29], *w[30:], *words(rnd, 20)])))
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i): 45 for i in range(30)} | {(100 + i, i): 42 for i in range(30)}
+
+
+def test_repeated_items_with_different_texts(spark):
+    rnd = random.Random(7)
+    a, b = " ".join(words(rnd, 20)), " ".join(words(rnd, 30))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}"), (4, "clean text")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(5, a), (5, b), (5, a)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.overlap) for r in got) == [(1, 5, 1.0), (2, 5, 1.0), (3, 5, 1.0)]
+
+
 def test_long_documents_and_clashing_columns(spark, monkeypatch):
     rnd = random.Random(2)
     item = " ".join(words(rnd, 40))
