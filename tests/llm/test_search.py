@@ -279,6 +279,7 @@ def test_a_common_phrase_meets_no_item(spark, n):
     """Documents and items that share a phrase only: diagonals grow with the documents,
     not with the pairs, and what they hold of one item is found as before."""
     rnd = random.Random(n)
+    words = lambda rnd, k: [f"w{rnd.randrange(10**5)}" for _ in range(k)]
     items = [(i, " ".join([*words(rnd, 5), PHRASE, *words(rnd, 8)])) for i in range(n)]
     docs = [(i, " ".join([*words(rnd, 30), PHRASE, *words(rnd, 30)])) for i in range(n)]
     # Eleven words of twenty: the phrase and three of the others, each next to no equal one.
@@ -309,7 +310,9 @@ def test_inserted_and_missing_words_do_not_hide_a_passage(spark):
         docs.append((i, " ".join([*words(rnd, 20), *w[:15], "inserted", *w[15:30], "inserted", *w[30:], *words(rnd, 20)])))
         docs.append((100 + i, " ".join([*words(rnd, 20), *w[:14], *w[16:29], *w[30:], *words(rnd, 20)])))
     got = {(r.doc_id, r.item_id): r.n_equal for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert got == {(i, i): 45 for i in range(30)} | {(100 + i, i): 42 for i in range(30)}
+    # A missing word may be met by chance at its place on another diagonal.
+    assert set(got) == {(i, i) for i in range(30)} | {(100 + i, i) for i in range(30)}
+    assert all(n == 45 if i < 100 else 42 <= n < 45 for (i, _), n in got.items())
 
 
 def test_repeated_items_with_different_texts(spark):
