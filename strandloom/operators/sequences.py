@@ -5,12 +5,15 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions import sequence as S
 from strandloom.functions.loci import hash_draw
+from strandloom.session import cut
 
 
 def tile(df: DataFrame, *, id_col: str, seq_col: str, window: int, stride: int, name: str = "window_id") -> DataFrame:
@@ -26,11 +29,87 @@ def kmer_frequencies(df: DataFrame, *, id_col: str, seq_col: str, k: int, alphab
     return n.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(id_col)))
 
 
-def shared_kmer_hosts(items: DataFrame, hosts: DataFrame, *, k: int, item_id: str, host_id: str, seq_col: str = "seq") -> DataFrame:
-    """Hosts that share a verbatim stretch of ``k`` letters with an item."""
-    a = items.select(item_id, F.explode(F.array_distinct(S.kmers(seq_col, k))).alias("kmer"))
-    b = hosts.select(host_id, F.explode(F.array_distinct(S.kmers(seq_col, k))).alias("kmer"))
-    return a.join(b, "kmer").groupBy(item_id, host_id).agg(F.count(F.lit(1)).alias("n_shared"))
+#: Rows of one side that a key may hold before it is dealt out.
+HEAVY_KEY = 5000
+
+
+def _window_minima(seq: str, k: int, m: int) -> np.ndarray:
+    """Places of the smallest ``m``-letter hash in each stretch of ``k`` letters, leftmost on
+    ties: two sequences that share the stretch share its place."""
+    data = np.frombuffer(seq.encode(), np.uint8).astype(np.uint64)
+    n = len(data) - m + 1
+    h = np.zeros(n, np.uint64)
+    for j in range(m):
+        h = h * np.uint64(0x100000001B3) + data[j : j + n]
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    width = k - m + 1
+    if width == 1:
+        return np.arange(n)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(axis=1) + np.arange(n - width + 1))
+
+
+def minimizers(df: DataFrame, *, id_col: str, seq_col: str, k: int, m: int) -> DataFrame:
+    """``id, mer, pos``: the chosen ``m``-letter words of each sequence of ASCII letters, about two
+    of ``k - m + 2`` (J19)."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("seq")).where(F.length("seq") >= k)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, seq in zip(batch["id"], batch["seq"], strict=True):
+                at = _window_minima(seq, k, m)
+                yield pd.DataFrame({"id": [i] * len(at), "mer": [seq[p : p + m] for p in at], "pos": at})
+
+    return rows.mapInPandas(run, T.StructType([rows.schema["id"], T.StructField("mer", T.StringType()), T.StructField("pos", T.LongType())]))
+
+
+def dealt_join(a: DataFrame, b: DataFrame, key: str, most: int = HEAVY_KEY) -> DataFrame:
+    """Inner join on ``key`` in which no join key holds more than about ``most`` rows of a
+    side: keys that do are dealt into parts of both sides by a count, and every two
+    parts of a key meet once."""
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(key, F.ceil(F.col("_n") / most).cast("int").alias(name))
+
+    heavy = cut(parts(a, "_pa").join(parts(b, "_pb"), key, "full").na.fill(1, ["_pa", "_pb"]))
+    if heavy.isEmpty():
+        return a.join(b, key)
+    one, other = (F.coalesce(c, F.lit(1)) for c in ("_pa", "_pb"))
+    deal = lambda df, n: F.pmod(F.xxhash64(*df.columns), n).cast("int")
+    left = a.join(heavy, key, "left").withColumn("_a", deal(a, one)).withColumn("_b", F.explode(F.sequence(F.lit(0), other - 1)))
+    right = b.join(heavy, key, "left").withColumn("_b", deal(b, other)).withColumn("_a", F.explode(F.sequence(F.lit(0), one - 1)))
+    return left.drop("_pa", "_pb").join(right.drop("_pa", "_pb"), [key, "_a", "_b"]).drop("_a", "_b")
+
+
+def _shared_stretches(a: str, b: str, diagonals: np.ndarray, k: int) -> int:
+    """Different stretches of ``k`` letters that lie on the diagonals of both sequences."""
+    x, y, found = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8), set()
+    for d in np.unique(diagonals).tolist():  # place in b minus place in a
+        lo, hi = max(0, -d), min(len(x), len(y) - d)
+        same = np.concatenate([[0], np.cumsum(x[lo:hi] == y[lo + d : hi + d])])
+        for p in np.flatnonzero(same[k:] - same[:-k] == k).tolist():
+            found.add(a[lo + p : lo + p + k])
+    return len(found)
+
+
+def shared_kmer_hosts(items: DataFrame, hosts: DataFrame, *, k: int, item_id: str, host_id: str, seq_col: str = "seq", m: int | None = None, most: int = HEAVY_KEY) -> DataFrame:
+    """Hosts that share a verbatim stretch of ``k`` letters with an item, and how many
+    different ones (J19). Sequences meet in their minimizers of ``m`` letters, a few of
+    each stretch's words instead of every stretch itself; a word of more than ``most``
+    sequences is dealt out. On the diagonals where two sequences meet all stretches are
+    counted, so the result is that of a join on stretches. Ids are unique."""
+    m = m or max(1, min(k, 16, k // 2 + 1))
+    a = minimizers(items, id_col=item_id, seq_col=seq_col, k=k, m=m).select(F.col("id").alias("_i"), "mer", F.col("pos").alias("_p"))
+    b = minimizers(hosts, id_col=host_id, seq_col=seq_col, k=k, m=m).select(F.col("id").alias("_h"), "mer", F.col("pos").alias("_q"))
+    met = dealt_join(a, b, "mer", most).groupBy("_i", "_h").agg(F.collect_set(F.col("_q") - F.col("_p")).alias("diagonals"))
+    both = met.join(items.select(F.col(item_id).alias("_i"), F.col(seq_col).alias("_a")), "_i").join(hosts.select(F.col(host_id).alias("_h"), F.col(seq_col).alias("_b")), "_h")
+
+    @F.pandas_udf("long")
+    def count(x: pd.Series, y: pd.Series, diagonals: pd.Series) -> pd.Series:
+        return pd.Series([_shared_stretches(*row, k) for row in zip(x, y, diagonals, strict=True)], dtype="int64")
+
+    found = both.select(F.col("_i").alias(item_id), F.col("_h").alias(host_id), count("_a", "_b", "diagonals").alias("n_shared"))
+    return found.where("n_shared > 0")
 
 
 #: Places around its predicted one at which a segment is tried, nearest first.
@@ -45,10 +124,16 @@ def localise(contigs: DataFrame, segments: DataFrame, *, k: int, contig_id: str,
     segments, which may lie up to five letters beside their place with at most
     ``max_mismatch`` of their letters different, each. Starts rank by mismatches, then
     by whether all offsets and letters are exact; ``start0, end0`` reach from the first
-    to the last segment found, on the contig's forward strand. A tie between
-    different places is ``ambiguous``."""
-    s = segments.select(leader_id, F.col(seq_col).alias("q"), F.col("offset").cast("long").alias("offset")).where(F.length("q") >= k)
-    span = s.groupBy(leader_id).agg(F.max(F.col("offset") + F.length("q")).alias("_t"), F.count(F.lit(1)).alias("_n"))
+    to the last segment found, on the contig's forward strand, and beyond them over
+    segments of fewer than ``k`` letters as far as their offsets say; places that would
+    leave the contig are none. A tie between different places is ``ambiguous``."""
+    every = segments.select(leader_id, F.col(seq_col).alias("q"), F.col("offset").cast("long").alias("offset"))
+    s = every.where(F.length("q") >= k)
+    # Letters before the first and behind the last segment that is looked for.
+    ends = every.groupBy(leader_id).agg(F.min("offset").alias("_first"), F.max(F.col("offset") + F.length("q")).alias("_last"))
+    span = s.groupBy(leader_id).agg(F.max(F.col("offset") + F.length("q")).alias("_t"), F.min("offset").alias("_o"), F.count(F.lit(1)).alias("_n"))
+    flanks = span.join(ends, leader_id).select(leader_id, (F.col("_o") - F.col("_first")).alias("_before"), (F.col("_last") - F.col("_t")).alias("_behind"))
+    span = span.drop("_o")
     both = F.array(F.struct(F.lit(1).alias("strand"), F.col("q").alias("q"), F.col("offset").alias("offset")), F.struct(F.lit(-1).alias("strand"), S.reverse_complement("q").alias("q"), (F.col("_t") - F.col("offset") - F.length("q")).alias("offset")))
     placed = s.join(span, leader_id).select(leader_id, "_n", F.explode(both).alias("s")).select(leader_id, "_n", "s.*")
     seeds = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.length("q") - k, F.lit(max(1, k // 2))))).select(leader_id, "strand", "offset", "o", F.substr("q", F.col("o") + 1, F.lit(k)).alias("kmer"))
@@ -66,8 +151,10 @@ def localise(contigs: DataFrame, segments: DataFrame, *, k: int, contig_id: str,
 
     held = tried.withColumn("hit", F.coalesce(*(at(d) for d in SHIFTS)))
     whole = held.groupBy(leader_id, contig_id, "strand", "start0", "_n").agg(
-        F.count("hit").alias("_k"), F.min("hit.pos").alias("lo"), F.max(F.col("hit.pos") + n).alias("hi"), F.sum("hit.wrong").alias("mismatches"), F.bool_and((F.col("hit.wrong") == 0) & (F.col("hit.shift") == 0)).alias("exact"),
+        F.max(F.length("c")).alias("_width"), F.count("hit").alias("_k"), F.min("hit.pos").alias("lo"), F.max(F.col("hit.pos") + n).alias("hi"), F.sum("hit.wrong").alias("mismatches"), F.bool_and((F.col("hit.wrong") == 0) & (F.col("hit.shift") == 0)).alias("exact"),
     ).where(F.col("_k") == F.col("_n"))
+    left, right = (F.when(F.col("strand") > 0, x).otherwise(y) for x, y in ((F.col("_before"), F.col("_behind")), (F.col("_behind"), F.col("_before"))))
+    whole = whole.join(flanks, leader_id).withColumn("lo", F.col("lo") - left).withColumn("hi", F.col("hi") + right).where((F.col("lo") >= 0) & (F.col("hi") <= F.col("_width")))
     places = whole.groupBy(leader_id, contig_id, "strand", F.col("lo").alias("start0"), F.col("hi").alias("end0")).agg(F.min(F.struct("mismatches", (~F.col("exact")).alias("inexact"))).alias("quality"))
     best = places.withColumn("_b", F.min("quality").over(Window.partitionBy(leader_id))).where(F.col("quality") == F.col("_b"))
     pick = F.min(F.struct(contig_id, "strand", "start0", "end0", F.col("quality.mismatches").alias("mismatches"), (~F.col("quality.inexact")).alias("exact"))).alias("b")

@@ -108,6 +108,28 @@ def w10(spark, d):
     return cluster_representatives(V.splits(spark, d).select("cluster_id", "genus", "record"), cluster="cluster_id", unit="genus", id_col="record")
 
 
+_UNITS = "SELECT 'phylum' AS kind, cluster_id, phylum AS unit, record FROM splits UNION ALL SELECT 'genus', cluster_id, genus, record FROM splits UNION ALL SELECT 'record', cluster_id, concat('r', record), record FROM splits"
+
+
+@query("w10_matched_representatives", V.with_views("splits", f"SELECT kind, count(DISTINCT cluster_id) AS n_clusters, count(DISTINCT unit) AS n_units, least(count(DISTINCT unit), count(DISTINCT cluster_id)) AS n_covered, count(DISTINCT cluster_id) AS n_sound FROM ({_UNITS}) GROUP BY kind"))
+def w10_matched(spark, d):
+    """Units that representatives of whole clusters can cover, by kind of unit: regions and
+    nations all find a cluster of their own, records only one in each cluster; a
+    representative is sound if it is the smallest id its cluster has of its unit."""
+    from strandloom.operators.matching import matched_representatives, maximum_matching, unit_coverage
+
+    s = V.splits(spark, d)
+    out = None
+    for kind, unit in (("phylum", F.col("phylum")), ("genus", F.col("genus")), ("record", F.concat(F.lit("r"), F.col("record").cast("string")))):
+        rows = s.select("cluster_id", unit.alias("unit"), "record")
+        coverage = unit_coverage(rows, maximum_matching(rows, "unit", "cluster_id"), cluster="cluster_id", unit="unit").agg(F.count(F.lit(1)).alias("n_units"), F.count_if("covered").alias("n_covered"))
+        smallest = rows.groupBy("cluster_id", "unit").agg(F.min("record").alias("record"))
+        sound = matched_representatives(rows, cluster="cluster_id", unit="unit", id_col="record").join(smallest, ["cluster_id", "unit", "record"]).agg(F.count(F.lit(1)).alias("n_sound"))
+        row = rows.agg(F.count_distinct("cluster_id").alias("n_clusters")).join(coverage, F.lit(True)).join(sound, F.lit(True)).withColumn("kind", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("w12_round_decision", "WITH r AS (SELECT user_id % 7 AS run, user_id AS round, count(*) FILTER (WHERE event_type = 'click') * 1000 // count(*) AS recall FROM events GROUP BY user_id) SELECT run, round, recall, max(recall) OVER (PARTITION BY run ORDER BY round) AS best, max(recall) OVER (PARTITION BY run ORDER BY round) - recall >= 60 AS halt FROM r")
 def w12(spark, d):
     """Best recall so far and whether a round falls too far below it."""

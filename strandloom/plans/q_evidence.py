@@ -325,6 +325,37 @@ def j18(spark, d):
     return nearest_across(codes.where("id % 4 = 0"), codes.where("id % 4 <> 0"), id_col="id", codes="codes", coverage=0.7).withColumn("identity", F.round("identity", 9))
 
 
+_EDITED = "SELECT id, codes FROM codes UNION ALL SELECT id + 1000000, list_transform(range(64), lambda i: CASE WHEN (i = id % 64 OR i = (id * 7) % 61) AND codes[i + 1] >= 0 THEN (codes[i + 1] + 1) % 4 ELSE codes[i + 1] END) FROM codes WHERE id % 3 = 0"
+
+
+def _edited(spark, d):
+    """The codes, and every third vector again with two codes changed."""
+    c = V.codes(spark, d).select("id", "codes")
+    changed = F.expr("transform(codes, (c, i) -> IF((i = id % 64 OR i = (id * 7) % 61) AND c >= 0, (c + 1) % 4, c))")
+    return c.unionByName(c.where("id % 3 = 0").select((F.col("id") + 1000000).alias("id"), changed.alias("codes")))
+
+
+@query("j17_banded_clusters", V.with_views("codes", f"WITH RECURSIVE c AS ({_EDITED}), pr AS ({_PAIR.replace('FROM codes a, codes b', 'FROM c a, c b')} WHERE a.id <> b.id), e AS (SELECT x, y FROM pr WHERE known >= 0.8 * 64 AND same >= 0.95 * known), w AS (SELECT id AS x, id AS y FROM c UNION SELECT w.x, e.y FROM w JOIN e ON e.x = w.y) SELECT x AS id, min(y) AS cluster FROM w GROUP BY x"))
+def j17_banded(spark, d):
+    """Links at a high identity, which meet in bands, then single linkage."""
+    from strandloom.operators.cluster import connected_components
+    from strandloom.operators.similarity import similarity_links
+
+    links = similarity_links(_edited(spark, d), id_col="id", codes="codes", identity=0.95, coverage=0.8)
+    return connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+
+
+@query("j18_nearest_banded", V.with_views("codes", f"WITH c AS ({_EDITED}), pr AS ({_PAIR.replace('FROM codes a, codes b', 'FROM c a, c b')} WHERE a.id >= 1000000 AND b.id < 1000000 AND b.id % 4 <> 0) SELECT x AS id, round(coalesce(max(same::DOUBLE / known) FILTER (WHERE known >= 0.8 * 64), -1), 9) AS identity FROM pr GROUP BY x"))
+def j18_banded(spark, d):
+    """Changed vectors against three in four of the others; those whose own is absent
+    fall back to all of them."""
+    from strandloom.operators.similarity import nearest_across
+
+    c = _edited(spark, d)
+    found = nearest_across(c.where("id >= 1000000"), c.where("id < 1000000 AND id % 4 <> 0"), id_col="id", codes="codes", coverage=0.8, floor=0.95)
+    return found.withColumn("identity", F.round("identity", 9))
+
+
 @query("c01_cut_sweep", V.with_views("splits", "WITH RECURSIVE e AS (SELECT a.record AS x, b.record AS y, (a.record + b.record) % 100 AS w FROM splits a JOIN splits b ON a.cluster_id = b.cluster_id AND a.record <> b.record), c AS (SELECT unnest([30, 60, 90]) AS cut), r AS (SELECT cut, record AS x, record AS y FROM splits, c UNION SELECT r.cut, r.x, e.y FROM r JOIN e ON e.x = r.y AND e.w >= r.cut), m AS (SELECT cut, x, min(y) AS component FROM r GROUP BY cut, x) SELECT cut, x AS record, component, dense_rank() OVER (PARTITION BY cut ORDER BY component) - 1 AS label FROM m"))
 def c01(spark, d):
     """Single linkage at three cuts, with labels from 0 by first appearance in each."""
