@@ -451,6 +451,37 @@ def r02(spark, d):
     return best_so_far(spark, scratch_of(spark, r), "run long, round long, recall long", drop=50)
 
 
+_PROBES = "SELECT user_id % 10 AS run, user_id // 10 AS round, count(*) FILTER (WHERE event_type IN ('click', 'view', 'signup')) AS hits, count(*) AS probes FROM events GROUP BY ALL"
+_OUTCOMES = f"""WITH p AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY round) AS round, hits, probes FROM ({_PROBES})),
+g AS (SELECT *, CASE WHEN probes >= 60 THEN hits::DOUBLE / probes END AS recall FROM p),
+b AS (SELECT *, max(recall) OVER w AS best_prior, max(CASE WHEN recall IS NOT NULL THEN {{'r': recall, 'at': -round}} END) OVER w AS top FROM g WINDOW w AS (PARTITION BY run ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, coalesce(bool_or(best_prior - recall >= 0.08 - 1e-9) OVER (PARTITION BY run ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS halted FROM b)
+SELECT run, round, hits, probes, best_prior, -top.at AS best_round, CASE WHEN halted THEN 'after_halt' WHEN probes < 60 THEN 'inadmissible' WHEN best_prior - recall >= 0.08 - 1e-9 THEN 'halt_rollback' ELSE 'continue' END AS decision FROM h"""
+
+
+def _probes(spark, d):
+    """Rounds of ten runs: users in order, their events as probes."""
+    e = table(spark, d, "events").groupBy(F.expr("user_id % 10").alias("run"), F.expr("user_id div 10").alias("_at"))
+    r = e.agg(F.count_if(F.col("event_type").isin("click", "view", "signup")).alias("hits"), F.count(F.lit(1)).alias("probes"))
+    return r.select("run", F.row_number().over(Window.partitionBy("run").orderBy("_at")).cast("long").alias("round"), "hits", "probes")
+
+
+@query("w12_probe_rounds", _OUTCOMES)
+def w12_probes(spark, d):
+    """Continue, halt and roll back, or inadmissible below the least number of probes."""
+    from strandloom.streaming.monitor import round_outcomes
+
+    return round_outcomes(_probes(spark, d), drop=0.08, minimum=60)
+
+
+@query("r02_probe_monitor", _OUTCOMES)
+def r02_monitor(spark, d):
+    """The same decisions as a stream whose files hold rounds in no order."""
+    from strandloom.streaming.monitor import watch_rounds
+
+    return watch_rounds(spark, scratch_of(spark, _probes(spark, d).repartition(3, F.xxhash64("run", "round"))), drop=0.08, minimum=60)
+
+
 _DEB = "b AS (SELECT count(*) AS n, avg(p) AS conf, avg(y) AS acc, sum(p * (1 - p)) AS v FROM (SELECT *, s1 / 1000.0::DOUBLE AS p, ntile(15) OVER (ORDER BY s1, id) AS bin FROM scored) GROUP BY bin)"
 
 

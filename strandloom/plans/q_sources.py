@@ -54,12 +54,12 @@ def s06(spark, d):
     return parse_dump(lines, ["taxid", "parent", "rank"])
 
 
-_GFF_SQL = "SELECT concat('ACC', l_suppkey) AS seqid, l_orderkey % 50 AS k, l_partkey AS lo, l_partkey + 30 AS hi, l_linenumber AS ln, l_orderkey AS ok FROM lineitem"
+_GFF_SQL = "SELECT concat('ACC', l_suppkey) AS seqid, l_orderkey % 50 AS k, l_partkey + 1 AS lo, l_partkey + 31 AS hi, l_linenumber AS ln, l_orderkey AS ok FROM lineitem"
 
 
 def _gff(spark, d):
     """One file's content per sequence: a header, CDS rows, a sequence tail."""
-    rows = table(spark, d, "lineitem").selectExpr("concat('ACC', l_suppkey) AS seqid", "struct(l_orderkey, l_linenumber, l_partkey, concat_ws('\t', concat('ACC', l_suppkey), 'src', 'CDS', l_partkey, l_partkey + 30, '.', '+', '0', concat('ID=cds', l_orderkey % 50, ';product=a%3Bb,c;product=100%25 id ', l_linenumber, ';Note=x=y+z;empty=')) AS line) AS r")
+    rows = table(spark, d, "lineitem").selectExpr("concat('ACC', l_suppkey) AS seqid", "struct(l_orderkey, l_linenumber, l_partkey, concat_ws('\t', concat('ACC', l_suppkey), 'src', 'CDS', l_partkey + 1, l_partkey + 31, '.', '+', '0', concat('ID=cds', l_orderkey % 50, ';product=a%3Bb,c;product=100%25 id ', l_linenumber, ';Note=x=y+z;empty=')) AS line) AS r")
     g = rows.groupBy("seqid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("b"))
     return g.select(F.col("seqid").alias("file"), F.concat(F.lit("##gff-version 3\n"), "b", F.lit("\n##FASTA\n>x\nACGT\n")).alias("content"))
 
@@ -81,6 +81,17 @@ def s08(spark, d):
     return g.select("seqid", "cds_id", "lo", "hi", F.size("segments").cast("long").alias("n_segments"), F.array_join(F.col("attributes")["product"], "|").alias("products"))
 
 
+@query("s07_gff3_files", f"SELECT seqid, count(*) AS n, CAST(sum(lo) AS BIGINT) AS lo, CAST(sum(hi) AS BIGINT) AS hi, string_agg(ln, ',' ORDER BY ok, ln, lo) AS in_order FROM ({_GFF_SQL}) GROUP BY seqid")
+def s07_files(spark, d):
+    """A file per sequence, written as text and read back as lines."""
+    path = scratch_path(spark, "gff")
+    _gff(spark, d).select("file", "content").write.partitionBy("file").text(path)
+    f = R.read_gff3(spark, path)
+    said = F.regexp_extract(F.element_at(F.col("attributes")["product"], -1), r"(\d+)$", 1)
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", said.alias("s")))), lambda x: x["s"]), ",")
+    return f.groupBy("seqid").agg(_n().alias("n"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), every.alias("in_order"))
+
+
 @query("s09_tblout", V.with_views("loci", "SELECT locus_id AS target, least(lo1, hi1) AS lo, greatest(lo1, hi1) AS hi, CASE WHEN lo1 > hi1 THEN -1 ELSE 1 END AS strand, (lo1 % 100)::DOUBLE AS score FROM loci WHERE flag <> 'N'"))
 def s09(spark, d):
     lines = V.loci(spark, d).selectExpr("if(flag = 'N', concat('# ', locus_id), concat_ws('  ', locus_id, '-', 'q', 'RF1', 'cm', '1', '100', lo1, hi1, if(lo1 > hi1, '-', '+'), 'no', '1', '0.5', '0.0', lo1 % 100, '1e-5', '!', '-')) AS value")

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.session import cut
+
+#: Rows of splits or files that are broadcast at most, and of a report.
+MAX_BROADCAST, MAX_REPORT = 100_000, 100_000
 
 def read_corpus_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """RFC-4180 CSV with embedded newlines, all cells as strings; a leading
@@ -21,8 +25,10 @@ def read_corpus_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """``name, description, seq, file``: one row per record, upper case (S02). A record
-    starts with ``>`` at the start of a line; ``>`` within a header stays."""
+    starts with ``>`` at the start of a line; ``>`` within a header stays. Files are
+    split at any byte and records stay whole, so one of any size is read by many tasks."""
     rec = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"), F.col("_metadata.file_name").alias("file")).where("trim(value) <> ''")
+    rec = rec.withColumn("value", F.regexp_replace("value", "\r(?=\n|$)", ""))
     header = F.split_part("value", F.lit("\n"), F.lit(1))
     body = F.regexp_replace(F.expr("substr(value, length(split_part(value, '\n', 1)) + 1)"), r"\s", "")
     return rec.select(F.split_part(header, F.lit(" "), F.lit(1)).alias("name"), F.expr("substr(split_part(value, '\n', 1), length(split_part(split_part(value, '\n', 1), ' ', 1)) + 2)").alias("description"), F.upper(body).alias("seq"), "file")
@@ -44,7 +50,11 @@ def write_checked(df: DataFrame, path: str, valid: Column) -> str:
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    """A small table as JSON lines in one file, fields that are null included."""
+    """A small table as JSON lines in one file, fields that are null included (S18); more
+    than ``MAX_REPORT`` rows are an error."""
+    n = df.limit(MAX_REPORT + 1).count()
+    if n > MAX_REPORT:
+        raise ValueError(f"a report holds at most {MAX_REPORT} rows")
     df.coalesce(1).write.option("ignoreNullFields", "false").mode("errorifexists").json(path)
 
 
@@ -59,15 +69,79 @@ def parse_species_reps(df: DataFrame, accession: str, lineage: str) -> DataFrame
     return df.select(F.regexp_replace(accession, "^(RS|GB)_", "").alias("accession"), m["d"].alias("domain"), m["s"].alias("species"))
 
 
-def parse_gff3(files: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
-    """Features of whole GFF3 files (S07): the body ends at ``##FASTA`` or at a
-    bare ``>``; comment lines go; a line without nine columns is an error;
-    attributes are as ``gff3_attributes`` reads them."""
-    body = F.split(F.col(content), r"(?m)^(##FASTA|>)", 2)[0]
-    lines = files.select(F.col(file).alias("file"), F.posexplode(F.split(body, "\n")).alias("line_no", "line")).where("line <> '' AND NOT startswith(line, '#')")
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, line`` of text files, of any size, split wherever Spark does: numbers
+    ascend along each file from 0 and are not dense, as they count from each split's
+    first byte. A line ends at ``\\n``, ``\\r`` or both."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
+    # A split's lines stand one after another in one task; one row a split.
+    splits = cut(rows.groupBy("file", "_start").agg(F.min("_i").alias("_first")))
+    splits = F.broadcast(splits) if splits.count() <= MAX_BROADCAST else splits.hint("merge")
+    return rows.join(splits, ["file", "_start"]).select("file", (F.col("_start") + F.col("_i") - F.col("_first")).alias("line_no"), "line")
+
+
+def _checked(line: Column, tests: list[tuple[Column, str]]) -> Column:
+    """True where all hold, else an error with the first one's message and the line."""
+    out = F.lit(True)
+    for ok, message in reversed(tests):
+        out = F.when(F.coalesce(ok, F.lit(False)), out).otherwise(F.raise_error(F.concat(F.lit(f"{message}: "), line)).cast("boolean"))
+    return out
+
+
+def gff3_features(lines: DataFrame, inside: Column | None = None) -> DataFrame:
+    """Features of lines ``file, line_no, line`` of GFF3 (S07), those ``inside`` the body if
+    that is given; the rest is not looked at. Blank and comment lines go. A line is refused unless it has nine columns, whole coordinates from 1 on
+    with start before end, a strand of ``+ - . ?``, a score that is a number or ``.``, and
+    a phase of 0 to 2, which only features other than CDS may leave open. ``seqid`` and
+    ``source`` are decoded, attributes as ``gff3_attributes`` reads them; a strand that is
+    not known is 0."""
+    text = lines.withColumn("line", F.regexp_replace("line", "\r$", ""))
+    inside = (F.lit(True) if inside is None else inside) & (F.trim("line") != "") & ~F.startswith("line", F.lit("#"))
     c = F.split("line", "\t")
-    checked = lines.where(F.when(F.size(c) == 9, True).otherwise(F.raise_error(F.concat(F.lit("not nine columns: "), F.col("line"))).cast("boolean")))
-    return checked.select("file", "line_no", c[0].alias("seqid"), c[2].alias("type"), c[3].cast("long").alias("lo"), c[4].cast("long").alias("hi"), F.when(c[6] == "-", -1).when(c[6] == "+", 1).otherwise(0).alias("strand"), gff3_attributes(c[8]).alias("attributes"))
+    at = lambda i: F.trim(F.get(c, F.lit(i)))
+    place = lambda i: at(i).rlike(r"^0*[1-9][0-9]{0,17}$")
+    sound = _checked(F.col("line"), [
+        (F.size(c) == 9, "not nine columns"),
+        (place(3) & place(4), "coordinates are whole numbers from 1"),
+        (at(3).try_cast("long") <= at(4).try_cast("long"), "start after end"),
+        (F.get(c, F.lit(6)).isin("+", "-", ".", "?"), "unknown strand"),
+        ((at(5) == ".") | at(5).try_cast("double").isNotNull(), "score is neither . nor a number"),
+        (at(7).isin(".", "0", "1", "2"), "phase is neither . nor 0, 1, 2"),
+        ((F.get(c, F.lit(2)) != "CDS") | (at(7) != "."), "a CDS needs a phase"),
+    ])
+    strand = F.when(c[6] == "-", -1).when(c[6] == "+", 1).otherwise(0)
+    # One expression, so that no line is checked before it is known to be inside.
+    return text.where(F.when(inside, sound).otherwise(False)).select(
+        "file", "line_no", percent_decoded(c[0]).alias("seqid"), percent_decoded(c[1]).alias("source"), c[2].alias("type"), F.trim(c[3]).cast("long").alias("lo"), F.trim(c[4]).cast("long").alias("hi"),
+        at(5).try_cast("double").alias("score"), strand.alias("strand"), at(7).try_cast("int").alias("phase"), gff3_attributes(c[8]).alias("attributes"),
+    )
+
+
+def _declared(line: Column) -> Column:
+    """Whether a line is the directive that GFF3 files begin with."""
+    return line.rlike(r"^\s*##gff-version\s+3(\.\S*)?\s*$")
+
+
+def parse_gff3(files: DataFrame, file: str = "file", content: str = "content", *, strict: bool = False) -> DataFrame:
+    """Features of whole GFF3 files held in cells (S07), as ``gff3_features`` checks them:
+    the body ends at ``##FASTA`` or at a bare ``>``; if ``strict``, the first line declares
+    version 3."""
+    text = F.col(content)
+    if strict:
+        text = F.when(_declared(F.split(text, "\r\n|\n|\r", 2)[0]), text).otherwise(F.raise_error(F.concat(F.lit("no ##gff-version 3 in the first line of "), F.col(file))).cast("string"))
+    body = F.split(text, r"(?m)^(##FASTA|>)", 2)[0]
+    return gff3_features(files.select(F.col(file).alias("file"), F.posexplode(F.split(body, "\r\n|\n|\r")).alias("line_no", "line")))
+
+
+def read_gff3(spark: SparkSession, path: str) -> DataFrame:
+    """Features of GFF3 files of any size (S07), read as lines by as many tasks as Spark
+    splits them into; each must begin with ``##gff-version 3``. ``line_no`` ascends along a
+    file but is not dense. A file without any line can't be seen and has no features."""
+    lines = numbered_lines(spark, path)
+    ends = cut(lines.where(F.startswith("line", F.lit("##FASTA")) | F.startswith("line", F.lit(">"))).groupBy("file").agg(F.min("line_no").alias("_end")))
+    beside = F.broadcast(ends) if ends.count() <= MAX_BROADCAST else ends.hint("merge")
+    declared = F.when((F.col("line_no") > 0) | _declared(F.col("line")), True).otherwise(F.raise_error(F.concat(F.lit("no ##gff-version 3 in the first line of "), F.col("file"))).cast("boolean"))
+    return gff3_features(lines.join(beside, "file", "left"), declared & (F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))))
 
 
 def _require(ok: Column, message: str, text: Column) -> Column:
@@ -149,17 +223,26 @@ def parse_helixcov(files: DataFrame, file: str = "file", content: str = "content
     return g.withColumn("ok", (F.col("declared") == F.col("parsed")) & F.col("_fit")).drop("_fit")
 
 
+def _stockholm(lines: DataFrame) -> DataFrame:
+    kept = lines.where("line <> '' AND line <> '//' AND (NOT startswith(line, '#') OR startswith(line, '#=GC SS_cons'))")
+    name = F.when(F.startswith("line", F.lit("#=GC")), "#=GC SS_cons").otherwise(F.regexp_extract("line", r"^(\S+)", 1))
+    chunk = F.regexp_extract("line", r"(\S+)\s*$", 1)
+    joined = kept.select("file", name.alias("row_name"), "p", chunk.alias("c")).groupBy("file", "row_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]), "").alias("aligned"))
+    widths = joined.groupBy("file").agg((F.min(F.length("aligned")) == F.max(F.length("aligned"))).alias("_same"))
+    return joined.join(widths, "file").where(F.when(F.col("_same"), True).otherwise(F.raise_error(F.concat(F.lit("rows of different width in "), F.col("file").cast("string"))).cast("boolean"))).drop("_same")
+
+
 def parse_stockholm(files: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
     """``file, row_name, aligned``: interleaved blocks joined per row, the
     consensus structure under ``#=GC SS_cons`` (S11). Rows of one file that differ in
     width are an error."""
-    lines = files.select(F.col(file).alias("file"), F.posexplode(F.split(content, "\n")).alias("p", "line")).where("line <> '' AND line <> '//' AND (NOT startswith(line, '#') OR startswith(line, '#=GC SS_cons'))")
-    name = F.when(F.startswith("line", F.lit("#=GC")), "#=GC SS_cons").otherwise(F.regexp_extract("line", r"^(\S+)", 1))
-    chunk = F.regexp_extract("line", r"(\S+)\s*$", 1)
-    joined = lines.select("file", name.alias("row_name"), "p", chunk.alias("c")).groupBy("file", "row_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]), "").alias("aligned"))
-    w = Window.partitionBy("file")
-    same = F.min(F.length("aligned")).over(w) == F.max(F.length("aligned")).over(w)
-    return joined.withColumn("_same", same).where(F.when(F.col("_same"), True).otherwise(F.raise_error(F.concat(F.lit("rows of different width in "), F.col("file").cast("string"))).cast("boolean"))).drop("_same")
+    return _stockholm(files.select(F.col(file).alias("file"), F.posexplode(F.split(content, "\r\n|\n|\r")).alias("p", "line")))
+
+
+def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_stockholm`` of files of any size, read as lines by as many tasks as Spark
+    splits them into; only the pieces of one row meet in one place (S11)."""
+    return _stockholm(numbered_lines(spark, path).select("file", F.col("line_no").alias("p"), "line"))
 
 
 def alignment_depth(rows: DataFrame) -> DataFrame:
