@@ -7,12 +7,14 @@ so the running sums are over distinct scores.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.calling import runs
-from strandloom.operators.statistics import rank_in_group, running_sums
+from strandloom.operators.statistics import global_rank, rank_in_group, running_sums
+from strandloom.session import cut
 
 
 def exact_run_detection(df: DataFrame, *, length: int, contig: str = "contig") -> DataFrame:
@@ -107,24 +109,53 @@ def ece(table: DataFrame, by: list[str] | None = None, gap: str = "gap") -> Data
     return table.groupBy(*(by or [])).agg((F.sum(F.col("n") * F.col(gap)) / F.sum("n")).alias("ece"))
 
 
-def kernel_calibration(df: DataFrame, *, p: str, label: str, bandwidths: list[float], levels: int = 1000, by: list[str] | None = None) -> DataFrame:
-    """Leave-one-out Beta-kernel estimates per bandwidth: mean gap and log
-    likelihood (M05). Scores are rounded to ``levels`` steps first, so at most
-    ``levels + 1`` rows of a group meet each other, whatever the input's size."""
-    by = by or []
-    g = df.groupBy(*by, (F.round(F.col(p) * levels) / levels).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k"))
-    a = g.select(*by, "p", "n", "k", F.explode(F.array(*[F.lit(h) for h in bandwidths])).alias("h"), F.lit(1).alias("_one"))
-    b = g.select(*by, F.col("p").alias("q"), F.col("n").alias("m"), F.col("k").alias("j"), F.lit(1).alias("_one"))
-    # log Beta density of p under shapes (q / h + 1, (1 - q) / h + 1), up to its constant in q.
-    x = F.greatest(F.least("p", F.lit(1 - 1e-6)), F.lit(1e-6))
-    kern = F.exp((F.col("q") / F.col("h")) * F.log(x) + ((1 - F.col("q")) / F.col("h")) * F.log(1 - x) - (F.col("p") / F.col("h")) * F.log(x) - ((1 - F.col("p")) / F.col("h")) * F.log(1 - x))
-    pairs = a.join(b, ["_one", *by]).select(*by, "h", "p", "n", "k", (kern * F.col("m")).alias("w"), (kern * F.col("j")).alias("wk"))
+#: Distinct scores of a tile, and how far below the largest weight a tile is left out: its
+#: scores add less than ``exp(-TAIL)`` of it each, some 10^-13 for a billion of them.
+TILE, TAIL = 1000, 50.0
+
+
+def kernel_calibration(df: DataFrame, *, p: str, label: str, bandwidths: list[float], levels: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Leave-one-out Beta-kernel estimates per bandwidth: mean gap and log likelihood
+    (M05). A score ``q`` weighs on another ``p`` as the Beta density of shapes
+    ``p / h + 1, (1 - p) / h + 1`` at ``q``, relative to the largest such weight.
+
+    Equal scores are one row. They meet tile by tile of ``TILE`` neighbours, and only
+    where a tile's nearest end can still weigh; all that is left out adds less than
+    ``exp(-TAIL)`` a score. With ``levels`` scores are rounded to so many steps first,
+    which is an approximation. Work grows with the square of the distinct scores within
+    reach. Groups ``by`` are many or few; a group is numbered in one task, the whole
+    table by range partitions. A score without any other has no estimate."""
+    by, eps = by or [], 1e-12
+    score = F.col(p) if levels is None else F.round(F.col(p) * levels) / levels
+    g = df.groupBy(*by, score.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k")).where("p IS NOT NULL")
+    inside = lambda c: F.greatest(F.least(c, F.lit(1 - eps)), F.lit(eps))
+    apart = lambda x, y: x * (F.log(inside(x)) - F.log(inside(y))) + (1 - x) * (F.log(1 - inside(x)) - F.log(1 - inside(y)))
+    if by:
+        order = Window.partitionBy(*by).orderBy("p")
+        g = g.select("*", F.row_number().over(order).alias("r"), F.lag("p").over(order).alias("_lo"), F.lead("p").over(order).alias("_hi"))
+    else:
+        ranked = global_rank(g, [F.col("p")], "r")
+        beside = lambda d, name: ranked.select((F.col("r") + d).alias("r"), F.col("p").alias(name))
+        g = ranked.join(beside(1, "_lo"), "r", "left").join(beside(-1, "_hi"), "r", "left")
+    # How far the nearest score that counts is: an equal one, or a neighbour.
+    near = F.when(F.col("n") > 1, 0.0).otherwise(F.least(apart(F.col("p"), F.col("_lo")), apart(F.col("p"), F.col("_hi"))))
+    g = cut(g.select(*by, "p", "n", "k", F.floor((F.col("r") - 1) / TILE).alias("tile"), near.alias("near")))
+    ends = g.groupBy(*by, "tile").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("near").alias("near")).withColumn("_one", F.lit(1))
+    other = ends.select("_one", *by, F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    gap = F.when(F.col("tile") == F.col("tile2"), 0.0).when(F.col("tile") < F.col("tile2"), apart(F.col("hi"), F.col("lo2"))).otherwise(apart(F.col("lo"), F.col("hi2")))
+    h = F.explode(F.array(*(F.lit(float(x)) for x in bandwidths))).alias("h")
+    # One row of ends a tile; ``_one`` joins the tiles of a table without groups.
+    reach = ends.join(other, ["_one", *by]).select(*by, "tile", "tile2", gap.alias("gap"), "near", h).where(F.col("gap") <= F.col("near") + TAIL * F.col("h")).select(*by, "tile", "tile2", "h")
+    a = g.join(reach, [*by, "tile"]).drop("tile")
+    b = g.select(*by, F.col("tile").alias("tile2"), F.col("p").alias("q"), F.col("n").alias("m"), F.col("k").alias("j"))
+    kern = F.exp((F.col("near") - apart(F.col("p"), F.col("q"))) / F.col("h"))
+    pairs = a.join(b, [*by, "tile2"]).where((F.col("n") > 1) | (F.col("p") != F.col("q"))).select(*by, "h", "p", "n", "k", (kern * F.col("m")).alias("w"), (kern * F.col("j")).alias("wk"))
     est = pairs.groupBy(*by, "h", "p", "n", "k").agg(F.sum("w").alias("w"), F.sum("wk").alias("wk"))
-    one = lambda y: F.try_divide(F.col("wk") - y, F.col("w") - 1)
-    clip = lambda c: F.greatest(F.least(c, F.lit(1 - 1e-9)), F.lit(1e-9))
-    ll = F.col("k") * F.log(clip(one(1))) + (F.col("n") - F.col("k")) * F.log(1 - clip(one(0)))
-    gap = F.col("k") * F.abs(one(1) - F.col("p")) + (F.col("n") - F.col("k")) * F.abs(one(0) - F.col("p"))
-    return est.groupBy(*by, "h").agg((F.sum(gap) / F.sum("n")).alias("ece"), F.sum(ll).alias("log_likelihood"))
+    own = F.when(F.col("n") > 1, 1.0).otherwise(0.0)
+    one = lambda y: F.try_divide(F.col("wk") - y * own, F.col("w") - own)
+    ll = F.col("k") * F.log(inside(one(1))) + (F.col("n") - F.col("k")) * F.log(1 - inside(one(0)))
+    off = F.col("k") * F.abs(one(1) - F.col("p")) + (F.col("n") - F.col("k")) * F.abs(one(0) - F.col("p"))
+    return est.groupBy(*by, "h").agg((F.sum(off) / F.sum("n")).alias("ece"), F.sum(ll).alias("log_likelihood"))
 
 
 def choose_bandwidth(table: DataFrame) -> DataFrame:
@@ -216,14 +247,32 @@ def fit_temperature(df: DataFrame, *, logit: str, label: str, lo: float = 0.05,
 
 def block_bootstrap_weights(blocks: DataFrame, *, block: str, replicates: int, seed: str) -> DataFrame:
     """``rep, block, weight``: whole blocks drawn with replacement by hashes.
-    Blocks are numbered by name; draws and numbers meet in an equi-join."""
-    n = blocks.select(block).distinct().withColumn("_i", F.row_number().over(Window.orderBy(block)) - 1)
+    Blocks are numbered by name, over range partitions; draws and numbers meet in an
+    equi-join. Every replicate draws as many blocks as there are; for very many blocks
+    ``poisson_weights`` need no number at all."""
+    n = global_rank(blocks.select(block).distinct(), [F.col(block)], "_rank").select(block, (F.col("_rank") - 1).alias("_i"))
     size = n.agg(F.count(F.lit(1)).alias("_k"))
     draws = size.select("_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).repartition("rep").withColumn("_d", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int"))))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("_d").cast("string"))), 1, 8), 16, 10).cast("bigint") % F.col("_k")
     return draws.select("rep", pick.alias("_i")).join(n, "_i").groupBy("rep", block).agg(F.count(F.lit(1)).alias("weight"))
 
 
+#: Shares of draws of at most 0, 1, ... times when the mean is one (rounded Poisson sums);
+#: twelve times or more has a chance of one in 10^9 and counts as twelve.
+_POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+def poisson_weights(blocks: DataFrame, *, block: str, replicates: int, seed: str) -> DataFrame:
+    """``rep, block, weight`` as ``block_bootstrap_weights``, but each block is drawn for
+    itself, a Poisson number of times by a hash of seed, replicate and block (M07): no
+    numbering, no exchange, and the same draws however the rows lie. Sizes of replicates
+    vary as one in the root of the number of blocks, which ratios do not feel."""
+    rows = blocks.select(block).distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col(block).cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    weight = reduce(lambda a, b: a + b, [F.when(u >= c, 1).otherwise(0) for c in _POISSON])
+    return rows.select("rep", block, weight.cast("long").alias("weight")).where("weight > 0")
+
+
 def bootstrap_ratio(sums: DataFrame, weights: DataFrame, *, block: str, numerator: str, denominator: str, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of a ratio of block sums (M07); null below two blocks."""
     per = weights.join(sums, block).groupBy("rep").agg(F.try_divide(F.sum(F.col("weight") * F.col(numerator)), F.sum(F.col("weight") * F.col(denominator))).alias("v"))

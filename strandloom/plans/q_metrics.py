@@ -260,11 +260,11 @@ def m04(spark, d):
     return M.ece(M.reliability(s, p="p", label="y", id_col="id", bins=10, by=["prior"]), ["prior"]).select("prior", F.round("ece", 7).alias("ece"))
 
 
-_KERN = "exp(q / h * ln(x) + (1 - q) / h * ln(1 - x) - p / h * ln(x) - (1 - p) / h * ln(1 - x))"
+_KERN = "CASE WHEN n = 1 AND p = q THEN 0 ELSE exp(p / h * (ln(z) - ln(x)) + (1 - p) / h * (ln(1 - z) - ln(1 - x))) END"
 
 
-@query("m05_kernel_calibration", V.with_views("scored", f"""WITH g AS (SELECT s1 // 20 / 50.0::DOUBLE AS p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM scored GROUP BY 1), pr AS (SELECT h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-6), 1e-6) AS x FROM g a, g b, (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) v(h)),
-e AS (SELECT h, p, n, k, sum({_KERN} * m) AS w, sum({_KERN} * j) AS wk FROM pr GROUP BY h, p, n, k), o AS (SELECT *, (wk - 1) / nullif(w - 1, 0) AS e1, wk / nullif(w - 1, 0) AS e0 FROM e)
+@query("m05_kernel_calibration", V.with_views("scored", f"""WITH g AS (SELECT s1 // 20 / 50.0::DOUBLE AS p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM scored GROUP BY 1), pr AS (SELECT h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-12), 1e-12) AS x, greatest(least(b.p, 1 - 1e-12), 1e-12) AS z FROM g a, g b, (VALUES (0.05::DOUBLE), (0.1::DOUBLE)) v(h)),
+e AS (SELECT h, p, n, k, sum({_KERN} * m) AS w, sum({_KERN} * j) AS wk FROM pr GROUP BY h, p, n, k), o AS (SELECT *, (wk - (n > 1)::INT) / nullif(w - (n > 1)::INT, 0) AS e1, wk / nullif(w - (n > 1)::INT, 0) AS e0 FROM e)
 SELECT h, round(sum(coalesce(k * abs(e1 - p) + (n - k) * abs(e0 - p), NULL)) / sum(n), 6) AS ece FROM o GROUP BY h"""))
 def m05(spark, d):
     """Leave-one-out kernel estimate, over scores compressed to 50 levels."""
@@ -272,6 +272,15 @@ def m05(spark, d):
     return M.kernel_calibration(s, p="p", label="y", bandwidths=[0.05, 0.1]).select("h", F.round("ece", 6).alias("ece"))
 
 
+@query("m05_exact_kernel", V.with_views("scored", f"""WITH g AS (SELECT s1 / 1000.0::DOUBLE AS p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM scored GROUP BY 1), pr AS (SELECT h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-12), 1e-12) AS x, greatest(least(b.p, 1 - 1e-12), 1e-12) AS z FROM g a, g b, (VALUES (0.01::DOUBLE), (0.05::DOUBLE)) v(h)),
+e AS (SELECT h, p, n, k, sum({_KERN} * m) AS w, sum({_KERN} * j) AS wk FROM pr GROUP BY h, p, n, k), o AS (SELECT *, (wk - (n > 1)::INT) / nullif(w - (n > 1)::INT, 0) AS e1, wk / nullif(w - (n > 1)::INT, 0) AS e0 FROM e)
+SELECT h, round(sum(k * abs(e1 - p) + (n - k) * abs(e0 - p)) / sum(n), 8) AS ece FROM o GROUP BY h"""))
+def m05_exact(spark, d):
+    """Leave-one-out kernel estimate over all distinct scores, none rounded."""
+    s = V.scored(spark, d).selectExpr("s1 / 1000D AS p", "y")
+    return M.kernel_calibration(s, p="p", label="y", bandwidths=[0.01, 0.05]).select("h", F.round("ece", 8).alias("ece"))
+
+
 @query("m06_temperature", V.with_views("scored", "WITH RECURSIVE z AS (SELECT (s1 - 600) / 100.0::DOUBLE AS z, y, count(*) AS n FROM scored GROUP BY ALL), it AS (SELECT 0 AS k, 0.05::DOUBLE AS lo, 20.0::DOUBLE AS hi UNION ALL SELECT k + 1, CASE WHEN g < 0 THEN m ELSE lo END, CASE WHEN g < 0 THEN hi ELSE m END FROM (SELECT k, lo, hi, (lo + hi) / 2 AS m, (SELECT sum(n * (1 / (1 + exp(-(lo + hi) / 2 * z)) - y) * z) FROM z) AS g FROM it WHERE k < 60)) SELECT round((lo + hi) / 2, 5) AS inverse_temperature FROM it WHERE k = 60"))
 def m06(spark, d):
     """The inverse temperature at which the likelihood's derivative is zero."""
@@ -326,8 +335,8 @@ def m08d(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-_UNIT = """WITH r AS (SELECT {u} AS unit, y, s1 // 20 / 50.0::DOUBLE AS p FROM scored), t AS (SELECT unit, count(*) AS n, avg((p - y) * (p - y)) AS brier FROM r GROUP BY unit), g AS (SELECT unit, p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM r GROUP BY unit, p), pr AS (SELECT a.unit, 0.1::DOUBLE AS h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-6), 1e-6) AS x FROM g a JOIN g b USING (unit)),
-e AS (SELECT unit, p, n, k, sum({kern} * m) AS w, sum({kern} * j) AS wk FROM pr GROUP BY unit, p, n, k), o AS (SELECT *, (wk - 1) / nullif(w - 1, 0) AS e1, wk / nullif(w - 1, 0) AS e0 FROM e), c AS (SELECT unit, sum(k * abs(e1 - p) + (n - k) * abs(e0 - p)) / sum(n) AS ece FROM o GROUP BY unit)
+_UNIT = """WITH r AS (SELECT {u} AS unit, y, s1 // 20 / 50.0::DOUBLE AS p FROM scored), t AS (SELECT unit, count(*) AS n, avg((p - y) * (p - y)) AS brier FROM r GROUP BY unit), g AS (SELECT unit, p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM r GROUP BY unit, p), pr AS (SELECT a.unit, 0.1::DOUBLE AS h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-12), 1e-12) AS x, greatest(least(b.p, 1 - 1e-12), 1e-12) AS z FROM g a JOIN g b USING (unit)),
+e AS (SELECT unit, p, n, k, sum({kern} * m) AS w, sum({kern} * j) AS wk FROM pr GROUP BY unit, p, n, k), o AS (SELECT *, (wk - (n > 1)::INT) / nullif(w - (n > 1)::INT, 0) AS e1, wk / nullif(w - (n > 1)::INT, 0) AS e0 FROM e), c AS (SELECT unit, sum(k * abs(e1 - p) + (n - k) * abs(e0 - p)) / sum(n) AS ece FROM o GROUP BY unit)
 SELECT unit, n, n >= {m} AS admissible, round(CASE WHEN n >= {m} THEN brier END, 9) AS brier, round(CASE WHEN n >= {m} THEN ece END, 6) AS ece FROM t LEFT JOIN c USING (unit)"""
 
 
@@ -377,6 +386,31 @@ def m12(spark, d):
     return out[0].unionByName(out[1]).select("label", "n_pos", "n_neg", (F.col("auroc") > 0.75).alias("separable"))
 
 
+@query("m12_grouped_probe", "SELECT 'by group' AS split, 'FAIL' AS verdict UNION ALL SELECT 'by row', 'PASS'")
+def m12_grouped(spark, d):
+    """A coin per group of near copies of an embedding: with copies on both sides a probe
+    of pairs of dimensions learns it, with whole groups held out it is at chance. The
+    verdict is the one of the interval over groups, counted as FAIL unless it passes."""
+    from strandloom.operators import probe as P
+
+    e = table(spark, d, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("own"), "embedding")
+    copies = e.select("own", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).withColumn("id", F.col("own") * 10 + F.col("j"))
+    shaken = F.expr("transform(embedding, (x, i) -> cast(x + ((id * 31 + i * 17) % 11 - 5) * 1e-4 AS double))")
+    # Products of neighbouring dimensions give the probe room to learn single groups.
+    rows = copies.select("id", "own", shaken.alias("embedding"))
+    groups = P.similarity_groups(rows, id_col="id", embedding="embedding")
+    wide = F.expr("concat(embedding, transform(sequence(0, 62), i -> 8 * embedding[i] * embedding[i + 1]), transform(sequence(0, 61), i -> 8 * embedding[i] * embedding[i + 2]))")
+    rows = rows.join(groups, "id").select("id", "group", wide.alias("embedding"), (F.conv(F.substring(F.md5(F.concat(F.lit("g:"), F.col("group").cast("string"))), 1, 8), 16, 10).cast("long") % 2).cast("int").alias("y"))
+    out = None
+    for split, test in (("by row", F.col("id") % 10 >= 6), ("by group", None)):
+        held = P.grouped_split(rows, group="group", share=0.3, seed="m12g") if test is None else rows.withColumn("test", test)
+        scores = P.probe_scores(held).join(rows.select("id", "group"), "id")
+        verdict = P.probe_verdict(M.auroc_interval(scores, score="score", label="y", block="group", replicates=50, seed="m12g"))
+        one = verdict.select(F.lit(split).alias("split"), F.when(F.col("verdict") == "PASS", "PASS").otherwise("FAIL").alias("verdict"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("c02_match_columns", V.with_views("contigs", "WITH r AS (SELECT contig_id % 40 AS aln, contig_id, translate(rpad(seq, max(length(seq)) OVER (PARTITION BY contig_id % 40)::INT, 'A'), 'ACGT', 'ACGU') AS s FROM contigs), x AS (SELECT aln, contig_id, unnest(range(1, length(s) + 1)) AS i, s FROM r), y AS (SELECT aln, contig_id, i, CASE WHEN i % 5 = 0 AND contig_id % 3 = 0 THEN '.' ELSE substr(s, i, 1) END AS ch FROM x), k AS (SELECT aln, i FROM y GROUP BY aln, i HAVING NOT bool_or(ch = '.')) SELECT contig_id, string_agg(CASE ch WHEN 'A' THEN '0' WHEN 'C' THEN '1' WHEN 'G' THEN '2' ELSE '3' END, '' ORDER BY i) AS codes FROM y JOIN k USING (aln, i) GROUP BY contig_id"))
 def c02(spark, d):
     """Codes of the columns that no row of an alignment has as an insert."""
@@ -497,8 +531,8 @@ def m05b(spark, d):
     return M.brier_decomposition(r).select("n", *[F.round(c, 9).alias(c) for c in ("reliability", "resolution", "uncertainty")])
 
 
-@query("m05_bandwidth", V.with_views("scored", f"""WITH g AS (SELECT s1 // 20 / 50.0::DOUBLE AS p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM scored GROUP BY 1), pr AS (SELECT h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-6), 1e-6) AS x FROM g a, g b, (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.3::DOUBLE)) v(h)),
-e AS (SELECT h, p, n, k, sum({_KERN} * m) AS w, sum({_KERN} * j) AS wk FROM pr GROUP BY h, p, n, k), o AS (SELECT *, greatest(least((wk - 1) / nullif(w - 1, 0), 1 - 1e-9), 1e-9) AS e1, greatest(least(wk / nullif(w - 1, 0), 1 - 1e-9), 1e-9) AS e0 FROM e), l AS (SELECT h, sum(k * ln(e1) + (n - k) * ln(1 - e0)) AS ll FROM o GROUP BY h)
+@query("m05_bandwidth", V.with_views("scored", f"""WITH g AS (SELECT s1 // 20 / 50.0::DOUBLE AS p, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM scored GROUP BY 1), pr AS (SELECT h, a.p, a.n, a.k, b.p AS q, b.n AS m, b.k AS j, greatest(least(a.p, 1 - 1e-12), 1e-12) AS x, greatest(least(b.p, 1 - 1e-12), 1e-12) AS z FROM g a, g b, (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.3::DOUBLE)) v(h)),
+e AS (SELECT h, p, n, k, sum({_KERN} * m) AS w, sum({_KERN} * j) AS wk FROM pr GROUP BY h, p, n, k), o AS (SELECT *, greatest(least((wk - (n > 1)::INT) / nullif(w - (n > 1)::INT, 0), 1 - 1e-12), 1e-12) AS e1, greatest(least(wk / nullif(w - (n > 1)::INT, 0), 1 - 1e-12), 1e-12) AS e0 FROM e), l AS (SELECT h, sum(k * ln(e1) + (n - k) * ln(1 - e0)) AS ll FROM o GROUP BY h)
 SELECT h FROM l ORDER BY ll DESC, h LIMIT 1"""))
 def m05c(spark, d):
     """The bandwidth of the largest leave-one-out likelihood."""
