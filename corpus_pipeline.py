@@ -48,11 +48,15 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe_codec.digests(bpe_codec.decode(bpe_codec.encode(docs, ranks_path=path), ranks_path=path))
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def staged(stage):
-    """The stage with its session's Arrow batches bounded."""
+    """The stage with its session's Arrow batches bounded: they must be while its result
+    is written, so ``run`` sets them back in the end."""
 
     def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
         return stage(spark, docs, sf_dir)
 
     return bounded
@@ -72,9 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH_SETTING)
+    try:
+        for name, stage in STAGES:
+            path = scratch_path(spark, f"pipeline-{name}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     return docs

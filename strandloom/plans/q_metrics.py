@@ -10,7 +10,7 @@ from strandloom.operators import metrics as M
 from strandloom.operators import statistics as S
 from strandloom.plans import views as V
 from strandloom.plans.registry import query
-from strandloom.session import table
+from strandloom.session import cut, table
 
 def _n():
     return F.count(F.lit(1))
@@ -401,7 +401,7 @@ def m12_grouped(spark, d):
     groups = P.similarity_groups(rows, id_col="id", embedding="embedding")
     wide = F.expr("concat(embedding, transform(sequence(0, 62), i -> 8 * embedding[i] * embedding[i + 1]), transform(sequence(0, 61), i -> 8 * embedding[i] * embedding[i + 2]))")
     rows = rows.join(groups, "id").select("id", "group", wide.alias("embedding"), (F.conv(F.substring(F.md5(F.concat(F.lit("g:"), F.col("group").cast("string"))), 1, 8), 16, 10).cast("long") % 2).cast("int").alias("y"))
-    out = None
+    rows, out = cut(rows), None
     for split, test in (("by row", F.col("id") % 10 >= 6), ("by group", None)):
         held = P.grouped_split(rows, group="group", share=0.3, seed="m12g") if test is None else rows.withColumn("test", test)
         scores = P.probe_scores(held).join(rows.select("id", "group"), "id")
