@@ -445,6 +445,37 @@ def c06(spark, d):
     return H.expected_strata(V.clades(spark, d), stratum="genus", draws=[5, 20, 50]).withColumn("expected", F.round("expected", 6))
 
 
+_LEN = "SELECT CASE WHEN flag = 'R' THEN 'control' ELSE 'candidate' END AS arm, abs(hi1 - lo1) + 1 AS length FROM loci WHERE flag IN ('R', 'A') AND NOT (flag = 'R' AND (abs(hi1 - lo1) + 1) % 5 = 0)"
+
+
+@query("c06_span_matchedness", V.with_views("loci", f"WITH t AS ({_LEN}), s AS (SELECT arm, count(*) AS n, min(length) AS lo, quantile_cont(length, 0.25) AS p25, quantile_cont(length, 0.5) AS median, quantile_cont(length, 0.75) AS p75, max(length) AS hi FROM t GROUP BY arm), c AS (SELECT length, count(*) FILTER (WHERE arm = 'control') AS a, count(*) FILTER (WHERE arm = 'candidate') AS b FROM t GROUP BY length), k AS (SELECT max(abs(ca / ta - cb / tb)) AS ks FROM (SELECT sum(a) OVER (ORDER BY length)::DOUBLE AS ca, sum(b) OVER (ORDER BY length)::DOUBLE AS cb, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM c)) SELECT x.n AS control_n, x.median AS control_median, y.n AS candidate_n, y.median AS candidate_median, y.p25 AS candidate_p25, y.p75 AS candidate_p75, (SELECT count(*) FROM t WHERE arm = 'control' AND length BETWEEN y.lo AND y.hi) AS n_inside, round(ks, 9) AS ks, round(x.median / y.median, 9) AS median_ratio FROM (SELECT * FROM s WHERE arm = 'control') x, (SELECT * FROM s WHERE arm = 'candidate') y, k"))
+def c06_spans(spark, d):
+    """Lengths of known loci, every fifth length missing, against those of candidates."""
+    from strandloom.operators.sizing import span_matchedness
+
+    n = V.loci(spark, d).withColumn("length", F.abs(F.col("hi1") - F.col("lo1")) + 1)
+    r = span_matchedness(n.where("flag = 'R' AND length % 5 <> 0"), n.where("flag = 'A'"), length="length")
+    return r.select("control_n", "control_median", "candidate_n", "candidate_median", "candidate_p25", "candidate_p75", "n_inside", F.round("ks", 9).alias("ks"), F.round("median_ratio", 9).alias("median_ratio"))
+
+
+@query("c06_substrate_overlap", "WITH g AS (SELECT s_nationkey AS taxon, concat('A', s_suppkey) AS assembly FROM supplier WHERE s_suppkey % 3 = 0 AND s_nationkey % 4 <> 0), r AS (SELECT c_nationkey AS taxon FROM customer), c AS (SELECT DISTINCT concat('A', l_suppkey) AS assembly FROM lineitem) SELECT (SELECT count(*) FROM r) AS n_records, (SELECT count(DISTINCT assembly) FROM g) AS n_genomes, (SELECT count(DISTINCT taxon) FROM g) AS n_searched_taxa, (SELECT count(*) FROM r WHERE taxon IN (SELECT taxon FROM g)) AS n_routable, (SELECT count(DISTINCT taxon) FROM r WHERE taxon IN (SELECT taxon FROM g)) AS n_taxa_searched, (SELECT count(*) FROM c) AS n_candidate_assemblies, (SELECT count(*) FROM c WHERE assembly IN (SELECT assembly FROM g)) AS n_self_hits")
+def c06_overlap(spark, d):
+    """Customers' nations against those of a third of the suppliers; line items' suppliers
+    against the same."""
+    from strandloom.operators.sizing import substrate_overlap
+
+    g = table(spark, d, "supplier").where("s_suppkey % 3 = 0 AND s_nationkey % 4 <> 0").selectExpr("s_nationkey AS taxon", "concat('A', s_suppkey) AS assembly")
+    r = substrate_overlap(table(spark, d, "customer").selectExpr("c_nationkey AS taxon"), table(spark, d, "lineitem").selectExpr("concat('A', l_suppkey) AS assembly"), g, taxon="taxon", assembly="assembly")
+    return r.select("n_records", "n_genomes", "n_searched_taxa", "n_routable", "n_taxa_searched", "n_candidate_assemblies", "n_self_hits")
+
+
+@query("c06_draw_feasibility", V.with_views("splits", "WITH p AS (SELECT genus, count(DISTINCT cluster_id) AS n FROM splits GROUP BY genus), t AS (SELECT count(*) AS s, (SELECT count(DISTINCT cluster_id) FROM splits) AS c FROM p) SELECT k, k // s AS quota, s AS strata, (SELECT count(*) FROM p WHERE n >= greatest(1, k // s)) AS strata_with_quota, c AS clusters, k <= c AS one_per_cluster FROM t, (VALUES (10), (200), (1000)) v(k)"))
+def c06_draw(spark, d):
+    from strandloom.operators.sizing import draw_feasibility
+
+    return draw_feasibility(V.splits(spark, d), stratum="genus", cluster="cluster_id", draws=[10, 200, 1000])
+
+
 @query("c07_control_comparison", V.with_views("scored", "SELECT t AS setting, block, count(*) FILTER (WHERE y = 1) AS controls, count(*) FILTER (WHERE y = 1 AND s1 < t) AS control_failed, count(*) FILTER (WHERE y = 0) AS candidates, count(*) FILTER (WHERE y = 0 AND s1 < t) AS candidate_failed, coalesce(count(*) FILTER (WHERE y = 1 AND s1 < t)::DOUBLE / nullif(count(*) FILTER (WHERE y = 1), 0) > count(*) FILTER (WHERE y = 0 AND s1 < t)::DOUBLE / nullif(count(*) FILTER (WHERE y = 0), 0), false) AS anti_selective FROM scored, (VALUES (300), (600)) v(t) GROUP BY ALL"))
 def c07(spark, d):
     """Failures of controls and candidates per stratum and setting; a setting
