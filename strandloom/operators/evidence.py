@@ -114,6 +114,13 @@ def classify_products(text: Column, rules: list[tuple[str, str]], otherwise: str
     return F.when(text.isNull() | (F.trim(text) == ""), otherwise).otherwise(out)
 
 
+def synteny_status(found: DataFrame, *, rules: list[tuple[str, str]], wanted: list[str], within: int, product: str = "product", distance: str = "distance") -> DataFrame:
+    """Adds ``status`` (E27): true if the gene found is of a ``wanted`` class and at most
+    ``within`` away, false if it is not, null (unavailable) without a gene."""
+    ok = classify_products(F.col(product), rules).isin(*wanted) & (F.col(distance) <= within)
+    return found.withColumn("status", F.when(F.col(product).isNotNull(), ok))
+
+
 def covariation_status(pairs: DataFrame, *, key: str, helix: str, covarying: Column, minimum: int, depth: DataFrame, floor: int) -> DataFrame:
     """Covarying pairs in the best helix and summed; the verdict needs the
     minimum within one helix and is null below the depth floor (A22)."""

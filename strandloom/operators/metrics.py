@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.functions.posterior import sigmoid
 from strandloom.operators.calling import runs
 from strandloom.operators.statistics import global_rank, rank_in_group, running_sums
 from strandloom.session import cut
@@ -109,6 +110,13 @@ def ece(table: DataFrame, by: list[str] | None = None, gap: str = "gap") -> Data
     return table.groupBy(*(by or [])).agg((F.sum(F.col("n") * F.col(gap)) / F.sum("n")).alias("ece"))
 
 
+def prior_band(df: DataFrame, *, logit: str, label: str, id_col: str, priors: list[float], bins: int = 15) -> DataFrame:
+    """``prior, ece`` of scores whose log-odds are shifted to each prior of a band."""
+    rows = df.withColumn("prior", F.explode(F.array(*(F.lit(float(x)) for x in priors))))
+    rows = rows.withColumn("p", sigmoid(F.col(logit) + F.log(F.col("prior") / (1 - F.col("prior")))))
+    return ece(reliability(rows, p="p", label=label, id_col=id_col, bins=bins, by=["prior"]), ["prior"])
+
+
 #: Distinct scores of a tile, and how far below the largest weight a tile is left out: its
 #: scores add less than ``exp(-TAIL)`` of it each, some 10^-13 for a billion of them.
 TILE, TAIL = 1000, 50.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.operators import admission as A
 from strandloom.operators import cohorts as H
 from strandloom.operators import evidence as E
 from strandloom.operators import taxonomy as X
@@ -44,19 +45,13 @@ def c09(spark, d):
     manifest, tables = _evidence(spark, d)
     two = {c: tables[c] for c in ("covariation", "synteny")}
     r = E.spare_rule(E.assemble_evidence(manifest, two, "id"), {c: c for c in two})
-    return r.select(F.explode(F.split("reason", ";")).alias("cause")).where("cause <> ''").groupBy("cause").agg(_n().alias("n"))
+    return A.spared_causes(r)
 
 
 @query("c09_threshold_sensitivity", V.with_views("scored", "WITH o AS (SELECT t AS threshold, s2 >= t AS spared, sha256(concat(id, CASE WHEN s2 >= t THEN ':spared' ELSE ':mined' END)) AS h FROM scored, (VALUES (300), (600), (900)) v(t)), g AS (" + V.digest_sql("SELECT threshold, h FROM o", "threshold") + ") SELECT threshold, spared, mined, digest AS fingerprint FROM g JOIN (SELECT threshold, count(*) FILTER (WHERE spared) AS spared, count(*) FILTER (WHERE NOT spared) AS mined FROM o GROUP BY threshold) USING (threshold)"))
 def c09b(spark, d):
     """Outcome counts and their fingerprint at each threshold."""
-    from strandloom.operators.selection import table_digest
-
-    s = V.scored(spark, d).select("id", "s2", F.explode(F.array(*[F.lit(t) for t in (300, 600, 900)])).alias("threshold"))
-    spared = F.col("s2") >= F.col("threshold")
-    o = s.select("threshold", spared.alias("spared"), F.sha2(F.concat(F.col("id").cast("string"), F.when(spared, ":spared").otherwise(":mined")), 256).alias("h"))
-    counts = o.groupBy("threshold").agg(F.count_if("spared").alias("spared"), F.count_if(~F.col("spared")).alias("mined"))
-    return counts.join(table_digest(o, by=["threshold"]), "threshold").select("threshold", "spared", "mined", F.col("digest").alias("fingerprint"))
+    return A.threshold_sensitivity(V.scored(spark, d), id_col="id", score="s2", thresholds=[300, 600, 900])
 
 
 @query("j11_idle_tables", V.with_views("scored", f"WITH {_EV} SELECT evidence, n_decided, n_decided = 0 AS idle FROM (SELECT 'covariation' AS evidence, count(covariation) AS n_decided FROM ev UNION ALL SELECT 'synteny', count(synteny) FROM ev UNION ALL SELECT 'foreign', 0)"))
@@ -110,8 +105,7 @@ def e27(spark, d):
     """Passed if the nearest downstream gene is of a wanted class and close; no gene is unavailable."""
     c = V.candidates(spark, d).select("locus_id", "acc", "strand", "lo", "hi").distinct()
     g = E.downstream_gene(c, V.genes(spark, d), id_col="locus_id", window=500, overlap=10)
-    ok = E.classify_products(F.col("product"), _RULES).isin("regulator", "enzyme") & (F.col("distance") <= 300)
-    return g.select("locus_id", F.when(F.col("product").isNotNull(), ok).alias("status"))
+    return E.synteny_status(g, rules=_RULES, wanted=["regulator", "enzyme"], within=300).select("locus_id", "status")
 
 
 @query("a22_covariation", "WITH p AS (SELECT user_id AS aln, event_id % 5 AS helix, event_type = 'click' AS cov FROM events), h AS (SELECT aln, helix, count(*) FILTER (WHERE cov) AS c FROM p GROUP BY ALL), a AS (SELECT aln, max(c) AS best_helix, CAST(sum(c) AS BIGINT) AS summed FROM h GROUP BY aln), dp AS (SELECT user_id AS aln, count(*) AS depth FROM events GROUP BY user_id) SELECT aln, depth, best_helix, summed, CASE WHEN depth >= 60 THEN best_helix >= 5 END AS status FROM dp JOIN a USING (aln)")
@@ -142,8 +136,7 @@ def a27(spark, d):
     """False-pass rate of each control arm over decided rows."""
     _, tables = _evidence(spark, d)
     j = tables["synteny"].join(V.scored(spark, d).select("id", F.col("y").alias("arm")), "id")
-    out = j.groupBy("arm").agg(_n().alias("n"), F.count("synteny").alias("decided"), F.count_if("synteny").alias("passed"))
-    return out.withColumn("rate", F.round(F.try_divide("passed", "decided"), 6))
+    return A.false_pass_rates(j, arm="arm", verdict="synteny").withColumn("rate", F.round("rate", 6))
 
 
 @query("a27_exclusions", "SELECT reason, lang, count(*) AS n FROM (SELECT lang, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars > 9000 THEN 'long' ELSE 'kept' END AS reason FROM documents) GROUP BY GROUPING SETS ((reason), (reason, lang))")
@@ -247,10 +240,12 @@ def j05(spark, d):
 def j06(spark, d):
     """Positives with their labels and decoys with their parents, with a refusal census."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    pos = docs.join(table(spark, d, "labels"), "doc_id", "left").select(F.lit("positive").alias("pool"), C.first_reason([("no_label", F.expr("quality IS NULL")), ("short", F.expr("n_chars < 100"))], "kept").alias("refusal"))
-    parents = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("p"))
-    dec = table(spark, d, "benchmark").select("item_id").join(parents, "item_id", "left").select(F.lit("decoy").alias("pool"), C.first_reason([("no_parent", F.expr("p IS NULL"))], "kept").alias("refusal"))
-    return pos.unionByName(dec).groupBy("pool", "refusal").agg(_n().alias("n"))
+    pos = docs.join(table(spark, d, "labels"), "doc_id", "left").select(F.col("doc_id").alias("row_id"), "n_chars", "quality", F.lit(None).cast("boolean").alias("parent"))
+    parents = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("parent"))
+    dec = table(spark, d, "benchmark").select("item_id").join(parents, "item_id", "left").selectExpr("item_id AS row_id", "cast(NULL AS bigint) AS n_chars", "cast(NULL AS int) AS quality", "parent")
+    return A.assemble_pools({
+        "positive": (pos, [("no_label", F.expr("quality IS NULL")), ("short", F.expr("n_chars < 100"))]), "decoy": (dec, [("no_parent", F.expr("parent IS NULL"))]),
+    })[1]
 
 
 @query("j07_parent_folds", V.with_views("splits", "SELECT fold, count(*) AS n FROM (SELECT o_orderkey, s.fold FROM orders LEFT JOIN splits s ON s.record = o_custkey AND o_custkey % 4 <> 0) GROUP BY fold"))

@@ -253,11 +253,8 @@ def m03b(spark, d):
 @query("m04_prior_band", V.with_views("scored", "WITH p AS (SELECT pr, id, y, 1 / (1 + exp(-((s1 - 500) / 150.0::DOUBLE + ln(pr / (1 - pr))))) AS p FROM scored, (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (0.5::DOUBLE)) v(pr)), b AS (SELECT pr, bin, count(*) AS n, avg(p) AS conf, avg(y) AS acc FROM (SELECT *, ntile(10) OVER (PARTITION BY pr ORDER BY p, id) AS bin FROM p) GROUP BY ALL) SELECT pr AS prior, round(sum(n * abs(conf - acc)) / sum(n), 7) AS ece FROM b GROUP BY pr"))
 def m04(spark, d):
     """Calibration error over a band of priors."""
-    from strandloom.functions.posterior import sigmoid
-
-    s = V.scored(spark, d).withColumn("prior", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.3, 0.5)])))
-    s = s.withColumn("p", sigmoid((F.col("s1") - 500) / F.lit(150.0) + F.log(F.col("prior") / (1 - F.col("prior")))))
-    return M.ece(M.reliability(s, p="p", label="y", id_col="id", bins=10, by=["prior"]), ["prior"]).select("prior", F.round("ece", 7).alias("ece"))
+    s = V.scored(spark, d).withColumn("logit", (F.col("s1") - 500) / F.lit(150.0))
+    return M.prior_band(s, logit="logit", label="y", id_col="id", priors=[0.1, 0.3, 0.5], bins=10).withColumn("ece", F.round("ece", 7))
 
 
 _KERN = "CASE WHEN n = 1 AND p = q THEN 0 ELSE exp(p / h * (ln(z) - ln(x)) + (1 - p) / h * (ln(1 - z) - ln(1 - x))) END"

@@ -68,8 +68,10 @@ def e12b(spark, d):
 @query("a25_window_census", V.with_views("contigs", f"SELECT lang, count(DISTINCT contig_id) AS genomes, count(*) AS windows FROM ({_TILE}) t JOIN documents ON doc_id = contig_id GROUP BY lang"))
 def a25(spark, d):
     """Windows per host group, by genome and by window."""
-    n = V.contigs(spark, d).select(F.col("contig_id").alias("doc_id"), S.n_windows(F.length("seq"), 128, 64).alias("w"))
-    return n.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(_n().alias("genomes"), F.sum("w").alias("windows"))
+    from strandloom.operators.admission import window_census
+
+    genomes = V.contigs(spark, d).withColumnRenamed("contig_id", "doc_id").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return window_census(genomes, seq_col="seq", by=["lang"], window=128, stride=64)
 
 
 @query("e06_token_ids", V.with_views("contigs", "SELECT contig_id, list_transform(regexp_split_to_array(seq, ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 ELSE 9 END) AS ids, length(seq) + 2 <= 1024 AS fits FROM contigs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandloom.operators import admission as A
 from strandloom.operators import cohorts as H
 from strandloom.functions import loci as L
 from strandloom.operators import validation as C
@@ -63,7 +64,7 @@ def f10b(spark, d):
 def f11(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source", "n_chars", "lang").join(table(spark, d, "labels"), "doc_id", "left")
     rules = [("unlabelled", F.expr("quality IS NULL")), ("toxic", F.expr("toxic = 1")), ("short", F.expr("n_chars < 200")), ("language", F.expr("lang <> 'en'"))]
-    return rows.select("source", C.first_reason(rules, "eligible").alias("refusal")).groupBy("source", "refusal").agg(_n().alias("n"))
+    return A.refusal_census(rows, rules, kept="eligible", by=["source"])
 
 
 @query("f12_host_admission", V.with_views("splits", """WITH held AS (SELECT DISTINCT genus FROM splits WHERE heldout), hp AS (SELECT phylum FROM clades GROUP BY phylum HAVING count(*) < 250)
@@ -138,18 +139,16 @@ def f20b(spark, d):
 SELECT reason, count(*) AS n FROM (SELECT CASE WHEN h IN (SELECT h FROM dup) THEN 'duplicate_digest' WHEN quality IS NULL THEN 'no_label' WHEN toxic = 1 THEN 'refused' ELSE 'query' END AS reason FROM j) GROUP BY reason""")
 def f21(spark, d):
     j = table(spark, d, "documents").select("doc_id", F.md5("text").alias("h")).join(table(spark, d, "labels"), "doc_id", "left")
-    dup = C.duplicates(j, "h").select("h", F.lit(True).alias("dup"))
-    rules = [("duplicate_digest", F.col("dup")), ("no_label", F.expr("quality IS NULL")), ("refused", F.expr("toxic = 1"))]
-    return j.join(dup, "h", "left").select(C.first_reason(rules, "query").alias("reason")).groupBy("reason").agg(_n().alias("n"))
+    rules = [("no_label", F.expr("quality IS NULL")), ("refused", F.expr("toxic = 1"))]
+    return A.heldout_carve(j, rules, digest="h").groupBy("reason").agg(_n().alias("n"))
 
 
 @query("f22_checked_evidence", V.with_views("scored", "SELECT id, CASE WHEN s1 >= 600 THEN 'passed' ELSE 'failed' END AS status, round(s1 / 1000.0, 6)::DOUBLE AS posterior, (s1 >= 600) = (y = 1) AS agrees FROM scored"))
 def f22(spark, d):
     """Posterior in [0, 1] and not NaN, status within its words, status derived again."""
     e = V.scored(spark, d).selectExpr("id", "y", "s1 / 1000D AS posterior", "if(s1 >= 600, 'passed', 'failed') AS status")
-    ok = F.col("posterior").between(0, 1) & ~F.isnan("posterior") & F.col("status").isin("passed", "failed", "unavailable")
-    held = e.where(F.when(ok, True).otherwise(F.raise_error(F.lit("bad evidence row")).cast("boolean")))
-    return held.select("id", "status", F.round("posterior", 6).alias("posterior"), ((F.col("posterior") >= 0.6) == (F.col("y") == 1)).alias("agrees"))
+    held = A.checked_evidence(e, status="status", posterior="posterior", at_least=0.6)
+    return held.select("id", "status", F.round("posterior", 6).alias("posterior"), (F.col("derived") == (F.col("y") == 1)).alias("agrees"))
 
 
 _FR = "concat(CASE WHEN {c} IS NULL THEN 'n;' ELSE concat('{k}', length(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR), ';') END)"
