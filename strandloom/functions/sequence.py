@@ -42,10 +42,15 @@ def gc_fraction(seq: str | Column) -> Column:
     return F.try_divide(F.length(F.regexp_replace(F.upper(col(seq)), "[^GC]", "")), F.length(col(seq)))
 
 
+def windows(seq: str | Column, width: int, step: int) -> Column:
+    """Stretches of up to ``width`` letters from every ``step``-th letter, in one pass over
+    the sequence (``substr`` would count from the start for each of them)."""
+    return F.regexp_extract_all(col(seq), F.lit(f"(?s)(?=(.{{1,{width}}})).{{1,{step}}}"), F.lit(1))
+
+
 def kmers(seq: str | Column, k: int) -> Column:
-    """All windows of ``k`` letters; none if shorter."""
-    s = col(seq)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All windows of ``k`` letters, in one pass; none if shorter."""
+    return F.regexp_extract_all(col(seq), F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def encode(seq: str | Column, vocabulary: dict[str, int], unknown: int) -> Column:

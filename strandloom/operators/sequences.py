@@ -16,15 +16,39 @@ from strandloom.functions.loci import hash_draw
 from strandloom.session import cut
 
 
+#: Windows of a stretch that is tiled as one row, and letters of one whose words are.
+TILES, STRETCH = 512, 32_768
+
+
 def tile(df: DataFrame, *, id_col: str, seq_col: str, window: int, stride: int, name: str = "window_id") -> DataFrame:
-    """Windows of each sequence with their start and name."""
-    rows = df.select(id_col, F.col(seq_col).alias("_s"), F.explode(S.window_starts(F.length(seq_col), window, stride)).alias("start0"))
-    return rows.select(id_col, "start0", F.concat_ws(":", F.col(id_col).cast("string"), F.col("start0").cast("string")).alias(name), F.substr("_s", F.col("start0") + 1, F.lit(window)).alias("window_seq"))
+    """Windows of each sequence with their start and name (E12): at the stride, the last
+    anchored to the end; one for a sequence that is shorter. A null sequence has none.
+    Sequences are cut into stretches of ``TILES`` windows first, so the work is linear in
+    their length and no row holds all windows of a long one."""
+    n, over = F.length(seq_col), max(window - stride, 0)
+    last = F.when(n <= window, F.col(seq_col)).otherwise(F.substr(F.col(seq_col), n - window + 1))
+    stretches = F.transform(S.windows(seq_col, stride * TILES + over, stride * TILES), lambda s, i: F.struct(i.alias("q"), s.alias("s")))
+    cut_up = df.where(F.col(seq_col).isNotNull()).select(id_col, (n - window).alias("_end"), F.explode(F.concat(stretches, F.array(F.struct(F.lit(-1).alias("q"), last.alias("s"))))).alias("_t"))
+    own = F.when(F.col("_t.q") < 0, F.array("_t.s")).otherwise(S.windows("_t.s", window, stride))
+    rows = cut_up.select(id_col, "_end", F.col("_t.q").alias("_q"), F.posexplode(own).alias("_p", "_w"))
+    start = F.when(F.col("_q") < 0, F.greatest("_end", F.lit(0))).otherwise(F.col("_q") * (stride * TILES) + F.col("_p") * stride).cast("int")
+    rows = rows.withColumn("start0", start)
+    rows = rows.where((F.col("_q") < 0) | ((F.col("_p") < TILES) & (F.col("start0") < F.col("_end"))))
+    return rows.select(id_col, "start0", F.concat_ws(":", F.col(id_col).cast("string"), F.col("start0").cast("string")).alias(name), F.substring("_w", 1, window).alias("window_seq"))
+
+
+def kmer_rows(df: DataFrame, *, id_col: str, seq_col: str, k: int) -> DataFrame:
+    """``id, p, kmer``: every window of ``k`` letters and its place from 0. Sequences are
+    cut into overlapping stretches of ``STRETCH`` letters first, so no row holds all
+    windows of a long one."""
+    cut_up = df.select(id_col, F.posexplode(S.windows(seq_col, STRETCH + k - 1, STRETCH)).alias("_q", "_s"))
+    rows = cut_up.select(id_col, "_q", F.posexplode(S.kmers("_s", k)).alias("_p", "kmer"))
+    return rows.select(id_col, (F.col("_q") * STRETCH + F.col("_p")).alias("p"), "kmer")
 
 
 def kmer_frequencies(df: DataFrame, *, id_col: str, seq_col: str, k: int, alphabet: str = "ACGT") -> DataFrame:
     """Share of each k-mer among a sequence's valid windows."""
-    mers = df.select(id_col, F.explode(S.kmers(seq_col, k)).alias("kmer")).where(F.col("kmer").rlike(f"^[{alphabet}]+$"))
+    mers = kmer_rows(df, id_col=id_col, seq_col=seq_col, k=k).where(F.col("kmer").rlike(f"^[{alphabet}]+$"))
     n = mers.groupBy(id_col, "kmer").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("freq", F.col("n") / F.sum("n").over(Window.partitionBy(id_col)))
 
@@ -137,7 +161,7 @@ def localise(contigs: DataFrame, segments: DataFrame, *, k: int, contig_id: str,
     both = F.array(F.struct(F.lit(1).alias("strand"), F.col("q").alias("q"), F.col("offset").alias("offset")), F.struct(F.lit(-1).alias("strand"), S.reverse_complement("q").alias("q"), (F.col("_t") - F.col("offset") - F.length("q")).alias("offset")))
     placed = s.join(span, leader_id).select(leader_id, "_n", F.explode(both).alias("s")).select(leader_id, "_n", "s.*")
     seeds = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.length("q") - k, F.lit(max(1, k // 2))))).select(leader_id, "strand", "offset", "o", F.substr("q", F.col("o") + 1, F.lit(k)).alias("kmer"))
-    mers = contigs.select(contig_id, F.posexplode(S.kmers(seq_col, k)).alias("p", "kmer"))
+    mers = kmer_rows(contigs, id_col=contig_id, seq_col=seq_col, k=k)
     starts = seeds.join(mers, "kmer").select(leader_id, contig_id, "strand", (F.col("p") - F.col("o") - F.col("offset")).alias("start0")).distinct()
     tried = starts.join(placed, [leader_id, "strand"]).join(contigs.select(contig_id, F.col(seq_col).alias("c")), contig_id)
     letters = lambda x: F.split(x, "")
@@ -253,10 +277,11 @@ def embed_decoys(hosts: DataFrame, decoys: DataFrame, *, seed: str, host_id: str
 
 def ablation_pairs(df: DataFrame, *, seed: str, id_col: str) -> DataFrame:
     """Sequence without its element ``lo..hi``, and a control without a stretch
-    of the same length that avoids it, at a hash-chosen start (E16)."""
+    of the same length that avoids it, at a hash-chosen start (E16). An element that
+    is not inside its sequence, or leaves no room for a control, gives no row."""
     span = F.col("hi") - F.col("lo") + 1
     starts = F.filter(F.sequence(F.lit(1), F.length("seq") - span + 1), lambda s: (s + span - 1 < F.col("lo")) | (s > F.col("hi")))
-    rows = df.where(F.length("seq") > span).withColumn("_s", starts).where(F.size("_s") > 0)
+    rows = df.where((F.col("lo") >= 1) & (span > 0) & (F.col("hi") <= F.length("seq")) & (F.length("seq") > span)).withColumn("_s", starts).where(F.size("_s") > 0)
     pick = F.get("_s", (hash_draw(seed, F.col(id_col)) % F.size("_s")).cast("int"))
     rows = rows.withColumn("control_lo", pick)
     return rows.select(id_col, S.ablate(F.col("seq"), F.col("lo"), F.col("hi")).alias("ablated"), S.ablate(F.col("seq"), F.col("control_lo"), F.col("control_lo") + span - 1).alias("control"), F.col("control_lo").cast("int").alias("control_lo"))

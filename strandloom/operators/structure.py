@@ -21,11 +21,16 @@ def pair_table(df: DataFrame, *, id_col: str, structure: str) -> DataFrame:
 
 def project_pairs(rows: DataFrame, pairs: DataFrame, *, id_col: str, aligned: str = "aligned", gap: str = "-") -> DataFrame:
     """Pairs of alignment columns as positions of the ungapped row; a pair with a
-    gap at either end is not kept (E19)."""
-    j = pairs.join(rows.select(id_col, aligned), id_col)
-    place = lambda c: F.length(F.replace(F.substr(aligned, F.lit(1), F.col(c)), F.lit(gap), F.lit("")))
-    is_gap = lambda c: F.substr(aligned, F.col(c), F.lit(1)) == gap
-    return j.select(id_col, place("i").alias("i"), place("j").alias("j"), (~is_gap("i") & ~is_gap("j")).alias("kept"))
+    gap at either end or an end outside the row is not kept (E19). Columns are counted once
+    a row; pairs look their two ends up, so no pair carries the row. Ids are unique."""
+    letters = rows.select(id_col, F.posexplode(F.filter(F.split(aligned, ""), lambda c: c != "")).alias("_p", "_c"))
+    solid = (F.col("_c") != gap).cast("int")
+    place = F.sum(solid).over(Window.partitionBy(id_col).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    columns = letters.select(id_col, (F.col("_p") + 1).alias("_p"), place.alias("_place"), (solid == 1).alias("_solid"))
+    end = lambda c: columns.select(id_col, F.col("_p").alias(c), F.col("_place").alias(f"_{c}"), F.col("_solid").alias(f"_{c}_solid"))
+    j = pairs.select(id_col, "i", "j").join(rows.select(id_col), id_col, "left_semi").join(end("i"), [id_col, "i"], "left").join(end("j"), [id_col, "j"], "left")
+    kept = F.coalesce(F.col("_i_solid") & F.col("_j_solid"), F.lit(False))
+    return j.select(id_col, F.col("_i").alias("i"), F.col("_j").alias("j"), kept.alias("kept"))
 
 
 def helices(pairs: DataFrame, *, id_col: str, minimum: int) -> DataFrame:

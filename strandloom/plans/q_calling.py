@@ -144,7 +144,7 @@ def w13(spark, d):
     return H.first_and_majority(s, cluster="cluster_id", value="family", order="record").select("cluster_id", "first_family", F.col("majority_family").alias("majority"))
 
 
-@query("e18_pair_table", V.with_views("contigs", """WITH b AS (SELECT contig_id, translate(seq, 'ACGT', '(.).') AS s FROM contigs), c AS (SELECT contig_id, unnest(range(1, length(s) + 1)) AS i, s FROM b), d AS (SELECT contig_id, i, substr(s, i, 1) AS ch FROM c WHERE substr(s, i, 1) IN ('(', ')')),
+@query("e18_pair_table", V.with_views("contigs", """WITH b AS (SELECT contig_id, translate(seq, 'ACGT', '(.).') AS s FROM contigs), c AS (SELECT contig_id, unnest(range(1, length(s) + 1)) AS i, unnest(string_split(s, '')) AS ch FROM b), d AS (SELECT contig_id, i, ch FROM c WHERE ch IN ('(', ')')),
 e AS (SELECT *, CASE ch WHEN '(' THEN sum(CASE ch WHEN '(' THEN 1 ELSE -1 END) OVER w ELSE sum(CASE ch WHEN '(' THEN 1 ELSE -1 END) OVER w + 1 END AS depth, min(1) OVER w AS one FROM d WINDOW w AS (PARTITION BY contig_id ORDER BY i)), p AS (SELECT *, lead(i) OVER (PARTITION BY contig_id, depth ORDER BY i) AS j, lead(ch) OVER (PARTITION BY contig_id, depth ORDER BY i) AS cj FROM e)
 SELECT contig_id, i::INTEGER AS i, j::INTEGER AS j FROM p WHERE ch = '(' AND cj = ')' AND depth > 0"""))
 def e18(spark, d):
@@ -153,9 +153,9 @@ def e18(spark, d):
     return pair_table(V.contigs(spark, d).selectExpr("contig_id", "translate(seq, 'ACGT', '(.).') AS ss"), id_col="contig_id", structure="ss")
 
 
-@query("e19_projected_pairs", V.with_views("contigs", """WITH b AS (SELECT contig_id, seq AS s FROM contigs), g AS (SELECT contig_id, s, length(s) AS n FROM b WHERE length(s) >= 40), p AS (SELECT contig_id, unnest(range(1, n // 3 + 1)) AS i, n, s FROM g),
-q AS (SELECT contig_id, i, n + 1 - i AS j, s, substr(s, i, 1) = 'A' AS gi, substr(s, (n + 1 - i)::BIGINT, 1) = 'A' AS gj FROM p)
-SELECT contig_id, count(*) FILTER (WHERE NOT gi AND NOT gj) AS n_pairs, count(*) FILTER (WHERE gi OR gj) AS n_dropped, min(length(replace(substr(s, 1, i), 'A', ''))) FILTER (WHERE NOT gi AND NOT gj) AS first_i FROM q GROUP BY contig_id"""))
+@query("e19_projected_pairs", V.with_views("contigs", """WITH b AS (SELECT contig_id, seq AS s FROM contigs), g AS (SELECT contig_id, length(s) AS n, string_split(s, '') AS l FROM b WHERE length(s) >= 40), p AS (SELECT contig_id, unnest(range(1, n // 3 + 1)) AS i, unnest(l[1:n // 3]) AS a, unnest(list_reverse(l[n + 1 - n // 3:])) AS z FROM g),
+q AS (SELECT contig_id, a = 'A' AS gi, z = 'A' AS gj, sum((a <> 'A')::INT) OVER (PARTITION BY contig_id ORDER BY i) AS place FROM p)
+SELECT contig_id, count(*) FILTER (WHERE NOT gi AND NOT gj) AS n_pairs, count(*) FILTER (WHERE gi OR gj) AS n_dropped, CAST(min(place) FILTER (WHERE NOT gi AND NOT gj) AS BIGINT) AS first_i FROM q GROUP BY contig_id"""))
 def e19(spark, d):
     """Pairs of a gapped row projected to its ungapped locus; gap pairs are dropped and counted."""
     from strandloom.operators.structure import project_pairs

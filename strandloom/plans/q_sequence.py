@@ -41,12 +41,12 @@ def a18(spark, d):
     return V.contigs(spark, d).select("contig_id", F.round(S.gc_fraction("seq"), 9).alias("gc"), (F.length("seq") - F.length(F.replace("seq", F.lit("A"), F.lit("")))).cast("long").alias("n_a"))
 
 
-@query("a18_dinucleotides", V.with_views("contigs", "SELECT k, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq)), lambda i: substr(seq, i, 2))) AS k FROM contigs) GROUP BY k"))
+@query("a18_dinucleotides", V.with_views("contigs", "SELECT concat(a, b) AS k, count(*) AS n FROM (SELECT unnest(l[1:len(l) - 1]) AS a, unnest(l[2:]) AS b FROM (SELECT string_split(seq, '') AS l FROM contigs)) GROUP BY ALL"))
 def a18b(spark, d):
-    return V.contigs(spark, d).select(F.explode(S.kmers("seq", 2)).alias("k")).groupBy("k").agg(_n().alias("n"))
+    return O.kmer_rows(V.contigs(spark, d), id_col="contig_id", seq_col="seq", k=2).groupBy(F.col("kmer").alias("k")).agg(_n().alias("n"))
 
 
-@query("a19_kmer_frequencies", V.with_views("contigs", "WITH m AS (SELECT contig_id, unnest(list_transform(range(1, length(seq) - 1), lambda i: substr(seq, i, 3))) AS kmer FROM contigs), n AS (SELECT contig_id, kmer, count(*) AS n FROM m GROUP BY ALL) SELECT contig_id, kmer, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY contig_id), 6) AS freq FROM n"))
+@query("a19_kmer_frequencies", V.with_views("contigs", "WITH l AS (SELECT contig_id, string_split(seq, '') AS l FROM contigs), m AS (SELECT contig_id, concat(a, b, c) AS kmer FROM (SELECT contig_id, unnest(l[1:len(l) - 2]) AS a, unnest(l[2:len(l) - 1]) AS b, unnest(l[3:]) AS c FROM l)), n AS (SELECT contig_id, kmer, count(*) AS n FROM m GROUP BY ALL) SELECT contig_id, kmer, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY contig_id), 6) AS freq FROM n"))
 def a19(spark, d):
     return O.kmer_frequencies(V.contigs(spark, d), id_col="contig_id", seq_col="seq", k=3).withColumn("freq", F.round("freq", 6))
 
@@ -136,11 +136,12 @@ def f09(spark, d):
     return V.candidates(spark, d).select("locus_id", lo.alias("fwd_lo"), hi.alias("fwd_hi"))
 
 
-@query("e13_dinucleotide_decoys", V.with_views("contigs", "SELECT contig_id AS id, md5(array_to_string(list_sort(list_transform(range(1, length(seq)), lambda i: substr(seq, i, 2))), ',')) AS pairs, concat(substr(seq, 1, 1), substr(seq, length(seq), 1)) AS ends, length(seq) >= 32 AS changed FROM contigs"))
+@query("e13_dinucleotide_decoys", V.with_views("contigs", "SELECT contig_id AS id, md5(array_to_string(list_sort(list_transform(list_zip(l[1:len(l) - 1], l[2:]), lambda x: concat(x[1], x[2]))), ',')) AS pairs, concat(l[1], l[-1]) AS ends, CASE WHEN len(l) >= 32 THEN true END AS changed FROM (SELECT contig_id, string_split(seq, '') AS l FROM contigs)"))
 def e13(spark, d):
-    """Decoys keep every pair count and both end letters, and aren't the sequence."""
+    """Decoys keep every pair count and both end letters, and aren't the sequence, which of
+    32 letters or more has another order."""
     made = O.dinucleotide_decoys(V.contigs(spark, d), id_col="contig_id", seq_col="seq", seed="e13")
-    return made.select("id", F.md5(F.array_join(F.array_sort(S.kmers("decoy", 2)), ",")).alias("pairs"), F.concat(F.substring("decoy", 1, 1), F.substring("decoy", -1, 1)).alias("ends"), (F.col("decoy") != F.col("seq")).alias("changed"))
+    return made.select("id", F.md5(F.array_join(F.array_sort(S.kmers("decoy", 2)), ",")).alias("pairs"), F.concat(F.substring("decoy", 1, 1), F.substring("decoy", -1, 1)).alias("ends"), F.when(F.length("seq") >= 32, F.col("decoy") != F.col("seq")).alias("changed"))
 
 
 @query("e13_gc_matched", V.with_views("contigs", "WITH b AS MATERIALIZED (SELECT contig_id, length(seq) AS n, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc FROM contigs), p AS (SELECT contig_id, gc, unnest(range(n)) AS p FROM b), u AS (SELECT contig_id, gc, p, ('0x' || substr(md5(concat_ws(':', 'gc', contig_id, p)), 1, 13))::BIGINT AS u FROM p) SELECT contig_id, string_agg(CASE WHEN u % 1000000 / 1000000.0::DOUBLE < gc THEN CASE WHEN u // 1000000 % 2 = 1 THEN 'G' ELSE 'C' END ELSE CASE WHEN u // 1000000 % 2 = 1 THEN 'A' ELSE 'T' END END, '' ORDER BY p) AS decoy FROM u GROUP BY contig_id"))
@@ -155,7 +156,7 @@ def e13d(spark, d):
     return O.column_shuffle(rows, alignment="aln", row="contig_id", aligned="s", seed="col")
 
 
-@query("e13_mono_shuffle", V.with_views("contigs", "SELECT contig_id, string_agg(c, '' ORDER BY md5(concat('m:', contig_id, ':', p)), p) AS decoy FROM (SELECT contig_id, unnest(range(length(seq))) AS p, substr(seq, unnest(range(length(seq))) + 1, 1) AS c FROM contigs) GROUP BY contig_id"))
+@query("e13_mono_shuffle", V.with_views("contigs", "SELECT contig_id, string_agg(c, '' ORDER BY md5(concat('m:', contig_id, ':', p)), p) AS decoy FROM (SELECT contig_id, unnest(range(length(seq))) AS p, unnest(string_split(seq, '')) AS c FROM contigs) GROUP BY contig_id"))
 def e13b(spark, d):
     return O.mono_shuffle(V.contigs(spark, d), id_col="contig_id", seq_col="seq", seed="m")
 
@@ -177,7 +178,7 @@ def e15(spark, d):
     return O.symmetric_splice(c, id_col="contig_id", insert="ACGTACGTACGTACGT", first="b0", length="n", seed="e15")
 
 
-@query("e16_ablation", V.with_views("contigs", f"""WITH r AS (SELECT contig_id, seq, 9 AS lo, 9 + contig_id % 12 AS hi FROM contigs WHERE length(seq) > 10 + contig_id % 12), s AS (SELECT *, list_filter(range(1, length(seq) - (hi - lo + 1) + 2), lambda x: x + hi - lo < lo OR x > hi) AS v FROM r), p AS (SELECT *, v[{_H.format(t="'e16', contig_id")} % len(v) + 1] AS cl FROM s WHERE len(v) > 0)
+@query("e16_ablation", V.with_views("contigs", f"""WITH r AS (SELECT contig_id, seq, 9 AS lo, 9 + contig_id % 12 AS hi FROM contigs WHERE length(seq) >= 9 + contig_id % 12), s AS (SELECT *, list_filter(range(1, length(seq) - (hi - lo + 1) + 2), lambda x: x + hi - lo < lo OR x > hi) AS v FROM r), p AS (SELECT *, v[{_H.format(t="'e16', contig_id")} % len(v) + 1] AS cl FROM s WHERE len(v) > 0)
 SELECT contig_id, concat(substr(seq, 1, lo - 1), substr(seq, hi + 1)) AS ablated, concat(substr(seq, 1, cl - 1), substr(seq, cl + hi - lo + 1)) AS control, cl::INTEGER AS control_lo FROM p"""))
 def e16(spark, d):
     c = V.contigs(spark, d).selectExpr("contig_id", "seq", "9 AS lo", "cast(9 + contig_id % 12 AS int) AS hi")
@@ -191,21 +192,21 @@ def e17(spark, d):
     return v.groupBy((F.col("contig_id") % 20).alias("block"), "transform").agg(_n().alias("n"), F.count_distinct("variant").alias("n_distinct"))
 
 
-_SH = "SELECT DISTINCT contig_id, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS k FROM contigs WHERE contig_id % 2 = {p}"
+_SH = "SELECT DISTINCT contig_id, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS k FROM drawn_contigs WHERE contig_id % 2 = {p}"
 
 
-@query("j19_shared_kmers", V.with_views("contigs", f"WITH a AS ({_SH.format(p=0)}), b AS ({_SH.format(p=1)}) SELECT a.contig_id AS item, b.contig_id AS host, count(*) AS n_shared FROM a JOIN b USING (k) GROUP BY ALL"))
+@query("j19_shared_kmers", V.with_views("drawn_contigs", f"WITH a AS ({_SH.format(p=0)}), b AS ({_SH.format(p=1)}) SELECT a.contig_id AS item, b.contig_id AS host, count(*) AS n_shared FROM a JOIN b USING (k) GROUP BY ALL"))
 def j19(spark, d):
-    c = V.contigs(spark, d)
+    c = V.drawn_contigs(spark, d)
     return O.shared_kmer_hosts(c.where("contig_id % 2 = 0").select(F.col("contig_id").alias("item"), "seq"), c.where("contig_id % 2 = 1").select(F.col("contig_id").alias("host"), "seq"), k=12, item_id="item", host_id="host")
 
 
-@query("j16_localise", V.with_views("contigs", "SELECT contig_id AS leader_id, contig_id, 'unique' AS status, CASE WHEN contig_id % 2 = 0 THEN -1 ELSE 1 END AS strand, 10 AS start0, CASE WHEN contig_id % 5 = 4 THEN 83 ELSE 85 END AS end0, (contig_id % 3 = 0)::BIGINT AS mismatches, contig_id % 3 <> 0 AND contig_id % 5 < 3 AS exact FROM contigs WHERE length(seq) >= 96"))
+@query("j16_localise", V.with_views("drawn_contigs", "SELECT contig_id AS leader_id, contig_id, 'unique' AS status, CASE WHEN contig_id % 2 = 0 THEN -1 ELSE 1 END AS strand, 10 AS start0, CASE WHEN contig_id % 5 = 4 THEN 83 ELSE 85 END AS end0, (contig_id % 3 = 0)::BIGINT AS mismatches, contig_id % 3 <> 0 AND contig_id % 5 < 3 AS exact FROM drawn_contigs WHERE length(seq) >= 96"))
 def j16(spark, d):
     """Leaders of two stretches with an elided one between, some with a changed letter,
     a wrong elision or a missing pair of letters; every second one reversed. They must
     be found at home, on their strand, with what differs."""
-    c = V.contigs(spark, d).where("length(seq) >= 96")
+    c = V.drawn_contigs(spark, d).where("length(seq) >= 96")
     first = F.expr("if(contig_id % 3 = 0, concat(substr(seq, 11, 20), translate(substr(seq, 31, 1), 'ACGT', 'CGTA'), substr(seq, 32, 9)), substr(seq, 11, 30))")
     last = F.expr("if(contig_id % 5 = 4, substr(seq, 56, 28), substr(seq, 56, 30))")
     gap = F.expr("CASE contig_id % 5 WHEN 3 THEN 12 WHEN 4 THEN 18 ELSE 15 END")

@@ -122,14 +122,14 @@ def s11(spark, d):
     return R.parse_stockholm(files)
 
 
-@query("s12_connect_tables", V.with_views("contigs", "SELECT contig_id AS file, 2 * (length(seq) // 4) AS n_pairs, CASE WHEN contig_id % 6 = 0 THEN 1 ELSE 0 END AS n_asymmetric FROM contigs"))
+@query("s12_connect_tables", V.with_views("drawn_contigs", "SELECT contig_id AS file, 2 * (length(seq) // 4) AS n_pairs, CASE WHEN contig_id % 6 = 0 THEN 1 ELSE 0 END AS n_asymmetric FROM drawn_contigs"))
 def s12(spark, d):
     """Pairs of connect tables; those without their mirror are found."""
     from strandloom.operators.structure import pairs_symmetric
 
-    c = V.contigs(spark, d).selectExpr("contig_id", "seq", "cast(length(seq) AS int) AS n")
-    line = lambda i: F.concat_ws(" ", i.cast("string"), F.substr("seq", i, F.lit(1)), (i - 1).cast("string"), (i + 1).cast("string"), F.when(i <= F.floor(F.col("n") / 4), F.col("n") + 1 - i).when(i > F.col("n") - F.floor(F.col("n") / 4), F.when((i == F.col("n")) & (F.col("contig_id") % 6 == 0), 2).otherwise(F.col("n") + 1 - i)).otherwise(0).cast("string"), i.cast("string"))
-    files = c.select(F.col("contig_id").alias("file"), F.concat(F.col("n").cast("string"), F.lit(" x\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), line), "\n")).alias("content"))
+    c = V.drawn_contigs(spark, d).selectExpr("contig_id", "seq", "cast(length(seq) AS int) AS n")
+    line = lambda letter, i: F.concat_ws(" ", i.cast("string"), letter, (i - 1).cast("string"), (i + 1).cast("string"), F.when(i <= F.floor(F.col("n") / 4), F.col("n") + 1 - i).when(i > F.col("n") - F.floor(F.col("n") / 4), F.when((i == F.col("n")) & (F.col("contig_id") % 6 == 0), 2).otherwise(F.col("n") + 1 - i)).otherwise(0).cast("string"), i.cast("string"))
+    files = c.select(F.col("contig_id").alias("file"), F.concat(F.col("n").cast("string"), F.lit(" x\n"), F.array_join(F.transform(F.filter(F.split("seq", ""), lambda x: x != ""), lambda letter, at: line(letter, at + 1)), "\n")).alias("content"))
     p = R.parse_ct(files)
     odd = pairs_symmetric(p, id_col="file").where("i > j").groupBy("file").agg(_n().alias("k"))
     return p.groupBy("file").agg(_n().alias("n_pairs")).join(odd, "file", "left").select("file", "n_pairs", F.coalesce("k", F.lit(0)).cast("int").alias("n_asymmetric"))

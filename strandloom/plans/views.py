@@ -12,7 +12,8 @@ from strandloom.session import table
 
 #: SQL forms, by name; ``with_views`` adds those a statement needs.
 SQL = {
-    "contigs": """SELECT doc_id AS contig_id, array_to_string(list_transform(range(n_chars % 64 + 1), lambda i: translate(md5(concat(doc_id, ':', i)), '0123456789abcdef', 'AAAACCCCGGGGTTTT')), '') AS seq FROM documents""",
+    "contigs": """SELECT doc_id AS contig_id, translate(hex(text), '0123456789ABCDEF', 'ACGTACGTACGTACGT') AS seq FROM documents""",
+    "drawn_contigs": """SELECT doc_id AS contig_id, array_to_string(list_transform(range(n_chars % 64 + 1), lambda i: translate(md5(concat(doc_id, ':', i)), '0123456789abcdef', 'AAAACCCCGGGGTTTT')), '') AS seq FROM documents""",
     "loci": """SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS locus_id, concat('ACC', l_suppkey, '.', l_linenumber % 3) AS accession, CASE WHEN l_linenumber % 2 = 0 THEN e ELSE s END AS lo1, CASE WHEN l_linenumber % 2 = 0 THEN s ELSE e END AS hi1, l_returnflag AS flag, l_linestatus AS status FROM (SELECT *, l_partkey * 50 + l_orderkey % 50 AS s, l_partkey * 50 + l_orderkey % 50 + 19 + CAST(l_quantity AS BIGINT) * 4 AS e FROM lineitem)""",
     "known": """SELECT DISTINCT regexp_replace(accession, '\\.\\d+$', '') AS acc, least(lo1, hi1) AS lo, greatest(lo1, hi1) AS hi FROM loci WHERE flag = 'R'""",
     "candidates": """SELECT locus_id, regexp_replace(accession, '\\.\\d+$', '') AS acc, least(lo1, hi1) AS lo, greatest(lo1, hi1) AS hi, CASE WHEN lo1 > hi1 THEN -1 ELSE 1 END AS strand, status FROM loci WHERE flag = 'A'""",
@@ -49,6 +50,12 @@ def digest_sql(rows: str, by: str = "") -> str:
 
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as sequences, two letters for each byte."""
+    return table(spark, d, "documents").selectExpr("doc_id AS contig_id", "translate(hex(text), '0123456789ABCDEF', 'ACGTACGTACGTACGT') AS seq")
+
+
+def drawn_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """Random sequences without repeats, for queries whose SQL knows what was planted."""
     return table(spark, d, "documents").selectExpr(
         "doc_id AS contig_id",
         "array_join(transform(sequence(0, cast(n_chars % 64 AS int)), i -> translate(md5(concat(doc_id, ':', i)), '0123456789abcdef', 'AAAACCCCGGGGTTTT')), '') AS seq",
