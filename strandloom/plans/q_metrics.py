@@ -408,12 +408,12 @@ def m12_grouped(spark, d):
     return out
 
 
-@query("c02_match_columns", V.with_views("contigs", "WITH r AS (SELECT contig_id % 40 AS aln, contig_id, translate(rpad(seq, max(length(seq)) OVER (PARTITION BY contig_id % 40)::INT, 'A'), 'ACGT', 'ACGU') AS s FROM contigs), x AS (SELECT aln, contig_id, unnest(range(1, length(s) + 1)) AS i, s FROM r), y AS (SELECT aln, contig_id, i, CASE WHEN i % 5 = 0 AND contig_id % 3 = 0 THEN '.' ELSE substr(s, i, 1) END AS ch FROM x), k AS (SELECT aln, i FROM y GROUP BY aln, i HAVING NOT bool_or(ch = '.')) SELECT contig_id, string_agg(CASE ch WHEN 'A' THEN '0' WHEN 'C' THEN '1' WHEN 'G' THEN '2' ELSE '3' END, '' ORDER BY i) AS codes FROM y JOIN k USING (aln, i) GROUP BY contig_id"))
+@query("c02_match_columns", V.with_views("drawn_contigs", "WITH r AS (SELECT contig_id % 40 AS aln, contig_id, translate(rpad(seq, max(length(seq)) OVER (PARTITION BY contig_id % 40)::INT, 'A'), 'ACGT', 'ACGU') AS s FROM drawn_contigs), x AS (SELECT aln, contig_id, unnest(range(1, length(s) + 1)) AS i, s FROM r), y AS (SELECT aln, contig_id, i, CASE WHEN i % 5 = 0 AND contig_id % 3 = 0 THEN '.' ELSE substr(s, i, 1) END AS ch FROM x), k AS (SELECT aln, i FROM y GROUP BY aln, i HAVING NOT bool_or(ch = '.')) SELECT contig_id, string_agg(CASE ch WHEN 'A' THEN '0' WHEN 'C' THEN '1' WHEN 'G' THEN '2' ELSE '3' END, '' ORDER BY i) AS codes FROM y JOIN k USING (aln, i) GROUP BY contig_id"))
 def c02(spark, d):
     """Codes of the columns that no row of an alignment has as an insert."""
     from strandloom.operators.tournament import match_columns
 
-    r = V.contigs(spark, d).selectExpr("contig_id % 40 AS aln", "contig_id", "seq").withColumn("w", F.max(F.length("seq")).over(Window.partitionBy("aln")))
+    r = V.drawn_contigs(spark, d).selectExpr("contig_id % 40 AS aln", "contig_id", "seq").withColumn("w", F.max(F.length("seq")).over(Window.partitionBy("aln")))
     x = r.select("aln", "contig_id", F.posexplode(F.split(F.translate(F.rpad("seq", F.col("w"), F.lit("A")), "T", "U"), "")).alias("p", "c")).where("c <> ''").selectExpr("aln", "contig_id", "p + 1 AS i", "if((p + 1) % 5 = 0 AND contig_id % 3 = 0, '.', c) AS ch")
     return match_columns(x, alignment="aln", row="contig_id")
 
@@ -436,6 +436,20 @@ def c05(spark, d):
     return random_folds(V.splits(spark, d), cluster="cluster_id", stratum="genus", ratios={"train": 0.8, "val": 0.1, "test": 0.1}, seed="c05")
 
 
+_DEFICIT = "{r}::DOUBLE - (f.{c} + r.n) / (f.a + f.b + f.c + r.n) AS d{c}"
+_STEPS = ", ".join(_DEFICIT.format(r=r, c=c) for r, c in ((0.8, "a"), (0.1, "b"), (0.1, "c")))
+
+
+@query("c05_deficit_folds", V.with_views("splits", f"""WITH RECURSIVE k AS (SELECT cluster_id, genus, count(*) AS k FROM splits GROUP BY ALL), o AS (SELECT cluster_id, first(genus ORDER BY k DESC, genus) AS genus, sum(k)::BIGINT AS n FROM k GROUP BY cluster_id), r AS (SELECT *, row_number() OVER (ORDER BY genus, md5(concat('c05:', genus, ':', cluster_id)), cluster_id) AS i FROM o),
+f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS cluster_id, '' AS genus, 0::BIGINT AS n, '' AS fold, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c UNION ALL SELECT i, cluster_id, genus, n, fold, a + CASE fold WHEN 'train' THEN n ELSE 0 END, b + CASE fold WHEN 'val' THEN n ELSE 0 END, c + CASE fold WHEN 'test' THEN n ELSE 0 END FROM (SELECT *, CASE WHEN da >= db AND da >= dc THEN 'train' WHEN db >= dc THEN 'val' ELSE 'test' END AS fold FROM (SELECT r.i, r.cluster_id, r.genus, r.n, f.a, f.b, f.c, {_STEPS} FROM f JOIN r ON r.i = f.i + 1)))
+SELECT cluster_id, genus, n, fold FROM f WHERE i > 0"""))
+def c05_deficit(spark, d):
+    """Whole clusters by the largest deficit, genus by genus."""
+    from strandloom.operators.folds import deficit_folds
+
+    return deficit_folds(V.splits(spark, d), cluster="cluster_id", stratum="genus", ratios={"train": 0.8, "val": 0.1, "test": 0.1}, seed="c05")
+
+
 @query("c06_distinct_strata", V.with_views("clades", "WITH g AS (SELECT genus, count(*) AS s, (SELECT count(*) FROM clades) AS n FROM clades GROUP BY genus) SELECT k, round(sum(1 - exp(list_sum(list_transform(range(k), lambda i: ln((n - s - i)::DOUBLE / (n - i)))))), 6) AS expected FROM g, (VALUES (5), (20), (50)) v(k) GROUP BY k"))
 def c06(spark, d):
     """Expected distinct strata among k draws without replacement."""
@@ -600,14 +614,14 @@ def m12b(spark, d):
     return r.select("n_blocks", F.round("auroc", 9).alias("auroc"), F.round("lo", 7).alias("lo"), F.round("hi", 7).alias("hi"))
 
 
-@query("m11_composition_probe", V.with_views("contigs", "WITH f AS (SELECT contig_id, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc, seq, (('0x' || substr(md5(concat('m11:', contig_id)), 1, 8))::BIGINT % 2) AS coin FROM contigs), l AS (SELECT 'composition' AS label, gc, (gc > 0.5)::INT AS y FROM f UNION ALL SELECT 'coin', gc, coin FROM f), r AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY gc) + (count(*) OVER (PARTITION BY label, gc) - 1) / 2.0::DOUBLE AS r FROM l), a AS (SELECT label, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)) AS a FROM r GROUP BY label) SELECT label, n_pos, n_neg, a >= 0.8 AS separable FROM a"))
+@query("m11_composition_probe", V.with_views("drawn_contigs", "WITH f AS (SELECT contig_id, length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq) AS gc, seq, (('0x' || substr(md5(concat('m11:', contig_id)), 1, 8))::BIGINT % 2) AS coin FROM drawn_contigs), l AS (SELECT 'composition' AS label, gc, (gc > 0.5)::INT AS y FROM f UNION ALL SELECT 'coin', gc, coin FROM f), r AS (SELECT label, y, rank() OVER (PARTITION BY label ORDER BY gc) + (count(*) OVER (PARTITION BY label, gc) - 1) / 2.0::DOUBLE AS r FROM l), a AS (SELECT label, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE y = 1)::DOUBLE * count(*) FILTER (WHERE y = 0)) AS a FROM r GROUP BY label) SELECT label, n_pos, n_neg, a >= 0.8 AS separable FROM a"))
 def m11b(spark, d):
     """Cross-validated probes on 2-mer frequencies for a label that follows composition
     and for a coin; SQL ranks by the share of G and C instead."""
     from strandloom.operators.probe import composition_probe, separability
 
     gc = F.length(F.regexp_replace("seq", "[^GC]", "")) / F.length("seq")
-    c = V.contigs(spark, d)
+    c = V.drawn_contigs(spark, d)
     out = None
     for name, y in (("composition", gc > 0.5), ("coin", F.conv(F.substring(F.md5(F.concat(F.lit("m11:"), F.col("contig_id").cast("string"))), 1, 8), 16, 10).cast("long") % 2)):
         s = composition_probe(c.withColumn("y", y.cast("int")), id_col="contig_id", seq_col="seq", label="y", k=2, folds=3, seed="m11")
