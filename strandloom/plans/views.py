@@ -55,7 +55,8 @@ def contigs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drawn_contigs(spark: SparkSession, d: str) -> DataFrame:
-    """Random sequences without repeats, for queries whose SQL knows what was planted."""
+    """Random sequences of up to 2,048 letters, for queries too slow on whole texts or whose
+    SQL takes a place as the only one."""
     return table(spark, d, "documents").selectExpr(
         "doc_id AS contig_id",
         "array_join(transform(sequence(0, cast(n_chars % 64 AS int)), i -> translate(md5(concat(doc_id, ':', i)), '0123456789abcdef', 'AAAACCCCGGGGTTTT')), '') AS seq",
