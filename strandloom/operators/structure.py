@@ -2,35 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _letters(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le"), "<u4")
+
+
+def _bracket_pairs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places from 1 of the pairs of one bracket string."""
+    letters = _letters(text)
+    at = np.flatnonzero((letters == ord("(")) | (letters == ord(")")))
+    opens = letters[at] == ord("(")
+    run = np.cumsum(np.where(opens, 1, -1))
+    depth = np.where(opens, run, run + 1)
+    order = np.argsort(depth, kind="stable")
+    a, b = order[:-1], order[1:]
+    met = opens[a] & ~opens[b] & (depth[a] == depth[b]) & (depth[a] > 0)
+    return at[a[met]] + 1, at[b[met]] + 1
+
+
+#: Rows of texts that are worked on at once inside a batch.
+PIECE = 256
 
 
 def pair_table(df: DataFrame, *, id_col: str, structure: str) -> DataFrame:
     """Pairs ``(i, j)`` of a bracket string, 1-based (E18): brackets of one depth
     alternate, so an opening one pairs with the next bracket of its depth. What
-    isn't balanced pairs with nothing."""
-    chars = df.select(id_col, F.posexplode(F.split(structure, "")).alias("p", "ch")).where(F.col("ch").isin("(", ")"))
-    w = Window.partitionBy(id_col).orderBy("p")
-    run = F.sum(F.when(F.col("ch") == "(", 1).otherwise(-1)).over(w)
-    depth = chars.withColumn("depth", F.when(F.col("ch") == "(", run).otherwise(run + 1))
-    v = Window.partitionBy(id_col, "depth").orderBy("p")
-    nxt = depth.withColumn("j", F.lead("p").over(v) + 1).withColumn("cj", F.lead("ch").over(v))
-    return nxt.where("ch = '(' AND cj = ')' AND depth > 0").select(id_col, (F.col("p") + 1).alias("i"), "j")
+    isn't balanced pairs with nothing. A string is read where it lies: nothing is
+    shuffled. Ids are unique."""
+    rows = df.where(F.col(structure).isNotNull()).select(id_col, structure)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PIECE):
+                part = batch.slice(lo, PIECE)
+                found = [_bracket_pairs(s) for s in part.column(1).to_pylist()]
+                who = np.repeat(np.arange(len(found)), [len(i) for i, _ in found])
+                i, j = (np.concatenate([f[k] for f in found]).astype(np.int32) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), pa.array(i), pa.array(j)], [id_col, "i", "j"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[id_col], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
+
+
+def project_row_pairs(df: DataFrame, *, id_col: str, aligned: str, pairs: str, gap: str = "-") -> DataFrame:
+    """``id, i, j, kept`` of an aligned row and its ``pairs``, an array of ``(i, j)`` in the
+    same row (E19): ``project_pairs`` without a shuffle. A null row or array gives nothing."""
+    rows = df.where(F.col(aligned).isNotNull() & F.col(pairs).isNotNull()).select(id_col, aligned, F.transform(pairs, lambda p: F.coalesce(p["i"].cast("int"), F.lit(0))).alias("_i"), F.transform(pairs, lambda p: F.coalesce(p["j"].cast("int"), F.lit(0))).alias("_j"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PIECE):
+                part = batch.slice(lo, PIECE)
+                solid = [_letters(s) != ord(gap) for s in part.column(1).to_pylist()]
+                width = np.array([len(s) for s in solid])
+                first, every = np.cumsum(width) - width, np.concatenate([np.zeros(0, bool), *solid])
+                count = np.cumsum(every)
+                before = np.concatenate([[0], count])[first]
+                n = np.diff(part.column(2).offsets.to_numpy())
+                who = np.repeat(np.arange(len(n)), n)
+                ends = []
+                for k in (2, 3):
+                    c = part.column(k).flatten().to_numpy()
+                    inside = (c >= 1) & (c <= width[who])
+                    at = np.where(inside, first[who] + c - 1, 0)
+                    place = count[at] - before[who] if len(count) else np.zeros(len(c), int)
+                    ends.append((pa.array(place.astype(np.int32), mask=~inside), inside & (every[at] if len(every) else False)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(who)), ends[0][0], ends[1][0], pa.array(ends[0][1] & ends[1][1])], [id_col, "i", "j", "kept"])
+
+    fields = [rows.schema[id_col], T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("kept", T.BooleanType())]
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def project_pairs(rows: DataFrame, pairs: DataFrame, *, id_col: str, aligned: str = "aligned", gap: str = "-") -> DataFrame:
     """Pairs of alignment columns as positions of the ungapped row; a pair with a
     gap at either end or an end outside the row is not kept (E19). Columns are counted once
-    a row; pairs look their two ends up, so no pair carries the row. Ids are unique."""
-    letters = rows.select(id_col, F.posexplode(F.filter(F.split(aligned, ""), lambda c: c != "")).alias("_p", "_c"))
-    solid = (F.col("_c") != gap).cast("int")
-    place = F.sum(solid).over(Window.partitionBy(id_col).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    columns = letters.select(id_col, (F.col("_p") + 1).alias("_p"), place.alias("_place"), (solid == 1).alias("_solid"))
-    end = lambda c: columns.select(id_col, F.col("_p").alias(c), F.col("_place").alias(f"_{c}"), F.col("_solid").alias(f"_{c}_solid"))
-    j = pairs.select(id_col, "i", "j").join(rows.select(id_col), id_col, "left_semi").join(end("i"), [id_col, "i"], "left").join(end("j"), [id_col, "j"], "left")
-    kept = F.coalesce(F.col("_i_solid") & F.col("_j_solid"), F.lit(False))
-    return j.select(id_col, F.col("_i").alias("i"), F.col("_j").alias("j"), kept.alias("kept"))
+    a row, for all pairs of its id together. Ids of rows are unique."""
+    of = pairs.groupBy(id_col).agg(F.collect_list(F.struct("i", "j")).alias("_pairs"))
+    return project_row_pairs(rows.select(id_col, aligned).join(of, id_col), id_col=id_col, aligned=aligned, pairs="_pairs", gap=gap)
 
 
 def helices(pairs: DataFrame, *, id_col: str, minimum: int) -> DataFrame:

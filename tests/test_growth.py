@@ -2,7 +2,11 @@
 
 import pytest
 
-from strandloom.operators import sequences
+from strandloom.operators import sequences, structure
+
+
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def plan(df):
@@ -19,3 +23,15 @@ def test_decoys_move_no_letter(spark, made):
     assert sorted(rows) == [1, 2] and len(rows[1]) == 150 and len(rows[2]) == 4
     if made is sequences.mono_shuffle:
         assert sorted(rows[1]) == sorted("ACGGT" * 30) and rows[1] != "ACGGT" * 30 and sorted(rows[2]) == sorted("aG\U0001f600C")
+
+
+def test_brackets_and_projected_pairs_stay_in_their_row(spark):
+    """A row per letter was shuffled twice, and pairs were joined with all columns twice."""
+    text = spark.createDataFrame([(1, "((.))"), (2, ")(()"), (3, ""), (4, None), (5, "\U0001f600(.)")], "id long, s string")
+    got = structure.pair_table(text, id_col="id", structure="s")
+    assert "Window" not in plan(got) and "Exchange" not in physical(got)
+    assert sorted((r.id, r.i, r.j) for r in got.collect()) == [(1, 1, 5), (1, 2, 4), (2, 3, 4), (5, 2, 4)]
+    rows = spark.createDataFrame([(1, "A-CG-U", [(1, 6), (1, 2), (4, 9)]), (2, "", [(1, 2)]), (3, "AC", []), (4, "AC", None)], "id long, aligned string, p array<struct<i:int,j:int>>")
+    got = structure.project_row_pairs(rows, id_col="id", aligned="aligned", pairs="p")
+    assert "Exchange" not in physical(got)
+    assert sorted(((r.id, r.i, r.j, r.kept) for r in got.collect()), key=str) == sorted([(1, 1, 4, True), (1, 1, 1, False), (1, 3, None, False), (2, None, None, False)], key=str)
