@@ -1,6 +1,7 @@
 """Queries that used to move or repeat more than their input: plans without it, same results."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import sequences, structure
 
@@ -35,3 +36,42 @@ def test_brackets_and_projected_pairs_stay_in_their_row(spark):
     got = structure.project_row_pairs(rows, id_col="id", aligned="aligned", pairs="p")
     assert "Exchange" not in physical(got)
     assert sorted(((r.id, r.i, r.j, r.kept) for r in got.collect()), key=str) == sorted([(1, 1, 4, True), (1, 1, 1, False), (1, 3, None, False), (2, None, None, False)], key=str)
+
+
+def test_an_attribute_is_read_once(spark):
+    """Fragments were read again for each key and use; a plan held some 100 decoders."""
+    from strandloom.sources import scans
+
+    df = spark.createDataFrame([("ID=a%3Bb;x=1,2;x=3%20;y=p=q+r",)], "c string")
+    got = df.select(scans.gff3_attributes(F.col("c")).alias("m"))
+    assert physical(got).count("raise_error") <= 5
+    assert got.first().m == {"ID": ["a;b"], "x": ["1", "2", "3 "], "y": ["p=q+r"]}
+
+
+def test_words_are_counted_in_their_row(spark):
+    """A row per window was shuffled."""
+    df = spark.createDataFrame([(1, "AACAANAC"), (2, ""), (3, "A"), (4, None)], "id long, s string")
+    got = sequences.kmer_frequencies(df, id_col="id", seq_col="s", k=2)
+    assert "Exchange" not in physical(got)
+    assert sorted((r.id, r.kmer, r.n, r.freq) for r in got.collect()) == [(1, "AA", 2, 0.4), (1, "AC", 2, 0.4), (1, "CA", 1, 0.2)]
+    wide = sequences.kmer_frequencies(df, id_col="id", seq_col="s", k=32)
+    assert wide.count() == 0
+
+
+def test_control_starts_are_not_listed(spark):
+    """Every start of a sequence was put into an array."""
+    df = spark.createDataFrame([(i, "ACGT" * 5, lo, lo + 2) for i in range(400) for lo in (1, 2, 9, 18)], "id long, seq string, lo int, hi int")
+    got = sequences.ablation_pairs(df, seed="s", id_col="id")
+    assert "sequence(" not in plan(got)
+    starts = [r.control_lo for r in got.join(df.where("lo = 9"), "id").where("length(ablated) = 17").collect()]
+    assert len(starts) == 1600 and set(starts) <= set(range(1, 19))
+
+
+def test_alignment_cells_are_read_where_they_lie(spark):
+    """Pieces were shuffled by row, then whole rows by file."""
+    from strandloom.sources import scans
+
+    text = "# STOCKHOLM 1.0\na   AC\nb   A-\n#=GC SS_cons   ..\n#=GF x y\n\na   GG  \r\nb   CC\n#=GC SS_cons   <>\n//\n"
+    got = scans.parse_stockholm(spark.createDataFrame([("f", text), ("g", "//"), ("h", None)], "file string, content string"))
+    assert "Exchange" not in physical(got)
+    assert sorted(map(tuple, got.collect())) == [("f", "#=GC SS_cons", "..<>"), ("f", "a", "ACGG"), ("f", "b", "A-CC")]
