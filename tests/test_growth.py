@@ -75,3 +75,12 @@ def test_alignment_cells_are_read_where_they_lie(spark):
     got = scans.parse_stockholm(spark.createDataFrame([("f", text), ("g", "//"), ("h", None)], "file string, content string"))
     assert "Exchange" not in physical(got)
     assert sorted(map(tuple, got.collect())) == [("f", "#=GC SS_cons", "..<>"), ("f", "a", "ACGG"), ("f", "b", "A-CC")]
+
+
+def test_shared_words_are_not_joined(spark):
+    """Minimizers of seven letters, equal by chance, were joined: more rows than pairs of sequences."""
+    rows = spark.createDataFrame([(i, "ACGT" * 4 + "GATTACA"[i % 5 :]) for i in range(12)], "item long, seq string")
+    got = sequences.shared_kmer_hosts(rows, rows.withColumnRenamed("item", "host"), k=12, item_id="item", host_id="host", most=5)
+    assert "Join" not in plan(got)
+    mers = {r.item: {r.seq[p : p + 12] for p in range(len(r.seq) - 11)} for r in rows.collect()}
+    assert {(r.item, r.host): r.n_shared for r in got.collect()} == {(i, h): len(a & b) for i, a in mers.items() for h, b in mers.items() if a & b}
