@@ -295,10 +295,21 @@ def _bucket_forests(rows: DataFrame, max_bits: int, hot: int) -> DataFrame:
         rows = rows.join(crowded, "bucket", "left").withColumn("sub", F.explode(F.coalesce(_block_pairs(F.col("blocks")), single)))
     else:
         rows = rows.withColumn("sub", F.lit(-1).cast("long"))
-    dealt = rows.select("bucket", "sub", *FP, "id").repartition("bucket", "sub").sortWithinPartitions("bucket", "sub")
+    # A forest grows from its bucket's smallest id, so that the forests of buckets that
+    # hold the same group have most of their links in common.
+    dealt = rows.select("bucket", "sub", *FP, "id").repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", "id")
     return dealt.mapInArrow(_wide_bucket_links(max_bits), "a long, b long")
 
 
+def _shared_parents(links: DataFrame) -> DataFrame:
+    """Links with the same components as ``a, b`` of parents and children in forests: a child
+    and its parents are linked to the smallest of them. Copies meet in all their
+    buckets and have a parent in each, mostly the same few, so about one link a copy is
+    left. A child has one parent at most in each of its groups, whatever the data."""
+    own = links.groupBy("b").agg(F.collect_set("a").alias("p"))
+    return own.select(F.explode(F.array_append("p", F.col("b"))).alias("a"), F.array_min("p").alias("b")).where("a <> b").distinct()
+
+
 #: Bits of a segment and their number, up to each number of documents. At a similarity
 #: of 0.8 a bit differs with a probability of 0.151, so segments of 18 bits meet in
 #: 0.37 of all cases and one of twelve in 0.996; the wider ones keep buckets small
@@ -378,8 +389,8 @@ def shingle_sets(docs: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT, b
 
 
 def candidate_links(distinct: DataFrame, *, hot: int = CROWDED_BUCKET) -> DataFrame:
-    """``a, b`` between the ids of rows of ``shingle_sets``: a forest of candidates."""
-    return _bucket_forests(distinct.select(F.explode("buckets").alias("bucket"), *FP, "id"), CANDIDATE_BITS, hot)
+    """``a, b`` between the ids of rows of ``shingle_sets`` that connect all candidates."""
+    return _shared_parents(_bucket_forests(distinct.select(F.explode("buckets").alias("bucket"), *FP, "id"), CANDIDATE_BITS, hot))
 
 
 def set_forest(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +423,7 @@ def set_forest(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
 def similar_links(members: DataFrame, *, k: int = 5, percent: int = LEAST_PERCENT) -> DataFrame:
     """``a, b`` between the ids of ``component, sub, id, text``: a forest of the links
     of a similarity of at least ``percent`` inside each component's groups ``sub``."""
-    dealt = members.select("component", "sub", "id", "text").repartition("component", "sub").sortWithinPartitions("component", "sub")
+    dealt = members.select("component", "sub", "id", "text").repartition("component", "sub").sortWithinPartitions("component", "sub", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, sets = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), []
@@ -471,7 +482,7 @@ def drop_similar(
     sizes = near.join(distinct.select("id", "n"), "id").groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") * 6 / block_chars)).alias("blocks"))
     dealt = near.join(sizes, "component").select("id", "component", F.explode(_block_pairs(F.col("blocks"))).alias("sub"))
     members = named.withColumnRenamed("doc_id", "id").join(dealt, "id")
-    found = connected_components(similar_links(members, k=k, percent=percent)).where("node <> component")
+    found = connected_components(_shared_parents(similar_links(members, k=k, percent=percent))).where("node <> component")
     first = distinct.join(found.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
     kept = docs.join(first, id_col, "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.col(text_col), F.xxhash64(*docs.columns))

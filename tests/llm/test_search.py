@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -174,6 +175,17 @@ def test_large_groups_are_dealt_into_blocks(spark):
     assert [r.doc_id for r in got] == [0] and jaccard(docs[0][1], docs[1][1]) > 0.8
 
 
+def test_near_copies_share_their_links(spark):
+    """Each of the 60 balls of a near copy meets the group; a forest of each bucket must not
+    give links of its own."""
+    rnd = random.Random(6)
+    base = words(rnd, 300)
+    docs = [(i, " ".join([*base[:k], f"edit{i}", *base[k + 1 :]])) for i, k in enumerate(rnd.choices(range(300), k=400))]
+    rnd.shuffle(docs)
+    sets = simhash.shingle_sets(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).withColumnRenamed("doc_id", "id")
+    assert simhash.candidate_links(sets).distinct().count() < 3 * len(docs)
+
+
 def test_simhash_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
