@@ -207,12 +207,14 @@ def _marks(marks: pa.Scalar) -> tuple[np.ndarray, ...]:
 
 
 def _dictionary(length: int):
-    """Bytes of the phrases a document gives to the dictionary; of phrases whose
-    trigger is crowded every window goes as an entry under its own hash."""
+    """Bytes of the phrases a document gives to the dictionary, ``span`` null; of phrases whose
+    trigger is crowded every window goes as an entry under its own hash, unless an equal
+    one came earlier in the batch: such windows are known to repeat and need no
+    meeting, so runs of them go with their ``span`` and without bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, places, blobs = [], [], [], []
+            keys, docs, places, blobs, crowd = [], [], [], [], []
             ids = batch.column(0).to_numpy()
             for i, text in enumerate(_texts(batch.column(1))):
                 key, place, span, first, crowded = _marks(batch.column(2)[i])
@@ -220,19 +222,46 @@ def _dictionary(length: int):
                     keys.append(key[k])
                     places.append(place[k])
                     blobs.append(text[place[k] : place[k] + span[k] + length])
-                many = np.flatnonzero(first & crowded)
-                if len(many):
-                    which, offset, h = window_hashes([text[place[k] : place[k] + span[k] + length] for k in many], length)
-                    at = place[many][which] + offset
-                    keys += h.view(np.int64).tolist()
-                    places += at.tolist()
-                    blobs += [text[p : p + length] for p in at]
                 docs += [ids[i]] * (len(keys) - len(docs))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "doc", "place", "bytes"])
+                crowd += [(ids[i], place[k], text[place[k] : place[k] + span[k] + length]) for k in np.flatnonzero(first & crowded)]
+            spans = [None] * len(keys)
+            if crowd:
+                h, d, p, own, runs = _crowded_windows(crowd, length)
+                keys += h.view(np.int64).tolist() + mix(runs[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + runs[1].astype(np.uint64)).view(np.int64).tolist()
+                docs += d.tolist() + runs[0].tolist()
+                places += p.tolist() + runs[1].tolist()
+                blobs += own + [None] * len(runs[0])
+                spans += [None] * len(h) + runs[2].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(blobs, pa.binary()), pa.array(spans, pa.int64())], names=["key", "doc", "place", "bytes", "span"])
 
     return run
 
 
+def _crowded_windows(crowd: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], tuple[np.ndarray, ...]]:
+    """``hash, doc, place, bytes`` of the windows of phrases ``doc, place, bytes`` that are the
+    first with their bytes, and ``doc, place, span`` of the runs of all others. Windows
+    of one hash are compared byte by byte with the first of them; those that differ
+    from it stay as well."""
+    which, offset, h = window_hashes([b for _, _, b in crowd], length)
+    d = np.array([x[0] for x in crowd], np.int64)[which]
+    p = np.array([x[1] for x in crowd], np.int64)[which] + offset
+    order = np.lexsort((p, d, h))
+    which, offset, h, d, p = (x[order] for x in (which, offset, h, d, p))
+    head = np.append(True, h[1:] != h[:-1])
+    of = np.flatnonzero(head)[np.cumsum(head) - 1]
+    sizes = np.array([len(b) for _, _, b in crowd], np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(b"".join(b for _, _, b in crowd), np.uint8), length)
+    at = (np.cumsum(sizes) - sizes)[which] + offset
+    # The same place again, from rows that repeat an id, is no earlier one.
+    known = ~head & ((d != d[of]) | (p != p[of]))
+    maybe = np.flatnonzero(known)
+    for lo in range(0, len(maybe), 100_000):
+        some = maybe[lo : lo + 100_000]
+        known[some] = (windows[at[some]] == windows[at[of[some]]]).all(axis=1)
+    own = [windows[k].tobytes() for k in at[~known]]
+    return h[~known], d[~known], p[~known], own, _runs(d[known], p[known])
+
+
 def window_hashes(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``blob, offset, hash`` of all windows of the given byte strings."""
     sizes = np.array([len(b) for b in blobs], np.int64)
@@ -256,7 +285,8 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 def _sort_suffixes(length: int):
     """Repeats among the dictionary's phrases, from a partition sorted by key,
     document and place. What is held of the last key so far is only its entries
-    that brought new suffixes, so entries that are single windows don't pile up."""
+    that brought new suffixes, so entries that are single windows don't pile up. Runs
+    that are known to repeat are passed on."""
 
     def repeats(key: np.ndarray, doc: np.ndarray, place: np.ndarray, blobs: list[bytes]):
         sizes = np.array([len(b) for b in blobs], np.int64)
@@ -276,7 +306,12 @@ def _sort_suffixes(length: int):
         for batch in _with_end(batches):
             done = batch is None
             if not done:
-                held.append((*(batch.column(k).to_numpy() for k in range(3)), batch.column(3).to_pylist()))
+                known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+                if known.any():
+                    yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(known)) for k in (1, 2, 4)], names=["doc", "place", "span"])
+                    batch = batch.filter(pa.array(~known))
+                if len(batch):
+                    held.append((*(batch.column(k).to_numpy() for k in range(3)), batch.column(3).to_pylist()))
             if not held or not (done or sum(len(x[0]) for x in held) - n_old >= 2000):
                 continue
             key, doc, place = (np.concatenate([x[k] for x in held]) for k in range(3))
@@ -352,7 +387,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     path = scratch_path(docs.sparkSession, "phrases")
     dealt.mapInArrow(_resolve(crowded), "doc long, key long, packed long").write.parquet(path)
     per_doc = docs.sparkSession.read.parquet(path).groupBy("doc").agg(F.collect_list(F.struct("key", "packed")).alias("marks"))
-    entries = texts.join(per_doc, "doc").select("doc", "text", "marks").mapInArrow(_dictionary(length), "key long, doc long, place long, bytes binary")
+    entries = texts.join(per_doc, "doc").select("doc", "text", "marks").mapInArrow(_dictionary(length), "key long, doc long, place long, bytes binary, span long")
     sorted_entries = entries.repartition("key").sortWithinPartitions("key", "doc", "place")
     later = sorted_entries.mapInArrow(_sort_suffixes(length), "doc long, place long, span long")
     # Runs inside one phrase or window are shorter than 1024 windows.

@@ -220,6 +220,23 @@ def test_repeats_of_the_query(spark):
     assert sorted(map(tuple, repeats.op4_repeat_removal(spark, d).collect())) == repeats.brute_force(rows)
 
 
+def test_equal_windows_of_crowded_phrases_meet_once_a_batch():
+    rnd, length = random.Random(8), 100
+    base = "".join(rnd.choice("abcdefgh") for _ in range(170)).encode()
+    texts = [base[: 3 * i] + bytes([65 + i]) + base[3 * i + 1 :] for i in range(50)]
+    marks = [[{"key": 7, "packed": (0 << 11) | ((170 - length) << 2) | 3}]] * len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.decode() for t in texts]), pa.array(marks, pa.list_(pa.struct([("key", pa.int64()), ("packed", pa.int64())])))], names=["doc", "text", "marks"])
+    rows = pa.Table.from_batches(list(repeats._dictionary(length)(iter([batch])))).to_pylist()
+    entries, runs = [r for r in rows if r["bytes"] is not None], [r for r in rows if r["bytes"] is None]
+    assert sorted(r["bytes"] for r in entries) == sorted({t[p : p + length] for t in texts for p in range(71)})
+    assert len(entries) + sum(r["span"] + 1 for r in runs) == 50 * 71 and len(runs) <= 100
+    first = {}
+    for i, t in enumerate(texts):
+        for p in range(71):
+            first.setdefault(t[p : p + length], (i, p))
+    assert {(r["doc"], r["place"]) for r in entries} == set(first.values())
+
+
 def test_repeated_ids_and_null_ids(spark):
     rnd = random.Random(1)
     t = "".join(rnd.choice("abcdef") for _ in range(300))
