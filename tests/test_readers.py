@@ -125,3 +125,14 @@ def test_late_and_repeated_rounds_equal_the_batch(spark, tmp_path):
         assert len({(r.run, r.round) for r in got}) == len(got)
     assert key(got) == key(monitor.round_outcomes(spark.createDataFrame(rows, schema), drop=0.05, minimum=10).collect())
     assert {r.decision for r in got} == {"continue", "inadmissible", "halt_rollback", "after_halt"}
+
+
+def test_connect_tables_are_read_where_they_lie(spark):
+    ok = "4 x\n1 A 0 2 4 1\n 2  C 1 3 0 2 \n\n3 G 2 4 1 3\n4 U 3 5 1 4 more\n"
+    files = spark.createDataFrame([("a", ok), ("b", None), ("c", "1 x\n")], "file string, content string")
+    pairs = scans.parse_ct(files)
+    assert sorted(map(tuple, pairs.select("file", "i", "j", "mirrored").collect())) == [("a", 1, 4, True), ("a", 3, 1, False), ("a", 4, 1, True)]
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    with pytest.raises(Exception, match="connect table"):
+        scans.parse_ct(spark.createDataFrame([("d", "1 x\n1 A 0 2\n")], "file string, content string")).collect()
