@@ -136,3 +136,14 @@ def test_connect_tables_are_read_where_they_lie(spark):
     assert "Exchange" not in plan and "Generate" not in plan
     with pytest.raises(Exception, match="connect table"):
         scans.parse_ct(spark.createDataFrame([("d", "1 x\n1 A 0 2\n")], "file string, content string")).collect()
+
+
+def test_match_columns_do_not_move_letters(spark):
+    from strandloom.operators.tournament import match_columns
+
+    rows = [(1, 10, "AC.GU"), (1, 11, "ACGgUA"), (1, 12, None), (2, 20, "G.C"), (2, 21, "..."), (None, 30, "ACGU")]
+    df = spark.createDataFrame(rows, "aln int, r int, s string")
+    got = match_columns(df, alignment="aln", row="r", aligned="s")
+    assert sorted(map(tuple, got.collect())) == [(10, "013"), (11, "0130")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "posexplode" not in plan
