@@ -305,7 +305,8 @@ def _shared_parents(links: DataFrame) -> DataFrame:
     """Links with the same components as ``a, b`` of parents and children in forests: a child
     and its parents are linked to the smallest of them. Copies meet in all their
     buckets and have a parent in each, mostly the same few, so about one link a copy is
-    left. A child has one parent at most in each of its groups, whatever the data."""
+    left. A child has one parent at most in each of its groups: one a bucket, and one a pair
+    of blocks in buckets that are dealt out."""
     own = links.groupBy("b").agg(F.collect_set("a").alias("p"))
     return own.select(F.explode(F.array_append("p", F.col("b"))).alias("a"), F.array_min("p").alias("b")).where("a <> b").distinct()
 
