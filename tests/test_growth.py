@@ -84,3 +84,19 @@ def test_shared_words_are_not_joined(spark):
     assert "Join" not in plan(got)
     mers = {r.item: {r.seq[p : p + 12] for p in range(len(r.seq) - 11)} for r in rows.collect()}
     assert {(r.item, r.host): r.n_shared for r in got.collect()} == {(i, h): len(a & b) for i, a in mers.items() for h, b in mers.items() if a & b}
+
+
+def test_edges_are_made_once(spark):
+    """What made the edges ran again for the nodes that are alone."""
+    from strandloom.operators.cluster import connected_components
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (3, 2), (4, 4), (2, 2), (5, None)], "a long, b long").mapInArrow(made, "a long, b long")
+    got = {tuple(r) for r in connected_components(edges).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)} and seen.value == 5
