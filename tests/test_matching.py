@@ -127,6 +127,34 @@ def test_bands_lose_no_link(spark, monkeypatch):
     assert groups(similarity.similarity_links(df, **options)) == every
 
 
+def test_hubs_lose_no_link(spark, monkeypatch):
+    """All pairs of blocks met, also those of one component."""
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 4, 64)
+    rows = [(i, [int(x) for x in np.where(rng.random(64) < 0.55, near, rng.integers(0, 4, 64))]) for i in range(150)]  # mostly one component
+    rows += [(1000 + i, c) for i, c in vectors(6, 120, 60)] + [(2000 + i, [-1] * 64) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, codes array<int>")
+    groups = lambda links: {(r.node, r.component) for r in connected_components(links).collect()}
+    options = dict(id_col="id", codes="codes", identity=0.55, coverage=0.7)
+    every = groups(similarity.similarity_links(df, n_blocks=2, **options))
+    assert 3 < len({c for _, c in every}) and len({n for n, c in every if c == min(c for _, c in every)}) > 60
+    monkeypatch.setattr(similarity, "HUBS", (8, 16, 1000))
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 64)
+    compared = spark.sparkContext.accumulator(0)
+    scores = similarity._scores
+
+    def counted(a, b, levels):
+        compared.add(len(a) * len(b))
+        return scores(a, b, levels)
+
+    monkeypatch.setattr(similarity, "_scores", counted)
+    assert groups(similarity.similarity_links(df, **options)) == every
+    compared.value = 0
+    one = df.where("id < 1000").crossJoin(spark.range(4).withColumnRenamed("id", "r")).selectExpr("id * 4 + r AS id", "codes")
+    assert {n for n, _ in groups(similarity.similarity_links(one, **options))} == {4 * n + r for n, c in every if n < 1000 for r in range(4)} | {4 * n + r for n in range(150) for r in range(4)}
+    assert 0 < compared.value < 600 * 600 / 3  # all pairs of blocks are over half of the square
+
+
 def test_bands_compare_few_pairs(spark):
     n = 3000
     df = spark.createDataFrame(vectors(2, n, 60), "id long, codes array<int>")
