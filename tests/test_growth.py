@@ -100,3 +100,18 @@ def test_edges_are_made_once(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (4, 4), (2, 2), (5, None)], "a long, b long").mapInArrow(made, "a long, b long")
     got = {tuple(r) for r in connected_components(edges).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)} and seen.value == 5
+
+
+def test_chance_seeds_stay_in_their_block(spark):
+    """Every seed met by chance was shuffled with its contig's letters."""
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(7)
+    contigs = ["".join(rnd.choice("ACG") for _ in range(300)) for _ in range(6)]
+    segments = [contigs[i][50:70] for i in range(6)] + [contigs[0][10:18] + "TTTTTTTTTTTT", contigs[1][280:300], contigs[2][:9] + "T" + contigs[2][10:20]]
+    s, b, place = sequences._seed_starts(contigs, segments, 6, 0.15)
+    assert {(int(i), int(j), int(p)) for i, j, p in zip(s, b, place, strict=True)} >= {*((i, i, 50) for i in range(6)), (7, 1, 280), (8, 2, 0)} and 6 not in s
+    hashes = sequences._word_hashes(np.frombuffer(b"ACGTACGTAC", np.uint8), 7)
+    assert len(hashes) == 4 and hashes[0] not in hashes[1:] and (sequences._word_hashes(np.frombuffer(b"CGTACGTA", np.uint8), 7) == hashes[1:3]).all()
