@@ -115,3 +115,47 @@ def test_chance_seeds_stay_in_their_block(spark):
     assert {(int(i), int(j), int(p)) for i, j, p in zip(s, b, place, strict=True)} >= {*((i, i, 50) for i in range(6)), (7, 1, 280), (8, 2, 0)} and 6 not in s
     hashes = sequences._word_hashes(np.frombuffer(b"ACGTACGTAC", np.uint8), 7)
     assert len(hashes) == 4 and hashes[0] not in hashes[1:] and (sequences._word_hashes(np.frombuffer(b"CGTACGTA", np.uint8), 7) == hashes[1:3]).all()
+
+
+def test_equal_vectors_meet_once(spark, monkeypatch):
+    """Every copy of a vector met all copies of all vectors it shared a band with."""
+    import numpy as np
+
+    from strandloom.operators import similarity
+    from strandloom.operators.cluster import connected_components
+
+    rng = np.random.default_rng(8)
+    base = [[int(x) for x in r] for r in rng.integers(0, 4, (60, 64))]
+    near = [[*b[:60], -1, *b[61:]] for b in base[:9]]
+    void = [-1] * 30 + [1] * 34
+    rows = [(i * 10 + j, b) for i, b in enumerate(base) for j in range(8)] + [(5000 + i, b) for i, b in enumerate(near)] + [(9000, void), (9001, void)]
+    df = spark.createDataFrame(rows, "id long, codes array<int>")
+    compared = spark.sparkContext.accumulator(0)
+    scores = similarity._scores
+
+    def counted(a, b, levels):
+        compared.add(len(a) * len(b))
+        return scores(a, b, levels)
+
+    monkeypatch.setattr(similarity, "_scores", counted)
+    got = {(r.node, r.component) for r in connected_components(similarity.similarity_links(df, id_col="id", codes="codes", identity=0.8, coverage=0.95)).collect()}
+    want = {(i * 10 + j, i * 10) for i in range(60) for j in range(8)} | {(5000 + i, i * 10) for i in range(9)} | {(9000, 9000), (9001, 9001)}
+    assert got == want and compared.value < 4 * 69 * 69
+
+
+def test_replicates_share_one_sort(spark):
+    """Every replicate had rows of its own, and its draws were made in one task."""
+    from strandloom.operators import metrics
+
+    rows = [(i % 7, (i * 37 % 11) / 3, int(i * 13 % 5 < 2)) for i in range(300)] + [(9, None, 1), (9, None, 0), (2, float("nan"), 0), (2, float("nan"), 1), (5, 0.1, None)]
+    df = spark.createDataFrame(rows, "block long, score double, y int")
+    w = metrics.block_bootstrap_weights(df, block="block", replicates=40, seed="s")
+    assert "REPARTITION_BY_COL" not in physical(w)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = metrics._replicate_aurocs(df, score="score", label="y", block="block", replicates=40, seed="s")
+        assert "Generate" not in physical(got).split("MapInPandas")[0]
+        got = {r.rep: r.auroc for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {r.rep: r.auroc for r in metrics.auroc(df.join(w, "block"), score="score", label="y", by=["rep"], weight="weight").collect()}
