@@ -29,6 +29,6 @@ def test_frequencies_that_are_ties_round_as_in_sql(same_as_sql):
     assert ("0", repr("0.064062").strip("'"), repr("AAA"), "164") in rows
 
 
-@pytest.mark.parametrize("name", ["a19_kmer_frequencies"])
+@pytest.mark.parametrize("name", ["a19_kmer_frequencies", "s11_stockholm", "s11_alignment_depth"])
 def test_empty_and_short_texts(same_as_sql, name):
     assert same_as_sql(name, ["", "x", "xy", "", "several words"])
