@@ -2,14 +2,17 @@
 
 Parsing. A rolling hash runs over the bytes; each window of ``length`` bytes takes
 as trigger the ``W``-byte string with the smallest hash in it. Windows with one
-trigger form a phrase, and phrases overlap so that every window lies whole in
-one. Triggers depend on the bytes of the window alone, so equal windows have
-equal triggers at equal places, and a window of a phrase can only be equal to
-windows of phrases with the same trigger: the phrases' suffixes up to the end of
-the trigger are prefix-free, which is what lets order be decided phrase by phrase.
-
-Dictionary and parse. A document's parse is its sequence of (trigger, phrase)
-hashes. Every occurrence of a phrase but the first repeats as a whole. Where
+trigger in their first or in their second half form a phrase, and phrases overlap so
+that every window lies whole in one. Triggers depend on the bytes of the window alone,
+so equal windows have equal triggers at equal places. All windows of a phrase share the
+trigger and as many bytes before or behind it as half a window leaves, its key: a window
+of a phrase can only be equal to windows of phrases with the same key. Triggers alone
+are met by ever more different phrases as a corpus grows, keys of 58 bytes by copies.
+The phrases' suffixes up to the end of the trigger are prefix-free, which is what lets
+order be decided phrase by phrase.
+
+Dictionary and parse. A document's parse is its sequence of (key, phrase)
+hashes, the key being called trigger below. Every occurrence of a phrase but the first repeats as a whole. Where
 phrases differ around a trigger, the first occurrence of each phrase enters the
 dictionary with its bytes; the suffixes of the dictionary's phrases are sorted
 trigger by trigger to their first ``length`` bytes, and runs of equal suffixes
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,19 @@ W = 16
 CHUNK_BYTES = 2_000_000
 #: Occurrences of a trigger beyond which its phrases' windows are dealt out one by one.
 CROWDED = 1_000
+#: Bytes of texts, and of crowded phrases, that a task works on at once, and rows it sorts or gives.
+PORTION_BYTES, CROWD_BYTES, PORTION_ROWS = 16_000_000, 2_000_000, 2_000
+
+
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches ``id, text, ...`` cut to about ``PORTION_BYTES`` of text, a row at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        share = np.cumsum(sizes) // PORTION_BYTES
+        bounds = [0, *(np.flatnonzero(share[1:] != share[:-1]) + 1).tolist(), len(batch)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b > a or len(batch) == 0:
+                yield batch.slice(a, b - a)
 
 
 def pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
@@ -65,7 +82,7 @@ def pieces(texts: list[bytes], length: int) -> Iterator[tuple[list[int], list[in
 
 
 def phrases(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """``piece, first window, last window, trigger hash, phrase hash`` of every
+    """``piece, first window, last window, key hash, phrase hash`` of every
     phrase; windows are named by where they start in ``data``."""
     n, t = len(data), length - W + 1
     at = np.arange(n - W + 1)
@@ -79,11 +96,15 @@ def phrases(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
         low = np.minimum(low[: len(low) - (t - width)], low[t - width :])
     valid = ragged_index(bounds[:-1], np.diff(bounds) - (length - 1))
     trigger = (low[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.append(True, (trigger[1:] != trigger[:-1]) | (valid[1:] != valid[:-1] + 1))
+    late = trigger - valid >= t // 2  # the trigger lies in the window's second half
+    new = np.append(True, (trigger[1:] != trigger[:-1]) | (late[1:] != late[:-1]) | (valid[1:] != valid[:-1] + 1))
     first = np.flatnonzero(new)
-    lo, hi, q = valid[first], valid[np.append(first[1:], len(valid)) - 1], trigger[first]
+    lo, hi, q, late = valid[first], valid[np.append(first[1:], len(valid)) - 1], trigger[first], late[first]
+    # What all windows with the trigger in that half have.
+    begin = np.where(late, q - t // 2, q)
+    own = mix(span_hashes(data, begin, np.where(late, q + W, q - t // 2 + 1 + length), seed=2) + late.astype(np.uint64))
     phrase = mix(span_hashes(data, lo, hi + length, seed=1) + (q - lo).astype(np.uint64))
-    return np.searchsorted(bounds, lo, side="right") - 1, lo, hi, hashes[q], phrase
+    return np.searchsorted(bounds, lo, side="right") - 1, lo, hi, own, phrase
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -108,7 +129,7 @@ def _parse(length: int):
     goes under a key of its own and frequent phrases don't crowd one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             ids = batch.column(0).to_numpy()
             found = []
             for rows, offsets, data, bounds in pieces(_texts(batch.column(1)), length):
@@ -212,9 +233,24 @@ def _dictionary(length: int):
     one came earlier in the batch: such windows are known to repeat and need no
     meeting, so runs of them go with their ``span`` and without bytes."""
 
+    def entries(keys, docs, places, blobs, spans) -> pa.RecordBatch:
+        cols = [pa.array(x, t) for x, t in zip((keys, docs, places, blobs, spans), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays(cols, names=["key", "doc", "place", "bytes", "span"])
+
+    def crowded_entries(crowd: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        h, d, p, at, windows, runs = _crowded_windows(crowd, length)
+        for lo in range(0, len(h), 100_000):
+            own = slice(lo, lo + 100_000)
+            data = np.ascontiguousarray(windows[at[own]])
+            blobs = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, data.size + 1, length, dtype=np.int32)), pa.py_buffer(data)])
+            yield entries(h[own].view(np.int64), d[own], p[own], blobs, pa.nulls(len(data), pa.int64()))
+        if len(runs[0]):
+            spread = mix(runs[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + runs[1].astype(np.uint64)).view(np.int64)
+            yield entries(spread, runs[0], runs[1], pa.nulls(len(spread), pa.binary()), runs[2])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, docs, places, blobs, crowd = [], [], [], [], []
+        for batch in _portions(batches):
+            keys, docs, places, blobs, crowd, size = [], [], [], [], [], 0
             ids = batch.column(0).to_numpy()
             for i, text in enumerate(_texts(batch.column(1))):
                 key, place, span, first, crowded = _marks(batch.column(2)[i])
@@ -223,25 +259,24 @@ def _dictionary(length: int):
                     places.append(place[k])
                     blobs.append(text[place[k] : place[k] + span[k] + length])
                 docs += [ids[i]] * (len(keys) - len(docs))
-                crowd += [(ids[i], place[k], text[place[k] : place[k] + span[k] + length]) for k in np.flatnonzero(first & crowded)]
-            spans = [None] * len(keys)
+                for k in np.flatnonzero(first & crowded):
+                    crowd.append((ids[i], place[k], text[place[k] : place[k] + span[k] + length]))
+                    size += len(crowd[-1][2])
+                    if size > CROWD_BYTES:
+                        yield from crowded_entries(crowd)
+                        crowd, size = [], 0
+            yield entries(keys, docs, places, blobs, [None] * len(keys))
             if crowd:
-                h, d, p, own, runs = _crowded_windows(crowd, length)
-                keys += h.view(np.int64).tolist() + mix(runs[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + runs[1].astype(np.uint64)).view(np.int64).tolist()
-                docs += d.tolist() + runs[0].tolist()
-                places += p.tolist() + runs[1].tolist()
-                blobs += own + [None] * len(runs[0])
-                spans += [None] * len(h) + runs[2].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()), pa.array(blobs, pa.binary()), pa.array(spans, pa.int64())], names=["key", "doc", "place", "bytes", "span"])
+                yield from crowded_entries(crowd)
 
     return run
 
 
-def _crowded_windows(crowd: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], tuple[np.ndarray, ...]]:
-    """``hash, doc, place, bytes`` of the windows of phrases ``doc, place, bytes`` that are the
-    first with their bytes, and ``doc, place, span`` of the runs of all others. Windows
-    of one hash are compared byte by byte with the first of them; those that differ
-    from it stay as well."""
+def _crowded_windows(crowd: list[tuple[int, int, bytes]], length: int) -> tuple:
+    """``hash, doc, place, row`` of the windows of phrases ``doc, place, bytes`` that are the
+    first with their bytes, the rows of all windows, and ``doc, place, span`` of the runs of
+    all others. Windows of one hash are compared byte by byte with the first of them; those
+    that differ from it stay as well."""
     which, offset, h = window_hashes([b for _, _, b in crowd], length)
     d = np.array([x[0] for x in crowd], np.int64)[which]
     p = np.array([x[1] for x in crowd], np.int64)[which] + offset
@@ -258,8 +293,7 @@ def _crowded_windows(crowd: list[tuple[int, int, bytes]], length: int) -> tuple[
     for lo in range(0, len(maybe), 100_000):
         some = maybe[lo : lo + 100_000]
         known[some] = (windows[at[some]] == windows[at[of[some]]]).all(axis=1)
-    own = [windows[k].tobytes() for k in at[~known]]
-    return h[~known], d[~known], p[~known], own, _runs(d[known], p[known])
+    return h[~known], d[~known], p[~known], at[~known], windows, _runs(d[known], p[known])
 
 
 def window_hashes(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,7 +337,7 @@ def _sort_suffixes(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         n_old = 0  # entries at the front that were answered before
-        for batch in _with_end(batches):
+        for batch in _with_end(b.slice(i, PORTION_ROWS) for b in batches for i in range(0, max(1, len(b)), PORTION_ROWS)):
             done = batch is None
             if not done:
                 known = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
@@ -334,7 +368,7 @@ def _answer(length: int):
     """Counts and remaining bytes of each document from its marks and repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             out = []
             for i, text in enumerate(_texts(batch.column(1))):
                 places, spans = [], []

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, repeats, simhash
+from strandloom.llm.textbatch import span_hashes
 
 
 def brute_fingerprint(text, k=3):
@@ -237,6 +238,30 @@ def test_equal_windows_of_crowded_phrases_meet_once_a_batch():
     assert {(r["doc"], r["place"]) for r in entries} == set(first.values())
 
 
+def test_phrases_that_share_a_trigger_alone_do_not_meet():
+    """One trigger in 300 contexts was one key: the more texts, the more windows were dealt out one by one."""
+    rnd = np.random.default_rng(5)
+    some = rnd.integers(97, 123, 50_000 + repeats.W, dtype=np.uint8)
+    at = np.arange(50_000)
+    low = int(span_hashes(some, at, at + repeats.W).argmin())
+    size = 200 + repeats.W
+    texts = [np.concatenate([rnd.integers(97, 123, 100, dtype=np.uint8), some[low : low + repeats.W], rnd.integers(97, 123, 100, dtype=np.uint8)]) for _ in range(300)]
+    piece, lo, hi, key, _ = repeats.phrases(np.concatenate(texts), np.arange(301) * size, 100)
+    assert len(set(zip(key.tolist(), piece.tolist(), strict=True))) == len(set(key.tolist()))
+    covered = sorted((p, w - p * size) for p, a, b in zip(piece.tolist(), lo.tolist(), hi.tolist(), strict=True) for w in range(a, b + 1))
+    assert covered == [(p, w) for p in range(300) for w in range(size - 99)]
+
+
+def test_crowded_windows_are_given_in_portions(monkeypatch):
+    monkeypatch.setattr(repeats, "CROWD_BYTES", 5_000)
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcdefgh") for _ in range(170)) for _ in range(200)]
+    marks = [[{"key": 7, "packed": (70 << 2) | 3}]] * 200
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts), pa.array(marks, pa.list_(pa.struct([("key", pa.int64()), ("packed", pa.int64())])))], names=["doc", "text", "marks"])
+    out = list(repeats._dictionary(100)(iter([batch])))
+    assert sum(len(b) for b in out) == 200 * 71 and max(len(b) for b in out) < 2_500
+
+
 def test_repeated_ids_and_null_ids(spark):
     rnd = random.Random(1)
     t = "".join(rnd.choice("abcdef") for _ in range(300))
