@@ -147,3 +147,25 @@ def test_match_columns_do_not_move_letters(spark):
     assert sorted(map(tuple, got.collect())) == [(10, "013"), (11, "0130")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "posexplode" not in plan
+
+
+def test_gff3_files_are_read_whole_or_as_lines(spark, tmp_path, monkeypatch):
+    """Each file was read three times as lines; features of both ways are the same."""
+    head = "##gff-version 3\n"
+    row = lambda n, note: f"c%3A1\tsrc\tCDS\t{n}\t{n + 9}\t.5e1\t-\t0\tID=a;Note=x%2Cy,z;Note=q\r\n#c\n\nc\tsrc\tgene\t{n}\t{n}\t.\t?\t.\t{note}\n"
+    for i in range(3):
+        (tmp_path / f"f{i}.gff").write_bytes((head + "".join(row(n, "." if n % 2 else "k=v=w") for n in range(1, 4 + 40 * i)) + ">x\nnot\ta line\n").encode())
+    (tmp_path / "empty.gff").write_bytes(b"")
+
+    def features():
+        rows = scans.read_gff3(spark, str(tmp_path)).collect()
+        keep = lambda r: (r.file, r.seqid, r.source, r.type, r.lo, r.hi, r.score or -1.0, r.strand, -1 if r.phase is None else r.phase, str(sorted(r.attributes.items())))
+        return sorted(keep(r) for r in rows)
+
+    whole = features()
+    assert len(whole) == 2 * (3 + 43 + 83) and whole[0][1:] == ("c", "src", "gene", 1, 1, -1.0, 0, -1, "[]")
+    assert whole[3][1:9] == ("c:1", "src", "CDS", 1, 10, 5.0, -1, 0) and whole[3][9] == "[('ID', ['a']), ('Note', ['x,y', 'z', 'q'])]"
+    monkeypatch.setattr(scans, "WHOLE_BYTES", 1_000)
+    assert features() == whole
+    monkeypatch.setattr(scans, "WHOLE_BYTES", 0)
+    assert features() == whole
