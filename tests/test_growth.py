@@ -86,6 +86,15 @@ def test_shared_words_are_not_joined(spark):
     assert {(r.item, r.host): r.n_shared for r in got.collect()} == {(i, h): len(a & b) for i, a in mers.items() for h, b in mers.items() if a & b}
 
 
+def test_blocks_are_written_once(spark):
+    """Sequences were shuffled to every block of the other side."""
+    rows = spark.createDataFrame([(i, "ACGT" * 4 + "GATTACA"[i % 5 :]) for i in range(60)], "item long, seq string")
+    got = sequences.shared_kmer_hosts(rows, rows.withColumnRenamed("item", "host"), k=12, item_id="item", host_id="host", most=5)
+    assert "Generate" not in plan(got) and "CartesianProduct" in physical(got)
+    mers = {r.item: {r.seq[p : p + 12] for p in range(len(r.seq) - 11)} for r in rows.collect()}
+    assert {(r.item, r.host): r.n_shared for r in got.collect()} == {(i, h): len(a & b) for i, a in mers.items() for h, b in mers.items() if a & b}
+
+
 def test_edges_are_made_once(spark):
     """What made the edges ran again for the nodes that are alone."""
     from strandloom.operators.cluster import connected_components
