@@ -50,3 +50,9 @@ def test_place_hashes_are_md5_of_many_rows_at_once(monkeypatch):
 @pytest.mark.parametrize("name", ["e13_mono_shuffle", "e13_gc_matched"])
 def test_decoys_of_texts_of_many_lengths(same_as_sql, name):
     assert len(same_as_sql(name, ["a", "bc", "x" * 600, "some words, é and more\n" * 300])) == 4
+
+
+def test_match_columns_of_whole_texts(same_as_sql):
+    """Random sequences of up to 2,048 letters stood for the texts."""
+    rows = same_as_sql("c02_match_columns", ["abc " * 700, *["x", "some words"] * 30])
+    assert max(len(r[0]) for r in rows) > 4_000
